@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haplolake.llm import bpe, packing, token_counts
+from haplolake.llm import bpe, packing, suffix_dedup, token_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -16,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeats of 100 bytes and more."""
+    cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
@@ -33,6 +40,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
     "op9_bpe": op9_bpe,
