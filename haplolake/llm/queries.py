@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplolake.llm import bpe, packing, suffix_dedup, token_counts
+from haplolake.llm import bpe, minhash, packing, suffix_dedup, token_counts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -34,6 +34,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(histogram)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document: five-word shingles, weighted Jaccard similarity of 0.8 or more."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document and of the text decoded from them."""
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), VOCABULARY)
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
 }
 ORACLES: dict[str, str] = {}
