@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from haplolake.llm.bpe import SLICE_BYTES, codec
 from haplolake.llm.ragged import slices
+from haplolake.llm.storage import written
 
 #: Neighbouring lengths that one window of the suffix sums spans.
 BLOCK = 1024
@@ -57,6 +58,7 @@ def context_limits(histogram: DataFrame, by: str | None = None, block: int = BLO
     """For every length that occurs, as a context limit: documents and tokens at least that long, the
     total if all documents are cut there, and the share of documents that fit whole (quantile)."""
     keys = [by] if by else []
+    histogram = written(histogram, "lengths")  # read twice below, and far smaller than the corpus behind it
     h = histogram.withColumns({"_block": F.floor(F.col("n_tokens") / block), "tokens": F.col("n_tokens") * F.col("n_docs")})
     later = Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys, F.lit(0))
