@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haplolake.llm import bpe, chat_format, minhash, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, warc
+from haplolake.llm import ann, bpe, chat_format, minhash, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -78,6 +78,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found, by inner product, to every embedding whose id is divisible by 20."""
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -88,5 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
+    "op10_nearest": op10_nearest,
 }
 ORACLES: dict[str, str] = {}

@@ -321,45 +321,82 @@ def _find_repeats(min_bytes: int):
     return run
 
 
-def _cut_out(id_type: pa.DataType):
+def _without(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Byte lengths; remaining bytes with their offsets; merged ranges (row, a, b) that went."""
+    data, offs = utf8_bytes(part.column("text"))
+    lists = part.column("spans").cast(pa.large_list(part.column("spans").type.value_type))
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    doc, a, b = _merge(np.repeat(np.arange(len(n)), n), flat.field("a").to_numpy(), flat.field("b").to_numpy())
+    mark = np.zeros(len(data) + 1, dtype=np.int8)
+    np.add.at(mark, a + offs[doc], 1)
+    np.add.at(mark, b + offs[doc], -1)
+    gone = np.cumsum(mark[:-1]) > 0
+    left = np.concatenate([[0], np.cumsum(~gone)])[offs].astype(np.int64)
+    return np.diff(offs), data[~gone], left, (doc, a, b)
+
+
+def _cut_out():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                data, offs = utf8_bytes(part.column("text"))
-                lists = part.column("spans").cast(pa.large_list(part.column("spans").type.value_type))
-                n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                flat = lists.flatten()
-                doc, a, b = _merge(np.repeat(np.arange(len(n)), n), flat.field("a").to_numpy(), flat.field("b").to_numpy())
-                mark = np.zeros(len(data) + 1, dtype=np.int8)
-                np.add.at(mark, a + offs[doc], 1)
-                np.add.at(mark, b + offs[doc], -1)
-                gone = np.cumsum(mark[:-1]) > 0
-                left = np.concatenate([[0], np.cumsum(~gone)])[offs].astype(np.int64)
-                count = np.bincount(doc, minlength=len(n))
+                size, data, left, (doc, a, b) = _without(part)
+                count = np.bincount(doc, minlength=len(size))
                 spans = pa.ListArray.from_arrays(pa.array(offsets_of(count), pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]))
-                kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(left), pa.py_buffer(data[~gone])]).cast(pa.binary())
-                size = np.diff(offs)
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(id_type), pa.array(size, pa.int64()), pa.array(size - np.diff(left), pa.int64()), pa.array(count, pa.int64()), spans, kept], names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(left), pa.py_buffer(data)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int64()), pa.array(size - np.diff(left), pa.int64()), pa.array(count, pa.int64()), spans, kept], names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, spans (array of removed byte ranges [a, b)) and kept (remaining bytes) of every row."""
+def _cut_strings():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                _, data, left, _ = _without(part)
+                raw = data.tobytes()
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column("row")], names=["text", "row"])
+
+    return run
+
+
+_SPANS = "array<struct<a:long,b:long>>"
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows without repeated anchors; and the others with the ranges to remove. Both have id, text and the carried columns in ``row``."""
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), text.alias("text"))
+    row = F.struct(*(docs[c] for c in carried)) if carried else F.lit(None).cast("struct<x:int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), text.alias("text"), row.alias("row"))
     listed = rows.select("k", "text").mapInArrow(_list_anchors(min_bytes), "route long, k long, pos int, known boolean")
     counted = listed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("route"))).filter("known OR n > 1")
     found = counted.groupBy("k").agg(F.collect_list("pos").alias("pos"))
-    placed = written(rows.join(found, "k", "left").select("id", "k", F.xxhash64("text").alias("t"), "text", "pos"), "suffix-dedup")
+    placed = written(rows.join(found, "k", "left").select("id", "k", F.xxhash64("text").alias("t"), "text", "pos", "row"), "suffix-dedup")
 
     suspects = placed.filter("pos IS NOT NULL")
     contexts = suspects.select("k", "t", "text", "pos").mapInArrow(_cut_contexts(min_bytes), _CONTEXT)
     grouped = contexts.repartition("route").sortWithinPartitions("route")
     ranges = grouped.mapInArrow(_find_repeats(min_bytes), "k long, t long, a int, b int")
     spans = ranges.groupBy("k", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    schema = "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>, kept binary"
-    cut = suspects.join(spans, ["k", "t"], "left").select("id", "text", "spans").mapInArrow(_cut_out(pa.int64()), schema)
-    none = F.array().cast("array<struct<a:long,b:long>>")
-    clean = placed.filter("pos IS NULL").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), none.alias("spans"), F.col("text").cast("binary").alias("kept"))
-    return clean.unionByName(cut).withColumnRenamed("id", id_col)
+    return placed.filter("pos IS NULL").select("id", "text", "row"), suspects.join(spans, ["k", "t"], "left").select("id", "text", "spans", "row")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, spans (array of removed byte ranges [a, b)) and kept (remaining bytes) of every row."""
+    clean, suspects = _judged(docs, id_col, text_col, min_bytes, [])
+    schema = f"id long, n_bytes long, n_removed long, n_spans long, spans {_SPANS}, kept binary"
+    cut = suspects.select("id", "text", "spans").mapInArrow(_cut_out(), schema)
+    zero = F.lit(0).cast("long")
+    whole = clean.select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.array().cast(_SPANS).alias("spans"), F.col("text").cast("binary").alias("kept"))
+    return whole.unionByName(cut).withColumnRenamed("id", id_col)
+
+
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100) -> DataFrame:
+    """docs with all columns, the repeats cut out of the text column. Where a cut splits a character, U+FFFD stands for its rest."""
+    carried = [c for c in docs.columns if c != text_col]
+    clean, suspects = _judged(docs, id_col, text_col, min_bytes, carried)
+    schema = suspects.select(F.lit("").alias("text"), "row").schema
+    cut = suspects.select("text", "spans", "row").mapInArrow(_cut_strings(), schema)
+    both = clean.select("text", "row").unionByName(cut)
+    return both.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
