@@ -21,9 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+#: Has Spark remove a query's shuffle files as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a Parquet table in the shared folder; lost executors don't undo them."""
+    """The same rows, read from a Parquet table in the shared folder; lost executors don't undo them.
+
+    Nothing reads the shuffle files behind the table again, so they go when it is complete.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
