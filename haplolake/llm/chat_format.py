@@ -7,9 +7,10 @@ own text. Folding needs only, per message, the last event that sets its text and
 at or before it, so texts are put together message by message, however long a conversation is.
 
 A rendered turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Within roles and texts, a backslash is put
-between ``<`` and ``|`` (one more, if there are some), and a role's line ends and backslashes are
-written as ``\\n`` and ``\\\\``; no control string is left inside, and both are undone exactly. The loss mask covers
-the text of assistant turns, as escaped: start and length in code points within the rendered turn.
+between ``<`` and ``|`` (one more, if there are some), so no control string is left inside; a line end
+in a role is written ``<!|``, and a ``<!|`` that was there gets one more ``!``. Both are undone exactly.
+The loss mask covers the text of assistant turns, as escaped: start and length in code points within the
+rendered turn.
 
 Only DataFrame functions are used. Defined cases: null texts and roles are empty; null conversation ids
 form one conversation; null message keys come first; events of one message that share a sequence number
@@ -27,7 +28,7 @@ TRAINED_ROLE = "assistant"
 
 
 def escape_text(c: Column) -> Column:
-    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape_text(c: Column) -> Column:
@@ -35,14 +36,11 @@ def unescape_text(c: Column) -> Column:
 
 
 def escape_role(c: Column) -> Column:
-    return F.replace(F.replace(escape_text(c), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.replace(F.regexp_replace(escape_text(c), r"<(!+)\|", "<$1!|"), F.lit("\n"), F.lit("<!|"))
 
 
 def unescape_role(c: Column) -> Column:
-    # A pair of backslashes is one; \n outside of such pairs is a line end. Pairs are set aside as NUL-free marks.
-    marked = F.regexp_replace(c, r"\\(.)", "\x01$1\x01")
-    lines = F.replace(marked, F.lit("\x01n\x01"), F.lit("\n"))
-    return unescape_text(F.replace(lines, F.lit("\x01\\\x01"), F.lit("\\")))
+    return unescape_text(F.regexp_replace(F.replace(c, F.lit("<!|"), F.lit("\n")), r"<(!+)!\|", "<$1|"))
 
 
 def reconstruct(events: DataFrame, conv: str = "conv_id", seq: str = "seq", message: str = "message", kind: str = "kind", role: str = "role", text: str = "text") -> DataFrame:

@@ -95,4 +95,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_nearest": op10_nearest,
 }
-ORACLES: dict[str, str] = {}
+_OP5_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+s AS (
+  SELECT *, 24 + length(t) + len(regexp_extract_all(t, '<\\*\|')) + length(role) + len(regexp_extract_all(role, '<\\*\|'))
+    + len(regexp_extract_all(role, '<!+\|')) + 2 * len(regexp_extract_all(role, '\n')) AS chars FROM r)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+_OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT rid, doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(t, '!!')) AS n_marks FROM d),
+g AS (
+  SELECT rid, i, array_to_string(list_slice(w, i, i + 7), ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM m WHERE len(w) > 8)),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g),
+p AS (SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -8) AS before FROM c WHERE n > 1),
+v AS (SELECT rid, sum(least(8, i - before)) AS n FROM p GROUP BY rid),
+x AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(n_symbols AS BIGINT) AS n_symbols, n_marks, len(l) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words FROM m LEFT JOIN v USING (rid)),
+f AS (
+  SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+    + 8 * (n_dup_lines >= 4 AND 2 * n_dup_lines > n_lines)::INT + 16 * (word_chars > 40 * n_words)::INT + 32 * (4 * n_marks > n_words)::INT AS BIGINT) AS failures FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+"""
+
+_OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (
+  SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS holder,
+    array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(((CAST('0x' || substr(sha1(h), CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM q
+"""
+
+#: The other operators' results can't be said in SQL; tests compare them with brute force.
+ORACLES: dict[str, str] = {"op5_chat_format": _OP5_SQL, "op6_quality_rules": _OP6_SQL, "op7_warc": _OP7_SQL}

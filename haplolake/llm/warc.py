@@ -80,7 +80,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     keyed = base.withColumn("sha256", F.sha2("payload", 256))
     once = keyed.join(keep, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("sha256") == F.col("_s")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("page_id", "sha256").orderBy("url"))
-    repeats = kept.count() != once.count()  # only where one id holds the same payload twice
+    stored = spark.read.schema("page_id long, header binary, sha256 string").parquet(f"{path}/records")
+    repeats = not stored.groupBy("page_id", "sha256").count().filter("count > 1").isEmpty()  # an id that holds a payload twice
     once = once.withColumn("_nth", nth).filter("_nth = 1") if repeats else once
     once.select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
