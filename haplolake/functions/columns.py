@@ -60,7 +60,7 @@ def normal_two_sided(z: Column | str) -> Column:
     poly: Column = F.lit(coefficients[-1])
     for c in reversed(coefficients[:-1]):
         poly = F.lit(c) + t * poly
-    return F.least(F.lit(1.0), t * F.exp(-x * x + poly))
+    return F.when(col(z).isNotNull(), F.least(F.lit(1.0), t * F.exp(-x * x + poly)))  # least() alone would skip a null
 
 
 def chr_number(label: Column | str) -> Column:
