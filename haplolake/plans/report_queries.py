@@ -1,0 +1,137 @@
+"""Report tables on the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from haplolake.operators.reference import reference_aneuploid, reference_haplotype
+from haplolake.operators.relational import stack_labelled
+from haplolake.plans import reports
+from haplolake.plans.domain_queries import _ANEU, _HAP
+from haplolake.plans.registry import query, rounded
+from haplolake.plans.roles import HALF, SKIP, Roles, X, tail_sql, with_roles
+
+_R = "round({}, 6)".format
+_XF = f"SELECT AVG(hb) AS x FROM rv JOIN smp USING (s) WHERE c AND g = '{X}'"
+_LONG = "SELECT s, g, 'A' AS hap, ha AS v FROM rv UNION ALL SELECT s, g, 'B', hb FROM rv"
+_SCALE = f"CASE g WHEN '{HALF}' THEN v * 1.5 WHEN '{X}' THEN v / x ELSE v END"
+
+
+@query("rp01_haplotype_bars", with_roles(f"SELECT s AS sample_id, role, g AS chr, TRY_CAST(g AS DOUBLE) AS number, hap, {_R(_SCALE)} AS value, {_R('total')} AS total FROM (SELECT *, SUM(v) OVER (PARTITION BY s, g) AS total FROM q) JOIN fam USING (s), xf", "rv", "smp", "fam", q=_LONG, xf=_XF))
+def rp01(r: Roles) -> DataFrame:
+    roles = r.family.select("sample_id", F.col("relationship").alias("role"))
+    return rounded(reports.haplotype_bars(r.values, r.controls, roles, x=X, half=HALF), "value", "total")
+
+
+@query("rp02_bin_track", with_roles(
+    f"SELECT s AS sample_id, q.g AS chr, mid, track, {_R('CASE track WHEN ' + chr(39) + 'total' + chr(39) + ' THEN 2 * tpm WHEN ' + chr(39) + 'A' + chr(39) + ' THEN tpm * 0.75 ELSE tpm * 1.25 END')} AS value, CAST(len // 2 AS BIGINT) AS centromere FROM q JOIN ln ON ln.g = q.g CROSS JOIN (VALUES ('total'), ('A'), ('B')) t(track)",
+    "rv", "ln", q="SELECT s, g, l AS mid, tpm FROM (SELECT s, g, tpm, UNNEST([1000.0, 2000.0]) AS l FROM rv)"))
+def rp02(r: Roles) -> DataFrame:
+    bins = r.values.select("sample_id", "chr", "tpm", (F.col("tpm") * 0.75).alias("hap_a"), (F.col("tpm") * 1.25).alias("hap_b"), F.explode(F.array(F.lit(1000.0), F.lit(2000.0))).alias("mid"))
+    centromeres = r.features.groupBy("chr").agg(F.floor(F.max("end") / 2).alias("centromere"))
+    return rounded(reports.bin_track(bins, centromeres), "value")
+
+
+_CM = "SELECT f, COALESCE(SUM(v) FILTER (WHERE c), 0) / (SELECT COUNT(*) FROM smp WHERE c) AS mu FROM m JOIN smp USING (s) GROUP BY f"
+
+
+@query("rp03_ratio_by_expression", with_roles(
+    f"SELECT smp.s AS sample_id, ks.chunk, round(control, 9) AS control, {_R('COALESCE(x, 0) / n')} AS ratio, {_R('log2(NULLIF(COALESCE(x, 0) / n, 0))')} AS log2_ratio FROM ks CROSS JOIN smp LEFT JOIN t ON t.s = smp.s AND t.chunk = ks.chunk",
+    "m", "smp", cm=_CM, k="SELECT f, mu, (row_number() OVER (ORDER BY round(mu, 9), f) - 1) // 10 + 1 AS chunk FROM cm WHERE mu > 0",
+    ks="SELECT chunk, COUNT(*) AS n, AVG(mu) AS control FROM k GROUP BY chunk", t="SELECT s, chunk, SUM(v / mu) AS x FROM m JOIN k USING (f) GROUP BY ALL"))
+def rp03(r: Roles) -> DataFrame:
+    return rounded(rounded(reports.ratio_by_expression(r.matrix, r.samples), "ratio", "log2_ratio"), "control", digits=9)
+
+
+@query("rp04_cumulative", with_roles(
+    "SELECT s AS sample_id, g AS chr, f AS feature_id, round(cs, 8) AS cum_sample, round(cc, 8) AS cum_control, round(sqrt(cs * cs + cc * cc) / 2, 6) AS half FROM (SELECT s, g, f, SUM(v) OVER w AS cs, SUM(mu) OVER w AS cc FROM m JOIN cm USING (f) JOIN ft USING (f) WHERE mu > 0 WINDOW w AS (PARTITION BY s, g ORDER BY mu, f ROWS UNBOUNDED PRECEDING))",
+    "m", "smp", "ft", cm=_CM))
+def rp04(r: Roles) -> DataFrame:
+    return rounded(rounded(reports.cumulative_expression(r.matrix, r.samples, r.features), "half"), "cum_sample", "cum_control", digits=8)
+
+
+@query("rp05_control_distribution", with_roles(
+    f"SELECT s AS sample_id, g AS chr, hap, {_R(_SCALE)} AS value, 'control' AS kind FROM q JOIN smp USING (s), xf WHERE c UNION ALL SELECT s, g, hap, {_R(_SCALE)}, CASE WHEN role IN ('A', 'B') THEN 'related' ELSE 'unrelated' END FROM q JOIN fam USING (s), xf WHERE family = 3", "rv", "smp", "fam", q=_LONG, xf=_XF))
+def rp05(r: Roles) -> DataFrame:
+    families = r.family.filter("family = 3").select("sample_id", F.col("relationship").isin("A", "B").alias("related"))
+    return rounded(reports.control_distribution(r.values, r.controls, families, x=X, half=HALF).select("sample_id", "chr", "hap", "value", "kind"), "value")
+
+
+_REVIEW = "SELECT family, g AS chr, generation, rupt AS rupture, CASE (family + len(g)) % 3 WHEN 0 THEN 'defect' WHEN 1 THEN 'partial defect' ELSE 'no defect' END AS interpretation, CASE WHEN family % 2 = 0 THEN 'A' ELSE 'B' END AS mn_hap, concat_ws(' ', '2', CAST(family % 3 AS VARCHAR)) AS pattern FROM (SELECT DISTINCT family, generation, rupt FROM fam) CROSS JOIN (SELECT DISTINCT g FROM ft WHERE g < 'Brand#15')"
+
+
+def _review(r: Roles) -> DataFrame:
+    fam = r.family.select("family", "generation", F.col("rupt_time").alias("rupture")).distinct()
+    rows = fam.crossJoin(r.features.filter("chr < 'Brand#15'").select("chr").distinct())
+    kind = F.element_at(F.array(F.lit("defect"), F.lit("partial defect"), F.lit("no defect")), ((F.col("family") + F.length("chr")) % 3 + 1).cast("int"))
+    return rows.withColumns({"interpretation": kind, "mn_hap": F.when(F.col("family") % 2 == 0, "A").otherwise("B"), "pattern": F.concat_ws(" ", F.lit("2"), (F.col("family") % 3).cast("string"))})
+
+
+@query("rp06_cells_of_interest", with_roles(
+    f"SELECT e.family, e.chr, cell, e.interpretation, hap, {_R('v')} AS value, role, base_cn FROM (SELECT rev.*, (SELECT MIN(s) FROM fam WHERE fam.family = rev.family AND role = 'A') AS cell FROM rev) e JOIN q ON q.s = cell AND q.g = e.chr LEFT JOIN fam ON fam.s = cell AND fam.family = e.family LEFT JOIN (VALUES ('2 0', 1), ('2 1', 2)) t(pattern, base_cn) ON t.pattern = e.pattern WHERE hap = e.mn_hap",
+    "rv", "fam", rev=_REVIEW, q=_LONG))
+def rp06(r: Roles) -> DataFrame:
+    review = _review(r)
+    firsts = r.family.filter("relationship = 'A'")
+    cells = firsts.select("family", F.lit("Brand#11").alias("chr"), F.col("sample_id").alias("cell"))
+    values = stack_labelled(r.values, ["sample_id", "chr"], {"A": "hap_a", "B": "hap_b"}, "hap", "value").withColumnRenamed("sample_id", "cell")
+    info = firsts.select(F.col("sample_id").alias("cell"), "family", F.col("relationship").alias("role")).crossJoin(review.select("chr").distinct())
+    haplotypes = review.select("family", "chr", "generation", "interpretation", "mn_hap")
+    base = r.spark.createDataFrame([("2 0", 1), ("2 1", 2)], "pattern string, base_cn int")
+    out = reports.cells_of_interest(review.drop("mn_hap"), cells, values, info, haplotypes, base)
+    return rounded(out.select("family", "chr", "cell", "interpretation", "hap", "value", "role", "base_cn"), "value")
+
+
+_BOUNDS = "SELECT g, hap, QUANTILE_CONT(v, 0.05) AS lower, QUANTILE_CONT(v, 0.5) AS middle, QUANTILE_CONT(v, 0.95) AS upper FROM h GROUP BY ALL"
+
+
+def _pairs(r: Roles) -> DataFrame:
+    return stack_labelled(r.values, ["sample_id", "chr"], {"A": "hap_a", "B": "hap_b"}, "hap", "value")
+
+
+def _controls(r: Roles) -> DataFrame:
+    return reference_haplotype(r.values, r.controls, None, SKIP)
+
+
+@query("rp07_cohort_zscores", with_roles(
+    f"SELECT s AS sample_id, g AS chr, hap, {_R('v')} AS value, {_R('z')} AS z, {_R(tail_sql('z'))} AS p, {tail_sql('z')} < 0.05 AS flag, {_R('lower')} AS lower, {_R('middle')} AS middle, {_R('upper')} AS upper FROM (SELECT *, abs((v - AVG(v) OVER (PARTITION BY g, hap)) / NULLIF(STDDEV_SAMP(v) OVER (PARTITION BY g, hap), 0)) AS z FROM q) JOIN k USING (g, hap)",
+    "rv", "smp", q=_LONG, h=_HAP, k=_BOUNDS))
+def rp07(r: Roles) -> DataFrame:
+    out = reports.cohort_zscores(_pairs(r), _controls(r), alpha=0.05)
+    return rounded(out.select("sample_id", "chr", "hap", "value", "z", "p", "flag", "lower", "middle", "upper"), "value", "z", "p", "lower", "middle", "upper")
+
+
+@query("rp08_confidence_bands", with_roles(f"SELECT g AS chr, hap, {_R('lower')} AS lower, {_R('middle')} AS middle, {_R('upper')} AS upper FROM k", "rv", "smp", h=_HAP, k=_BOUNDS))
+def rp08(r: Roles) -> DataFrame:
+    return rounded(reports.confidence_bands(_controls(r), ["chr", "hap"]), "lower", "middle", "upper")
+
+
+@query("rp09_generation_subset", with_roles("SELECT family, chr, rupture FROM rev WHERE generation = 'Gen1' AND rupture = 'ruptured' AND family % 3 IN (1, 2)", "fam", "ft", rev=_REVIEW))
+def rp09(r: Roles) -> DataFrame:
+    rows = _review(r).withColumn("base_cn", (F.col("family") % 3).cast("int"))
+    return reports.generation_subset(rows, "Gen1", (1, 2), "ruptured").select("family", "chr", "rupture")
+
+
+@query("rp10_interpretation_counts", with_roles("SELECT 'chr' AS \"table\", chr AS level, interpretation, COUNT(*) AS n FROM rev GROUP BY ALL UNION ALL SELECT 'rupture', rupture, interpretation, COUNT(*) FROM rev GROUP BY ALL UNION ALL SELECT 'all', 'all', interpretation, COUNT(*) FROM rev GROUP BY ALL", "fam", "ft", rev=_REVIEW))
+def rp10(r: Roles) -> DataFrame:
+    return reports.interpretation_counts(_review(r))
+
+
+@query("rp11_cells_with_p", with_roles(
+    f"SELECT s AS sample_id, g AS chr, hap, {_R('v')} AS value, {_R(tail_sql('(v - mu) / NULLIF(sd, 0)'))} AS p, {tail_sql('(v - mu) / NULLIF(sd, 0)')} < 0.05 AS flag FROM q LEFT JOIN (SELECT g, hap, AVG(v) AS mu, STDDEV_SAMP(v) AS sd FROM h GROUP BY ALL HAVING COUNT(v) = COUNT(*)) k USING (g, hap)",
+    "rv", "smp", q=_LONG, h=_HAP))
+def rp11(r: Roles) -> DataFrame:
+    return rounded(reports.cells_with_p(_pairs(r), _controls(r), alpha=0.05).select("sample_id", "chr", "hap", "value", "p", "flag"), "value", "p")
+
+
+@query("rp12_family_list", with_roles("SELECT generation AS key_pairs, family, COUNT(*) AS n FROM fam WHERE s % 11 <> 0 GROUP BY ALL", "fam"))
+def rp12(r: Roles) -> DataFrame:
+    annotation = r.family.withColumns({"key_pairs": F.col("generation"), "exclusion": F.when(F.col("sample_id") % 11 == 0, "x").otherwise("")})
+    return reports.family_list(annotation)
+
+
+@query("rp13_labelled_distribution", with_roles(
+    f"SELECT s AS sample_id, CAST(cn AS INT) AS cn, g AS chr, hap, {_R('v')} AS vals, CASE WHEN cn = 1 OR hap = 'normal' THEN 'normal' WHEN cn = 0 THEN 'loss' WHEN cn = 2 THEN 'gain' END AS label FROM (SELECT s, cn, g, 'aneuploid' AS hap, an AS v FROM q UNION ALL SELECT s, cn, g, 'normal', no FROM q)", "rv", "lb", "smp", q=_ANEU))
+def rp13(r: Roles) -> DataFrame:
+    return rounded(reports.labelled_distribution(reference_aneuploid(r.values, r.labelled, r.controls)[1]), "vals")
