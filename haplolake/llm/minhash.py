@@ -12,10 +12,11 @@ probability equal to the weighted Jaccard similarity. Time is only followed to w
 full, so a shingle costs about one point, and a weight its logarithm.
 
 Search. Documents with equal multisets are folded into one node first. Nodes that agree in all rows of
-a band share a bucket. Each node is compared with the first of its buckets; buckets in which the others
-are still in different components are then compared with their second, and what is left pair by pair
-across components. Pairs within a component need no comparison: they can't change a class. Comparison
-is exact, on the multisets. A pair at the threshold shares no bucket with probability
+a band share a bucket. Each node is compared with the head of its buckets, the node with most partners.
+Nodes of buckets in which the others are still in different components are then compared with each
+other, in blocks of bounded size; this is the only step that may grow with the square of a group, and
+only of the part of it that is not near its heads. Pairs within a component need no comparison: they
+can't change a class. Comparison is exact, on the multisets. A pair at the threshold shares no bucket with probability
 (1 - threshold^rows)^bands, 3e-5 for the default 20 bands of 4 rows.
 
 Defined cases: null and wordless texts are near to nothing, each its own class; texts of one to four
@@ -35,11 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplolake.llm.graph import components
-from haplolake.llm.ragged import offsets_of, slices, utf8_bytes
+from haplolake.llm.ragged import offsets_of, ragged_index, slices, utf8_bytes
 from haplolake.llm.storage import written
 
 SHINGLE_WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 SLICE_BYTES = 2_000_000
+#: Nodes of a block when the undecided ones of a cluster are compared.
+BLOCK_NODES = 4096
 _NULL_ID = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -184,7 +187,56 @@ def _near(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     return shared.filter(F.col("s") >= threshold * (F.col("n") - F.col("s")) - 1e-9).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = SHINGLE_WORDS) -> DataFrame:
+def _overlapping(threshold: float):
+    """Near pairs of different components between two blocks (or within one): shared members are counted
+    through the second block's inverted index, one array operation for each node of the first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, node, c = (table.column(x).to_numpy() for x in ("part", "node", "c"))
+        lists = table.column("members").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        size = np.diff(at)
+        left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+        owner = np.repeat(np.arange(len(right)), size[right])
+        member = flat[ragged_index(at[:-1][right].astype(np.int64), size[right].astype(np.int64))]
+        order = np.argsort(member, kind="stable")
+        known, first = np.unique(member[order], return_index=True)
+        owner, ends = owner[order], np.append(first, len(member))
+        a, b = [], []
+        for i in left:
+            wanted = flat[at[i] : at[i + 1]]
+            k = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            k = k[known[k] == wanted]
+            shared = np.bincount(owner[ragged_index(ends[k], ends[k + 1] - ends[k])], minlength=len(right))
+            hit = np.flatnonzero((shared >= threshold * (size[i] + size[right] - shared) - 1e-9) & (c[right] != c[i]))
+            a.append(np.full(len(hit), node[i]))
+            b.append(node[right[hit]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _compare_undecided(undecided: DataFrame, members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) across components among the nodes of buckets that are still torn.
+
+    undecided: bucket, node, c. Nodes that hang together by such buckets are a cluster; a cluster is dealt
+    into blocks of bounded size, and every two blocks are compared in a task of their own. No pair becomes
+    a row unless it is near.
+    """
+    nodes = undecided.select("node", "c").distinct()
+    heads = undecided.groupBy("bucket").agg(F.min("node").alias("first"))
+    together = components(undecided.join(heads, "bucket").select(F.col("node").alias("a"), F.col("first").alias("b")))
+    placed = nodes.join(together.select("node", F.col("component").alias("cluster")), "node")
+    blocks = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = placed.join(blocks, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A node goes to the pairs (its block, j) for all j, as the smaller or the larger of the two.
+    other = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = other.select("cluster", F.least("part", "j").alias("lo"), F.greatest("part", "j").alias("hi"), "part", "node", "c")
+    return pairs.join(members, "node").groupBy("cluster", "lo", "hi").applyInArrow(_overlapping(threshold), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = SHINGLE_WORDS, block: int = BLOCK_NODES) -> DataFrame:
     """id and class_id (least id of its class of near-duplicates) of every row; classes are closed under nearness."""
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed = written(text.mapInArrow(_sign(bands, rows, words), "k long, n long, d1 long, d2 long, bands array<long>"), "signatures")
@@ -196,8 +248,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     chosen = full.join(nodes, (full["k"] == nodes["first"]) & (full["d1"] == nodes["d1"]) & (full["d2"] == nodes["d2"])).select("node", full["n"], full["d1"], full["d2"], "k", "bands").dropDuplicates(["node"])
     buckets = chosen.select("node", "n", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    crowded = written(buckets.join(heads, "bucket"), "buckets")
+    sizes_of = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = written(buckets.join(sizes_of, "bucket"), "buckets")
+    # The head of a bucket is the node with most partners over all its buckets: an original rather than a copy.
+    partners = shared.groupBy(F.col("node").alias("_node")).agg(F.sum("size").alias("partners"))
+    heads = shared.join(partners, F.col("node") == F.col("_node")).groupBy(F.col("bucket").alias("_bucket")).agg(F.max(F.struct("partners", (-F.col("node")).alias("node"))).alias("h"))
+    crowded = written(shared.join(heads.select("_bucket", (-F.col("h.node")).alias("head")), F.col("bucket") == F.col("_bucket")).drop("_bucket"), "buckets")
 
     ends = crowded.filter("node <> head").select(F.explode(F.array("node", "head")).alias("node")).distinct()
     wanted = ends.join(nodes, "node").select("node", F.col("first").alias("k"), "d1", "d2")
@@ -213,18 +269,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = crowded.filter("node <> head").select("head", "node", "n").distinct().join(sizes, "head").filter(fits("n", "head_n"))
     links = written(_near(first.select(F.col("head").alias("a"), F.col("node").alias("b")), members, threshold), "near")
 
-    for stage in ("second", "rest"):
-        found = components(links)
-        open_ = crowded.filter("node <> head AND size > 2").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-        mixed_ = open_.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("node", "n", "c")).alias("next")).filter("lo <> hi")
-        left = open_.join(mixed_, "bucket")
-        if stage == "second":
-            pairs = left.filter("c <> next.c").select(F.col("next.node").alias("a"), F.col("node").alias("b"), "n", F.col("next.n").alias("other_n"))
-        else:
-            other = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("other_n"), F.col("c").alias("other_c"))
-            pairs = left.join(other, "bucket").filter("a < node AND c <> other_c").select("a", F.col("node").alias("b"), "n", "other_n")
-        more = _near(pairs.filter(fits("n", "other_n")).select("a", "b"), members, threshold)
-        links = written(links.unionByName(more), "near")
+    # Buckets whose other nodes are still in different components: what the first comparisons can't tell.
+    found = components(links)
+    open_ = crowded.filter("node <> head AND size > 2").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    torn = open_.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+    undecided = written(open_.join(torn.select("bucket"), "bucket"), "undecided")
+    more = _compare_undecided(undecided, members, threshold, block)
+    links = written(links.unionByName(more), "near")
 
     found = components(links)
     named = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))

@@ -55,6 +55,24 @@ def test_against_brute_force(spark):
     assert Counter((r.doc_id, r.class_id) for r in got) == brute([(i, t) for i, t, _ in rows])
 
 
+@pytest.mark.parametrize("block", [16, 4096])
+def test_many_far_copies_of_one_text(spark, block):
+    """Copies at all distances from an original: most aren't near it, but some near each other."""
+    rng = random.Random(9)
+    original = [f"w{i}" for i in range(120)]
+    docs, last = [original], original
+    for i in range(150):
+        last = list(last if i % 3 else original)
+        for _ in range(rng.randint(1, 6)):
+            last[rng.randrange(120)] = f"x{rng.randint(0, 500)}"
+        docs.append(last)
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block=block).collect()
+    want = brute(rows)
+    assert Counter((r.doc_id, r.class_id) for r in got) == want
+    assert 5 < len({c for _, c in want}) < 140
+
+
 def test_empty_table(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
