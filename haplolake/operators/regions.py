@@ -20,8 +20,8 @@ def invvar_weights(rows: DataFrame, samples: DataFrame, key: Sequence[str], q: f
     var = rows.join(samples, sample).groupBy(*dict.fromkeys([*key, region])).agg(variance_where(value, control).alias("_v"))
     raw = var.withColumn("_w", F.when(F.col("_v").isNull(), F.lit(0.0)).otherwise(safe_div(F.lit(1.0), "_v")))  # null only at variance 0
     top = raw.filter(~F.col(region).isin(*exclude) & F.col("_w").isNotNull()).agg(F.percentile("_w", q).alias("_cap"))
-    # least() skips nulls, so an infinite weight becomes the cap, and without any cap stays as it is.
-    return with_scalar(raw, top).select(*dict.fromkeys([*key, region]), F.least("_w", "_cap").alias("weight"))
+    # least() skips nulls, so an infinite weight becomes the cap; without any finite weight, all infinite ones are equal.
+    return with_scalar(raw, top).select(*dict.fromkeys([*key, region]), F.coalesce(F.least("_w", "_cap"), F.lit(1.0)).alias("weight"))
 
 
 def _weighted(rows: DataFrame, weights: DataFrame, key: Sequence[str], by: Sequence[str], sample: str, value: str) -> DataFrame:

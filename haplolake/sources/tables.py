@@ -32,7 +32,7 @@ def all_samples(manifest: DataFrame) -> DataFrame:
 def list_files(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:
     """path, file of the files under the roots whose name fits the pattern (SRC3). Contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(list(roots))
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
 
 
 def read_per_sample(spark: SparkSession, roots: Sequence[str], pattern: str, schema: str, **options: object) -> DataFrame:
