@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.functions import columns as C
@@ -39,7 +39,8 @@ def _per_sample(r: Roles, df: DataFrame, header: bool) -> str:
     return path
 
 
-_FROM_PATH = F.regexp_extract("path", "sample_id=([^/]+)/", 1)
+def _sample_of_path() -> Column:
+    return F.regexp_extract("path", "sample_id=([^/]+)/", 1).alias("sample_id")
 
 
 @query("src03_per_sample_files", "SELECT CAST(l_suppkey AS VARCHAR) AS sample_id, COUNT(DISTINCT l_partkey) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY ALL")
@@ -47,7 +48,7 @@ def src03(r: Roles) -> DataFrame:
     counts = r.table("lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("feature")).agg(F.sum("l_linenumber").alias("count"))
     path = _per_sample(r, counts, header=False)
     rows = S.read_per_sample(r.spark, [path], "part-*", "feature_id string, count long", sep="\t")
-    return rows.groupBy(_FROM_PATH.alias("sample_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("total"))
+    return rows.groupBy(_sample_of_path()).agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("total"))
 
 
 @query("src04_resolve_samples", """
@@ -67,20 +68,20 @@ def src05(r: Roles) -> DataFrame:
     rows = r.sites.groupBy("sample_id", F.col("chr").alias("contig"), F.col("pos").alias("position")).agg(F.sum("ref").cast("long").alias("refCount"), F.sum("alt").cast("long").alias("altCount"))
     path = _per_sample(r, rows, header=True)
     read = S.read_allele_counts(r.spark, [path], "part-*", "contig string, position long, refCount long, altCount long")
-    return read.select(_FROM_PATH.alias("sample_id"), "chr", "pos", "ref", "alt")
+    return read.select(_sample_of_path(), "chr", "pos", "ref", "alt")
 
 
 @query("src06_tpm", with_roles(f"SELECT CAST(s AS VARCHAR) AS sample_id, CAST(f AS VARCHAR) AS feature_id, {_R('v')} AS value FROM m", "m"))
 def src06(r: Roles) -> DataFrame:
     path = _per_sample(r, r.matrix.select("sample_id", F.col("feature_id").alias("gene_id"), F.col("value").alias("TPM")), header=True)
     read = S.read_tpm(r.spark, [path], "part-*", "gene_id string, TPM double")
-    return rounded(read.select(_FROM_PATH.alias("sample_id"), "feature_id", "value"), "value")
+    return rounded(read.select(_sample_of_path(), "feature_id", "value"), "value")
 
 
 @query("src07_gene_counts", "SELECT CAST(l_suppkey AS VARCHAR) AS sample_id, CAST(l_partkey AS VARCHAR) AS feature_id, CAST(SUM(l_linenumber) AS BIGINT) AS count FROM lineitem GROUP BY ALL")
 def src07(r: Roles) -> DataFrame:
     counts = r.table("lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("f")).agg(F.sum("l_linenumber").alias("c"), F.lit(0).alias("c2"), F.lit(1).alias("c3"))
-    return S.read_gene_counts(r.spark, [_per_sample(r, counts, header=False)], "part-*").select(_FROM_PATH.alias("sample_id"), "feature_id", "count")
+    return S.read_gene_counts(r.spark, [_per_sample(r, counts, header=False)], "part-*").select(_sample_of_path(), "feature_id", "count")
 
 
 @query("src08_gtf", "SELECT p_brand AS chr, p_partkey * 1000 + 1 AS start, p_partkey * 1000 + p_size * 40 AS \"end\", CAST(p_size * 40 AS BIGINT) AS width, '+' AS strand, 'gene' AS type, CAST(p_partkey AS VARCHAR) AS gene_id, p_type AS gene_type FROM part WHERE p_size % 2 = 0")

@@ -26,7 +26,7 @@ def rp01(r: Roles) -> DataFrame:
 
 @query("rp02_bin_track", with_roles(
     f"SELECT s AS sample_id, q.g AS chr, mid, track, {_R('CASE track WHEN ' + chr(39) + 'total' + chr(39) + ' THEN 2 * tpm WHEN ' + chr(39) + 'A' + chr(39) + ' THEN tpm * 0.75 ELSE tpm * 1.25 END')} AS value, CAST(len // 2 AS BIGINT) AS centromere FROM q JOIN ln ON ln.g = q.g CROSS JOIN (VALUES ('total'), ('A'), ('B')) t(track)",
-    "rv", "ln", q="SELECT s, g, l AS mid, tpm FROM (SELECT s, g, tpm, UNNEST([1000.0, 2000.0]) AS l FROM rv)"))
+    "rv", "ln", q="SELECT s, g, CAST(l AS DOUBLE) AS mid, tpm FROM (SELECT s, g, tpm, UNNEST([1000.0, 2000.0]) AS l FROM rv)"))
 def rp02(r: Roles) -> DataFrame:
     bins = r.values.select("sample_id", "chr", "tpm", (F.col("tpm") * 0.75).alias("hap_a"), (F.col("tpm") * 1.25).alias("hap_b"), F.explode(F.array(F.lit(1000.0), F.lit(2000.0))).alias("mid"))
     centromeres = r.features.groupBy("chr").agg(F.floor(F.max("end") / 2).alias("centromere"))

@@ -55,3 +55,12 @@ def test_nothing_but_the_entry_knows_the_llm_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "haplolake.llm" not in f.read_text()
+
+
+def test_entry_module_needs_no_session():
+    import subprocess
+    import sys
+
+    root = Path(registry.__file__).parents[2]
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    assert int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) > 100
