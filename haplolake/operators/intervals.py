@@ -31,8 +31,7 @@ def interval_join(
         of = lambda c: F.floor(F.col(c) / block)
         return F.when(F.col(lo) <= F.col(hi), F.sequence(of(lo), of(hi)))
 
-    tagged = left.withColumn("_row", F.monotonically_increasing_id()) if how == "left" else left
-    cut_left = tagged.withColumn("_block", F.explode(blocks(a, b)))
+    cut_left = left.withColumn("_block", F.explode(blocks(a, b)))
     cut_right = r.withColumn("_rblock", F.explode(blocks(x, y)))
     same = cut_left["_block"] == cut_right["_rblock"]
     for k in keys:
@@ -42,8 +41,9 @@ def interval_join(
     pairs = cut_left.join(cut_right, same & overlap & first).drop("_block", "_rblock", *(f"_k_{k}" for k in keys))
     if how != "left":
         return pairs
-    alone = left.withColumn("_row", F.monotonically_increasing_id()).join(pairs.select("_row"), "_row", "left_anti")
-    return pairs.drop("_row").unionByName(alone.drop("_row"), allowMissingColumns=True)
+    # Whether a row has a partner depends on its keys and span alone.
+    alone = left.join(pairs.select(*keys, a, b).distinct(), [*keys, a, b], "left_anti").select(*left.columns)
+    return pairs.unionByName(alone, allowMissingColumns=True)
 
 
 def label_overlaps(left: DataFrame, regions: DataFrame, keys: Sequence[str], span: tuple[str, str] = ("start", "end"), prefix: str = "r_") -> DataFrame:

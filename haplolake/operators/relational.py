@@ -116,6 +116,23 @@ def rank_chunks(df: DataFrame, order: Sequence[str | Column], size: int, by: Seq
     return df.withColumn(name, (F.floor((F.row_number().over(w) - 1) / size) + 1).cast("long"))
 
 
+def global_rank(df: DataFrame, value: str, then: Sequence[str] = (), name: str = "rank", ranges: int = 64) -> DataFrame:
+    """Rank of every row by a number and then other columns, from 1, without one task that sees all rows.
+
+    Values are cut into ranges at approximate quantiles (their number is fixed; they go through the
+    driver); rows are ranked within a range and the counts of the ranges before are added. The rank is
+    exact however even the ranges are. Rows whose value is null come first.
+    """
+    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
+    passed = sum(((F.col(value) >= c).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
+    placed = df.withColumn("_range", F.coalesce(passed, F.lit(0)))
+    sizes = placed.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))  # at most ``ranges`` rows
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(value, *then))
+    ranked = placed.withColumn("_own", own).join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    return ranked.withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_r", "_before")
+
+
 def with_group_total(df: DataFrame, value: str, by: Sequence[str], name: str = "total") -> DataFrame:
     """WN3."""
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by)))

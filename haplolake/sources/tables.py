@@ -50,9 +50,14 @@ def resolve_samples(files: DataFrame, annotation: DataFrame, fastq: str = "fastq
     """
     rows = annotation.filter(F.col(fastq).isNotNull() & (F.col(fastq) != "")).select(F.lower(fastq).alias("_q"), F.col(sample).alias("_sample"), F.col(order).alias("_order"))
     name = F.lower("file")
+    # Containment has no key to join on, so names are cut into all their pieces of the lengths that occur
+    # (one row, at most as many as a name is long), and pieces are joined.
+    lengths = rows.agg(F.collect_set(F.length("_q")).alias("_lengths"))
+    starts = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("file") - n + 1))
+    pieces = F.flatten(F.transform("_lengths", lambda n: F.transform(starts(n), lambda i: F.substring(name, i, n))))
+    cut = files.crossJoin(F.broadcast(lengths)).select("path", "file", F.explode(F.array_distinct(pieces)).alias("_q"))
     close = name.contains(F.concat(F.lit("_"), F.col("_q"), F.lit("_")))
-    # File and annotation lists are short (thousands); a containment test has no key to join on.
-    hits = files.join(F.broadcast(rows), name.contains(F.col("_q"))).withColumn("_tier", F.when(close, 1).otherwise(2))
+    hits = cut.join(rows, "_q").withColumn("_tier", F.when(close, 1).otherwise(2))
     own = Window.partitionBy("_sample", "_order")
     best = hits.withColumn("_best", F.min("_tier").over(own)).filter("_tier = _best")
     laned = best.withColumn("lane", F.row_number().over(own.orderBy("file", "path"))).filter("lane <= 2")

@@ -207,6 +207,16 @@ def test_small_relational_pieces(spark):
     assert approx.count() == 3
 
 
+@pytest.mark.parametrize("ranges", [2, 5, 64])
+def test_global_rank_equals_one_sort(spark, ranges):
+    rng = random.Random(ranges)
+    data = [(i, rng.choice([None, 1.0, 1.0, 2.5, rng.random()])) for i in range(300)]
+    got = relational.global_rank(spark.createDataFrame(data, "i long, v double").repartition(5), "v", ["i"], ranges=ranges)
+    want = sorted(data, key=lambda t: (t[1] is not None, t[1] or 0, t[0]))
+    assert [r.i for r in sorted(got.collect(), key=lambda r: r["rank"])] == [i for i, _ in want]
+    assert relational.global_rank(spark.createDataFrame([], "i long, v double"), "v").count() == 0
+
+
 def test_reports_mark_families_and_families_list(spark):
     anno = spark.createDataFrame([("Gen1", "f", ""), ("Gen1", "f", ""), ("Gen2", "h", ""), ("Gen1", "g", ""), ("Gen1", "e", "bad"), ("c1", "z", "")], "key_pairs string, family string, exclusion string")
     assert [tuple(r) for r in reports.family_list(anno).collect()] == [("Gen2", "h", 1), ("Gen1", "f", 2), ("Gen1", "g", 1)]
