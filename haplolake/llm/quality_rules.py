@@ -107,7 +107,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep_passing(docs: DataFrame, policy: str = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that pass the policy, with all their columns."""
-    return measure(docs, id_col, text_col).withColumn("failures", _failures()).filter(passes(POLICIES[policy])).select("row.*")
+    judged = measure(docs, id_col, text_col).withColumn("failures", _failures())
+    # Spark would push the filter below the measurements and repeat them inside it, once for every use and
+    # within their lambdas; it does not move a filter below a column that isn't deterministic.
+    judged = judged.withColumn("_task", F.spark_partition_id())
+    return judged.filter(passes(POLICIES[policy]) & (F.col("_task") >= 0)).select("row.*")
 
 
 def ablations(rows: DataFrame, policies: Mapping[str, int] | None = None) -> DataFrame:
