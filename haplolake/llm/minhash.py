@@ -22,7 +22,8 @@ can't change a class. Comparison is exact, on the multisets. A pair at the thres
 Defined cases: null and wordless texts are near to nothing, each its own class; texts of one to four
 words are one shingle; a null id sorts first and is reported as null; rows that share an id are judged
 by their own texts; an empty table gives an empty result. Texts are whole, and there is no cap on
-buckets or partners. Other columns are not carried.
+buckets or partners. Other columns are not carried. Since ids may be null or shared, a class is told by
+its component, and a row by its id and the hash of its text.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def _sign(bands: int, rows: int, words: int):
                     np.add.at(s, doc, mixed(element, 90 + i) * weight.astype(np.uint64))
                 full = pa.array(n == 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)), mask=full)
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(n, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists], names=["k", "n", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("h"), pa.array(n, pa.int64()), *(pa.array(s.view(np.int64)) for s in sums), lists], names=["k", "h", "n", "d1", "d2", "bands"])
 
     return run
 
@@ -237,9 +238,12 @@ def _compare_undecided(undecided: DataFrame, members: DataFrame, threshold: floa
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = SHINGLE_WORDS, block: int = BLOCK_NODES) -> DataFrame:
-    """id and class_id (least id of its class of near-duplicates) of every row; classes are closed under nearness."""
+    """id, class_id (least id of its class of near-duplicates), component (names the class alone) and text_hash of every row.
+
+    Classes are closed under nearness. A wordless row has no component; it is a class of its own.
+    """
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    signed = written(text.mapInArrow(_sign(bands, rows, words), "k long, n long, d1 long, d2 long, bands array<long>"), "signatures")
+    signed = written(text.withColumn("h", _text_hash("text")).mapInArrow(_sign(bands, rows, words), "k long, h long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     full = signed.filter("n > 0")
     folded = full.groupBy("d1", "d2", "n").agg(F.min("k").alias("first"))
     again = F.row_number().over(Window.partitionBy("first").orderBy("d1", "d2"))
@@ -280,10 +284,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links)
     named = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("first").alias("class"))
-    classes = named.join(least, "c").select("d1", "d2", "n", "class")
-    out = signed.join(classes, ["d1", "d2", "n"], "left").select("k", F.coalesce("class", "k").alias("class"))
+    classes = named.join(least, "c").select("d1", "d2", "n", "class", "c")
+    out = signed.join(classes, ["d1", "d2", "n"], "left").select("k", F.coalesce("class", "k").alias("class"), "c", "h")
     given = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    return out.select(given("k").alias(id_col), given("class").alias("class_id"))
+    return out.select(given("k").alias(id_col), given("class").alias("class_id"), F.col("c").alias("component"), F.col("h").alias("text_hash"))
+
+
+def _text_hash(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def _texts_of(text: DataFrame, wanted: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -311,8 +319,11 @@ def _digested(words: int):
 
 
 def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id heads its class, one row each; other columns are kept as they are."""
-    heads = classes.filter(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_head")).distinct()
-    rows = docs.join(heads, docs[id_col].eqNullSafe(F.col("_head"))).drop("_head")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    return rows.withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
+    """One row of docs for each class, of its least id and then text hash, and every wordless row; columns are kept as they are."""
+    wordy = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x09-\x0D\x20]")
+    row = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_k"), F.col("text_hash").alias("_h"))
+    heads = classes.filter("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("head")).select("head.*")
+    keyed = docs.filter(wordy).withColumns({"_k": F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), "_h": _text_hash(text_col)})
+    order = Window.partitionBy("_k", "_h").orderBy(F.lit(0))  # what is left are copies of one text under one id
+    rows = keyed.join(heads, ["_k", "_h"]).withColumn("_row", F.row_number().over(order)).filter("_row = 1")
+    return rows.select(*docs.columns).unionByName(docs.filter(~wordy))

@@ -102,3 +102,15 @@ def test_keep_first(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "s"), (2, "a b c d e f", "t"), (1, "a b c d e f", "s"), (None, "z", None)], "doc_id long, text string, source string")
     kept = M.keep_first(docs, M.near_duplicates(docs)).collect()
     assert sorted((r.doc_id or 0, r.source or "") for r in kept) == [(0, ""), (1, "s")]
+
+
+def test_keep_first_of_unlike_texts_under_one_id(spark):
+    """A row stays for every class, whether its id is null, shared or its own; wordless rows all stay."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, c), (3, c), (5, d), (5, e), (9, e), (9, d), (7, d), (None, ""), (None, None), (5, " "), (5, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    classes = M.near_duplicates(docs)
+    kept = Counter((r.doc_id, r.text) for r in M.keep_first(docs, classes).collect())
+    assert kept == Counter([(None, a), (None, b), (None, c), (5, d), (5, e), (None, ""), (None, None), (5, " "), (5, " ")])
+    named = classes.filter("component IS NOT NULL").select("component", "text_hash").distinct().collect()
+    assert len(named) == len({r.component for r in named}) == len({r.text_hash for r in named}) == 5
