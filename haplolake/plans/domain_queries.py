@@ -412,7 +412,7 @@ def dom38_normal(r: Roles) -> DataFrame:
 
 @query("dom39_uniform_families", with_roles("SELECT family, MAX(affected) AS affected FROM aff WHERE chr <= 'Brand#10' GROUP BY family HAVING COUNT(DISTINCT affected) = 1", "rv", "lb", "smp", "fam", **_PROFILE))
 def dom39(r: Roles) -> DataFrame:
-    return families.uniform_families(_affected(r).filter("chr <= 'Brand#10'"))
+    return families.uniform_families(_affected(r))
 
 
 # ---- annotation

@@ -23,3 +23,10 @@ def test_densify_has_every_feature_and_sample(spark):
     assert max(grid)[0] >= 100
     assert sorted((r.feature_id, r.sample_id) for r in got) == sorted(grid)
     assert all(r.value == pytest.approx(want.get((r.feature_id, r.sample_id), 0), abs=1e-6) for r in got)
+
+
+def test_uniform_families_over_all_regions(spark, monkeypatch):
+    labels = [(1, "Brand#1", "A"), (1, "Brand#20", "B"), (2, "Brand#1", "A"), (2, "Brand#20", "A"), (3, "Brand#30", "normal"), (4, "Brand#30", "NA"), (4, "Brand#31", "B")]
+    monkeypatch.setattr(registry.domain_queries, "_affected", lambda r: spark.createDataFrame(labels, "family long, chr string, affected string"))
+    got = registry.QUERIES["dom39_uniform_families"](spark, DATA).collect()
+    assert sorted((r.family, r.affected) for r in got) == [(2, "A"), (3, "normal")]
