@@ -57,13 +57,13 @@ def cumulative_expression(matrix: DataFrame, samples: DataFrame, features: DataF
 def control_distribution(values: DataFrame, controls: DataFrame, families: DataFrame, sample: str = "sample_id", region: str = "chr", a: str = "hap_a", b: str = "hap_b", x: str = "chrX", half: str = "chr10b") -> DataFrame:
     """sample, chr, hap, value, kind: control values and family points, rescaled; kind is control, related or unrelated (RP5).
 
-    families: sample, related (boolean).
+    families: sample, related (boolean); its other columns, as the family, are carried with the points and null for controls.
     """
     scaled = with_scalar(values, _x_factor(values, controls, x, sample, region, b))
     long = stack_labelled(scaled, [sample, region, "_x"], {"A": a, "B": b}, "hap", "value")
     long = long.withColumn("value", rescale("value", region, {half: 1.5, x: F.try_divide(F.lit(1.0), F.col("_x"))})).drop("_x")
     points = long.join(families, sample).withColumn("kind", F.when(F.col("related"), "related").otherwise("unrelated")).drop("related")
-    return members_of(long, controls, [sample]).withColumn("kind", F.lit("control")).unionByName(points)
+    return members_of(long, controls, [sample]).withColumn("kind", F.lit("control")).unionByName(points, allowMissingColumns=True)
 
 
 def cells_of_interest(reviewed: DataFrame, cells: DataFrame, values: DataFrame, family_info: DataFrame, haplotypes: DataFrame, base_cn: DataFrame, hap_key: Sequence[str] = ("family", "chr", "generation", "interpretation")) -> DataFrame:

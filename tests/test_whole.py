@@ -30,3 +30,15 @@ def test_uniform_families_over_all_regions(spark, monkeypatch):
     monkeypatch.setattr(registry.domain_queries, "_affected", lambda r: spark.createDataFrame(labels, "family long, chr string, affected string"))
     got = registry.QUERIES["dom39_uniform_families"](spark, DATA).collect()
     assert sorted((r.family, r.affected) for r in got) == [(2, "A"), (3, "normal")]
+
+
+def test_control_distribution_has_points_of_all_families(spark):
+    got = registry.QUERIES["rp05_control_distribution"](spark, DATA).collect()
+    brand = dict(table("part", "p_partkey", "p_brand"))
+    cells = {(s, brand[f]) for f, s in table("lineitem", "l_partkey", "l_suppkey") if f in brand}
+    suppliers = {s for (s,) in table("supplier", "s_suppkey")}
+    points = sorted((s, g, h, s // 4, "related" if s % 4 in (0, 1) else "unrelated") for s, g in cells if s in suppliers for h in "AB")
+    assert sorted((r.sample_id, r.chr, r.hap, r.family, r.kind) for r in got if r.kind != "control") == points
+    assert len({p[3] for p in points}) > 1
+    assert sorted((r.sample_id, r.chr, r.hap) for r in got if r.kind == "control") == sorted(p[:3] for p in points if p[0] % 5 == 0)
+    assert all((r.family is None) == (r.kind == "control") for r in got)
