@@ -22,8 +22,8 @@ can't change a class. Comparison is exact, on the multisets. A pair at the thres
 Defined cases: null and wordless texts are near to nothing, each its own class; texts of one to four
 words are one shingle; a null id sorts first and is reported as null; rows that share an id are judged
 by their own texts; an empty table gives an empty result. Texts are whole, and there is no cap on
-buckets or partners. Other columns are not carried. Since ids may be null or shared, a class is told by
-its component, and a row by its id and the hash of its text.
+buckets or partners. Other columns are not carried, whatever their names. Since ids may be null or
+shared, a class is told by its component, and a row by its id and the hash of its text.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from haplolake.llm.graph import components
 from haplolake.llm.ragged import offsets_of, ragged_index, slices, utf8_bytes
-from haplolake.llm.storage import written
+from haplolake.llm.storage import drop, written
 
 SHINGLE_WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 SLICE_BYTES = 2_000_000
@@ -245,12 +245,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed = written(text.withColumn("h", _text_hash("text")).mapInArrow(_sign(bands, rows, words), "k long, h long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     full = signed.filter("n > 0")
-    folded = full.groupBy("d1", "d2", "n").agg(F.min("k").alias("first"))
-    again = F.row_number().over(Window.partitionBy("first").orderBy("d1", "d2"))
-    name = F.when(again == 1, F.col("first")).otherwise(-F.abs(F.xxhash64("d1", "d2")))  # rows that share an id and differ in text
-    nodes = written(folded.withColumn("node", name), "nodes")
-
-    chosen = full.join(nodes, (full["k"] == nodes["first"]) & (full["d1"] == nodes["d1"]) & (full["d2"] == nodes["d2"])).select("node", full["n"], full["d1"], full["d2"], "k", "bands").dropDuplicates(["node"])
+    # Each multiset is a node, told by the least row that has it (id and text hash).
+    folded = full.groupBy("d1", "d2", "n").agg(F.min(F.struct("k", "h")).alias("first")).select("d1", "d2", "n", F.col("first.k").alias("first"), F.col("first.h").alias("h"))
+    # Of multisets whose rows share an id, the first is named by the id, the others by their digests.
+    ids = folded.groupBy("first").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct("d1", "d2", "n")).alias("own")).filter("uses > 1").select(F.col("first").alias("_id"), "own")
+    name = F.when(F.col("_id").isNull() | (F.struct("d1", "d2", "n") == F.col("own")), F.col("first")).otherwise(-F.shiftrightunsigned(F.xxhash64("d1", "d2"), 1))
+    nodes = written(folded.join(ids, F.col("first") == F.col("_id"), "left").withColumn("node", name).drop("_id", "own"), "nodes")
+
+    digest = ["d1", "d2", "n"]
+    on = [full[c] == nodes[c] for c in digest] + [full["k"] == nodes["first"], full["h"] == nodes["h"]]
+    chosen = full.join(nodes, on).select("node", full["n"], "bands").dropDuplicates(["node"])
     buckets = chosen.select("node", "n", F.explode("bands").alias("bucket"))
     sizes_of = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = written(buckets.join(sizes_of, "bucket"), "buckets")
@@ -260,10 +264,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = written(shared.join(heads.select("_bucket", (-F.col("h.node")).alias("head")), F.col("bucket") == F.col("_bucket")).drop("_bucket"), "buckets")
 
     ends = crowded.filter("node <> head").select(F.explode(F.array("node", "head")).alias("node")).distinct()
-    wanted = ends.join(nodes, "node").select("node", F.col("first").alias("k"), "d1", "d2")
-    texts = _texts_of(text, wanted, nodes, words)
-    # Every member of a crowded bucket may be compared later, so their multisets are kept.
-    members = written(texts, "members")
+    wanted = ends.join(nodes, "node").select("node", F.col("first").alias("k"), "h")
+    # Every member of a crowded bucket may be compared later, so their multisets are kept. Copies of one text under one id count once.
+    texts = text.withColumn("h", _text_hash("text")).join(wanted, ["k", "h"]).select("node", "text").mapInArrow(_members(words), "node long, members array<long>")
+    members = written(texts.dropDuplicates(["node"]), "members")
 
     def fits(a: str, b: str) -> F.Column:
         """Sizes alone allow the threshold."""
@@ -278,10 +282,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = crowded.filter("node <> head AND size > 2").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     torn = open_.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     undecided = written(open_.join(torn.select("bucket"), "bucket"), "undecided")
-    more = _compare_undecided(undecided, members, threshold, block)
-    links = written(links.unionByName(more), "near")
-
-    found = components(links)
+    drop(shared, crowded)
+    if not undecided.isEmpty():
+        more = _compare_undecided(undecided, members, threshold, block)
+        links = written(links.unionByName(more), "near")
+        found = components(links)
+    drop(undecided, members)
     named = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("first").alias("class"))
     classes = named.join(least, "c").select("d1", "d2", "n", "class", "c")
@@ -294,36 +300,12 @@ def _text_hash(text_col: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def _texts_of(text: DataFrame, wanted: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, members of the wanted nodes. Of rows that share an id, the one with the node's digest is taken."""
-    with_text = text.join(wanted, "k")
-    shared = wanted.groupBy("k").count().filter("count > 1").isEmpty() and nodes.filter("node < 0 AND node <> first").isEmpty()
-    if not shared:  # ids repeat with different texts: match texts to nodes by digest
-        signed = with_text.select("k", "text").distinct().mapInArrow(_digested(words), "k long, text string, d1 long, d2 long")
-        with_text = signed.join(wanted, ["k", "d1", "d2"])
-    return with_text.select("node", "text").mapInArrow(_members(words), "node long, members array<long>").dropDuplicates(["node"])
-
-
-def _digested(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                data, offs = utf8_bytes(part.column("text"))
-                doc, element, weight, n = bags(data, offs, words)
-                sums = [np.zeros(len(n), dtype=np.uint64) for _ in range(2)]
-                for i, s in enumerate(sums):
-                    np.add.at(s, doc, mixed(element, 90 + i) * weight.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("text"), *(pa.array(s.view(np.int64)) for s in sums)], names=["k", "text", "d1", "d2"])
-
-    return run
-
-
 def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each class, of its least id and then text hash, and every wordless row; columns are kept as they are."""
-    wordy = F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"[^\x09-\x0D\x20]")
-    row = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_k"), F.col("text_hash").alias("_h"))
-    heads = classes.filter("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("head")).select("head.*")
-    keyed = docs.filter(wordy).withColumns({"_k": F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)), "_h": _text_hash(text_col)})
-    order = Window.partitionBy("_k", "_h").orderBy(F.lit(0))  # what is left are copies of one text under one id
-    rows = keyed.join(heads, ["_k", "_h"]).withColumn("_row", F.row_number().over(order)).filter("_row = 1")
-    return rows.select(*docs.columns).unionByName(docs.filter(~wordy))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k")
+    heads = classes.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(key, F.col("text_hash").alias("h"))).alias("head")).select("head.*")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key, _text_hash(text_col).alias("h"), text.rlike(r"[^\x09-\x0D\x20]").alias("wordy"))
+    order = Window.partitionBy("k", "h").orderBy(F.lit(0))  # what is left are copies of one text under one id
+    once = rows.filter("wordy").join(heads, ["k", "h"]).withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    return once.select("row.*").unionByName(rows.filter("NOT wordy").select("row.*"))
