@@ -1,16 +1,18 @@
 """Packing of tokenised documents into sequences: first-fit decreasing in randomised groups.
 
 Every document becomes its token ids and one separator id. It is cut into pieces of the sequence length
-and one shorter rest; a full piece is a sequence of its own. The rests are dealt at random into groups
-of bounded size, and each group is packed by itself: the longest rest first, into the first sequence
-that has room for it. A tournament tree over the capacities of the open sequences finds that in
-logarithmic time. Only piece lengths and checksums are shuffled, never the ids.
+and one shorter rest; a full piece is a sequence of its own and needs no group. The rests are dealt at
+random into groups of bounded size, and each group is packed by itself: the longest rest first, into the
+first sequence that has room for it. A tournament tree over the capacities of the open sequences finds
+that in logarithmic time. Only piece lengths and checksums are kept, never the ids.
 
-Random dealing depends on a row's place in its partition, not on its key, so repeated rows spread over
-all groups, and a task that runs again deals its rows as before.
+The pieces are numbered and written before they are dealt: a number depends on a row's place in its task,
+so repeated rows get different ones and spread over all groups, and once the table is complete a lost
+task can't number them anew. The number of groups follows from the number of rests in that table.
 
 Defined cases: a null text is the empty one, whose only token is the separator; ids may be null or
-repeat, each row is packed once; an empty table gives no pieces.
+repeat, each row is packed once; texts of any length are cut whole, and their full pieces never meet in
+one task; other columns are not carried; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -26,10 +28,13 @@ from pyspark.sql import functions as F
 
 from haplolake.llm.bpe import SLICE_BYTES, codec
 from haplolake.llm.ragged import offsets_of, slices
+from haplolake.llm.storage import written
 
-#: Documents per group, about; each has one rest at most.
+#: Rests per group, about; a document has one at most.
 GROUP_DOCS = 4096
-_PIECE = "`{id}` long, start long, length long, ids_crc32 long, doc_tokens long, _group long, _row long"
+_PIECE = "_id long, start long, length long, ids_crc32 long, doc_tokens long, _row long"
+#: Ids of sequences that are one full piece start here; below are group * 2^24 + number within the group.
+FULL = 1 << 62
 
 
 class Tournament:
@@ -68,16 +73,8 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def _dealt(partition: int, first: int, n: int, groups: int) -> np.ndarray:
-    """Groups of rows first, first + 1, ... of a partition: a mixed counter."""
-    x = np.arange(first, first + n, dtype=np.uint64) + (np.uint64(partition) << np.uint64(40))
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return ((x ^ (x >> np.uint64(31))) % np.uint64(groups)).astype(np.int64)
-
-
-def cut_documents(docs: DataFrame, path: str, groups: int, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, separator: int = 0) -> DataFrame:
-    """One row per piece with its checksum, its document's token count and the group it is dealt to."""
+def cut_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, separator: int = 0) -> DataFrame:
+    """One row per piece: _id, start, length, ids_crc32, doc_tokens and a number that no other piece has (_row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, row = TaskContext.get().partitionId(), 0
@@ -97,33 +94,28 @@ def cut_documents(docs: DataFrame, path: str, groups: int, id_col: str = "doc_id
                 raw = memoryview(stream).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((at[doc] + start).tolist(), (at[doc] + start + size).tolist(), strict=True)]
                 rows = np.arange(row, row + len(doc)) + (partition << 40)
-                group = _dealt(partition, row, len(doc), groups)
                 row += len(doc)
-                yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, size, crc, n[doc], group, rows))], names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "_group", "_row"])
+                yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, size, crc, n[doc], rows))], names=["_id", "start", "length", "ids_crc32", "doc_tokens", "_row"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return kept.mapInArrow(run, _PIECE.format(id=id_col))
+    return kept.mapInArrow(run, _PIECE)
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, separator: int = 0, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Pieces of all documents with sequence_id and offset.
-
-    sequence_id is group * 2^24 + number within the group. The document count that sets the number of
-    groups is one extra pass over the table's footers or rows; it bounds what one task packs at any size.
-    """
-    groups = max(1, -(-docs.count() // group_docs))
-
-    def run(pieces: pa.Table) -> pa.Table:
-        pieces = pieces.sort_by("_row")
-        size = pieces.column("length").to_numpy()
-        full = size == length
-        number, offset = np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
-        number[~full], offset[~full] = first_fit_decreasing(size[~full], length)
-        open_bins = number[~full].max() + 1 if (~full).any() else 0
-        number[full] = open_bins + np.arange(full.sum())
-        sequence = pieces.column("_group").to_numpy() * (1 << 24) + number
-        kept = pieces.select([id_col, "start", "length", "ids_crc32", "doc_tokens"])
+    """Pieces of all documents with sequence_id and offset."""
+    pieces = written(cut_documents(docs, path, id_col, text_col, length, separator), "pieces")
+    rests = pieces.filter(F.col("length") < length)
+    groups = max(1, -(-rests.count() // group_docs))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_row")
+        number, offset = first_fit_decreasing(table.column("length").to_numpy(), length)
+        sequence = table.column("_group").to_numpy() * (1 << 24) + number
+        kept = table.select(["_id", "start", "length", "ids_crc32", "doc_tokens"])
         return kept.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    cut = cut_documents(docs, path, groups, id_col, text_col, length, separator)
-    return cut.groupBy("_group").applyInArrow(run, f"`{id_col}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = rests.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
+    schema = "_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    packed = dealt.groupBy("_group").applyInArrow(run, schema)
+    full = pieces.filter(F.col("length") == length).select("_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_row") + FULL).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return full.unionByName(packed).withColumnRenamed("_id", id_col)
