@@ -9,20 +9,24 @@ One suffix array over a whole corpus does not fit a task, so equal strings are b
 1. Every string of ``min_bytes`` bytes has an anchor, its k-gram of least hash (the first on a tie).
    Equal strings have equal anchors at equal places. Tasks list the anchors of their documents, about
    one in 35 bytes. Anchors that occur once in the whole corpus can't lie in a repeated string.
-   A task that meets a k-gram many times sends it to be counted only once, so no k-gram is hot.
+   A task sends a k-gram to where it is counted at most twice, however often it meets it, so that a
+   count gets no more rows than there are tasks; further places are known to be repeated and stay spread.
 2. Documents with repeated anchors are written once, with their anchors' positions; all others are done.
+   A document is told by a hash of its id and text here, so texts that share an id are kept apart.
 3. Around every repeated anchor the context that such strings can span is cut out, and contexts are
    shuffled by the anchor. Equal contexts are folded to the earliest, in the task that cuts them and
    again after the shuffle: a context with an earlier equal is removed whole.
-4. The different contexts of an anchor go into a suffix array (prefix doubling, cut off at min_bytes).
-   With the previous and the next smaller position in suffix order, the longest previous factor of
-   each suffix is known; where it reaches min_bytes, the string there has an earlier copy.
+4. The different contexts of an anchor go into one suffix array, over their whole length. Along suffix
+   order, the previous and the next smaller position (document, then start) of a suffix are the earlier
+   ones that share most with it, and the longer of the two common prefixes is its longest previous
+   factor. Where that is min_bytes or more, as many bytes from there have an earlier copy.
 5. Removed ranges come together per document, are merged and cut out.
 
 Defined cases: a null text is the empty one. A null id sorts before all others. Rows that share an id
 are ordered by a hash of their text; rows that repeat id and text count as one document, and each gets
 the same result. Texts of any length are processed whole. An empty table gives an empty result. Other
-columns are not carried; join the result by id.
+columns are not carried by remove_repeats (join the result by id), and kept in one struct by cut_texts,
+so no name can clash.
 
 What meets in one task is the set of different surroundings of one k-gram, in batches of whole groups.
 """
@@ -101,18 +105,43 @@ def anchors(data: np.ndarray, offsets: np.ndarray, min_bytes: int) -> tuple[np.n
     return pos, np.concatenate(hashes)[first]
 
 
+class Met:
+    """How often k-grams were met in a task: not at all, once, or more often."""
+
+    def __init__(self, most: int = 1 << 22) -> None:
+        self.known, self.often, self.most = np.zeros(0, np.uint64), np.zeros(0, bool), most
+
+    def times(self, grams: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Times (up to 2) that sorted distinct grams were met before; they are then met ``count`` times more."""
+        if len(self.known) > self.most:  # forget, so that memory is bounded: a gram is then counted anew
+            self.known, self.often = self.known[:0], self.often[:0]
+        at = np.minimum(np.searchsorted(self.known, grams), max(0, len(self.known) - 1))
+        old = self.known[at] == grams if len(self.known) else np.zeros(len(grams), bool)
+        before = np.where(old, 1, 0)
+        before[old] += self.often[at[old]]
+        self.often[at[old]] = True
+        new = grams[~old]
+        place = np.searchsorted(self.known, new)
+        self.known, self.often = np.insert(self.known, place, new), np.insert(self.often, place, count[~old] > 1)
+        return before
+
+
 def _list_anchors(min_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Met()
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 data, offs = utf8_bytes(part.column("text"))
                 pos, h = anchors(data, offs, min_bytes)
                 doc = np.searchsorted(offs, pos, side="right") - 1
-                key = part.column("k").to_numpy()[doc]
-                _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                repeated = first[back] != np.arange(len(h))
+                key = part.column("r").to_numpy()[doc]
+                grams, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                before = met.times(grams, count)
+                # The first of a slice goes to its count, unless two went there already; the others need none.
+                counted = (first[back] == np.arange(len(h))) & (before[back] < 2)
                 spread = _mixed(key.astype(np.uint64) * _BASE + pos.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(repeated, spread, h).view(np.int64)), pa.array(key), pa.array((pos - offs[doc]).astype(np.int32)), pa.array(count[back] > 1)], names=["route", "k", "pos", "known"])
+                known = (count + before)[back] > 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(counted, h, spread).view(np.int64)), pa.array(key), pa.array((pos - offs[doc]).astype(np.int32)), pa.array(known)], names=["route", "r", "pos", "known"])
 
     return run
 
@@ -171,7 +200,7 @@ def _cut_contexts(min_bytes: int):
                 n = np.diff(lists.offsets.to_numpy())
                 doc = np.repeat(np.arange(len(n)), n)
                 pos = lists.flatten().to_numpy().astype(np.int64) + offs[:-1][doc]
-                fits = pos + gram <= offs[1:][doc]  # positions of a row that shares the id may lie beyond this text
+                fits = pos + gram <= offs[1:][doc]  # should hashes of two rows collide, places may lie beyond a text
                 doc, pos = doc[fits], pos[fits]
                 a, b = np.maximum(offs[:-1][doc], pos - side), np.minimum(offs[1:][doc], pos + gram + side)
                 long = b - a >= min_bytes
@@ -209,30 +238,74 @@ def _hash_at(data: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def suffix_ranks(data: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of data[i : i + depth] among all such strings by prefix doubling; -1 where room[i] < depth.
-
-    room[i]: bytes from i to the end of its own text.
-    """
-    n = len(data)
-    word = np.zeros(n + 8, dtype=np.uint64)
-    word[:n] = data
-    for half in (1, 2, 4):  # big-endian words of 2, 4, 8 bytes
+def _words(data: np.ndarray) -> np.ndarray:
+    """Big-endian words of the 8 bytes from every position on; zeros follow the last byte."""
+    word = np.zeros(len(data) + 8, dtype=np.uint64)
+    word[: len(data)] = data
+    for half in (1, 2, 4):
         shifted = np.zeros_like(word)
         shifted[:-half] = word[half:]
         word = (word << np.uint64(8 * half)) | shifted
-    rank = np.full(n, -1, dtype=np.int64)
-    at = np.flatnonzero(room >= 8)
-    rank[at] = np.unique(word[at], return_inverse=True)[1]
-    length = 8
-    while length < depth:
-        step = min(length, depth - length)
-        at = np.flatnonzero(room >= length + step)
-        pair = (rank[at] << 32) | rank[at + step]
-        rank = np.full(n, -1, dtype=np.int64)
-        rank[at] = np.unique(pair, return_inverse=True)[1]
-        length += step
-    return rank
+    return word[: len(data)]
+
+
+class SuffixArray:
+    """Suffixes of several texts, joined in ``data``, each up to the end of its own text.
+
+    room[i]: bytes from i to that end. Ranks by prefixes of 8, 24, 72, ... bytes come from three ranks of
+    the length before; a suffix that ends within a prefix comes before those that go on.
+    """
+
+    def __init__(self, data: np.ndarray, room: np.ndarray) -> None:
+        self.room, self.word = room, _words(data)
+        end = np.minimum(room, 8)
+        # Bytes beyond the end of a text are taken out of the word; its length tells it from zero bytes.
+        self.word &= ~np.uint64(0) << (np.uint64(8) * (8 - end).astype(np.uint64))
+        self.levels = [(8, self._ranked((self.word, end)))]
+        longest = int(room.max(initial=0))
+        while self.levels[-1][0] < longest:
+            length, rank = self.levels[-1]
+            self.levels.append((3 * length, self._ranked((rank, self._later(rank, length), self._later(rank, 2 * length)))))
+        self.rank = self.levels[-1][1]
+
+    def _later(self, rank: np.ndarray, step: int) -> np.ndarray:
+        """Rank (from 1) of the suffix that starts ``step`` further on, 0 beyond the end."""
+        out = np.zeros(len(rank), dtype=np.int64)
+        at = np.flatnonzero(self.room > step)
+        out[at] = rank[at + step] + 1
+        return out
+
+    @staticmethod
+    def _ranked(keys: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Dense rank by the keys, the first being the most significant."""
+        if len(keys) == 3 and len(keys[0]) < 1 << 21:
+            return np.unique((keys[0] << 42) | (keys[1] << 21) | keys[2], return_inverse=True)[1]
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(order), dtype=bool)
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.cumsum(new)
+        return rank
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of the suffixes at a[i] and b[i]."""
+        out = np.zeros(len(a), dtype=np.int64)
+        todo = np.arange(len(a))
+        most = np.minimum(self.room[a], self.room[b])
+        for length, rank in self.levels[::-1]:
+            for _ in range(2):
+                todo = todo[most[todo] - out[todo] >= length]
+                x, y = a[todo] + out[todo], b[todo] + out[todo]
+                out[todo[rank[x] == rank[y]]] += length
+            todo = np.arange(len(a))
+        todo = np.flatnonzero(out < most)
+        differ = self.word[a[todo] + out[todo]] ^ self.word[b[todo] + out[todo]]
+        same = np.zeros(len(todo), dtype=np.int64)
+        for n in range(1, 8):
+            same += differ >> np.uint64(64 - 8 * n) == 0
+        out[todo] = np.minimum(out[todo] + same, most[todo])
+        return out
 
 
 def smaller_neighbours(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,16 +323,17 @@ def smaller_neighbours(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before(key), np.where(after >= 0, len(key) - 1 - after, -1)
 
 
-def has_earlier_copy(rank: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor of each suffix reaches the depth of the ranks.
+def longest_previous_factors(suffixes: SuffixArray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For the suffixes that start at ``at``, the greatest length shared with one of a smaller key (its position).
 
-    In suffix order (ties by position) it is shared with the previous or the next smaller position.
+    In suffix order that one is the previous or the next with a smaller key: all between have larger ones.
     """
-    order = np.lexsort((key, rank))
-    r = rank[order]
-    out = np.zeros(len(order), dtype=bool)
+    order = np.lexsort((key, suffixes.rank[at]))
+    start = at[order]
+    out = np.zeros(len(at), dtype=np.int64)
     for near in smaller_neighbours(key[order]):
-        out[order] |= (near >= 0) & (r[near] == r)
+        some = np.flatnonzero(near >= 0)
+        out[order[some]] = np.maximum(out[order[some]], suffixes.common(start[some], start[near[some]]))
     return out
 
 
@@ -285,11 +359,11 @@ def _repeated_in(table: pa.Table, min_bytes: int) -> tuple[np.ndarray, ...]:
         owner = np.repeat(np.arange(len(n)), n)
         room = at[1:][owner] - np.arange(len(data))
         suffix = np.flatnonzero(room >= min_bytes)
-        depth_rank = suffix_ranks(data, room, min_bytes)[suffix]
         start = a[rows][chosen][owner[suffix]] + suffix - at[:-1][owner[suffix]]
         key = doc[chosen][owner[suffix]] * (1 << 40) + start
-        hit = has_earlier_copy(depth_rank, key)
-        out.append((key[hit] >> 40, start[hit], start[hit] + min_bytes))
+        factor = longest_previous_factors(SuffixArray(data, room), suffix, key)
+        hit = factor >= min_bytes
+        out.append((key[hit] >> 40, start[hit], start[hit] + factor[hit]))
     d, x, y = _merge(*(np.concatenate(c) for c in zip(*out, strict=True)))
     return k[sample][d], t[sample][d], x, y
 
@@ -369,10 +443,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, carried
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     row = F.struct(*(docs[c] for c in carried)) if carried else F.lit(None).cast("struct<x:int>")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), text.alias("text"), row.alias("row"))
-    listed = rows.select("k", "text").mapInArrow(_list_anchors(min_bytes), "route long, k long, pos int, known boolean")
+    rows = rows.withColumn("t", F.xxhash64("text")).withColumn("r", F.xxhash64("k", "t"))
+    listed = rows.select("r", "text").mapInArrow(_list_anchors(min_bytes), "route long, r long, pos int, known boolean")
     counted = listed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("route"))).filter("known OR n > 1")
-    found = counted.groupBy("k").agg(F.collect_list("pos").alias("pos"))
-    placed = written(rows.join(found, "k", "left").select("id", "k", F.xxhash64("text").alias("t"), "text", "pos", "row"), "suffix-dedup")
+    found = counted.groupBy("r").agg(F.collect_set("pos").alias("pos"))  # a set: copies of a row list the same places
+    placed = written(rows.join(found, "r", "left").select("id", "k", "t", "text", "pos", "row"), "suffix-dedup")
 
     suspects = placed.filter("pos IS NOT NULL")
     contexts = suspects.select("k", "t", "text", "pos").mapInArrow(_cut_contexts(min_bytes), _CONTEXT)
