@@ -6,15 +6,17 @@ weighted by the root of its share; and binned statistics of its bytes and words
 digits, line ends, repeats, word length, sizes), one feature per bin. The only metadata is the size in
 characters; language, source, ids and labels are never read by a score.
 
-Labels are joined to documents, and a sample of at most about ``max_rows`` labelled rows (chosen by a
-hash of the id; the default bound is MAX_ROWS) is fitted in one task by AdaGrad, in a fixed order, so
-that the same rows give the same model. The model has a fixed size; it goes to the driver and out again
-to score every document, whole.
+Labels are joined to documents, and a sample of at most ``max_rows`` labelled ids (the first in order of
+a hash; the default bound is MAX_ROWS) is fitted in one task by AdaGrad, one row an id, in a fixed order,
+so that the same rows give the same model. The model has a fixed size; it goes to the driver and out
+again to score every document, whole. A score is one column: only texts and sizes go to Python, and only
+a number comes back.
 
 Defined cases: null and empty texts have the statistics of an empty text and get a score like any other;
 a null id counts as held out, as the text "" would; null labels are not used, of several labels of a
-document the largest counts; without any usable label the score is 1 for all; an empty table gives an
-empty result. Of other columns only n_chars is read, and it may be absent or null.
+document the largest counts; of several documents with one labelled id one is fitted, the greatest by its
+features; without any usable label the score is 1 for all; an empty table gives an empty result. Of other
+columns only n_chars is read, and it may be absent or null.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from haplolake.llm.ragged import offsets_of, slices, utf8_bytes
 MAX_ROWS = 12_000
 WORD_BUCKETS, BINS, FACTORS = 1 << 13, 24, 8
 CUT = 0.3
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _SYMBOLS = [ord(c) for c in "#*$%&|<>@^~=+_\\{}[]"]
 _STATS = 14
 
@@ -170,11 +172,10 @@ def _rows_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> FactorisationMachine:
-    """Fit on labelled rows that are not held out; at most about max_rows of them, chosen by a hash of the id."""
+    """Fit on labelled rows that are not held out: those of at most max_rows ids, chosen by a hash of the id."""
     usable = labels.select(F.col(id_col).cast("long").alias("_key"), F.col(label_col).cast("double").alias("_label")).filter("_key IS NOT NULL AND _label IS NOT NULL")
     usable = usable.filter(~held_out(F.col("_key"))).groupBy("_key").agg(F.max("_label").alias("_label"))
-    share = min(1.0, max_rows / max(1, usable.count()))
-    chosen = usable.filter(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = usable.orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,39 +193,36 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         rows = [(flat_f[a:b], flat_v[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.table({"model": [FactorisationMachine.fit(rows, table.column("label").to_numpy()).to_bytes()]})
 
-    # The sample's size is bounded, so it is sent to where the documents are.
+    # At most max_rows pairs of numbers, so they are sent to where the documents are.
     joined = docs.select(*_inputs(docs, id_col, text_col)).join(F.broadcast(chosen), F.col("_id") == F.col("_key")).drop("_key")
-    sample = joined.mapInArrow(extract, "id long, label double, feature array<smallint>, value array<float>")
+    listed = joined.mapInArrow(extract, "id long, label double, feature array<smallint>, value array<float>")
+    # One row an id, folded before the shuffle too, however many documents share it.
+    sample = listed.groupBy("id").agg(F.max(F.struct("label", "feature", "value")).alias("x")).select("id", "x.*")
     found = sample.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(fit, "model binary").collect()
     return FactorisationMachine.from_bytes(bytes(found[0].model)) if found else FactorisationMachine.fit([], np.zeros(0))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """id, held_out, score, predicted (score >= cut) of every row."""
+def score_column(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Score of every row of docs, for use in its select or filter."""
     raw = docs.sparkSession.sparkContext.broadcast(model.to_bytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         fm = FactorisationMachine.from_bytes(raw.value)
-        for batch in batches:
-            for part in slices(batch, "_text", SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(fm.scores(*_rows_of(part), len(part)))], names=["id", "score"])
+        for text, chars in batches:
+            batch = pa.RecordBatch.from_arrays([text, chars], names=["_text", "_chars"])
+            parts = [fm.scores(*_rows_of(part), len(part)) for part in slices(batch, "_text", SLICE_BYTES)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]))
 
-    scored = docs.select(*_inputs(docs, id_col, text_col)).mapInArrow(run, "id long, score double")
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+    _, text, chars = _inputs(docs, id_col, text_col)
+    return F.arrow_udf(run, "double")(text, chars)
 
 
-def keep_good(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """The rows of docs that the model does not reject, with all their columns."""
-    raw = docs.sparkSession.sparkContext.broadcast(model.to_bytes())
-    held = "_held_row"
-    wide = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias(held), *_inputs(docs, id_col, text_col))
+def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """id, held_out, score, predicted (score >= cut) of every row."""
+    scored = docs.select(docs[id_col].cast("long").alias(id_col), score_column(docs, model, id_col, text_col).alias("score"))
+    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fm = FactorisationMachine.from_bytes(raw.value)
-        for batch in batches:
-            for part in slices(batch, "_text", SLICE_BYTES):
-                good = fm.scores(*_rows_of(part), len(part)) >= cut
-                yield part.select([held]).filter(pa.array(good))
 
-    schema = wide.select(held).schema
-    return wide.mapInArrow(run, schema).select(f"{held}.*")
+def keep_good(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of docs that the model does not reject, with all their columns, which stay in the JVM."""
+    return docs.filter(score_column(docs, model, id_col, text_col) >= cut)

@@ -6,11 +6,13 @@ none of them. Policies and ablations read the ledger only, never the texts: abla
 counts of distinct masks, at most two to the number of rules, by bitwise AND.
 
 Only DataFrame functions are used. Words are runs of characters other than ASCII white space. Windows
-of eight words are compared by 64-bit hashes within their own text only.
+of eight words are compared by 64-bit hashes within their own text only: every word is hashed once, and
+hashes of 2, 4 and 8 words come from pairs of the ones before.
 
 Defined cases: a null text has no words, lines or symbols, and fails the word rules; so does the empty
-text. Ids may be null or repeat; every row is judged by itself. Whole texts are measured. Other columns
-are not carried by the ledger; keep_passing keeps them all. An empty table gives an empty ledger.
+text. Ids may be null or repeat; every row is judged by itself. Whole texts are measured. The ledger
+carries other columns only where asked to, in one struct, so no name can clash; keep_passing keeps them
+all. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haplolake.llm.storage import written
+
 WINDOW = 8
 #: Rules in bit order: name and SQL condition, over the measurements, under which a text fails.
 RULES: list[tuple[str, str]] = [
@@ -66,13 +70,25 @@ def _covered(hashes: Column) -> Column:
     return F.aggregate(_let(placed, positions), start, step, lambda acc: acc["n"])
 
 
+def _windows(hashes: Column) -> Column:
+    """Hashes of all runs of WINDOW neighbours, by doubling: a run of 2 n is a run of n and the one n further on."""
+
+    def pairs(gap: int):
+        return lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - gap), F.slice(h, F.lit(1 + gap), F.size(h) - gap), lambda a, b: F.xxhash64(a, b))
+
+    gap = 1
+    while gap < WINDOW:
+        hashes, gap = _let(hashes, pairs(gap)), 2 * gap
+    return hashes
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and measurements of every row; carries the columns of docs in the struct ``row``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).alias("_id"), text.alias("_text"))
     cut = base.withColumn("_words", F.filter(F.split("_text", f"{_SPACE}+"), lambda w: w != ""))
     # An expression tree that may fold into one projection must not repeat the split: sizes come from it once.
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.translate(x, " \t\x0b\f\r", "") != "")
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "")
     measured = cut.select(
         "row",
         "_id",
@@ -81,7 +97,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("_text", F.lit("!!")).cast("long").alias("n_marks"),
         _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("_lines"),
-        F.when(F.size("_words") > WINDOW, F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, F.lit(WINDOW))))).alias("_hashes"),
+        F.when(F.size("_words") > WINDOW, _windows(F.transform("_words", lambda w: F.xxhash64(w)))).alias("_hashes"),
     )
     repeated = F.when(F.size("_hashes") > F.size(F.array_distinct("_hashes")), _covered(F.col("_hashes"))).otherwise(F.lit(0))
     return measured.select("row", "_id", "n_words", "word_chars", "n_symbols", "n_marks", F.col("_lines.n").alias("n_lines"), F.col("_lines.dup").alias("n_dup_lines"), repeated.cast("long").alias("n_repeat_words"))
@@ -100,18 +116,20 @@ def passes(mask: int) -> Column:
     return F.col("failures").bitwiseAND(F.lit(mask)) == 0
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, measurements and failures (a bit for each rule that the text fails) of every row."""
-    return measure(docs, id_col, text_col).withColumn("failures", _failures()).drop("row").withColumnRenamed("_id", id_col)
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """The stored ledger: id, measurements and failures (a bit for each rule that the text fails) of every row.
+
+    It is written to the shared folder and read again, so no policy and no ablation measures a text anew.
+    carry: also keep all columns of docs, in the struct ``row``.
+    """
+    judged = measure(docs, id_col, text_col).withColumn("failures", _failures())
+    named = judged.withColumnRenamed("_id", id_col) if not carry else judged.drop("_id")
+    return written(named if carry else named.drop("row"), "rule-ledger")
 
 
 def keep_passing(docs: DataFrame, policy: str = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass the policy, with all their columns."""
-    judged = measure(docs, id_col, text_col).withColumn("failures", _failures())
-    # Spark would push the filter below the measurements and repeat them inside it, once for every use and
-    # within their lambdas; it does not move a filter below a column that isn't deterministic.
-    judged = judged.withColumn("_task", F.spark_partition_id())
-    return judged.filter(passes(POLICIES[policy]) & (F.col("_task") >= 0)).select("row.*")
+    """The rows of docs that pass the policy, with all their columns: the policy's mask on the stored bits."""
+    return ledger(docs, id_col, text_col, carry=True).filter(passes(POLICIES[policy])).select("row.*")
 
 
 def ablations(rows: DataFrame, policies: Mapping[str, int] | None = None) -> DataFrame:
