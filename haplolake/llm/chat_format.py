@@ -3,19 +3,27 @@
 An event has a conversation, a sequence number, the message it concerns (any ordered value), a kind,
 a role and a text. ``message`` and ``edit`` set the text, ``delta`` appends to it, and ``regenerate``
 drops what the message and all later messages of the conversation had before and starts anew with its
-own text. Folding needs only, per message, the last event that sets its text and the last regeneration
-at or before it, so texts are put together message by message, however long a conversation is.
+own text.
+
+A log is partitioned by conversation and sorted by sequence once. Read backwards, a running minimum tells
+each event whether a later regeneration drops it; what is left is folded message by message, in sequence;
+turns are then joined in message order. All of that is grouped by the conversation, so nothing is
+shuffled again. A conversation's output is one text, so it meets in one task, by definition; windows over
+it spill, and a fold holds one message.
 
 A rendered turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Within roles and texts, a backslash is put
 between ``<`` and ``|`` (one more, if there are some), so no control string is left inside; a line end
 in a role is written ``<!|``, and a ``<!|`` that was there gets one more ``!``. Both are undone exactly.
-The loss mask covers the text of assistant turns, as escaped: start and length in code points within the
-rendered turn.
+The loss mask of a formatted conversation lists the texts of assistant turns, as escaped: start and length
+in bytes of its UTF-8.
+
+Reading back takes the formatted text and the mask alone: turns are what stands between control strings,
+and loss texts are what the mask covers. A text in which they were not escaped would be read as others.
 
 Only DataFrame functions are used. Defined cases: null texts and roles are empty; null conversation ids
 form one conversation; null message keys come first; events of one message that share a sequence number
-are taken in order of kind and text; a delta without a message starts from the empty text; an empty log
-gives no turns. Further columns of a log are ignored.
+are taken in order of message, kind and text; a delta without a message starts from the empty text; an empty log gives no turns. Further columns of a log are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +33,8 @@ from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
+#: Code points of a streamed delta, at least, and deltas of a message, at most.
+DELTA_CHARS, MOST_DELTAS = 256, 16
 
 
 def escape_text(c: Column) -> Column:
@@ -43,68 +53,90 @@ def unescape_role(c: Column) -> Column:
     return unescape_text(F.regexp_replace(F.replace(c, F.lit("<!|"), F.lit("\n")), r"<(!+)!\|", "<$1|"))
 
 
+def _let(value: Column, body) -> Column:  # noqa: ANN001
+    """body(value), with value computed once though the body's lambdas use it at every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def as_log(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """conv, seq, message, kind, role, text: the log that a streaming front end would have left behind these final turns.
+
+    A turn is first a draft. An assistant's draft is followed by a next message that comes to nothing, since
+    the turn is then regenerated; another's draft is edited. Either way its text streams in as deltas. Rows
+    that share conversation and turn are messages of their own, in order of role and text.
+    """
+    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
+    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    turns = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), whole(role).alias("role"), whole(text).alias("text"))
+    turns = turns.withColumn("message", F.row_number().over(order).cast("long"))
+    size = F.greatest(F.lit(DELTA_CHARS), F.ceil(F.length("text") / MOST_DELTAS).cast("int"))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), size), lambda i: F.substring(F.col("text"), i, size))
+    again = F.col("role") == TRAINED_ROLE
+
+    own = F.col("message")
+
+    def event(step: int | Column, message: Column, kind: str, role: Column, text: Column) -> Column:
+        return F.struct((own * 64 + step).alias("seq"), message.alias("message"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    draft = event(0, own, "message", F.col("role"), F.concat(F.lit("draft of "), parts[0]))
+    vain = event(1, own + 1, "message", F.lit("user"), F.lit("to be dropped"))
+    again = event(2, own, "regenerate", F.col("role"), F.lit(""))
+    edit = event(2, own, "edit", F.col("role"), F.lit(""))
+    begun = F.when(F.col("role") == TRAINED_ROLE, F.array(draft, vain, again)).otherwise(F.array(draft, edit))
+    streamed = F.transform(parts, lambda x, i: event(i + 3, own, "delta", F.lit(""), x))
+    return turns.select("conv", F.explode(F.concat(begun, streamed)).alias("e")).select(F.col("conv").alias(conv), "e.*")
+
+
 def reconstruct(events: DataFrame, conv: str = "conv_id", seq: str = "seq", message: str = "message", kind: str = "kind", role: str = "role", text: str = "text") -> DataFrame:
     """conv, message, role, text of every message that is left at the end of the log."""
     e = events.select(
         F.col(conv).alias("conv"), F.col(seq).alias("seq"), F.col(message).alias("message"), F.col(kind).alias("kind"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    # One narrow row a message: the last event that sets its text, the last regeneration.
-    marks = e.groupBy("conv", "message").agg(F.max(F.when(F.col("kind").isin("message", "edit"), F.col("seq"))).alias("_set"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("_again"))
-    so_far = Window.partitionBy("conv").orderBy("message").rowsBetween(Window.unboundedPreceding, 0)
-    marks = marks.withColumn("_again", F.max("_again").over(so_far)).select(F.col("conv").alias("_c"), F.col("message").alias("_m"), F.greatest("_set", "_again").alias("_from"))
-    left = e.join(marks, F.col("conv").eqNullSafe(F.col("_c")) & F.col("message").eqNullSafe(F.col("_m"))).filter("_from IS NULL OR seq >= _from")
-    parts = F.sort_array(F.collect_list(F.struct("seq", "kind", "text", "role")))
-    folded = left.groupBy("conv", "message").agg(parts.alias("p"), F.max("_from").alias("_from"))
-    opening = F.filter("p", lambda x: x["kind"] != "delta")
-    # Of several events that set the text with one sequence number, the last in order of kind and text counts.
-    first = F.when(F.size(opening) > 0, F.element_at(opening, -1)["text"]).otherwise("")
-    more = F.array_join(F.transform(F.filter("p", lambda x: x["kind"] == "delta"), lambda x: x["text"]), "")
+    # The least message that is regenerated later on. A null key is before all others, so the key is told from null.
+    key = F.struct(F.col("message").isNotNull().alias("given"), F.col("message").alias("key"))
+    later = Window.partitionBy("conv").orderBy(*(F.desc(c) for c in ("seq", "message", "kind", "text"))).rowsBetween(Window.unboundedPreceding, -1)
+    regenerated = e.withColumn("least", F.min(F.when(F.col("kind") == "regenerate", key)).over(later))
+    left = regenerated.filter(F.col("least").isNull() | (F.col("least") > key))
+    folded = left.groupBy("conv", "message").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "text", "role"))).alias("p"))
+    # The last event that sets the text, and the deltas after it.
+    opening = F.greatest(F.coalesce(F.array_max(F.transform("p", lambda x, i: F.when(x["kind"] != "delta", i + 1))), F.lit(1)), F.lit(1))
+    whole = F.array_join(F.transform(F.slice("p", opening, F.size("p")), lambda x: x["text"]), "")
     named = F.filter("p", lambda x: x["role"] != "")
-    return folded.select(F.col("conv").alias(conv), F.col("message").alias(message), F.when(F.size(named) > 0, F.element_at(named, -1)["role"]).otherwise("").alias("role"), F.concat(first, more).alias("text"))
+    return folded.select(F.col("conv").alias(conv), F.col("message").alias(message), F.when(F.size(named) > 0, F.element_at(named, -1)["role"]).otherwise("").alias("role"), whole.alias("text"))
 
 
 def render(messages: DataFrame, role: str = "role", text: str = "text") -> DataFrame:
-    """messages with rendered (one turn of the template), loss_start and loss_chars (its mask; 0 chars: none)."""
+    """messages with rendered (one turn of the template), loss_start and loss_bytes (its mask; 0 bytes: none)."""
     head = F.concat(F.lit(START), escape_role(F.col(role)), F.lit("\n"))
     body = escape_text(F.col(text))
-    trained = F.col(role) == TRAINED_ROLE
-    parts = messages.withColumns({"_head": head, "_body": body})
-    return parts.withColumns(
-        {
-            "rendered": F.concat("_head", "_body", F.lit(f"{END}\n")),
-            "loss_start": F.length("_head").cast("long"),
-            "loss_chars": F.when(trained, F.length("_body")).otherwise(0).cast("long"),
-        }
-    ).drop("_head", "_body")
+    trained = F.when(F.col(role) == TRAINED_ROLE, F.octet_length(body)).otherwise(0)
+    made = {"rendered": F.concat(head, body, F.lit(f"{END}\n")), "loss_start": F.octet_length(head).cast("long"), "loss_bytes": trained.cast("long")}
+    return messages.withColumns(made)
 
 
 def assemble(turns: DataFrame, conv: str = "conv_id", message: str = "message") -> DataFrame:
-    """conv, formatted (all its turns in order) and loss_spans (start and length in code points)."""
-    before = Window.partitionBy(conv).orderBy(message).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)) + F.col("loss_start")
-    placed = turns.withColumn("_at", at)
-    rows = F.sort_array(F.collect_list(F.struct(F.col(message).alias("m"), "rendered", F.col("_at").alias("at"), "loss_chars")))
-    spans = F.transform(F.filter("r", lambda x: x["loss_chars"] > 0), lambda x: F.struct(x["at"].alias("start"), x["loss_chars"].alias("length")))
-    return placed.groupBy(conv).agg(rows.alias("r")).select(conv, F.array_join(F.transform("r", lambda x: x["rendered"]), "").alias("formatted"), spans.alias("loss_spans"))
-
-
-def read_back(turns: DataFrame) -> DataFrame:
-    """turns with back_role, back_text and back_loss, parsed from ``rendered`` and its mask alone."""
-    inner = F.substring(F.col("rendered"), F.lit(len(START) + 1), F.length("rendered") - len(START) - len(END) - 1)
-    line = F.instr("_inner", "\n")
-    return turns.withColumn("_inner", inner).withColumns(
-        {
-            "back_role": unescape_role(F.substring(F.col("_inner"), F.lit(1), line - 1)),
-            "back_text": unescape_text(F.substring(F.col("_inner"), line + 1, F.length("_inner"))),
-            "back_loss": unescape_text(F.substring(F.col("rendered"), F.col("loss_start").cast("int") + 1, F.col("loss_chars").cast("int"))),
-        }
-    ).drop("_inner")
-
-
-def digests(turns: DataFrame, conv: str = "conv_id", message: str = "message") -> DataFrame:
+    """conv, formatted (all its turns in order) and loss_spans (start and length in bytes) from rendered turns."""
+    before = Window.partitionBy("conv").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
+    t = turns.select(F.col(conv).alias("conv"), F.col(message).alias("message"), "rendered", "loss_start", "loss_bytes")
+    at = F.coalesce(F.sum(F.octet_length("rendered").cast("long")).over(before), F.lit(0).cast("long")) + F.col("loss_start")
+    row = F.struct("message", "rendered", at.alias("start"), F.col("loss_bytes").alias("length"))
+    whole = t.select("conv", row.alias("r")).groupBy("conv").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    spans = F.transform(F.filter("r", lambda x: x["length"] > 0), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return whole.select(F.col("conv").alias(conv), F.array_join(F.transform("r", lambda x: x["rendered"]), "").alias("formatted"), spans.alias("loss_spans"))
+
+
+def read_back(conversations: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """conv, turns (role and text of each), loss (texts under the mask) and formatted_chars, parsed from formatted and loss_spans alone."""
+    ended = F.split("formatted", r"<\|im_end\|>")  # the last part is what follows the last turn
+    inner = F.transform(F.slice(ended, F.lit(1), F.size(ended) - 1), lambda p: F.regexp_replace(p, r"^\n?<\|im_start\|>", ""))
+    turns = F.transform(inner, lambda p: F.struct(unescape_role(F.substring_index(p, "\n", 1)).alias("role"), unescape_text(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 2, F.length(p))).alias("text")))
+    loss = _let(F.col("formatted").cast("binary"), lambda b: F.transform("loss_spans", lambda s: unescape_text(F.substring(b, s["start"].cast("int") + 1, s["length"].cast("int")).cast("string"))))
+    return conversations.select(conv, turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def digests(parsed: DataFrame, conv: str = "conv_id") -> DataFrame:
     """n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of every conversation, from read_back."""
-    row = F.struct(F.col(message).alias("m"), F.concat("back_role", F.lit("\n"), "back_text", F.lit("\n")).alias("turn"), F.col("back_loss").alias("loss"))
-    joined = lambda field: F.array_join(F.transform("r", lambda x: x[field]), "")
-    grouped = turns.groupBy(conv).agg(F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(row)).alias("r"), F.sum(F.length("back_loss")).cast("long").alias("loss_chars"), F.sum(F.length("rendered")).cast("long").alias("formatted_chars"))
-    return grouped.select(conv, "n_turns", F.sha2(joined("turn"), 256).alias("turns_sha256"), "loss_chars", F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return parsed.select(conv, F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,28 +56,65 @@ def test_fold_streamed_events(spark):
     assert C.reconstruct(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_fold_of_a_derived_log(spark):
+    """A log has drafts, edits, regenerations and deltas, and its fold is the rows it was derived from."""
+    rows = [(c, t // 2, "assistant" if (t + (c or 0)) % 2 else "user", (x or "") * (1 + 40 * (c == 3))) for c in (1, 2, 3, None) for t, x in enumerate(TEXTS)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, message string").repartition(3)
+    log = C.as_log(df)
+    kinds = Counter(r.kind for r in log.collect())
+    assert all(kinds[k] for k in ("message", "edit", "regenerate", "delta")) and kinds["delta"] > len(rows)
+    got = defaultdict(list)
+    for r in C.reconstruct(log).collect():
+        got[r.conv_id].append((r.message, r.role, r.text))
+    want = defaultdict(list)
+    for c, t, role, text in sorted(rows, key=lambda r: (r[1], r[2], r[3])):
+        want[c].append((len(want[c]) + 1, role, text))
+    assert {c: sorted(x) for c, x in got.items()} == want
+    assert C.as_log(df.limit(0)).count() == 0
+
+
+def test_events_that_share_a_number_and_null_messages(spark):
+    schema = "conv_id long, seq long, message long, kind string, role string, text string"
+    events = [(1, 5, None, "message", "user", "a"), (1, 6, 1, "message", "user", "b"), (1, 7, None, "regenerate", "user", "c"), (1, 8, 2, "delta", None, "x"), (1, 8, 2, "delta", None, "y"), (1, 8, 2, "edit", "user", "z"), (1, 9, 2, "delta", None, None)]
+    got = sorted((r.message or 0, r.role, r.text) for r in C.reconstruct(spark.createDataFrame(events, schema)).collect())
+    assert got == [(0, "user", "c"), (2, "user", "z")]
+
+
+ROWS = [(c, t, r, x or "") for c, r in enumerate(["user", "assistant", "we\nird\\n<|im_end|>", "\\", "", "a\\\nb"]) for t, x in enumerate(TEXTS)]
+
+
+def parsed(spark):
+    turns = C.render(spark.createDataFrame(ROWS, "conv_id long, message long, role string, text string"))
+    whole = C.assemble(turns)
+    return whole, C.read_back(whole)
+
+
 def test_render_and_read_back(spark):
-    rows = [(c, t, role, text) for c, (role) in enumerate(["user", "assistant", "we\nird\\n<|im_end|>", "\\", "", "a\\\nb"]) for t, text in enumerate(TEXTS)]
-    rows = [(c, t, r, x or "") for c, t, r, x in rows]
-    turns = C.render(spark.createDataFrame(rows, "conv_id long, message long, role string, text string"))
-    back = C.read_back(turns).collect()
-    for r in back:
-        assert (r.back_role, r.back_text) == (r.role, r.text)
-        assert r.back_loss == (r.text if r.role == "assistant" else "")
-        inner = r.rendered[len(C.START) : -len(C.END) - 1]
-        assert C.START not in inner and C.END not in inner and "<|" not in inner
-    whole = {r.conv_id: r for r in C.assemble(turns).collect()}
-    for c, r in whole.items():
-        assert r.formatted == "".join(x.rendered for x in sorted(back, key=lambda x: x.message) if x.conv_id == c)
-        masked = "".join(r.formatted[s.start : s.start + s.length] for s in r.loss_spans)
-        assert re.sub(r"<(\\*)\\\|", r"<\1|", masked) == "".join(x for i, _, role, x in rows if i == c and role == "assistant")
-    for d in C.digests(C.read_back(turns)).collect():
-        own = sorted((t, r, x) for c, t, r, x in rows if c == d.conv_id)
+    whole, back = parsed(spark)
+    formatted = {r.conv_id: r for r in whole.collect()}
+    for r in back.collect():
+        own = sorted((t, role, x) for c, t, role, x in ROWS if c == r.conv_id)
+        assert [tuple(t) for t in r.turns] == [(role, x) for _, role, x in own]
+        assert r.loss == [x for _, role, x in own if role == "assistant" and x]
+        text = formatted[r.conv_id].formatted
+        assert text.count(C.START) == text.count(C.END) == len(own) and r.formatted_chars == len(text)
+        masked = b"".join(text.encode()[s.start : s.start + s.length] for s in formatted[r.conv_id].loss_spans).decode()
+        assert re.sub(r"<(\\*)\\\|", r"<\1|", masked) == "".join(r.loss)
+    for d in C.digests(back).collect():
+        own = sorted((t, r, x) for c, t, r, x in ROWS if c == d.conv_id)
         loss = "".join(x for _, r, x in own if r == "assistant")
         assert d.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
         assert (d.n_turns, d.loss_chars, d.loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_escapes_are_needed(spark, monkeypatch):
+    """Without them, what is read back are other turns: nothing but the formatted text is read."""
+    monkeypatch.setattr(C, "escape_text", lambda c: c)
+    monkeypatch.setattr(C, "unescape_text", lambda c: c)
+    _, back = parsed(spark)
+    assert all(len(r.turns) > len(TEXTS) for r in back.collect())
+
+
 def rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -120,7 +158,7 @@ def test_archive_round_trip(spark, least):
     pages = [(1, "http://a", "<p>é</p>"), (2, "http://b", "same"), (3, None, "same"), (4, "u\r\nv", "same"), (5, "x", None), (6, "y", ""), (7, "z", "WARC/1.1\r\n\r\n"), (8, "q", "<p>é</p>"), (9, "t", "tw"), (9, "t", "tw"), (9, "s", "tw"), (11, "k", "longer twice"), (11, "l", "longer twice")]
     df = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, record_type string").repartition(3)
     path = A.new_archive_path(spark)
-    A.write_archive(df, path, min_revisit_bytes=least)
+    A.write_archive(df, path, min_revisit_bytes=least, date="2024-01-31T23:59:59Z")
     bodies = defaultdict(list)
     for i, _, h in pages:
         bodies[(h or "").encode()].append(i)
@@ -149,10 +187,23 @@ def test_archive_round_trip(spark, least):
         head, _, rest = raw.partition(b"\r\n\r\n")
         n = int(re.search(rb"Content-Length: (\d+)", head)[1])
         assert rest[n:] == b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\n")
+        assert b"\r\nWARC-Date: 2024-01-31T23:59:59Z\r\n" in head
         if b"WARC-Type: response" in head:
             digest = base64.b32encode(hashlib.sha1(rest[:n]).digest())
             assert b"sha1:" + digest in head
     empty = A.new_archive_path(spark)
     A.write_archive(df.limit(0), empty)
     assert A.catalogue(spark, empty).count() == 0
-    assert A.read_records(spark, path).filter(F.col("target_uri") == "u%0D%0Av").count() == 1
+    assert A.parse_records(A.reconstruct(spark, path)).filter(F.col("target_uri") == "u%0D%0Av").count() == 1
+    # A payload that was changed in the archive is found out.
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    broken = A.new_archive_path(spark)
+    A.write_archive(df.filter("page_id = 2"), broken)
+    files = {f: pq.read_table(f) for f in Path(broken.removeprefix("file://"), "payloads").glob("part-*.parquet")}
+    ((file, table),) = ((f, t) for f, t in files.items() if len(t))
+    file.with_name(f".{file.name}.crc").unlink()
+    pq.write_table(table.set_column(2, "payload", pa.array([b"x" * table["payload_bytes"][0].as_py()], pa.binary())), file)
+    with pytest.raises(Exception, match="does not match its digest"):
+        A.catalogue(spark, broken).collect()
