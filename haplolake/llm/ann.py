@@ -1,22 +1,27 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Nearness is the largest inner product. With one more coordinate, sqrt(largest squared norm - squared
-norm), it becomes the least distance, so graphs are built by distance and searched by inner product.
+norm), it becomes the least distance, so graphs are built and searched by distance.
 
 Equal vectors are folded into one node that keeps its smallest ids; more than the result size plus one
 can't appear in any result. Nodes are dealt to shards by a hash of their id. A shard draws a level for
-each node, and joins every level's nodes to near ones that are not nearer to each other than to the
-node (links back are added where there is room); near ones are found exactly, in blocks. A graph is
-stored as flat arrays: vectors, node numbers of each level, padded neighbour lists.
-
-All shards are searched for all queries, in blocks of queries: from the top level's entry a beam goes
-down, widest on the lowest level. A block and a shard are what one task holds. Results of the shards
-are merged, scored again in double precision, and opened up to the folded ids.
-
-The whole table is indexed, no sample is taken. Defined cases: rows with a null id, and vectors that are
-null, empty, zero, of another length than most, or hold null or non-finite components take no part.
-Rows that repeat id and vector count once. Ties go to the smaller id. With fewer candidates than asked
-for, all are returned. An empty table gives an empty result.
+each node and inserts the nodes in batches, those of high levels first. An inserted node looks for its
+place as a query does: from the entry node a beam goes down the levels, and on each of its own levels the
+node links to found ones that are nearer to it than to each other; these link back, keeping their nearest.
+A batch is no larger than the graph so far, and its nodes see each other too, so a node misses nothing
+that another order of insertion would show it. A node is numbered by its insertion, so a level's nodes
+are the first ones, and a graph is flat arrays: vectors, and a padded list of neighbours for each level.
+
+All shards are searched for all queries, in blocks of queries. A block and a shard are what one task
+holds. Results of the shards are merged, scored again in double precision, and opened up to the folded
+ids.
+
+The whole table is indexed, no sample is taken. Vectors of different lengths have no inner product: each
+length has shards of its own, and a query finds vectors of its length. Defined cases: rows with a null id,
+and vectors that are null, empty, zero, or hold null or non-finite components take no part. Rows that
+repeat id and vector count once; an id with several vectors is several candidates. Ties go to the smaller
+id. With fewer candidates than asked for, all are returned. Other columns are not carried. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,136 +35,153 @@ from haplolake.llm.minhash import mixed
 from haplolake.llm.storage import written
 
 SHARD_ROWS, QUERY_BLOCK = 16_384, 8_192
-LINKS, NEAR, BEAM, STEP = 16, 48, 96, 4
+#: Links that a node chooses on a level; nearest ones that it accepts back, on the lowest level and above.
+LINKS, BACK, BACK_ABOVE = 24, 48, 24
+BATCH, BUILD_BEAM, BEAM, STEP = 512, 48, 112, 6
 SALTS = 16
 
 
 class Graph:
-    """Flat arrays: vectors; for each level (lowest first) its node numbers and padded neighbour lists (-1: none)."""
+    """Points (single precision, with the added coordinate) in order of insertion; neighbour lists of each
+    level, lowest first (-1: none), as long as the level has nodes."""
 
-    def __init__(self, vectors: np.ndarray, nodes: list[np.ndarray], links: list[np.ndarray]) -> None:
-        self.vectors, self.nodes, self.links = vectors, nodes, links
+    def __init__(self, vectors: np.ndarray, largest: float, links: list[np.ndarray]) -> None:
+        squares = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
+        extra = np.sqrt(np.maximum(largest - squares, 0))
+        self.points = np.concatenate([vectors, extra[:, None]], axis=1).astype(np.float32)
+        self.half = np.einsum("ij,ij->i", self.points, self.points) / 2
+        self.links = links
 
     @classmethod
-    def build(cls, vectors: np.ndarray, ids: np.ndarray, largest: float) -> Graph:
-        """vectors in single precision; ids seed the levels; largest: greatest squared norm of the whole index."""
-        squares = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
-        extra = np.sqrt(np.maximum(largest - squares, 0)).astype(np.float32)
-        points = np.concatenate([vectors, extra[:, None]], axis=1)
+    def build(cls, vectors: np.ndarray, ids: np.ndarray, largest: float) -> tuple[Graph, np.ndarray]:
+        """The graph, and the given rows in order of insertion. ids seed the levels; largest: greatest squared norm."""
         u = (mixed(ids.astype(np.uint64), 11) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
         level = np.minimum((-np.log(u) / np.log(LINKS)).astype(np.int64), 8)
-        nodes, links = [], []
-        for at in range(int(level.max()) + 1):
-            chosen = np.flatnonzero(level >= at)
-            nodes.append(chosen)
-            near = _links(points[chosen], LINKS * (2 if at == 0 else 1))
-            links.append(np.where(near >= 0, chosen[near], -1))
-            if len(chosen) <= LINKS:
-                break
-        return cls(vectors, nodes, links)
-
-    def search(self, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Node numbers (-1: none) and inner products of the k best found for every query, best first."""
-        entry = np.repeat(self.nodes[-1][None, :16], len(queries), axis=0)
-        for at in range(len(self.nodes) - 1, -1, -1):
-            of = np.full(len(self.vectors), -1, dtype=np.int64)
-            of[self.nodes[at]] = np.arange(len(self.nodes[at]))
-            found, score = self._beam(queries, entry, of, self.links[at], beam if at == 0 else 16)
-            entry = found
-        return found[:, :k], score[:, :k]
-
-    def _beam(self, queries: np.ndarray, entry: np.ndarray, of: np.ndarray, links: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        n, width = len(queries), max(beam, entry.shape[1])
-        seen = np.zeros((n, len(self.vectors) + 1), dtype=bool)  # the last place stands for "none"
+        order = np.lexsort((mixed(ids.astype(np.uint64), 12), -level))
+        count = [int((level >= at).sum()) for at in range(int(level.max()) + 1)]
+        graph = cls(vectors[order], largest, [np.full((n, LINKS + (BACK_ABOVE if at else BACK)), -1, dtype=np.int32) for at, n in enumerate(count)])
+        far = [np.full((n, x.shape[1] - LINKS), np.inf, dtype=np.float32) for n, x in zip(count, graph.links, strict=True)]
+        begin = 1
+        while begin < len(order):
+            end = min(len(order), begin + min(BATCH, begin))
+            batch = graph.points[begin:end]
+            entry = np.zeros((len(batch), 1), dtype=np.int64)
+            for at in range(len(count) - 1, -1, -1):
+                members = max(0, min(end, count[at]) - begin)
+                entry, score = graph._beam(batch, entry, at, min(begin, count[at]), BUILD_BEAM if members else 8)
+                if members:
+                    own = graph._choose(begin, members, entry[:members], score[:members])
+                    graph.links[at][begin : begin + members, :LINKS] = own
+                    graph._link_back(at, begin, own, far[at])
+            begin = end
+        return graph, order
+
+    def search(self, queries: np.ndarray, k: int, beam: int = BEAM) -> np.ndarray:
+        """Node numbers (-1: none) of the k best found for every query, best first."""
+        queries = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        entry = np.zeros((len(queries), 1), dtype=np.int64)
+        for at in range(len(self.links) - 1, -1, -1):
+            entry, _ = self._beam(queries, entry, at, len(self.links[at]), 8 if at else max(beam, k))
+        return entry[:, :k]
+
+    def _scores(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Row by row, larger for nearer: half of what a query's square is above the squared distance."""
+        return np.einsum("nd,nd->n", queries, self.points[nodes]) - self.half[nodes]
+
+    def _beam(self, queries: np.ndarray, entry: np.ndarray, at: int, size: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest nodes found on a level of ``size`` nodes so far, and their scores, best first."""
+        n, width, links = len(queries), max(beam, entry.shape[1]), self.links[at]
+        seen = np.zeros((n, size + 1), dtype=bool)  # the last place stands for "none"
+        place = np.zeros((n, size + 1), dtype=np.int16)
         node = np.full((n, width), -1, dtype=np.int64)
-        node[:, : entry.shape[1]] = entry
         score = np.full((n, width), -np.inf, dtype=np.float32)
-        score[:, : entry.shape[1]] = np.where(entry >= 0, np.einsum("qd,qkd->qk", queries, self.vectors[entry]), -np.inf)
+        row, column = np.nonzero(entry >= 0)
+        node[:, : entry.shape[1]] = entry
+        score[row, column] = self._scores(queries[row], entry[row, column])
         np.put_along_axis(seen, entry, True, axis=1)
         done = node < 0
         active = np.arange(n)
-        while len(active):
-            open_score = np.where(done[active], -np.inf, score[active])
-            pick = np.argpartition(-open_score, STEP - 1, axis=1)[:, :STEP]
-            live = np.take_along_axis(open_score, pick, axis=1) > -np.inf
+        step = min(STEP, width)
+        while True:
+            waiting = np.where(done[active], -np.inf, score[active])
+            pick = np.argpartition(-waiting, step - 1, axis=1)[:, :step]
+            live = np.take_along_axis(waiting, pick, axis=1) > -np.inf
             going = live.any(axis=1)
             active, pick, live = active[going], pick[going], live[going]
             if not len(active):
                 break
             rows = active[:, None]
             done[rows, pick] |= live
-            near = links[np.where(live, of[node[rows, pick]], 0)]
-            near = np.where(live[:, :, None], near, -1).reshape(len(active), -1)
-            new = ~seen[rows, near] & (near >= 0)
-            # A node that two of the picked ones share is taken once.
-            order = np.argsort(near, axis=1, kind="stable")
-            ordered = np.take_along_axis(near, order, axis=1)
-            again = np.zeros_like(new)
-            np.put_along_axis(again, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], axis=1)
-            new &= ~again
+            near = np.where(live[:, :, None], links[node[rows, pick]], -1).reshape(len(active), -1)
+            # A node that two of the picked ones share is taken once: at the last place that names it.
+            places = np.arange(near.shape[1], dtype=np.int16)
+            place[rows, near] = places
+            row, column = np.nonzero((near >= 0) & ~seen[rows, near] & (place[rows, near] == places))
             seen[rows, near] = True
-            value = np.einsum("qd,qkd->qk", queries[active], self.vectors[near])
-            value = np.where(new, value, -np.inf)
-            all_score = np.concatenate([score[active], value], axis=1)
-            all_node = np.concatenate([node[active], np.where(new, near, -1)], axis=1)
-            all_done = np.concatenate([done[active], ~new], axis=1)
-            best = np.argpartition(-all_score, width - 1, axis=1)[:, :width]
-            score[active] = np.take_along_axis(all_score, best, axis=1)
-            node[active] = np.take_along_axis(all_node, best, axis=1)
-            done[active] = np.take_along_axis(all_done, best, axis=1)
+            new = near[row, column]
+            # New ones in one block, as wide as the longest list.
+            per = np.bincount(row, minlength=len(active))
+            slot = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+            found = np.full((len(active), int(per.max())), -np.inf, dtype=np.float32)
+            found[row, slot] = self._scores(queries[active[row]], new)
+            name = np.full(found.shape, -1, dtype=np.int64)
+            name[row, slot] = new
+            scores = np.concatenate([score[active], found], axis=1)
+            best = np.argpartition(-scores, width - 1, axis=1)[:, :width]
+            score[active] = np.take_along_axis(scores, best, axis=1)
+            node[active] = np.take_along_axis(np.concatenate([node[active], name], axis=1), best, axis=1)
+            done[active] = np.take_along_axis(np.concatenate([done[active], name < 0], axis=1), best, axis=1)
         order = np.argsort(-score, axis=1, kind="stable")
         return np.take_along_axis(node, order, axis=1), np.take_along_axis(score, order, axis=1)
 
+    def _choose(self, begin: int, members: int, found: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """LINKS neighbours of each of the nodes begin, begin + 1, ...: those nearer to it than to a nearer one first."""
+        own = self.points[begin : begin + members]
+        between = own @ own.T - self.half[begin : begin + members]
+        np.fill_diagonal(between, -np.inf)
+        mates = np.argpartition(-between, min(LINKS, members) - 1, axis=1)[:, :LINKS]
+        node = np.concatenate([found, np.where(np.take_along_axis(between, mates, 1) > -np.inf, mates + begin, -1)], axis=1)
+        score = np.concatenate([score, np.take_along_axis(between, mates, 1)], axis=1)
+        best = np.argsort(-score, axis=1, kind="stable")[:, : 2 * LINKS + 8]
+        node, score = np.take_along_axis(node, best, 1), np.take_along_axis(score, best, 1)
+        out = np.full((members, LINKS), -1, dtype=np.int32)
+        for lo in range(0, members, 128):
+            c, near = node[lo : lo + 128], score[lo : lo + 128]
+            x, half = self.points[c], self.half[c]
+            # Squared distances, halved, without the node's own square: to the node, and between candidates.
+            to_node = self.half[begin + lo : begin + lo + len(c), None] - near
+            apart = half[:, :, None] + half[:, None, :] - x @ x.transpose(0, 2, 1)
+            kept, closest = np.zeros(c.shape, dtype=bool), np.full(c.shape, np.inf, dtype=np.float32)
+            for j in range(c.shape[1]):
+                kept[:, j] = (to_node[:, j] <= closest[:, j]) & (c[:, j] >= 0)
+                closest = np.where(kept[:, j][:, None], np.minimum(closest, apart[:, j, :]), closest)
+            # Room that these leave goes to the nearest others.
+            first = np.argsort(~kept + 2 * (c < 0), axis=1, kind="stable")[:, :LINKS]
+            out[lo : lo + 128, : first.shape[1]] = np.take_along_axis(c, first, 1)
+        return out
 
-def _nearest(points: np.ndarray, n: int) -> np.ndarray:
-    """Each point's n nearest others, nearest first, exactly, in blocks."""
-    squares = np.einsum("ij,ij->i", points, points)
-    out = np.empty((len(points), n), dtype=np.int64)
-    for at in range(0, len(points), 512):
-        block = points[at : at + 512]
-        d = squares[None, :] - 2 * (block @ points.T)
-        d[np.arange(len(block)), np.arange(at, at + len(block))] = np.inf
-        near = np.argpartition(d, n - 1, axis=1)[:, :n] if n < d.shape[1] else np.argsort(d, axis=1)[:, :n]
-        out[at : at + 512] = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, axis=1), axis=1, kind="stable"), axis=1)
-    return out
-
-
-def _links(points: np.ndarray, most: int) -> np.ndarray:
-    """Neighbour lists, padded with -1."""
-    if len(points) == 1:
-        return np.full((1, 1), -1, dtype=np.int64)
-    n = min(NEAR, len(points) - 1)
-    near = _nearest(points, n)
-    own = np.zeros((len(points), n), dtype=bool)
-    for at in range(0, len(points), 512):
-        c = near[at : at + 512]
-        x = points[c]
-        to_base = ((x - points[at : at + 512][:, None, :]) ** 2).sum(-1)
-        sq = np.einsum("ijk,ijk->ij", x, x)
-        between = sq[:, :, None] + sq[:, None, :] - 2 * (x @ x.transpose(0, 2, 1))
-        kept = np.zeros(c.shape, dtype=bool)
-        closest = np.full(c.shape, np.inf, dtype=np.float32)
-        for j in range(n):
-            kept[:, j] = to_base[:, j] <= closest[:, j]
-            closest = np.where(kept[:, j][:, None], np.minimum(closest, between[:, j, :]), closest)
-        # Room that diverse neighbours leave goes to the nearest others.
-        rank = np.argsort(np.argsort(~kept, axis=1, kind="stable"), axis=1, kind="stable")
-        own[at : at + 512] = rank < max(1, most // 2)
-    a = np.repeat(np.arange(len(points)), own.sum(1))
-    b = near[own]
-    pair = np.unique(np.concatenate([a * len(points) + b, b * len(points) + a]))
-    a, b = pair // len(points), pair % len(points)
-    first = np.searchsorted(a, np.arange(len(points)))
-    place = np.arange(len(a)) - first[a]
-    width = 2 * most
-    out = np.full((len(points), width), -1, dtype=np.int64)
-    fits = place < width
-    out[a[fits], place[fits]] = b[fits]
-    return out
+    def _link_back(self, at: int, begin: int, own: np.ndarray, far: np.ndarray) -> None:
+        """Nodes that were chosen link back to the choosers as far as these are among their nearest."""
+        row, column = np.nonzero(own >= 0)
+        to, by = own[row, column], begin + row
+        distance = self.half[to] - self._scores(self.points[by], to)  # half the squared distance, less the same for all of one node
+        distance = distance + self.half[by] - self.half[to]
+        order = np.lexsort((distance, to))
+        to, by, distance = to[order], by[order], distance[order]
+        chosen, first, count = np.unique(to, return_index=True, return_counts=True)
+        slot = np.arange(len(to)) - np.repeat(first, count)
+        width = far.shape[1]
+        fits = slot < width
+        place = np.repeat(np.arange(len(chosen)), count)[fits]
+        new, name = np.full((len(chosen), width), np.inf, dtype=np.float32), np.full((len(chosen), width), -1, dtype=np.int32)
+        new[place, slot[fits]], name[place, slot[fits]] = distance[fits], by[fits]
+        new, name = np.concatenate([far[chosen], new], axis=1), np.concatenate([self.links[at][chosen, LINKS:], name], axis=1)
+        best = np.argpartition(new, width - 1, axis=1)[:, :width]
+        far[chosen], self.links[at][chosen, LINKS:] = np.take_along_axis(new, best, 1), np.take_along_axis(name, best, 1)
 
 
 def usable(embedding: Column, id_: Column) -> Column:
-    """Rows that take part, but for the length of the vector."""
+    """Rows that take part."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return id_.isNotNull() & embedding.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(embedding, lambda x: x != 0)
 
@@ -169,83 +191,98 @@ def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(kind)
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, beam: int = BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest found to every row whose id is divisible by ``every``."""
-    v, i = F.col(vector_col).cast("array<double>"), F.col(id_col).cast("long")
-    rows = vectors.filter(usable(v, i)).select(i.alias("id"), v.alias("v"))
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").take(1)
-    rows = rows.filter(F.size("v") == (lengths[0].n if lengths else 0))
-
-    # Fold equal vectors, in two steps so that no task gets all rows of one vector.
-    salted = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    few = salted.withColumn("r", F.dense_rank().over(Window.partitionBy("v", "s").orderBy("id"))).filter(F.col("r") <= k + 1)
-    folded = few.groupBy("v").agg(F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"))
-    nodes = written(folded.select(F.col("ids")[0].alias("node"), "v", "ids"), "nodes")
-    total = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("largest")).first()
-    shards, largest = max(1, -(-total.n // shard_rows)), total.largest or 0.0
-
-    def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        ids = table.column("node").to_numpy()
-        graph = Graph.build(_matrix(table.column("v"), np.float32), ids, largest)
-        pack = lambda xs: b"".join(x.astype(np.int32).tobytes() for x in xs)
-        return pa.table(
-            {
-                "shard": table.column("shard")[:1],
-                "ids": pa.array([ids.tobytes()], pa.binary()),
-                "vectors": pa.array([_matrix(table.column("v"), np.float64).tobytes()], pa.binary()),
-                "sizes": pa.array([[len(x) for x in graph.nodes]], pa.list_(pa.int32())),
-                "widths": pa.array([[x.shape[1] for x in graph.links]], pa.list_(pa.int32())),
-                "levels": pa.array([pack(graph.nodes)], pa.binary()),
-                "links": pa.array([pack(graph.links)], pa.binary()),
-            }
-        )
-
-    dealt = nodes.select(F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "v")
-    index = written(dealt.groupBy("shard").applyInArrow(build, "shard int, ids binary, vectors binary, sizes array<int>, widths array<int>, levels binary, links binary"), "index")
+_INDEX = "n int, shard int, largest double, ids binary, vectors binary, sizes array<int>, widths array<int>, links binary"
 
-    asked = rows.filter(F.col("id") % every == 0)
-    distinct = asked.groupBy("v").agg(F.min("id").alias("query"))
-    questions = written(distinct, "queries")
-    blocks = max(1, -(-questions.count() // query_block))
-    in_blocks = questions.select("query", "v", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"))
-    to_shards = in_blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    to_blocks = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
+def _build(table: pa.Table) -> pa.Table:
+    ids, largest = table.column("node").to_numpy(), table.column("largest")[0].as_py()
+    exact = _matrix(table.column("v"), np.float64)
+    graph, order = Graph.build(exact.astype(np.float32), ids, largest)
+    one = lambda x, kind: pa.array([x], kind)
+    return pa.table(
+        {
+            "n": table.column("n")[:1],
+            "shard": table.column("shard")[:1],
+            "largest": one(largest, pa.float64()),
+            "ids": one(ids[order].tobytes(), pa.binary()),
+            "vectors": one(exact[order].tobytes(), pa.binary()),
+            "sizes": one([len(x) for x in graph.links], pa.list_(pa.int32())),
+            "widths": one([x.shape[1] for x in graph.links], pa.list_(pa.int32())),
+            "links": one(b"".join(x.tobytes() for x in graph.links), pa.binary()),
+        }
+    )
+
+
+def _searcher(k: int, beam: int):
     def look(graphs: pa.Table, wanted: pa.Table) -> pa.Table:
         empty = pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not len(graphs) or not len(wanted):
             return empty
-        get = lambda c, kind: np.frombuffer(graphs.column(c)[0].as_py(), dtype=kind)
-        ids = get("ids", np.int64)
-        exact = get("vectors", np.float64).reshape(len(ids), -1)
-        sizes, widths = graphs.column("sizes")[0].as_py(), graphs.column("widths")[0].as_py()
-        cut = np.cumsum([0, *sizes])
-        levels = [get("levels", np.int32)[a:b].astype(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        cut = np.cumsum([0, *(s * w for s, w in zip(sizes, widths, strict=True))])
-        links = [get("links", np.int32)[a:b].astype(np.int64).reshape(s, w) for a, b, s, w in zip(cut[:-1], cut[1:], sizes, widths, strict=True)]
-        graph = Graph(exact.astype(np.float32), levels, links)
-        out = []
+        get = lambda c: graphs.column(c)[0].as_py()
+        ids = np.frombuffer(get("ids"), dtype=np.int64)
+        exact = np.frombuffer(get("vectors"), dtype=np.float64).reshape(len(ids), -1)
+        flat, at, links = np.frombuffer(get("links"), dtype=np.int32), 0, []
+        for size, width in zip(get("sizes"), get("widths"), strict=True):
+            links.append(flat[at : at + size * width].reshape(size, width))
+            at += size * width
+        graph, out = Graph(exact.astype(np.float32), get("largest"), links), []
         query, q = wanted.column("query").to_numpy(), _matrix(wanted.column("v"), np.float64)
-        for at in range(0, len(query), 256):
-            part = q[at : at + 256]
-            found, _ = graph.search(part.astype(np.float32), 2 * (k + 1), beam)
-            score = np.where(found >= 0, (part[:, None, :] * exact[found]).sum(-1), -np.inf)
+        for at in range(0, len(query), BATCH):
+            part = q[at : at + BATCH]
+            found = graph.search(part, 2 * (k + 1), beam)
+            score = np.where(found >= 0, np.einsum("qd,qkd->qk", part, exact[found]), -np.inf)
             node = np.where(found >= 0, ids[found], np.iinfo(np.int64).max)
             best = np.lexsort((node, -score), axis=1)[:, : k + 1]
             score, node = np.take_along_axis(score, best, 1), np.take_along_axis(node, best, 1)
             on = score > -np.inf
-            out.append(pa.table({"query": np.repeat(query[at : at + 256], on.sum(1)), "node": node[on], "score": score[on]}))
-        return pa.concat_tables(out) if out else empty
+            out.append(pa.table({"query": np.repeat(query[at : at + BATCH], on.sum(1)), "node": node[on], "score": score[on]}))
+        return pa.concat_tables(out)
+
+    return look
+
+
+def _folded(rows: DataFrame, most: int) -> DataFrame:
+    """node (its least id), v, ids (its ``most`` least ids) of every different vector of rows (id, v, h: a hash of v).
+
+    Vectors whose hash occurs once need no folding; the others are folded in two steps, so that no task
+    gets all rows of one vector.
+    """
+    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select(F.col("h").alias("_h"))
+    single = rows.join(repeated, F.col("h") == F.col("_h"), "left_anti").select(F.col("id").alias("node"), "v", F.array("id").alias("ids"))
+    salted = rows.join(repeated, F.col("h") == F.col("_h"), "left_semi").withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    few = salted.withColumn("r", F.dense_rank().over(Window.partitionBy("v", "s").orderBy("id"))).filter(F.col("r") <= most)
+    folded = few.groupBy("v").agg(F.slice(F.sort_array(F.collect_set("id")), 1, most).alias("ids"))
+    return single.unionByName(folded.select(F.col("ids")[0].alias("node"), "v", "ids"))
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, beam: int = BEAM) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest found to every row whose id is divisible by ``every``."""
+    v, i = F.col(vector_col).cast("array<double>"), F.col(id_col).cast("long")
+    plus_zero = F.transform(v, lambda x: x + F.lit(0.0))  # -0.0 is 0.0, for the hash too
+    rows = written(vectors.filter(usable(F.col(vector_col), i)).select(i.alias("id"), plus_zero.alias("v")).withColumn("h", F.xxhash64("v")), "vectors")
+    nodes = written(_folded(rows, k + 1).withColumn("n", F.size("v")), "nodes")
+    norm = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    lengths = nodes.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), norm.alias("largest"))
+    dealt = nodes.join(lengths, "n").select("n", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int").alias("shard"), "largest", "node", "v")
+    index = written(dealt.groupBy("n", "shard").applyInArrow(_build, _INDEX), "index")
+
+    asked = rows.filter(F.col("id") % every == 0)
+    questions = written(asked.groupBy("v").agg(F.min("id").alias("query")).withColumn("n", F.size("v")), "queries")
+    blocks = questions.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks"))
+    in_blocks = questions.join(blocks, "n").join(lengths.select("n", "shards"), "n").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
+    to_shards = in_blocks.select("n", "block", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "query", "v")
+    to_blocks = index.join(blocks, "n").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["n", "shard", "block"]
+    hits = to_blocks.groupBy(*keys).cogroup(to_shards.groupBy(*keys)).applyInArrow(_searcher(k, beam), "query long, node long, score double")
 
-    hits = to_blocks.groupBy("shard", "block").cogroup(to_shards.groupBy("shard", "block")).applyInArrow(look, "query long, node long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     best = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
-    opened = best.join(nodes.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("id"))
+    opened = best.join(nodes.select("node", "ids", "n"), "node")
+    opened = opened.join(questions.select("query", F.col("n").alias("_n")), "query").filter("n = _n").select("query", "score", F.explode("ids").alias("id"))
     ranked = opened.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)
     lists = ranked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("found"))
     # Queries with one vector share a list, from which each takes out itself.
-    answers = asked.select("id", "v").distinct().join(questions, "v").join(lists, "query")
+    answers = asked.select("id", "v").distinct().join(questions.select("v", "query"), "v").join(lists, "query")
     own = F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, k)
     out = answers.select(F.col("id").alias("query_id"), F.posexplode(own).alias("p", "x"))
     return out.select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -59,3 +59,28 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest_neighbours(df).collect()] == [(0, 1, 1, 4.0)]
     assert ann.nearest_neighbours(df.limit(0)).count() == 0
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(2)
+    three, two = rows(rng, 40, 3), [(100 + i, v) for i, v in rows(rng, 39, 2)]
+    df = spark.createDataFrame([(*r, "x", 0) for r in three + two], "vec_id long, embedding array<float>, node string, n int").repartition(3)
+    got = found(ann.nearest_neighbours(df))
+    want = brute(three, 20, 20) | brute(two, 20, 20)
+    assert len(want) == 4 and {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
+def test_graph_by_insertion():
+    """Every node reaches the graph, levels are prefixes of the order of insertion, and a search finds what is near."""
+    x = np.random.default_rng(3).normal(size=(3000, 24))
+    ids, largest = np.arange(3000) * 7, float((x * x).sum(1).max())
+    graph, order = ann.Graph.build(x.astype(np.float32), ids, largest)
+    assert sorted(order.tolist()) == list(range(3000)) and len(graph.links[0]) == 3000
+    assert len(graph.links) > 1 and all(len(a) > len(b) for a, b in zip(graph.links, graph.links[1:]))
+    for links in graph.links:
+        assert links.max() < len(links) and (links[1:, 0] >= 0).all()
+        assert (links != np.arange(len(links))[:, None]).all()
+    got = graph.search(x[order][:200], 10)
+    scores = x[order][:200] @ x[order].T
+    want = np.argsort(-scores, axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(got.tolist(), want.tolist())]) >= 0.95
