@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from haplolake.functions.columns import safe_div
 from haplolake.operators.intervals import interval_join
 from haplolake.operators.relational import mean_where, members_of, not_members_of
+from haplolake.sources.scratch import stored
 
 
 def usable_phase(phase: DataFrame, min_maf: float = 0.348, min_samples: int = 10, haplotype: str = "Haplotype", maf: str = "MAF", samples: str = "sample_count") -> DataFrame:
@@ -36,6 +37,7 @@ def merge_lanes(df: DataFrame, key: Sequence[str], values: Sequence[str], sample
 
     n_lanes (sample, lanes) says how many lanes a sample has; else they are counted in df.
     """
+    df = stored(df, "lanes") if n_lanes is None else df
     lanes = n_lanes if n_lanes is not None else df.groupBy(sample).agg(F.count_distinct(lane).alias("lanes"))
     sums = df.groupBy(*key, sample).agg(*(F.sum(v).alias(v) for v in values))
     return sums.join(lanes.select(sample, "lanes"), sample).select(*key, sample, *(safe_div(v, "lanes").alias(v) for v in values))
@@ -49,6 +51,7 @@ def rollup_to_gene(sites: DataFrame, exons: DataFrame, chrom: str = "chr", pos:
     if multiplicity not in ("row", "site"):
         raise ValueError("multiplicity is 'row' or 'site'")
     # Sites repeat over samples: find their genes once, then join the counts.
+    sites = stored(sites, "sites")
     places = sites.select(chrom, pos).distinct().withColumn("_end", F.col(pos))
     hits = interval_join(places, exons.select(chrom, "start", "end", gene), [chrom], (pos, "_end"), block=block).select(chrom, pos, F.col(f"r_{gene}").alias(gene))
     found = hits.groupBy(chrom, pos, gene).agg(F.count(F.lit(1)).alias("_times")) if multiplicity == "row" else hits.distinct().withColumn("_times", F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.functions.columns import order_rank, rounded_even, tokens_other_than
-from haplolake.operators.relational import groups_with_one_value, widen
+from haplolake.operators.relational import single_values, widen
 
 ROLES = ("A", "B", "c1", "c2")
 FAMILY = ("generation", "family", "family_ids", "MN_info", "event", "rupt_time", "chr")
@@ -57,7 +57,7 @@ def split_events(profile: DataFrame, columns: Sequence[str] | None = None, order
 
 def uniform_families(profile: DataFrame, by: Sequence[str] = ("family",), label: str = "affected") -> DataFrame:
     """Families that have one label over all regions, whichever it is, with it (DOM39)."""
-    return groups_with_one_value(profile, by, label).select(*by, label).distinct()
+    return single_values(profile, by, label)
 
 
 def in_role_order(df: DataFrame, role: str = "relationship", roles: Sequence[str] = ROLES, then: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplolake.functions.columns import midpoint
@@ -62,9 +62,9 @@ def make_bins(features: DataFrame, size: int, region: str = "chr", end: str = "e
     """
     lengths = features.groupBy(region).agg(F.max(end).cast("long").alias("_len")).filter("_len IS NOT NULL")
     counted = lengths.withColumn("_n", F.greatest(F.lit(1), F.floor(F.col("_len") / size)))
-    before = counted.select(F.col(region).alias("_r"), F.col("_n").alias("_m"))
-    # Regions are few: each adds the bins of those before it.
-    offset = counted.join(F.broadcast(before), F.col("_r") < F.col(region), "left").groupBy(region, "_len", "_n").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
+    # One row a region: a running sum gives the bins of those before it.
+    earlier = Window.orderBy(region).rowsBetween(Window.unboundedPreceding, -1)
+    offset = counted.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     rows = offset.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     last = F.when(F.col("_i") == F.col("_n") - 1, F.col("_len")).otherwise((F.col("_i") + 1) * size)
     out = rows.select((F.col("_before") + F.col("_i") + 1).cast("long").alias("bin"), region, (F.col("_i") * size).cast("long").alias("start"), last.cast("long").alias("end"))

@@ -1,4 +1,8 @@
-"""Aggregation of matrices to bins, chromosomes and arms by capped inverse-variance weights."""
+"""Aggregation of matrices to bins, chromosomes and arms by capped inverse-variance weights.
+
+The rows (feature, region, sample, value) behind the weights and the means are stored once; so is the one
+row a feature from which the cap is taken.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,8 @@ from pyspark.sql import functions as F
 
 from haplolake.functions.columns import merge_labels, safe_div
 from haplolake.operators.intervals import interval_join, label_overlaps, make_bins
-from haplolake.operators.relational import members_of, variance_where, weighted_mean, with_scalar
+from haplolake.operators.relational import exact_quantile, members_of, variance_where, weighted_mean
+from haplolake.sources.scratch import stored
 
 CAP = 0.95
 
@@ -19,9 +24,10 @@ def invvar_weights(rows: DataFrame, samples: DataFrame, key: Sequence[str], q: f
     finite weights outside the excluded regions (DOM13). A variance of 0 gets the cap."""
     var = rows.join(samples, sample).groupBy(*dict.fromkeys([*key, region])).agg(variance_where(value, control).alias("_v"))
     raw = var.withColumn("_w", F.when(F.col("_v").isNull(), F.lit(0.0)).otherwise(safe_div(F.lit(1.0), "_v")))  # null only at variance 0
-    top = raw.filter(~F.col(region).isin(*exclude) & F.col("_w").isNotNull()).agg(F.percentile("_w", q).alias("_cap"))
+    raw = stored(raw, "weights")
+    cap = F.lit(exact_quantile(raw.filter(~F.col(region).isin(*exclude)), "_w", q)).cast("double")
     # least() skips nulls, so an infinite weight becomes the cap; without any finite weight, all infinite ones are equal.
-    return with_scalar(raw, top).select(*dict.fromkeys([*key, region]), F.coalesce(F.least("_w", "_cap"), F.lit(1.0)).alias("weight"))
+    return raw.select(*dict.fromkeys([*key, region]), F.coalesce(F.least(F.col("_w"), cap), F.lit(1.0)).alias("weight"))
 
 
 def _weighted(rows: DataFrame, weights: DataFrame, key: Sequence[str], by: Sequence[str], sample: str, value: str) -> DataFrame:
@@ -31,7 +37,7 @@ def _weighted(rows: DataFrame, weights: DataFrame, key: Sequence[str], by: Seque
 
 def agg_by_chr(matrix: DataFrame, features: DataFrame, samples: DataFrame, simple_for: Sequence[str] = (), q: float = CAP, exclude: Sequence[str] = ("chrX",), region: str = "chr", feature: str = "feature_id", sample: str = "sample_id", value: str = "value", control: str = "is_control") -> DataFrame:
     """region, sample, value: weighted mean of a region's features; plain mean in the ``simple_for`` regions (DOM16, AG8)."""
-    rows = matrix.select(feature, sample, value).join(features.select(feature, region), feature)
+    rows = stored(matrix.select(feature, sample, value).join(features.select(feature, region), feature), "region-rows")
     weights = invvar_weights(rows, samples, [feature], q, exclude, region, sample, value, control)
     out = _weighted(rows, weights, [feature], [region], sample, value)
     return out.select(region, sample, F.when(F.col(region).isin(*simple_for), F.col("_plain")).otherwise(F.col(value)).alias(value) if simple_for else value)
@@ -44,7 +50,7 @@ def agg_by_bin(matrix: DataFrame, features: DataFrame, samples: DataFrame, size:
     """
     bins = make_bins(features, size, region)
     placed = interval_join(bins, features.select(region, feature, "start", "end"), [region], block=size, prefix="r_").select("bin", region, F.col(f"r_{feature}").alias(feature))
-    rows = placed.join(matrix.select(feature, sample, value), feature)
+    rows = stored(placed.join(matrix.select(feature, sample, value), feature), "bin-rows")
     weights = invvar_weights(rows, samples, [feature, "bin"], q, exclude, region, sample, value, control)
     out = _weighted(rows, weights, [feature, "bin"], ["bin"], sample, value).select("bin", sample, value)
     grid = bins.crossJoin(samples.select(sample).distinct())
@@ -55,7 +61,7 @@ def agg_by_arm(matrix: DataFrame, features: DataFrame, arms: DataFrame, samples:
     """arm, sample, value, split regions joined again first; features in no arm are left out, those in two count in each (DOM17)."""
     joined = features.withColumn(region, merge_labels(region, split, whole))
     placed = label_overlaps(joined.select(feature, region, "start", "end"), arms.select(region, "start", "end", "arm"), [region]).filter("r_arm IS NOT NULL")
-    rows = matrix.select(feature, sample, value).join(placed.select(feature, region, F.col("r_arm").alias("arm")), feature)
+    rows = stored(matrix.select(feature, sample, value).join(placed.select(feature, region, F.col("r_arm").alias("arm")), feature), "arm-rows")
     weights = invvar_weights(rows, samples, [feature, "arm"], q, exclude, region, sample, value, control)
     out = _weighted(rows, weights, [feature, "arm"], ["arm"], sample, value)
     return out.select("arm", sample, F.when(F.col("arm").isin(*simple_for), F.col("_plain")).otherwise(F.col(value)).alias(value) if simple_for else value)

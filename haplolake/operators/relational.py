@@ -5,6 +5,7 @@ Every function takes and returns DataFrames and names its columns by parameters.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,13 +76,37 @@ def weighted_mean(value: Column | str, weight: Column | str) -> Column:
 
 def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), approximate: bool = False) -> DataFrame:
     """Linear-interpolation quantiles per group, one column per name; approximate ones on request, for huge groups (AG9, AG10, RP8)."""
-    pick = (lambda s: F.percentile_approx(value, s, 100_000)) if approximate else (lambda s: F.percentile(value, s))
-    return df.groupBy(*by).agg(*(pick(s).alias(name) for name, s in shares.items()))
+    wanted = F.array(*map(F.lit, shares.values()))
+    found = F.percentile_approx(value, wanted, 100_000) if approximate else F.percentile(value, wanted)
+    return df.groupBy(*by).agg(found.alias("_q")).select(*by, *(F.col("_q")[i].alias(name) for i, name in enumerate(shares)))
+
+
+def exact_quantile(df: DataFrame, value: str, share: float, accuracy: int = 10_000) -> float | None:
+    """Linear-interpolation quantile of a column, nulls skipped, without one task or buffer that holds all values; None if there are none.
+
+    An approximate quantile gives two bounds around the place; only values between them (four in ``accuracy``)
+    meet. Should the bounds miss the place, as they may for few values, all values do. Reads df three times,
+    so give a stored table.
+    """
+    v = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    bounds = [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)]
+    n, cuts, least, most = v.agg(F.count(F.lit(1)), F.percentile_approx("v", bounds, accuracy), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    place = (n - 1) * share
+    low, high = math.floor(place), math.ceil(place)
+    for a, b in (tuple(cuts), (least, most)):
+        below, inside = v.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
+        if below <= low and high < below + inside:
+            break
+    near = v.filter(F.col("v").between(a, b)).agg(F.sort_array(F.collect_list("v")).alias("s"))
+    x, y = near.select(F.col("s")[low - below], F.col("s")[high - below]).first()
+    return x + (y - x) * (place - low)
 
 
 def five_numbers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers (extremes within 1.5 interquartile ranges) per group (AG21)."""
-    q = df.groupBy(*by).agg(*(F.percentile(value, s).alias(n) for n, s in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     joined = df.join(q, list(by))
     inside = F.when(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach), F.col(value))
@@ -152,9 +177,17 @@ def keep_ranked(df: DataFrame, key: Sequence[str], order: Sequence[Column], rank
 
 def groups_with_one_value(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Rows of groups that hold exactly one distinct value; a null is a value of its own (AG20, WN9)."""
-    w = Window.partitionBy(*by)
-    n = F.size(F.collect_set(value).over(w)) + F.max(F.col(value).isNull().cast("int")).over(w)
-    return df.withColumn("_n", n).filter("_n = 1").drop("_n")
+    one = single_values(df, by, value).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & df[c].eqNullSafe(one[f"_k{i}"])
+    return df.join(one, same, "left_semi")
+
+
+def single_values(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, value of the groups that hold exactly one distinct value; a null is a value of its own. Counted without keeping the values."""
+    sums = df.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(value).alias("_given"), F.count(F.lit(1)).alias("_all"))
+    return sums.filter("_given = 0 OR (_given = _all AND _low = _high)").select(*by, F.col("_low").alias(value))
 
 
 def fill_from_group(df: DataFrame, by: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

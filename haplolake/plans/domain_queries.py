@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,18 +12,19 @@ from haplolake.operators import allelic, annotate, expression, families, interva
 from haplolake.operators.relational import members_of
 from haplolake.plans.registry import query, rounded
 from haplolake.plans.roles import HALF, N_REGIONS, SKIP, Roles, X, tail_sql, with_roles
+from haplolake.sources.scratch import stored
 
 _R = "round({}, 6)".format
 _RATIO = "SELECT m.f, m.s, v / NULLIF(mu, 0) AS x FROM m LEFT JOIN (SELECT f, AVG(v) AS mu FROM m JOIN smp USING (s) WHERE c GROUP BY f) USING (f)"
 
 
-def _weights(rows: str, key: str) -> dict[str, str]:
-    """CTEs: capped inverse-variance weights of rows (key, g, s, x)."""
+def _weights(rows: str, key: str, w: str = "w") -> dict[str, str]:
+    """CTEs: capped inverse-variance weights of rows (key, g, s, x); the last is named w."""
     return {
-        "w0": f"SELECT {key}, g, VAR_SAMP(x) FILTER (WHERE c) AS vv FROM {rows} JOIN smp USING (s) GROUP BY ALL",
-        "w1": f"SELECT {key}, g, CASE WHEN vv IS NULL THEN 0 WHEN vv > 0 THEN 1 / vv END AS w FROM w0",
-        "cap": f"SELECT QUANTILE_CONT(w, 0.95) AS cap FROM w1 WHERE g <> '{X}'",
-        "w": f"SELECT {key}, g, LEAST(w, cap) AS w FROM w1, cap",
+        f"{w}0": f"SELECT {key}, g, VAR_SAMP(x) FILTER (WHERE c) AS vv FROM {rows} JOIN smp USING (s) GROUP BY ALL",
+        f"{w}1": f"SELECT {key}, g, CASE WHEN vv IS NULL THEN 0 WHEN vv > 0 THEN 1 / vv END AS w FROM {w}0",
+        f"{w}c": f"SELECT QUANTILE_CONT(w, 0.95) AS cap FROM {w}1 WHERE g <> '{X}'",
+        w: f"SELECT {key}, g, LEAST(w, cap) AS w FROM {w}1, {w}c",
     }
 
 
@@ -39,14 +42,14 @@ def _hour_counts(r: Roles) -> DataFrame:
 _QC = {
     "hc": "SELECT user_id AS s, CASE WHEN event_type IN ('error', 'signup') THEN 'N_' || event_type ELSE CAST(hour(ts) AS VARCHAR) END AS f, COUNT(*) AS n FROM events GROUP BY ALL",
     "q": "SELECT s, COALESCE(SUM(n) FILTER (WHERE f = 'N_error'), 0) AS e, COALESCE(SUM(n) FILTER (WHERE f = 'N_signup'), 0) AS u, COALESCE(SUM(n) FILTER (WHERE f NOT LIKE 'N_%'), 0) AS g,"
-    " COUNT(*) FILTER (WHERE f NOT LIKE 'N_%' AND n >= 1) AS th1, COUNT(*) FILTER (WHERE f NOT LIKE 'N_%' AND n >= 5) AS th5, COUNT(*) FILTER (WHERE f NOT LIKE 'N_%' AND n >= 10) AS th10 FROM hc WHERE s % 7 <> 0 GROUP BY s",
+    " COUNT(*) FILTER (WHERE f NOT LIKE 'N_%' AND n >= 1) AS th1, COUNT(*) FILTER (WHERE f NOT LIKE 'N_%' AND n >= 5) AS th5, COUNT(*) FILTER (WHERE f NOT LIKE 'N_%' AND n >= 10) AS th10 FROM hc WHERE s + 40 IN (SELECT c_custkey FROM customer) GROUP BY s",
 }
 
 
 @query("dom01_qc_profile", with_roles("SELECT s AS sample_id, round_even(100.0 * e / (e + u + g), 0) AS \"N_error\", round_even(100.0 * u / (e + u + g), 0) AS \"N_signup\", round_even(100.0 * g / (e + u + g), 0) AS \"geneCounts\", th1, th5, th10, CAST(e + u + g AS DOUBLE) AS \"totalReads\" FROM q", **_QC))
 def dom01(r: Roles) -> DataFrame:
     counts = _hour_counts(r)
-    annotated = r.table("events").filter(F.col("user_id") % 7 != 0).select(F.col("user_id").alias("sample_id"))
+    annotated = r.table("customer").select((F.col("c_custkey") - 40).alias("sample_id"))
     return qc.qc_profile(counts, annotated, counters=("N_error", "N_signup"))
 
 
@@ -325,26 +328,31 @@ _ALPHA = 0.2
 _CENTERS = {("a", X): 0.23, ("b", HALF): 2.0}
 
 
-def _state_sql(h: str, center: str) -> str:
-    return f"CASE WHEN p1{h} >= {_ALPHA} THEN 'normal' WHEN h{h} > {center} THEN 'gain' WHEN h{h} < {center} THEN 'loss' END AS one_{h}, CASE WHEN p2a IS NULL OR p2b IS NULL THEN 'missing' WHEN p2{h} >= {_ALPHA} THEN 'full gain' ELSE 'intermediate' END AS two_{h}"
+def _state_sql(h: str, center: str, alpha: float) -> str:
+    return f"CASE WHEN p1{h} >= {alpha} THEN 'normal' WHEN h{h} > {center} THEN 'gain' WHEN h{h} < {center} THEN 'loss' END AS one_{h}, CASE WHEN p2a IS NULL OR p2b IS NULL THEN 'missing' WHEN p2{h} >= {alpha} THEN 'full gain' ELSE 'intermediate' END AS two_{h}"
 
 
 def _combined(h: str) -> str:
     return f"CASE WHEN one_{h} = 'loss' AND h{h} < th THEN '0' WHEN one_{h} = 'loss' AND h{h} > th THEN '1-' WHEN one_{h} = 'gain' AND two_{h} = 'full gain' THEN '2' WHEN one_{h} = 'gain' THEN '1+' WHEN one_{h} = 'normal' THEN '1' ELSE '.' END AS st{h}"
 
 
-_CALLS = {
-    "an": _ANEU,
-    **_PV,
-    "th": "SELECT QUANTILE_CONT(an, 0.95) AS th FROM an WHERE cn = 0",
-    "c1": f"SELECT *, {_state_sql('a', f'(CASE g WHEN {chr(39)}{X}{chr(39)} THEN 0.23 ELSE 1 END)')}, {_state_sql('b', f'(CASE g WHEN {chr(39)}{HALF}{chr(39)} THEN 2 ELSE 1 END)')} FROM pv, th WHERE p1a IS NOT NULL AND p1b IS NOT NULL",
-    "calls": f"SELECT *, {_combined('a')}, {_combined('b')} FROM c1 WHERE one_a IS NOT NULL AND one_b IS NOT NULL",
-}
+def _calls_sql(alpha: float) -> dict[str, str]:
+    centers = {"a": f"(CASE g WHEN '{X}' THEN 0.23 ELSE 1 END)", "b": f"(CASE g WHEN '{HALF}' THEN 2 ELSE 1 END)"}
+    return {
+        "an": _ANEU,
+        **_PV,
+        "th": "SELECT QUANTILE_CONT(an, 0.95) AS th FROM an WHERE cn = 0",
+        "c1": f"SELECT *, {_state_sql('a', centers['a'], alpha)}, {_state_sql('b', centers['b'], alpha)} FROM pv, th WHERE p1a IS NOT NULL AND p1b IS NOT NULL",
+        "calls": f"SELECT *, {_combined('a')}, {_combined('b')} FROM c1 WHERE one_a IS NOT NULL AND one_b IS NOT NULL",
+    }
 
 
-def _calls(r: Roles) -> DataFrame:
+_CALLS = _calls_sql(_ALPHA)
+
+
+def _calls(r: Roles, alpha: float | None = _ALPHA) -> DataFrame:
     threshold = states.full_loss_threshold(reference.reference_aneuploid(r.values, r.labelled, r.controls)[0])
-    return states.call_states(_tested(r), threshold, _ALPHA, N_REGIONS, _CENTERS)
+    return states.call_states(_tested(r), threshold, alpha, N_REGIONS, _CENTERS)
 
 
 @query("dom30_32_states", with_roles("SELECT s AS sample_id, g AS chr, one_a AS cn1_a, one_b AS cn1_b, two_a AS cn2_a, two_b AS cn2_b, sta AS state_a, stb AS state_b FROM calls", "rv", "lb", "smp", **_CALLS))
@@ -352,6 +360,12 @@ def dom30(r: Roles) -> DataFrame:
     return _calls(r).select("sample_id", "chr", "cn1_a", "cn1_b", "cn2_a", "cn2_b", "state_a", "state_b")
 
 
+@query("dom30_32_states_default", with_roles("SELECT s AS sample_id, g AS chr, one_a AS cn1_a, one_b AS cn1_b, two_a AS cn2_a, two_b AS cn2_b, sta AS state_a, stb AS state_b FROM calls", "rv", "lb", "smp", **_calls_sql(0.05 / (2 * N_REGIONS))))
+def dom30_default(r: Roles) -> DataFrame:
+    """At the operator's own significance, .05 over twice the number of regions."""
+    return _calls(r, None).select("sample_id", "chr", "cn1_a", "cn1_b", "cn2_a", "cn2_b", "state_a", "state_b")
+
+
 # ---- families
 
 _KEYS = ("generation", "family", "rupt_time", "chr")
@@ -410,7 +424,7 @@ def dom38_normal(r: Roles) -> DataFrame:
     return families.split_events(_affected(r), ["family", "chr", "cn_pattern"])[1]
 
 
-@query("dom39_uniform_families", with_roles("SELECT family, MAX(affected) AS affected FROM aff WHERE chr <= 'Brand#10' GROUP BY family HAVING COUNT(DISTINCT affected) = 1", "rv", "lb", "smp", "fam", **_PROFILE))
+@query("dom39_uniform_families", with_roles("SELECT family, MAX(affected) AS affected FROM aff GROUP BY family HAVING COUNT(DISTINCT affected) = 1", "rv", "lb", "smp", "fam", **_PROFILE))
 def dom39(r: Roles) -> DataFrame:
     return families.uniform_families(_affected(r))
 
@@ -458,13 +472,66 @@ def dom41(r: Roles) -> DataFrame:
 
 @query("dom42_finalise", with_roles(
     "SELECT COALESCE(j.key, q.key) AS key, nation, NULLIF(mark, '') AS mark, a, b, n FROM (SELECT COALESCE(x.key, y.key) AS key, CASE WHEN x.here THEN x.nation ELSE y.nation END AS nation, mark, a, b FROM x FULL JOIN y ON x.key IS NOT DISTINCT FROM y.key AND x.nation IS NOT DISTINCT FROM y.nation) j FULL JOIN q ON j.key IS NOT DISTINCT FROM q.key",
-    x="SELECT TRUE AS here, 'k' || s_suppkey AS key, NULLIF(s_nationkey, 3) AS nation, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'm' END AS mark, s_acctbal AS a FROM supplier WHERE s_suppkey % 2 = 0",
-    y="SELECT 'k' || s_suppkey AS key, NULLIF(s_nationkey, 3) AS nation, s_acctbal * 2 AS b FROM supplier WHERE s_suppkey % 3 = 0",
-    q="SELECT 'k' || l_suppkey AS key, COUNT(*) AS n FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY ALL"))
+    x="SELECT TRUE AS here, 'k' || s_suppkey AS key, NULLIF(s_nationkey, 3) AS nation, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'm' END AS mark, s_acctbal AS a FROM supplier",
+    y="SELECT 'k' || (c_custkey + 3) AS key, NULLIF(c_nationkey, 3) AS nation, c_acctbal * 2 AS b FROM customer",
+    q="SELECT 'k' || (l_suppkey + 7) AS key, COUNT(*) AS n FROM lineitem GROUP BY ALL"))
 def dom42(r: Roles) -> DataFrame:
     s = r.table("supplier").withColumns({"id": F.concat(F.lit("k"), F.col("s_suppkey").cast("string")), "nation": F.nullif("s_nationkey", F.lit(3))})
-    x = s.filter("s_suppkey % 2 = 0").select(F.concat("id", F.lit("_")).alias("key"), "nation", F.when(F.col("s_suppkey") % 3 == 0, "").otherwise("m").alias("mark"), F.col("s_acctbal").alias("a"))
-    y = s.filter("s_suppkey % 3 = 0").select(F.col("id").alias("key"), "nation", (F.col("s_acctbal") * 2).alias("b"))
-    n = r.table("lineitem").filter("l_suppkey % 7 <> 0").groupBy(F.concat(F.lit("k"), F.col("l_suppkey").cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    x = s.select(F.concat("id", F.lit("_")).alias("key"), "nation", F.when(F.col("s_suppkey") % 3 == 0, "").otherwise("m").alias("mark"), F.col("s_acctbal").alias("a"))
+    y = r.table("customer").select(F.concat(F.lit("k"), (F.col("c_custkey") + 3).cast("string")).alias("key"), F.nullif("c_nationkey", F.lit(3)).alias("nation"), (F.col("c_acctbal") * 2).alias("b"))
+    n = r.table("lineitem").groupBy(F.concat(F.lit("k"), (F.col("l_suppkey") + 7).cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     order = s.select(F.col("id").alias("key"), (-F.col("s_suppkey")).alias("place"))
     return annotate.finalise_annotation(x, y, n, "key", order, "place", ["key", "nation", "mark", "a", "b", "n"])
+
+
+# ---- the analysis from end to end
+
+
+class Analysis(Roles):
+    """Roles whose controls and region values come out of the stages before: quality, control selection, ratio,
+    adjustment, regions. Each stage's result is stored (SRC15); references, tests, states and families build on it."""
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        counts = self.table("lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("feature_id")).agg(F.sum("l_linenumber").alias("count"))
+        cells = self.table("supplier").select(F.col("s_suppkey").alias("sample_id"), F.concat(F.lit("c"), (F.col("s_suppkey") % 6 + 1).cast("string")).alias("key_pairs"))
+        chosen = qc.select_controls(cells, qc.qc_profile(counts, cells, counters=()), measure="th5", above=3)
+        return stored(cells.join(chosen.withColumn("_c", F.lit(True)), "sample_id", "left").select("sample_id", F.coalesce("_c", F.lit(False)).alias("is_control")), "samples")
+
+    @cached_property
+    def values(self) -> DataFrame:
+        adjusted = expression.adjust_by_invvar(expression.ratio_to_controls(self.matrix, self.samples), self.samples)
+        tpm = regions.agg_by_chr(adjusted, self.features, self.samples, exclude=(X,))
+        fractions = self.alleles.select("feature_id", "sample_id", F.col("af").alias("value"))
+        af = regions.agg_by_chr(fractions, self.features, self.samples, (X,), exclude=(X,))
+        return stored(regions.haplotype_expression(tpm, af, ["sample_id", "chr"]), "region-values")
+
+
+_CHAIN = {
+    "hc": "SELECT l_suppkey AS s, l_partkey AS f, SUM(l_linenumber) AS n FROM lineitem GROUP BY ALL",
+    "smp": "SELECT s_suppkey AS s, COALESCE(th5, 0) > 3 AND s_suppkey % 6 < 3 AS c FROM supplier LEFT JOIN (SELECT s, COUNT(*) FILTER (WHERE n >= 5) AS th5 FROM hc GROUP BY s) t ON s = s_suppkey",
+    "r": _RATIO,
+    "v0": _IVW,
+    "iw": "SELECT f, COALESCE(1 / NULLIF(vv, 0), 0) AS w FROM v0",
+    "k": f"SELECT s, {_WMEAN} AS k FROM r JOIN iw USING (f) GROUP BY s",
+    "rg": "SELECT r.f, r.s, g, x / NULLIF(k, 0) AS x FROM r LEFT JOIN k USING (s) JOIN ft ON ft.f = r.f",
+    **_weights("rg", "f"),
+    "rt": f"SELECT g, s, {_WMEAN} AS tpm FROM rg JOIN w USING (f, g) GROUP BY ALL",
+    "ag": "SELECT f, s, g, af AS x FROM al JOIN ft USING (f)",
+    **_weights("ag", "f", "aw"),
+    "rf": f"SELECT g, s, CASE WHEN g = '{X}' THEN AVG(x) ELSE {_WMEAN} END AS af FROM ag JOIN aw USING (f, g) GROUP BY g, s",
+    "rv": "SELECT rt.s, rt.g, tpm, af, 2 * tpm * af AS ha, 2 * tpm * (1 - af) AS hb FROM rt JOIN rf ON rt.s = rf.s AND rt.g = rf.g",
+}
+
+
+@query("analysis_values", with_roles(f"SELECT s AS sample_id, g AS chr, {_R('tpm')} AS tpm, {_R('af')} AS af, {_R('ha')} AS hap_a, {_R('hb')} AS hap_b, c AS is_control FROM rv JOIN smp USING (s)", "m", "ft", "al", **_CHAIN))
+def analysis_values(r: Roles) -> DataFrame:
+    """Region values of all samples, from counts on, with the controls that quality control chose."""
+    a = Analysis(r.spark, r.folder)
+    return rounded(a.values.join(a.samples, "sample_id").select("sample_id", "chr", "tpm", "af", "hap_a", "hap_b", "is_control"), "tpm", "af", "hap_a", "hap_b")
+
+
+@query("analysis_families", with_roles("SELECT family, chr, cn_pattern, pattern_a, pattern_b, affected FROM aff", "m", "ft", "al", "lb", "fam", **_CHAIN, **_PROFILE))
+def analysis_families(r: Roles) -> DataFrame:
+    """Patterns and affected haplotype of every family and region, from counts on, through all stages."""
+    return _affected(Analysis(r.spark, r.folder)).select("family", "chr", "cn_pattern", "pattern_a", "pattern_b", "affected")

@@ -52,18 +52,18 @@ def rp04(r: Roles) -> DataFrame:
 
 
 @query("rp05_control_distribution", with_roles(
-    f"SELECT s AS sample_id, g AS chr, hap, {_R(_SCALE)} AS value, 'control' AS kind FROM q JOIN smp USING (s), xf WHERE c UNION ALL SELECT s, g, hap, {_R(_SCALE)}, CASE WHEN role IN ('A', 'B') THEN 'related' ELSE 'unrelated' END FROM q JOIN fam USING (s), xf WHERE family = 3", "rv", "smp", "fam", q=_LONG, xf=_XF))
+    f"SELECT s AS sample_id, g AS chr, hap, {_R(_SCALE)} AS value, 'control' AS kind, CAST(NULL AS BIGINT) AS family FROM q JOIN smp USING (s), xf WHERE c UNION ALL SELECT s, g, hap, {_R(_SCALE)}, CASE WHEN role IN ('A', 'B') THEN 'related' ELSE 'unrelated' END, family FROM q JOIN fam USING (s), xf", "rv", "smp", "fam", q=_LONG, xf=_XF))
 def rp05(r: Roles) -> DataFrame:
     families = r.family.select("sample_id", "family", F.col("relationship").isin("A", "B").alias("related"))
     return rounded(reports.control_distribution(r.values, r.controls, families, x=X, half=HALF).select("sample_id", "chr", "hap", "value", "kind", "family"), "value")
 
 
-_REVIEW = "SELECT family, g AS chr, generation, rupt AS rupture, CASE (family + len(g)) % 3 WHEN 0 THEN 'defect' WHEN 1 THEN 'partial defect' ELSE 'no defect' END AS interpretation, CASE WHEN family % 2 = 0 THEN 'A' ELSE 'B' END AS mn_hap, concat_ws(' ', '2', CAST(family % 3 AS VARCHAR)) AS pattern FROM (SELECT DISTINCT family, generation, rupt FROM fam) CROSS JOIN (SELECT DISTINCT g FROM ft WHERE g < 'Brand#15')"
+_REVIEW = "SELECT family, g AS chr, generation, rupt AS rupture, CASE (family + len(g)) % 3 WHEN 0 THEN 'defect' WHEN 1 THEN 'partial defect' ELSE 'no defect' END AS interpretation, CASE WHEN family % 2 = 0 THEN 'A' ELSE 'B' END AS mn_hap, concat_ws(' ', '2', CAST(family % 3 AS VARCHAR)) AS pattern FROM (SELECT DISTINCT family, generation, rupt FROM fam) CROSS JOIN (SELECT DISTINCT g FROM ft)"
 
 
 def _review(r: Roles) -> DataFrame:
     fam = r.family.select("family", "generation", F.col("rupt_time").alias("rupture")).distinct()
-    rows = fam.crossJoin(r.features.filter("chr < 'Brand#15'").select("chr").distinct())
+    rows = fam.crossJoin(r.features.select("chr").distinct())
     kind = F.element_at(F.array(F.lit("defect"), F.lit("partial defect"), F.lit("no defect")), ((F.col("family") + F.length("chr")) % 3 + 1).cast("int"))
     return rows.withColumns({"interpretation": kind, "mn_hap": F.when(F.col("family") % 2 == 0, "A").otherwise("B"), "pattern": F.concat_ws(" ", F.lit("2"), (F.col("family") % 3).cast("string"))})
 

@@ -5,9 +5,13 @@ Each frame has a SQL twin of the same content, from which the queries' twins are
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haplolake.sources.scratch import stored
+
 X, HALF = "Brand#25", "Brand#10"
 SKIP = (X, HALF)
 N_REGIONS = 25
@@ -63,15 +67,15 @@ class Roles:
         sums = self.sites.groupBy("feature_id", "sample_id").agg(a.alias("a"), b.alias("b"))
         return sums.withColumns({"af": F.try_divide(F.col("a"), F.col("a") + F.col("b")), "tc": F.col("a") + F.col("b")})
 
-    @property
+    @cached_property
     def values(self) -> DataFrame:
-        """sample_id, chr, tpm, af, hap_a, hap_b: region values near 1."""
+        """sample_id, chr, tpm, af, hap_a, hap_b: region values near 1, stored once for all that a query builds on them."""
         rows = self.table("lineitem").join(self.features, F.col("l_partkey") == F.col("feature_id"))
         flag = lambda x: F.sum(F.when(F.col("l_returnflag") == x, F.col("l_quantity")).otherwise(0.0))
         sums = rows.groupBy(F.col("l_suppkey").alias("sample_id"), "chr").agg(F.sum("l_extendedprice").alias("t"), flag("A").alias("qa"), flag("R").alias("qr"))
         means = sums.groupBy("chr").agg(F.avg("t").alias("mean_t"))
         out = sums.join(means, "chr").select("sample_id", "chr", (F.col("t") / F.col("mean_t")).alias("tpm"), F.try_divide(F.col("qa"), F.col("qa") + F.col("qr")).alias("af"))
-        return out.withColumns({"hap_a": 2 * F.col("tpm") * F.col("af"), "hap_b": 2 * F.col("tpm") * (1 - F.col("af"))})
+        return stored(out.withColumns({"hap_a": 2 * F.col("tpm") * F.col("af"), "hap_b": 2 * F.col("tpm") * (1 - F.col("af"))}), "region-values")
 
     @property
     def labelled(self) -> DataFrame:

@@ -265,3 +265,16 @@ def test_running_counts_over_arriving_files(spark, tmp_path):
         assert {r.sample_id: r.totalReads for r in got.collect()} == {"s0": 12, "s1": 9, "s2": 10}
     finally:
         q.stop()
+
+
+def test_exact_quantile(spark):
+    import numpy as np
+
+    rng = random.Random(1)
+    for n, accuracy in ((0, 100), (1, 100), (7, 100), (500, 20), (5000, 100)):
+        values = [rng.choice([rng.random(), 0.5, None]) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        given = [v for v in values if v is not None]
+        for share in (0.0, 0.05, 0.5, 0.95, 1.0):
+            got = relational.exact_quantile(df, "v", share, accuracy)
+            assert got is None if not given else got == pytest.approx(float(np.quantile(given, share)), abs=1e-12)
