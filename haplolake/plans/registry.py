@@ -31,5 +31,4 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-
 from haplolake.plans import domain_queries, primitive_queries, report_queries  # noqa: E402, F401  they register themselves
