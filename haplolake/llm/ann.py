@@ -38,7 +38,7 @@ SHARD_ROWS, QUERY_BLOCK = 16_384, 8_192
 #: Links that a node chooses on a level; nearest ones that it accepts back, on the lowest level and above.
 LINKS, BACK, BACK_ABOVE = 24, 48, 24
 BATCH, BUILD_BEAM, BEAM, STEP = 512, 48, 112, 6
-SALTS = 16
+SALTS, MOST_TASKS = 16, 100_000
 
 
 class Graph:
@@ -91,14 +91,13 @@ class Graph:
     def _beam(self, queries: np.ndarray, entry: np.ndarray, at: int, size: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest nodes found on a level of ``size`` nodes so far, and their scores, best first."""
         n, width, links = len(queries), max(beam, entry.shape[1]), self.links[at]
-        seen = np.zeros((n, size + 1), dtype=bool)  # the last place stands for "none"
-        place = np.zeros((n, size + 1), dtype=np.int16)
+        seen, place = np.zeros(n * size, dtype=bool), np.empty(n * size, dtype=np.int32)  # of every query and node
         node = np.full((n, width), -1, dtype=np.int64)
         score = np.full((n, width), -np.inf, dtype=np.float32)
         row, column = np.nonzero(entry >= 0)
         node[:, : entry.shape[1]] = entry
         score[row, column] = self._scores(queries[row], entry[row, column])
-        np.put_along_axis(seen, entry, True, axis=1)
+        seen[row * size + entry[row, column]] = True
         done = node < 0
         active = np.arange(n)
         step = min(STEP, width)
@@ -112,17 +111,22 @@ class Graph:
                 break
             rows = active[:, None]
             done[rows, pick] |= live
-            near = np.where(live[:, :, None], links[node[rows, pick]], -1).reshape(len(active), -1)
-            # A node that two of the picked ones share is taken once: at the last place that names it.
-            places = np.arange(near.shape[1], dtype=np.int16)
-            place[rows, near] = places
-            row, column = np.nonzero((near >= 0) & ~seen[rows, near] & (place[rows, near] == places))
-            seen[rows, near] = True
-            new = near[row, column]
+            near = links[node[rows, pick][live]]
+            owner = np.repeat(np.repeat(np.arange(len(active)), live.sum(1)), near.shape[1])
+            some = near.reshape(-1) >= 0
+            owner, new = owner[some], near.reshape(-1)[some]
+            spot = active[owner] * size + new
+            fresh = ~seen[spot]
+            owner, new, spot = owner[fresh], new[fresh], spot[fresh]
+            # A node that two of the picked ones share is taken once.
+            place[spot] = np.arange(len(spot))
+            once = place[spot] == np.arange(len(spot))
+            row, new, spot = owner[once], new[once], spot[once]
+            seen[spot] = True
             # New ones in one block, as wide as the longest list.
             per = np.bincount(row, minlength=len(active))
             slot = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
-            found = np.full((len(active), int(per.max())), -np.inf, dtype=np.float32)
+            found = np.full((len(active), int(per.max(initial=0))), -np.inf, dtype=np.float32)
             found[row, slot] = self._scores(queries[active[row]], new)
             name = np.full(found.shape, -1, dtype=np.int64)
             name[row, slot] = new
@@ -263,8 +267,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col:
     nodes = written(_folded(rows, k + 1).withColumn("n", F.size("v")), "nodes")
     norm = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     lengths = nodes.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), norm.alias("largest"))
+    # A shard is much work from few bytes: a number of tasks is given, so that Spark does not join small ones.
+    tasks = min(MOST_TASKS, 2 * (lengths.agg(F.sum("shards")).first()[0] or 1))
     dealt = nodes.join(lengths, "n").select("n", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int").alias("shard"), "largest", "node", "v")
-    index = written(dealt.groupBy("n", "shard").applyInArrow(_build, _INDEX), "index")
+    index = written(dealt.repartition(tasks, "n", "shard").groupBy("n", "shard").applyInArrow(_build, _INDEX), "index")
 
     asked = rows.filter(F.col("id") % every == 0)
     questions = written(asked.groupBy("v").agg(F.min("id").alias("query")).withColumn("n", F.size("v")), "queries")
