@@ -181,6 +181,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         for batch in batches:
             for part in slices(batch, "_text", SLICE_BYTES):
                 row, feature, value = _rows_of(part)
+                order = np.lexsort((value, feature, row))  # the same list whatever rows share its batch
+                feature, value = feature[order], value[order]
                 at = pa.array(offsets_of(np.bincount(row, minlength=len(part))), pa.int32())
                 lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (feature.astype(np.int16), value.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), *lists], names=["id", "label", "feature", "value"])

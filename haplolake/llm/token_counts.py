@@ -7,7 +7,8 @@ two levels (within blocks of neighbouring lengths, then over the blocks), so no
 one block, or more rows than there are blocks.
 
 Defined cases: a null text has 0 tokens and counts as a document, like the empty text; a null group
-value is a group of its own; an empty table gives an empty histogram; repeated rows all count.
+value is a group of its own; an empty table gives an empty histogram; repeated rows all count; other
+columns are not carried, and a group column that bears the name of a result column is an error.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from haplolake.llm.storage import written
 
 #: Neighbouring lengths that one window of the suffix sums spans.
 BLOCK = 1024
+#: Columns of the result of context_limits.
+LIMITS = ("n_tokens", "n_docs", "tokens", "docs_at_least", "tokens_at_least", "truncated_total", "corpus_tokens", "share_that_fits")
 
 
 def token_lengths(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,8 +60,11 @@ def length_histogram(docs: DataFrame, path: str, text_col: str = "text", by: str
 def context_limits(histogram: DataFrame, by: str | None = None, block: int = BLOCK) -> DataFrame:
     """For every length that occurs, as a context limit: documents and tokens at least that long, the
     total if all documents are cut there, and the share of documents that fit whole (quantile)."""
-    keys = [by] if by else []
-    histogram = written(histogram, "lengths")  # read twice below, and far smaller than the corpus behind it
+    if by in LIMITS:
+        raise ValueError(f"the group column may not be named {by}")
+    keys = ["_key"] if by else []
+    named = histogram.select(F.col(by).alias("_key"), "n_tokens", "n_docs") if by else histogram.select("n_tokens", "n_docs")
+    histogram = written(named, "lengths")  # read twice below, and far smaller than the corpus behind it
     h = histogram.withColumns({"_block": F.floor(F.col("n_tokens") / block), "tokens": F.col("n_tokens") * F.col("n_docs")})
     later = Window.partitionBy(*keys, F.lit(0)).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys, F.lit(0))
@@ -69,7 +75,7 @@ def context_limits(histogram: DataFrame, by: str | None = None, block: int = BLO
     j = h.join(blocks, on).select(h["*"], *(blocks[f"{c}_{x}"] for c in ("_d", "_t") for x in ("later", "all")))
     docs_ge, tokens_ge = F.sum("n_docs").over(own) + F.col("_d_later"), F.sum("tokens").over(own) + F.col("_t_later")
     return j.select(
-        *keys,
+        *(F.col(k).alias(by) for k in keys),
         "n_tokens",
         "n_docs",
         "tokens",
