@@ -2,7 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
 last return the columns of ``documents``. A table is written between stages, so each can start again
-from its predecessor's rows.
+from its predecessor's rows; it is dropped when the next one is complete.
+
+Defined cases, for every stage: further columns go, whatever their names; an empty table stays empty.
+Rows with a null id are documents of their own; rows that share an id are judged by their own texts, and
+rows that repeat id and text are one document to the near-duplicate stage, which keeps one. A null or
+empty text gets a score, and the rules drop it, since it has too few words. Texts of any length are taken
+whole; null language, source and size pass through.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 
 from haplolake.llm import minhash, packing, quality_classifier, quality_rules, suffix_dedup
 from haplolake.llm.queries import VOCABULARY
-from haplolake.llm.storage import written
+from haplolake.llm.storage import drop, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
