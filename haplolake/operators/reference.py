@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.functions.columns import normal_two_sided, safe_div
@@ -57,6 +57,27 @@ def reference_aneuploid(values: DataFrame, labelled: DataFrame, controls: DataFr
     return wide, stack_labelled(wide, [sample, "cn", region], {"aneuploid": "aneuploid", "normal": "normal"}, "hap", "vals")
 
 
+def _mean_and_sd(value: str, names: tuple[str, str], where: Column | None = None, na: str = "propagate") -> list[Column]:
+    """Mean and sample deviation over the rows that meet a condition; both null if one of them holds a null, unless na is "skip"."""
+    taken = F.lit(True) if where is None else where
+    chosen = F.when(taken, F.col(value))
+    clean = F.lit(True) if na == "skip" else F.count(chosen) == F.count_if(taken)
+    return [F.when(clean, f(chosen)).alias(n) for f, n in zip((F.avg, F.stddev_samp), names, strict=True)]
+
+
+def _z(value: str, names: tuple[str, str]) -> Column:
+    return safe_div(F.col(value) - F.col(names[0]), names[1])
+
+
+def _tested(values: DataFrame, reference: DataFrame, by: Sequence[str], groups: Mapping[str, Column], tests: Mapping[str, tuple[str, str]], ref_value: str) -> DataFrame:
+    """Adds a p for every test (value column, group): all groups' statistics come from one aggregation and one join."""
+    names = {g: (f"_mean_{g}", f"_sd_{g}") for g in groups}
+    stats = reference.groupBy(*by).agg(*(c for g, where in groups.items() for c in _mean_and_sd(ref_value, names[g], where)))
+    joined = values.join(stats, list(by), "left") if by else values.crossJoin(F.broadcast(stats))  # one row
+    out = joined.withColumns({f"_z_{p}": _z(value, names[g]) for p, (value, g) in tests.items()})
+    return out.select(*values.columns, *(normal_two_sided(f"_z_{p}").alias(p) for p in tests))
+
+
 def ztest(values: DataFrame, reference: DataFrame, by: Sequence[str] = (), value: str = "value", ref_value: str = "vals", na: str = "propagate", name: str = "p") -> DataFrame:
     """Adds z and the two-sided p of every value against its reference group (DOM24-27).
 
@@ -65,37 +86,31 @@ def ztest(values: DataFrame, reference: DataFrame, by: Sequence[str] = (), value
     """
     if na not in ("propagate", "skip"):
         raise ValueError("na is 'propagate' or 'skip'")
-    clean = F.count(ref_value) == F.count(F.lit(1))
-    keep = (lambda c: F.when(clean, c)) if na == "propagate" else (lambda c: c)
-    stats = reference.groupBy(*by).agg(keep(F.avg(ref_value)).alias("_mean"), keep(F.stddev_samp(ref_value)).alias("_sd"))
+    names = ("_mean", "_sd")
+    stats = reference.groupBy(*by).agg(*_mean_and_sd(ref_value, names, na=na))
     joined = values.join(stats, list(by), "left") if by else values.crossJoin(F.broadcast(stats))  # one row
-    out = joined.withColumn(f"{name}_z", safe_div(F.col(value) - F.col("_mean"), "_sd"))
-    return out.withColumn(name, normal_two_sided(f"{name}_z")).drop("_mean", "_sd")
+    return joined.withColumn(f"{name}_z", _z(value, names)).withColumn(name, normal_two_sided(f"{name}_z")).drop(*names)
 
 
 def unspecific_p(values: DataFrame, reference: DataFrame, value: str = "tpm", numbers: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """p1, p2, p3: values against all reference totals of one copy number (DOM25)."""
-    for cn in numbers:
-        values = ztest(values, reference.filter(F.col("cn") == cn), value=value, name=f"p{cn}").drop(f"p{cn}_z")
-    return values
+    groups = {f"cn{n}": F.col("cn") == n for n in numbers}
+    return _tested(values, reference, [], groups, {f"p{n}": (value, f"cn{n}") for n in numbers}, "vals")
 
 
 def region_p(values: DataFrame, reference: DataFrame, skip: Sequence[str] = ("chrX", "chr10b"), region: str = "chr", a: str = "hap_a", b: str = "hap_b") -> DataFrame:
     """p1_a, p1_b, p2_a, p2_b: haplotypes against their own CN 1 values and against the joint CN 2 values of their region (DOM26).
 
-    No CN 2 test in the skipped regions. Each is one grouped-statistics join, without a loop over regions.
+    No CN 2 test in the skipped regions.
     """
-    for hap, c in (("A", a), ("B", b)):
-        own = reference.filter((F.col("hap") == hap) & (F.col("cn") == 1))
-        both = reference.filter((F.col("hap") == "A&B") & (F.col("cn") == 2) & ~F.col(region).isin(*skip))
-        values = ztest(values, own, [region], c, name=f"p1_{hap.lower()}").drop(f"p1_{hap.lower()}_z")
-        values = ztest(values, both, [region], c, name=f"p2_{hap.lower()}").drop(f"p2_{hap.lower()}_z")
-    return values
+    one = F.col("cn") == 1
+    groups = {"a": (F.col("hap") == "A") & one, "b": (F.col("hap") == "B") & one, "both": (F.col("hap") == "A&B") & (F.col("cn") == 2) & ~F.col(region).isin(*skip)}
+    tests = {"p1_a": (a, "a"), "p2_a": (a, "both"), "p1_b": (b, "b"), "p2_b": (b, "both")}
+    return _tested(values, reference, [region], groups, tests, "vals")
 
 
 def arm_p(values: DataFrame, controls: DataFrame, sample: str = "sample_id", arm: str = "arm", a: str = "hap_a", b: str = "hap_b") -> DataFrame:
     """p_a, p_b: haplotypes against the controls' values of the same arm and haplotype (DOM27)."""
-    own = members_of(values, controls, [sample])
-    for hap, c in (("a", a), ("b", b)):
-        values = ztest(values, own.select(arm, F.col(c).alias("vals")), [arm], c, name=f"p_{hap}").drop(f"p_{hap}_z")
-    return values
+    own = stack_labelled(members_of(values, controls, [sample]), [arm], {"a": a, "b": b}, "hap", "vals")
+    groups = {h: F.col("hap") == h for h in "ab"}
+    return _tested(values, own, [arm], groups, {"p_a": (a, "a"), "p_b": (b, "b")}, "vals")

@@ -137,6 +137,23 @@ def test_arm_of_a_feature_across_the_centromere(spark):
     assert set(got) == {("10p", "s"), ("10p", "t"), ("10q", "s"), ("10q", "t")} and got["10p", "t"] == 3
 
 
+def test_joint_tests_equal_single_ones(spark):
+    """All p-values from one aggregation, nulls in a group included, as from one z-test each."""
+    values = spark.createDataFrame([("g", 1.0, 2.5, 1.2), ("g", None, 1.0, 0.9), ("n", 1.0, 1.5, 1.1), ("x", 0.5, 0.7, 1.0)], "chr string, hap_a double, hap_b double, tpm double")
+    rows = [(r, cn, h, v) for r in ("g", "x") for cn, h, vs in ((1, "A", (1.0, 1.2, 0.7)), (1, "B", (0.9, 1.4, 1.0)), (2, "A&B", (2.0, 2.2, 1.7)), (None, None, (9.0, 8.0))) for v in vs]
+    rows += [("n", 1, "A", 1.0), ("n", 1, "A", None), ("n", 1, "A", 1.3), ("n", 1, "B", 1.0)]
+    ref = spark.createDataFrame(rows, "chr string, cn int, hap string, vals double")
+    near = lambda p: None if p is None else round(p, 9)
+    got = reference.region_p(values, ref, ("x",)).collect()
+    for name, hap, cn, column in (("p1_a", "A", 1, "hap_a"), ("p1_b", "B", 1, "hap_b"), ("p2_a", "A&B", 2, "hap_a"), ("p2_b", "A&B", 2, "hap_b")):
+        own = ref.filter((F.col("hap") == hap) & (F.col("cn") == cn) & ((F.col("chr") != "x") | (F.col("cn") == 1)))
+        want = {(r.chr, r.tpm): near(r.p) for r in reference.ztest(values, own, ["chr"], column).collect()}
+        assert {(r.chr, r.tpm): near(r[name]) for r in got} == want
+    by_cn = reference.unspecific_p(values, ref, numbers=(1, 2)).collect()
+    want = {(r.chr, r.tpm): near(r.p) for r in reference.ztest(values, ref.filter("cn = 2"), value="tpm").collect()}
+    assert {(r.chr, r.tpm): near(r.p2) for r in by_cn} == want and all(r.p1 is None for r in by_cn)
+
+
 def test_ztest_nulls(spark):
     ref = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 1.0), ("b", None), ("b", 2.0), ("c", 5.0)], "g string, vals double")
     v = spark.createDataFrame([("a", 2.0), ("b", 2.0), ("c", 5.0), ("d", 1.0), ("a", None)], "g string, value double")
