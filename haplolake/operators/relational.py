@@ -164,10 +164,16 @@ def with_group_total(df: DataFrame, value: str, by: Sequence[str], name: str = "
 
 
 def with_group_zscore(df: DataFrame, value: str, by: Sequence[str], prefix: str = "") -> DataFrame:
-    """Group mean, sample deviation and absolute z-score of every row (WN4)."""
-    w = Window.partitionBy(*by)
-    out = df.withColumns({f"{prefix}mean": F.avg(value).over(w), f"{prefix}sd": F.stddev_samp(value).over(w)})
-    return out.withColumn(f"{prefix}z", F.abs(safe_div(F.col(value) - F.col(f"{prefix}mean"), f"{prefix}sd")))
+    """Group mean, sample deviation and absolute z-score of every row (WN4); null keys are a group.
+
+    Statistics are pre-aggregated and joined back, so a group's rows need not meet in one task.
+    """
+    mean, sd = f"{prefix}mean", f"{prefix}sd"
+    stats = df.groupBy(*by).agg(F.avg(value).alias(mean), F.stddev_samp(value).alias(sd))
+    keys = [f"_k{i}" for i in range(len(by))]
+    stats = stats.withColumnsRenamed(dict(zip(by, keys, strict=True)))
+    out = df.join(stats, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys, strict=True)]).drop(*keys)
+    return out.withColumn(f"{prefix}z", F.abs(safe_div(F.col(value) - F.col(mean), sd)))
 
 
 def keep_ranked(df: DataFrame, key: Sequence[str], order: Sequence[Column], rank: int = 1) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from haplolake.operators.reference import reference_aneuploid, reference_haplotype
 from haplolake.operators.relational import stack_labelled
 from haplolake.plans import reports
-from haplolake.plans.domain_queries import _ANEU, _HAP
+from haplolake.plans.domain_queries import _ANEU, _CHAIN, _HAP, _PROFILE, Analysis, _affected
 from haplolake.plans.registry import query, rounded
 from haplolake.plans.roles import HALF, SKIP, Roles, X, tail_sql, with_roles
+from haplolake.sources.scratch import stored
 
 _R = "round({}, 6)".format
 _XF = f"SELECT AVG(hb) AS x FROM rv JOIN smp USING (s) WHERE c AND g = '{X}'"
@@ -135,3 +136,54 @@ def rp12(r: Roles) -> DataFrame:
     f"SELECT s AS sample_id, CAST(cn AS INT) AS cn, g AS chr, hap, {_R('v')} AS vals, CASE WHEN cn = 1 OR hap = 'normal' THEN 'normal' WHEN cn = 0 THEN 'loss' WHEN cn = 2 THEN 'gain' END AS label FROM (SELECT s, cn, g, 'aneuploid' AS hap, an AS v FROM q UNION ALL SELECT s, cn, g, 'normal', no FROM q)", "rv", "lb", "smp", q=_ANEU))
 def rp13(r: Roles) -> DataFrame:
     return rounded(reports.labelled_distribution(reference_aneuploid(r.values, r.labelled, r.controls)[1]), "vals")
+
+
+# ---- reports at the end of the whole analysis, from one set of stored tables, at the default significance
+
+_DEFAULT = 0.05 / 48
+_INTEREST = {
+    "ev": "SELECT family, chr, generation, affected, cn_pattern, MAX(\"A_cell\") OVER (PARTITION BY family) AS cell FROM aff WHERE affected IN ('A', 'B')",
+    "coi": "SELECT family, chr, cell, affected AS interpretation, hap, v, TRY_CAST(split_part(cn_pattern, ' ', 1) AS INT) AS base_cn FROM ev JOIN q ON q.s = cell AND q.g = chr AND q.hap = affected",
+}
+
+
+def _interest(a: Analysis) -> DataFrame:
+    """Affected haplotypes of the families' first cells; profile and region values are stored tables."""
+    profile = stored(_affected(a).select("family", "chr", "generation", "affected", "cn_pattern", F.col("A_cell").alias("cell"), "A_state_a", "A_state_b"), "profile")
+    reviewed = profile.filter(F.col("affected").isin("A", "B")).select("family", "chr", "generation", F.col("affected").alias("interpretation"), F.col("cn_pattern").alias("pattern"))
+    cells = profile.select("family", "chr", "cell")
+    haplotypes = reviewed.select("family", "chr", "generation", "interpretation", F.col("interpretation").alias("mn_hap"))
+    patterns = reviewed.select("pattern").distinct()
+    base = patterns.select("pattern", F.split("pattern", " ")[0].try_cast("int").alias("base_cn"))
+    info = profile.filter("cell IS NOT NULL").select("cell", "chr", "family", "A_state_a", "A_state_b")
+    values = _pairs(a).withColumnRenamed("sample_id", "cell")
+    return reports.cells_of_interest(reviewed, cells, values, info, haplotypes, base)
+
+
+@query("analysis_cells", with_roles(
+    f"SELECT s AS sample_id, role, q.g AS chr, q.hap, {_R('v')} AS value, {_R('total')} AS total, {_R(tail_sql('(v - mu) / NULLIF(sd, 0)'))} AS p, {tail_sql('(v - mu) / NULLIF(sd, 0)')} < {_DEFAULT} AS flag FROM (SELECT *, SUM(v) OVER (PARTITION BY s, g) AS total FROM q) q JOIN fam USING (s) LEFT JOIN (SELECT g, hap, AVG(v) AS mu, STDDEV_SAMP(v) AS sd FROM h GROUP BY ALL HAVING COUNT(v) = COUNT(*)) k ON k.g = q.g AND k.hap = q.hap",
+    "m", "ft", "al", "fam", **_CHAIN, q=_LONG, h=_HAP))
+def analysis_cells(r: Roles) -> DataFrame:
+    """Every cell, region and haplotype: the bars' totals and the p of its region, from counts on."""
+    a = Analysis(r.spark, r.folder)
+    bars = reports.haplotype_bars(a.values, a.controls, r.family.select("sample_id", F.col("relationship").alias("role")), x=X, half=HALF)
+    tested = reports.cells_with_p(_pairs(a), _controls(a))
+    out = bars.drop("value").join(tested, ["sample_id", "chr", "hap"])
+    return rounded(out.select("sample_id", "role", "chr", "hap", "value", "total", "p", "flag"), "value", "total", "p")
+
+
+@query("analysis_interest", with_roles(f"SELECT family, chr, cell, interpretation, hap, {_R('v')} AS value, base_cn FROM coi", "m", "ft", "al", "lb", "fam", **_CHAIN, **_PROFILE, q=_LONG, **_INTEREST))
+def analysis_interest(r: Roles) -> DataFrame:
+    """Cells of interest, from counts on: the families' events take the place of the review."""
+    out = _interest(Analysis(r.spark, r.folder))
+    return rounded(out.select("family", "chr", "cell", "interpretation", "hap", "value", "base_cn"), "value")
+
+
+@query("analysis_cohort", with_roles(
+    f"SELECT s AS cell, z.g AS chr, z.hap, {_R('z.v')} AS value, {_R('z')} AS z, {_R(tail_sql('z'))} AS p, {tail_sql('z')} < {_DEFAULT} AS flag, {_R('lower')} AS lower, {_R('middle')} AS middle, {_R('upper')} AS upper, interpretation FROM (SELECT *, abs((v - AVG(v) OVER (PARTITION BY g, hap)) / NULLIF(STDDEV_SAMP(v) OVER (PARTITION BY g, hap), 0)) AS z FROM q WHERE s IN (SELECT cell FROM coi)) z JOIN kb ON kb.g = z.g AND kb.hap = z.hap LEFT JOIN coi ON coi.cell = z.s AND coi.chr = z.g AND coi.hap = z.hap",
+    "m", "ft", "al", "lb", "fam", **_CHAIN, **_PROFILE, q=_LONG, **_INTEREST, kb=_BOUNDS))
+def analysis_cohort(r: Roles) -> DataFrame:
+    """The cells of interest among themselves and against the controls' bounds, from counts on."""
+    a = Analysis(r.spark, r.folder)
+    out = reports.cohort_of_interest(_interest(a), _pairs(a).withColumnRenamed("sample_id", "cell"), _controls(a))
+    return rounded(out.select("cell", "chr", "hap", "value", "z", "p", "flag", "lower", "middle", "upper", "interpretation"), "value", "z", "p", "lower", "middle", "upper")

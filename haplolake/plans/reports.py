@@ -78,6 +78,16 @@ def cells_of_interest(reviewed: DataFrame, cells: DataFrame, values: DataFrame,
     return chosen.join(base_cn, "pattern", "left")
 
 
+def cohort_of_interest(interest: DataFrame, values: DataFrame, reference: DataFrame, alpha: float = 0.05 / 48) -> DataFrame:
+    """All regions of the cells of interest, z-scored within that cohort; interpretation is null where a region is not the reviewed one (RP6 into RP7).
+
+    interest: cell, chr, hap, interpretation, as cells_of_interest gives; values: cell, chr, hap, value.
+    """
+    cohort = members_of(values, interest, ["cell"])
+    marks = interest.select("cell", "chr", "hap", "interpretation")
+    return cohort_zscores(cohort, reference, alpha=alpha).join(marks, ["cell", "chr", "hap"], "left")
+
+
 def cohort_zscores(values: DataFrame, reference: DataFrame, by: Sequence[str] = ("chr", "hap"), value: str = "value", ref_value: str = "vals", alpha: float = 0.05 / 48) -> DataFrame:
     """Absolute z within the cohort, p, flag p < alpha, and the reference's .05, .5, .95 bounds (RP7, WN4, JN26, SC7)."""
     bounds = confidence_bands(reference, by, ref_value)
