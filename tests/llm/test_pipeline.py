@@ -1,13 +1,17 @@
 """The classifier on held-out rows, and the whole pipeline against brute force on the smallest tables."""
 
+import math
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from haplolake.llm import packing, quality_classifier, quality_rules, queries
+from haplolake.llm import quality_classifier, quality_rules, queries
 from tests.llm.test_minhash import brute as near_classes
 from tests.llm.test_suffix_dedup import brute as without_repeats
 
@@ -25,6 +29,57 @@ def test_interactions_by_sum_of_squares():
     assert quality_classifier.FactorisationMachine.from_bytes(m.to_bytes()).logits(np.zeros(4, dtype=int), feature, value, 1)[0][0] == pytest.approx(want)
 
 
+def plain_hash(x, salt=0):
+    """The hash of a 64-bit number that features are named by, in plain integers."""
+    m = (1 << 64) - 1
+    x = (x + salt * 0xA24BAED4963EE407 + 0x9FB21C651E98DF25) & m
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def plain_score(model, text, n_chars):
+    """Score of one text: words by a pattern, counts by a dictionary, every pair of features by itself."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    count, some = Counter(words), max(len(words), 1)
+    name = lambda w: plain_hash(sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w)) % (1 << 64))
+    x = Counter()
+    for w, n in count.items():
+        x[name(w) % quality_classifier.WORD_BUCKETS, w] += 0.5 * math.sqrt(n / some)
+    of = lambda chars: sum(raw.count(c) for c in chars)
+    upper, lower = len(re.findall(rb"[A-Z]", raw)), len(re.findall(rb"[a-z]", raw))
+    stats = [
+        of(bytes([c]) for c in b"#*$%&|<>@^~=+_\\{}[]") / some, of([b"|"]) / some, upper / max(upper + lower, 1), of([b"!"]) / some, of([b".", b","]) / some,
+        len(re.findall(rb"[0-9]", raw)) / max(len(raw), 1), of([b"\n"]) / some, len(count) / some, sum(a == b for a, b in zip(words, words[1:])) / some, max(count.values(), default=0) / some,
+        sum(map(len, words)) / some / 16, math.log2(1 + len(words)) / 8, math.log2(1 + max(len(text or "") if n_chars is None else n_chars, 0)) / 8, len(re.findall(rb"[\x00-\x08\x0E-\x1F]", raw)) / max(len(raw), 1),
+    ]
+    for i, v in enumerate(stats):
+        bin_ = min(max(int(math.log2(1 + 64 * v) * 3), 0), quality_classifier.BINS - 1)
+        x[quality_classifier.WORD_BUCKETS + i * quality_classifier.BINS + bin_, None] = 0.5
+    feature, value = np.array([f for f, _ in x]), np.array(list(x.values()))
+    between = model.v[feature] @ model.v[feature].T * np.outer(value, value)
+    z = model.bias + model.w[feature] @ value + np.triu(between, 1).sum()
+    return 1 / (1 + math.exp(-min(max(z, -40), 40)))
+
+
+def plain_scores(spark, folder):
+    """Rows of documents with their plain scores, by the model that the query fits."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = quality_classifier.fit_quality(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return [(r, plain_score(model, r.text, r.n_chars)) for r in docs.collect()]
+
+
+def test_query_against_plain_scores(spark):
+    """Every row of the query: the pair sum by itself, from features taken out one text at a time."""
+    got = {r.doc_id: r for r in queries.op4_quality_classifier(spark, DATA).collect()}
+    want = plain_scores(spark, DATA)
+    assert len(got) == len(want)
+    for r, score in want:
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-9)
+        assert got[r.doc_id].predicted == int(score >= 0.3)
+
+
 def test_classifier_on_rows_held_out(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
@@ -32,8 +87,6 @@ def test_classifier_on_rows_held_out(spark):
     rows = scored.join(labels, "doc_id").filter("held_out").collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
     assert np.mean([r.predicted == r.quality for r in rows]) >= 0.9
-    import zlib
-
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in scored.collect())
 
 
@@ -55,11 +108,9 @@ def test_scores_of_odd_rows(spark):
 
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    labels = spark.read.parquet(f"{DATA}/labels.parquet")
     stages = dict(corpus_pipeline.STAGES)
     good = stages["quality classifier"](spark, docs, DATA)
-    model = quality_classifier.fit_quality(docs, labels)
-    want = {r.doc_id for r in quality_classifier.score_quality(docs, model).filter("predicted = 1").collect()}
+    want = {r.doc_id for r, score in plain_scores(spark, DATA) if score >= 0.3}
     assert {r.doc_id for r in good.collect()} == want and good.columns == docs.columns
 
     ruled = stages["quality rules"](spark, good, DATA)
@@ -78,9 +129,19 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id: r.text for r in got} == left and all(r.n_chars == len(r.text) for r in got)
     assert {r.doc_id: (r.lang, r.source) for r in got} == {r.doc_id: (r.lang, r.source) for r in docs.collect() if r.doc_id in left}
 
-    piece = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)
-    packed = Counter(piece(r) for r in packing.pack(cut, queries.VOCABULARY).collect())
-    assert Counter(piece(r) for r in corpus_pipeline.run(spark, DATA).collect()) == packed
+    # Packing, by the public library: every id of every kept text once, in gapless sequences of at most 1024.
+    library = Tokenizer.from_file(queries.VOCABULARY)
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in left.items()}
+    packed = corpus_pipeline.run(spark, DATA).collect()
+    spans, sequences = {i: [] for i in ids}, {}
+    for p in packed:
+        own = ids[p.doc_id][p.start : p.start + p.length]
+        assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes())
+        spans[p.doc_id].append((p.start, p.start + p.length))
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.offset + p.length))
+    whole = lambda parts: all(x[1] == y[0] for x, y in zip([(0, 0), *sorted(parts)], sorted(parts)))
+    assert all(whole(x) and max(b for _, b in x) == len(ids[i]) for i, x in spans.items())
+    assert all(whole(x) and max(b for _, b in x) <= 1024 for x in sequences.values())
 
 
 def test_clean_documents_stay(spark):
