@@ -86,18 +86,19 @@ class Graph:
 
     def _scores(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Row by row, larger for nearer: half of what a query's square is above the squared distance."""
-        return np.einsum("nd,nd->n", queries, self.points[nodes]) - self.half[nodes]
+        return np.einsum("nd,nd->n", queries, np.take(self.points, nodes, axis=0)) - self.half[nodes]
 
     def _beam(self, queries: np.ndarray, entry: np.ndarray, at: int, size: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The nearest nodes found on a level of ``size`` nodes so far, and their scores, best first."""
         n, width, links = len(queries), max(beam, entry.shape[1]), self.links[at]
-        seen, place = np.zeros(n * size, dtype=bool), np.empty(n * size, dtype=np.int32)  # of every query and node
+        # For every query and node: its place in the list that it was found in, or -1.
+        seen = np.full(n * size, -1, dtype=np.int32)
         node = np.full((n, width), -1, dtype=np.int64)
         score = np.full((n, width), -np.inf, dtype=np.float32)
         row, column = np.nonzero(entry >= 0)
         node[:, : entry.shape[1]] = entry
         score[row, column] = self._scores(queries[row], entry[row, column])
-        seen[row * size + entry[row, column]] = True
+        seen[row * size + entry[row, column]] = 0
         done = node < 0
         active = np.arange(n)
         step = min(STEP, width)
@@ -111,23 +112,21 @@ class Graph:
                 break
             rows = active[:, None]
             done[rows, pick] |= live
-            near = links[node[rows, pick][live]]
-            owner = np.repeat(np.repeat(np.arange(len(active)), live.sum(1)), near.shape[1])
-            some = near.reshape(-1) >= 0
-            owner, new = owner[some], near.reshape(-1)[some]
-            spot = active[owner] * size + new
-            fresh = ~seen[spot]
-            owner, new, spot = owner[fresh], new[fresh], spot[fresh]
+            near = np.take(links, node[rows, pick][live], axis=0).reshape(-1)
+            ends = np.cumsum(live.sum(1)) * links.shape[1]
+            place = np.flatnonzero(near >= 0)
+            spot = np.repeat(active * size, np.diff(ends, prepend=0))[place] + near[place]
+            fresh = np.flatnonzero(seen[spot] < 0)
+            place, spot = place[fresh], spot[fresh]
             # A node that two of the picked ones share is taken once.
-            place[spot] = np.arange(len(spot))
-            once = place[spot] == np.arange(len(spot))
-            row, new, spot = owner[once], new[once], spot[once]
-            seen[spot] = True
+            seen[spot] = np.arange(len(spot))
+            place = place[seen[spot] == np.arange(len(spot))]
+            new, per = near[place], np.diff(np.searchsorted(place, ends), prepend=0)
+            row = np.repeat(np.arange(len(active)), per)
             # New ones in one block, as wide as the longest list.
-            per = np.bincount(row, minlength=len(active))
             slot = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
             found = np.full((len(active), int(per.max(initial=0))), -np.inf, dtype=np.float32)
-            found[row, slot] = self._scores(queries[active[row]], new)
+            found[row, slot] = self._scores(np.repeat(queries[active], per, axis=0), new)
             name = np.full(found.shape, -1, dtype=np.int64)
             name[row, slot] = new
             scores = np.concatenate([score[active], found], axis=1)
