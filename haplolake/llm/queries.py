@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplolake.llm import ann, bpe, chat_format, minhash, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, warc
+from haplolake.llm import ann, bpe, chat_format, minhash, packing, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts, warc
 from haplolake.llm.storage import until_exit
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +88,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the piece ids of every document and of the text decoded from them."""
+    return sentencepiece.round_trip_digests(_table(spark, sf_dir, "documents"), PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_packing": op2_packing,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_nearest": op10_nearest,
+    "op13_sentencepiece": op13_sentencepiece,
     "rule_ablations": rule_ablations,
 }
 _OP5_SQL = r"""
