@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplolake.llm import ann, bpe, chat_format, minhash, packing, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts, warc
+from haplolake.llm import ann, bpe, chat_format, minhash, packing, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts, warc, word_runs
 from haplolake.llm.storage import until_exit
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,6 +88,28 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, a stretch of words at a place told by the id is repeated up to the end. A null id counts as empty text."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({word_runs.WORD})"), F.lit(1))).alias("w"))
+    g, n = F.floor(F.col("h") / 10), F.size("w").cast("long")
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    placed = words.withColumns({"n": n, "a": a.cast("int"), "p": p.cast("int")})
+    stretch = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    text = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), stretch), F.lit(1), F.col("n").cast("int")), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document, the longest of them, and a digest of the text without what they repeat."""
+    found = word_runs.word_runs(_with_periods(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), word_runs.longest_run().alias("top"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * top.length div top.period").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", "top.start", "top.length", "top.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the piece ids of every document and of the text decoded from them."""
     return sentencepiece.round_trip_digests(_table(spark, sf_dir, "documents"), PIECES)
@@ -104,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_bpe": op9_bpe,
     "op10_nearest": op10_nearest,
+    "op12_word_runs": op12_word_runs,
     "op13_sentencepiece": op13_sentencepiece,
     "rule_ablations": rule_ablations,
 }
