@@ -201,14 +201,14 @@ WITH p AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
     FROM documents)),
 t AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
-g AS (
-  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS a
+g AS MATERIALIZED (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, lang || chr(9) || array_to_string(list_slice(w, i, i + k - 1), ' ') AS id, count(*) AS a
   FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k) GROUP BY ALL),
 c AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND a >= 10),
-x AS (SELECT lang, phrase, a, w, k, j, array_to_string(list_slice(w, 1, j), ' ') AS first, array_to_string(list_slice(w, j + 1, k), ' ') AS rest FROM c, (VALUES (1), (2)) s(j) WHERE j < k),
+x AS (SELECT lang, phrase, a, w, k, j, lang || chr(9) || array_to_string(list_slice(w, 1, j), ' ') AS first, lang || chr(9) || array_to_string(list_slice(w, j + 1, k), ' ') AS rest FROM c, (VALUES (1), (2)) s(j) WHERE j < k),
 y AS (
   SELECT x.*, l.a AS l, r.a AS r, CAST((CAST(1000000 AS HUGEINT) * x.a * x.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
-  FROM x JOIN g l ON l.lang = x.lang AND l.phrase = x.first JOIN g r ON r.lang = x.lang AND r.phrase = x.rest),
+  FROM x JOIN g l ON l.id = x.first JOIN g r ON r.id = x.rest),
 b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 h AS (
   SELECT lang, part, max(a) AS longer FROM (
