@@ -1,14 +1,14 @@
 """Phrase collocation mining: phrases of two and three words, grown best first under admissible score bounds.
 
 A phrase's score is that of its lowest-scoring cut: floor(10^6 a a / (l r)), where a, l and r count the phrase,
-its first words and the rest. For a phrase of three words, the cut after the first gives at most
-10^6 c / f, where c counts its first two words and f its first: a is no larger than c or than the count of the
-last two. This bound needs counts of prefixes only. So words are counted, then pairs, and pairs are a frontier,
-expanded in waves, best bound first. A wave lowers each language's threshold t to the score of a further pair, and
-counts every phrase of three words that begins with a pair whose bound reaches t, or ends with a pair whose score
-does (which decides whether that pair survives). A language is settled as soon as its wanted number of surviving
-scores of t and more are known, or its frontier is empty: nothing unexpanded can reach t, so ties at the last
-place are in too.
+its first words and the rest. In a phrase of three words, a is no larger than the counts of its first and of its
+last two words. So its cut after the first word gives at most 10^6 c / f, where c counts its first two words and f
+its first; in the same way, the other cut is bounded by its last two words and its last. These bounds need counts
+of pairs only. So words are counted, then pairs, and pairs are a frontier, expanded in waves, best bound first. A
+wave lowers each language's threshold t to the score of a further pair, and counts every phrase of three words whose
+both bounds reach t, or that holds a pair whose score does (which decides whether that pair survives). A language is
+settled as soon as its wanted number of surviving scores of t and more are known, or its frontier is empty: nothing
+unexpanded can reach t, so ties at the last place are in too.
 
 Counting is done in tasks over slices of text and summed by Spark. What a pass may leave out (rare words, pairs
 that can't matter) is told by a Bloom filter of fixed size; a false hit only counts a phrase too much.
@@ -34,8 +34,8 @@ from haplolake.llm.storage import drop, written
 #: What ends a piece of text, and what parts words in it.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 NO_LANGUAGE = "und"
-#: Text bytes that a task counts at once.
-SLICE_BYTES = 8_000_000
+#: Text bytes that a task counts at once, and rows in a batch that it sends.
+SLICE_BYTES, BATCH_ROWS = 4_000_000, 100_000
 #: Binary logarithm of a filter's bits: 8 MiB, whatever the table's size.
 FILTER_BITS = 26
 #: Pairs of each language above the first threshold, in multiples of the wanted phrases, and by how much each wave has more.
@@ -132,13 +132,14 @@ class _Slice:
         self.lang_hash = _hashes(lang.dictionary)[distinct // n]
         self.hash = _hashes(strings.dictionary)[distinct % n]
 
-    def counted(self, key: np.ndarray, parts: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    def counted(self, key: np.ndarray, parts: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         """Rows (language, words..., n) of the distinct keys; parts(keys) gives the words' numbers."""
         distinct, n = np.unique(key, return_counts=True)
-        words = parts(distinct)
-        columns = [self.langs.take(pa.array(words[0])), *(self.names.take(pa.array(w)) for w in words)]
-        names = ["lang", "w1", "w2", "w3"][: len(columns)]
-        return pa.RecordBatch.from_arrays([*(c.cast(pa.string()) for c in columns), pa.array(n.astype(np.int64))], names=[*names, "n"])
+        for at in range(0, len(distinct), BATCH_ROWS):
+            words = parts(distinct[at : at + BATCH_ROWS])
+            columns = [self.langs.take(pa.array(words[0])), *(self.names.take(pa.array(w)) for w in words)]
+            names = ["lang", "w1", "w2", "w3"][: len(columns)]
+            yield pa.RecordBatch.from_arrays([*(c.cast(pa.string()) for c in columns), pa.array(n[at : at + BATCH_ROWS].astype(np.int64))], names=[*names, "n"])
 
     def pairs(self, words: Sieve) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs in a piece whose words pass: their keys; for each place, whether a pair begins there, and which."""
@@ -153,13 +154,13 @@ class _Slice:
         return distinct, here, index
 
 
-def _pass(docs: DataFrame, n_words: int, count: Callable[[_Slice], pa.RecordBatch]) -> DataFrame:
+def _pass(docs: DataFrame, n_words: int, count: Callable[[_Slice], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Counts by (lang, words...): in tasks by slice, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                yield count(_Slice(part))
+                yield from count(_Slice(part))
 
     words = [f"w{i + 1}" for i in range(n_words)]
     schema = ", ".join(f"{c} string" for c in ["lang", *words]) + ", n long"
@@ -174,7 +175,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 def count_pairs(docs: DataFrame, words: Sieve) -> DataFrame:
     """lang, w1, w2, n of the pairs in a piece both of whose words pass the filter."""
 
-    def count(s: _Slice) -> pa.RecordBatch:
+    def count(s: _Slice) -> Iterator[pa.RecordBatch]:
         size = max(1, len(s.langs))
         distinct, here, index = s.pairs(words)
         return s.counted(distinct[index[here]], lambda k: (k // size, k % size))
@@ -182,18 +183,18 @@ def count_pairs(docs: DataFrame, words: Sieve) -> DataFrame:
     return _pass(docs, 2, count)
 
 
-def count_triples(docs: DataFrame, words: Sieve, frequent: Sieve, prefixes: Sieve, suffixes: Sieve) -> DataFrame:
-    """lang, w1, w2, w3, n of the phrases made of two frequent pairs, the first of which is in prefixes or the second in suffixes."""
+def count_triples(docs: DataFrame, words: Sieve, frequent: Sieve, prefixes: Sieve, suffixes: Sieve, judged: Sieve) -> DataFrame:
+    """lang, w1, w2, w3, n of the phrases made of two frequent pairs, the first of them in prefixes and the second in suffixes, or one in judged."""
 
-    def count(s: _Slice) -> pa.RecordBatch:
+    def count(s: _Slice) -> Iterator[pa.RecordBatch]:
         size = max(1, len(s.langs))
         pair, here, index = s.pairs(words)
         a, b = pair // size, pair % size
         h = _together(s.lang_hash[a], s.hash[a], s.hash[b])
-        often, first, last = (x.holds(h) for x in (frequent, prefixes, suffixes))
+        often, first, last, own = (x.holds(h) for x in (frequent, prefixes, suffixes, judged))
         at = np.flatnonzero(here[:-1] & here[1:])
         x, y = index[at], index[at + 1]
-        good = often[x] & often[y] & (first[x] | last[y])
+        good = often[x] & often[y] & (first[x] & last[y] | own[x] | own[y])
         return s.counted(x[good] * size + b[y[good]], lambda k: (a[k // size], b[k // size], k % size))
 
     return _pass(docs, 3, count)
@@ -224,24 +225,21 @@ def mine_phrases(docs: DataFrame, top: int = 2000, min_count: int = 10, share: i
     left = often.select("lang", "w1", F.col("n").alias("l"))
     right = often.select("lang", F.col("w1").alias("w2"), F.col("n").alias("r"))
     scored = counted.withColumnRenamed("n", "a").join(left, ["lang", "w1"]).join(right, ["lang", "w2"])
-    bound = F.expr("(1000000 * CAST(a AS DECIMAL(15, 0))) div CAST(l AS DECIMAL(15, 0))")
-    pairs = written(scored.select("lang", "w1", "w2", "a", "l", "r", _score("a", "l", "r").alias("score"), bound.alias("bound")), "pairs")
+    bounds = (F.expr(f"(1000000 * CAST(a AS DECIMAL(15, 0))) div CAST({c} AS DECIMAL(15, 0))").alias(name) for c, name in (("l", "as_prefix"), ("r", "as_suffix")))
+    pairs = written(scored.select("lang", "w1", "w2", "a", "l", "r", _score("a", "l", "r").alias("score"), *bounds), "pairs")
     pair_sieve = Sieve.of(pairs, "w1", "w2")
     rank, found, state = FIRST * top, None, None
     while True:
-        # t: the language's threshold now; before: that of the last wave, under which nothing is counted yet.
         goal = _thresholds(pairs, rank)
         if state is None:
-            state = written(goal.withColumn("before", F.lit(None).cast("long")).withColumn("settled", F.lit(False)), "thresholds")
+            state = written(goal.withColumn("settled", F.lit(False)), "thresholds")
         else:
-            kept = state.select("lang", "settled", F.col("t").alias("before"))
-            state = written(goal.join(kept, "lang").select("lang", F.when(F.col("settled"), F.col("before")).otherwise(F.col("t")).alias("t"), "before", "settled"), "thresholds")
-        frontier = pairs.join(state, "lang")
-        fresh = lambda c: (F.col(c) >= F.col("t")) & (F.col("before").isNull() | (F.col(c) < F.col("before")))
-        prefixes = Sieve.of(frontier.filter(fresh("bound")), "w1", "w2")
-        suffixes = Sieve.of(frontier.filter(fresh("score")), "w1", "w2")
-        wave = count_triples(rows, word_sieve, pair_sieve, prefixes, suffixes).filter(F.col("n") >= min_count)
-        # A phrase met again, as a prefix's or a suffix's, was counted in full both times.
+            now = goal.withColumnRenamed("t", "lower").join(state, "lang")
+            state = written(now.select("lang", F.when(F.col("settled"), F.col("t")).otherwise(F.col("lower")).alias("t"), "settled"), "thresholds")
+        frontier = pairs.join(state.filter(~F.col("settled")), "lang")
+        sieves = [Sieve.of(frontier.filter(F.col(c) >= F.col("t")), "w1", "w2") for c in ("as_prefix", "as_suffix", "score")]
+        wave = count_triples(rows, word_sieve, pair_sieve, *sieves).filter(F.col("n") >= min_count)
+        # A phrase that is met again in a later wave was counted in full both times.
         merged = wave if found is None else found.unionByName(wave).dropDuplicates(["lang", "w1", "w2", "w3"])
         found = written(merged, "triples")
         alive = written(_survivors(pairs, found, state, share), "survivors")
