@@ -43,7 +43,7 @@ def merge_lanes(df: DataFrame, key: Sequence[str], values: Sequence[str], sample
     return sums.join(lanes.select(sample, "lanes"), sample).select(*key, sample, *(safe_div(v, "lanes").alias(v) for v in values))
 
 
-def rollup_to_gene(sites: DataFrame, exons: DataFrame, chrom: str = "chr", pos: str = "pos", sample: str = "sample_id", gene: str = "gene_id", values: Sequence[str] = ("a", "b"), multiplicity: str = "row", block: int = 100_000) -> DataFrame:
+def rollup_to_gene(sites: DataFrame, exons: DataFrame, chrom: str = "chr", pos: str = "pos", sample: str = "sample_id", gene: str = "gene_id", values: Sequence[str] = ("a", "b"), multiplicity: str = "row") -> DataFrame:
     """gene, sample and summed counts of the sites inside a gene's exons (DOM5, JN6, AG1).
 
     multiplicity="row" counts a site once for every exon row that holds it, "site" once per gene.
@@ -53,7 +53,7 @@ def rollup_to_gene(sites: DataFrame, exons: DataFrame, chrom: str = "chr", pos:
     # Sites repeat over samples: find their genes once, then join the counts.
     sites = stored(sites, "sites")
     places = sites.select(chrom, pos).distinct().withColumn("_end", F.col(pos))
-    hits = interval_join(places, exons.select(chrom, "start", "end", gene), [chrom], (pos, "_end"), block=block).select(chrom, pos, F.col(f"r_{gene}").alias(gene))
+    hits = interval_join(places, exons.select(chrom, "start", "end", gene), [chrom], (pos, "_end")).select(chrom, pos, F.col(f"r_{gene}").alias(gene))
     found = hits.groupBy(chrom, pos, gene).agg(F.count(F.lit(1)).alias("_times")) if multiplicity == "row" else hits.distinct().withColumn("_times", F.lit(1))
     joined = sites.join(found, [chrom, pos])
     return joined.groupBy(gene, sample).agg(*(F.sum(F.col(v) * F.col("_times")).alias(v) for v in values))

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.functions.columns import log2_positive, safe_div, weight_or_zero
-from haplolake.operators.relational import exact_quantile, mean_where, members_of, variance_where, weighted_mean, with_scalar
-from haplolake.sources.scratch import stored
+from haplolake.operators.ordered import quantiles
+from haplolake.operators.relational import members_of, variance_where, weighted_mean, with_scalar
 
 
 def densify(matrix: DataFrame, features: DataFrame, samples: DataFrame, feature: str = "feature_id", sample: str = "sample_id", value: str = "value") -> DataFrame:
@@ -50,15 +50,13 @@ def inverse_variance(matrix: DataFrame, samples: DataFrame, feature: str = "feat
 def adjust_by_invvar(matrix: DataFrame, samples: DataFrame, cap: float | None = None, features: DataFrame | None = None, exclude: Sequence[str] = (), feature: str = "feature_id", sample: str = "sample_id", value: str = "value", control: str = "is_control", region: str = "chr") -> DataFrame:
     """Divide each sample by its weighted mean over all features (DOM11); with ``cap``, weights are cut at
     that quantile of the finite weights outside the excluded regions (DOM12)."""
-    matrix = stored(matrix, "matrix")
     weights = inverse_variance(matrix, samples, feature, sample, value, control)
     if cap is not None:
-        inner = weights = stored(weights, "weights")
-        if features is not None and exclude:
-            inner = weights.join(features.filter(~F.col(region).isin(*exclude)).select(feature), feature, "left_semi")
         # A variance of 0 has weight 0 here and takes part in the quantile only if it is a finite weight.
-        top = exact_quantile(inner.filter(F.col("variance").isNull() | (F.col("variance") > 0)), "weight", cap)
-        weights = weights.withColumn("weight", F.least(F.col("weight"), F.lit(top).cast("double")))
+        inner = weights.filter(F.col("variance").isNull() | (F.col("variance") > 0))
+        if features is not None and exclude:
+            inner = inner.join(features.filter(~F.col(region).isin(*exclude)).select(feature), feature, "left_semi")
+        weights = with_scalar(weights, quantiles(inner, "weight", {"_cap": cap})).withColumn("weight", F.least("weight", "_cap"))
     weighted = matrix.join(weights.select(feature, "weight"), feature)
     factors = weighted.groupBy(sample).agg(weighted_mean(value, "weight").alias("_factor"))
     rest = [c for c in matrix.columns if c != value]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haplolake.functions.columns import order_rank, rounded_even, tokens_other_than
+from haplolake.functions.columns import chr_number, order_rank, rounded_even, tokens_other_than
 from haplolake.operators.relational import single_values, widen
 
 ROLES = ("A", "B", "c1", "c2")
@@ -24,9 +24,13 @@ def _joined(names: Sequence[str]) -> F.Column:
     return F.concat_ws(" ", *(F.col(n).cast("string") for n in names))
 
 
+def _rounded(roles: Sequence[str], measure: str) -> F.Column:
+    return F.concat_ws(" ", *(rounded_even(f"{r}_{measure}").cast("long").cast("string") for r in roles))
+
+
 def cn_pattern(profile: DataFrame, roles: Sequence[str] = ROLES, measure: str = "tpm", name: str = "cn_pattern") -> DataFrame:
-    """Rounded totals of the roles, in order, without gaps for missing ones (DOM34)."""
-    return profile.withColumn(name, F.concat_ws(" ", *(rounded_even(f"{r}_{measure}").cast("long").cast("string") for r in roles)))
+    """Rounded totals of the roles, in order, without gaps for missing ones (DOM34). Totals are copy numbers, as rescale_cn gives them."""
+    return profile.withColumn(name, _rounded(roles, measure))
 
 
 def transcription_pattern(profile: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
@@ -41,18 +45,24 @@ def affected_haplotype(profile: DataFrame, normal: str = "1") -> DataFrame:
     return profile.withColumn("affected", F.when(a & b, "NA").when(a, "A").when(b, "B").otherwise("normal"))
 
 
-def affected_readout(profile: DataFrame, role: str = "A") -> DataFrame:
-    """affected_pattern, and value, state, p1, p2 of one role's affected haplotype; null unless that is A or B (DOM37)."""
-    pick = lambda x, y: F.when(F.col("affected") == "A", F.col(x)).when(F.col("affected") == "B", F.col(y))
-    out = profile.withColumn("affected_pattern", pick("pattern_a", "pattern_b"))
-    return out.withColumns({f"affected_{n}": pick(f"{role}_{m}_a", f"{role}_{m}_b") for n, m in (("value", "var"), ("state", "state"), ("p1", "p1"), ("p2", "p2"))})
+def affected_readout(profile: DataFrame, roles: Sequence[str] = ROLES) -> DataFrame:
+    """affected_pattern (rounded values of all roles' affected haplotype), and value, state, p1, p2 of the first role's;
+    null unless one haplotype is affected (DOM37)."""
+    pick = lambda x, y: F.when(F.col("affected") == "A", x).when(F.col("affected") == "B", y)
+    one = {f"affected_{n}": pick(F.col(f"{roles[0]}_{m}_a"), F.col(f"{roles[0]}_{m}_b")) for n, m in (("value", "var"), ("state", "state"), ("p1", "p1"), ("p2", "p2"))}
+    return profile.withColumns({"affected_pattern": pick(_rounded(roles, "var_a"), _rounded(roles, "var_b")), **one})
+
+
+def event_columns(keys: Sequence[str] = FAMILY, roles: Sequence[str] = ROLES) -> list[str]:
+    """Columns of the event table: family and region, five of each role, patterns, affected haplotype and its readout."""
+    each = [f"{r}_{m}" for r in roles for m in ("cell", "tpm", "var_a", "state_a", "var_b", "state_b")]
+    return [*keys, *each, "pattern_a", "pattern_b", "affected", "affected_value", "affected_state", "affected_p1", "affected_p2"]
 
 
-def split_events(profile: DataFrame, columns: Sequence[str] | None = None, order: Sequence[str] = ("family", "chr")) -> tuple[DataFrame, DataFrame]:
-    """Events, in a fixed column order and sorted, and the list of normal rows (DOM38)."""
-    wanted = list(columns or profile.columns)
-    events = profile.filter(F.col("affected") != "normal").select(*wanted).orderBy(*order)
-    return events, profile.filter(F.col("affected") == "normal").select(*wanted)
+def split_events(profile: DataFrame, columns: Sequence[str] | None = None, order: Sequence[str] = ("generation", "family"), region: str = "chr") -> tuple[DataFrame, DataFrame]:
+    """Events, in a fixed column order, sorted by family and then by the region's number; and the normal rows, with all columns (DOM38)."""
+    events = profile.filter(F.col("affected") != "normal").orderBy(*(c for c in order if c in profile.columns), chr_number(region), region)
+    return events.select(*(columns or event_columns([c for c in FAMILY if c in profile.columns]))), profile.filter(F.col("affected") == "normal")
 
 
 def uniform_families(profile: DataFrame, by: Sequence[str] = ("family",), label: str = "affected") -> DataFrame:

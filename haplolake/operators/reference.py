@@ -41,15 +41,15 @@ def reference_arm(values: DataFrame, controls: DataFrame, sample: str = "sample_
     return own.select(sample, F.lit(1).alias("cn"), arm, ((F.col(a) + F.col(b)) / 2).alias("vals"))
 
 
-def reference_aneuploid(values: DataFrame, labelled: DataFrame, controls: DataFrame, sample: str = "sample_id", region: str = "chr", a: str = "hap_a", b: str = "hap_b") -> tuple[DataFrame, DataFrame]:
+def reference_aneuploid(values: DataFrame, labelled: DataFrame, controls: DataFrame, skip: Sequence[str] = ("chrX", "chr10b"), sample: str = "sample_id", region: str = "chr", a: str = "hap_a", b: str = "hap_b") -> tuple[DataFrame, DataFrame]:
     """Wide (id, cn, chr, aneuploid, normal) and long (id, cn, chr, hap, vals) (DOM22).
 
-    CN 1: (min, max) of the haplotypes; controls, CN 2: (A, B); CN 3: (max, min). cn is given less 1, the
-    aneuploid haplotype's own number.
+    CN 1: (min, max) of the haplotypes; controls, CN 2: (A, B) in all but the skipped regions, whose number isn't
+    two; CN 3: (max, min). cn is given less 1, the aneuploid haplotype's own number.
     """
     v = values.select(sample, region, F.col(a).alias("_a"), F.col(b).alias("_b"))
     known = labelled.select(sample, region, F.col("cn").cast("int").alias("cn")).join(v, [sample, region], "left")
-    normal = members_of(v, controls, [sample]).withColumn("cn", F.lit(2))
+    normal = members_of(v.filter(~F.col(region).isin(*skip)), controls, [sample]).withColumn("cn", F.lit(2))
     low, high = (F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), f("_a", "_b")) for f in (F.least, F.greatest))
     first = F.when(F.col("cn") == 1, low).when(F.col("cn") == 3, high).otherwise(F.col("_a"))
     second = F.when(F.col("cn") == 1, high).when(F.col("cn") == 3, low).otherwise(F.col("_b"))

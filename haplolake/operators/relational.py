@@ -5,7 +5,6 @@ Every function takes and returns DataFrames and names its columns by parameters.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,45 +73,6 @@ def weighted_mean(value: Column | str, weight: Column | str) -> Column:
     return safe_div(F.sum(col(weight) * col(value)), F.sum(F.when(both, col(weight))))
 
 
-def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), approximate: bool = False) -> DataFrame:
-    """Linear-interpolation quantiles per group, one column per name; approximate ones on request, for huge groups (AG9, AG10, RP8)."""
-    wanted = F.array(*map(F.lit, shares.values()))
-    found = F.percentile_approx(value, wanted, 100_000) if approximate else F.percentile(value, wanted)
-    return df.groupBy(*by).agg(found.alias("_q")).select(*by, *(F.col("_q")[i].alias(name) for i, name in enumerate(shares)))
-
-
-def exact_quantile(df: DataFrame, value: str, share: float, accuracy: int = 10_000) -> float | None:
-    """Linear-interpolation quantile of a column, nulls skipped, without one task or buffer that holds all values; None if there are none.
-
-    An approximate quantile gives two bounds around the place; only values between them (four in ``accuracy``)
-    meet. Should the bounds miss the place, as they may for few values, all values do. Reads df three times,
-    so give a stored table.
-    """
-    v = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    bounds = [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)]
-    n, cuts, least, most = v.agg(F.count(F.lit(1)), F.percentile_approx("v", bounds, accuracy), F.min("v"), F.max("v")).first()
-    if not n:
-        return None
-    place = (n - 1) * share
-    low, high = math.floor(place), math.ceil(place)
-    for a, b in (tuple(cuts), (least, most)):
-        below, inside = v.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v").between(a, b))).first()
-        if below <= low and high < below + inside:
-            break
-    near = v.filter(F.col("v").between(a, b)).agg(F.sort_array(F.collect_list("v")).alias("s"))
-    x, y = near.select(F.col("s")[low - below], F.col("s")[high - below]).first()
-    return x + (y - x) * (place - low)
-
-
-def five_numbers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Quartiles and whiskers (extremes within 1.5 interquartile ranges) per group (AG21)."""
-    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
-    reach = (F.col("q3") - F.col("q1")) * 1.5
-    joined = df.join(q, list(by))
-    inside = F.when(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach), F.col(value))
-    return joined.groupBy(*by).agg(*(F.first(c).alias(c) for c in ("q1", "median", "q3")), F.min(inside).alias("low"), F.max(inside).alias("high"))
-
-
 def pick_non_null(df: DataFrame, key: Sequence[str], order: Sequence[str], which: str = "last") -> DataFrame:
     """Per key, the last (or first) non-null value of every other column, in the given order (AG16)."""
     place = F.struct(*order)
@@ -129,35 +89,6 @@ def frequency(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:
 # ---- windows
 
 
-def running_sum(df: DataFrame, columns: Mapping[str, str], order: Sequence[str | Column], by: Sequence[str] = ()) -> DataFrame:
-    """Running sums in a given order, per group (WN1)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({name: F.sum(c).over(w) for name, c in columns.items()})
-
-
-def rank_chunks(df: DataFrame, order: Sequence[str | Column], size: int, by: Sequence[str] = (), name: str = "chunk") -> DataFrame:
-    """Number groups of ``size`` consecutive rows in rank order, from 1; the last may be short (WN2)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(name, (F.floor((F.row_number().over(w) - 1) / size) + 1).cast("long"))
-
-
-def global_rank(df: DataFrame, value: str, then: Sequence[str] = (), name: str = "rank", ranges: int = 64) -> DataFrame:
-    """Rank of every row by a number and then other columns, from 1, without one task that sees all rows.
-
-    Values are cut into ranges at approximate quantiles (their number is fixed; they go through the
-    driver); rows are ranked within a range and the counts of the ranges before are added. The rank is
-    exact however even the ranges are. Rows whose value is null come first.
-    """
-    cuts = df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
-    passed = sum(((F.col(value) >= c).cast("int") for c in sorted(set(cuts or []))), F.lit(0))
-    placed = df.withColumn("_range", F.coalesce(passed, F.lit(0)))
-    sizes = placed.groupBy(F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))  # at most ``ranges`` rows
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(value, *then))
-    ranked = placed.withColumn("_own", own).join(F.broadcast(before), F.col("_range") == F.col("_r"))
-    return ranked.withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_r", "_before")
-
-
 def with_group_total(df: DataFrame, value: str, by: Sequence[str], name: str = "total") -> DataFrame:
     """WN3."""
     return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by)))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.functions.columns import rescale
-from haplolake.operators.relational import exact_quantile, with_scalar
-from haplolake.sources.scratch import stored
+from haplolake.operators.ordered import quantiles
+from haplolake.operators.relational import with_scalar
 
 #: Expected values other than 1, by haplotype and region. Fixed values.
 CENTERS = {("a", "chrX"): 0.23, ("b", "chr10b"): 2.0}
@@ -30,8 +30,7 @@ def rescale_cn(values: DataFrame, x: str = "chrX", half: str = "chr10b", region:
 
 def full_loss_threshold(reference: DataFrame, share: float = 0.95, cn: str = "cn", value: str = "aneuploid") -> DataFrame:
     """One row, threshold: the 95 % quantile of the lost haplotype's values (DOM29)."""
-    lost = stored(reference.filter(F.col(cn) == 0).select(value), "lost")
-    return reference.sparkSession.range(1).select(F.lit(exact_quantile(lost, value, share)).cast("double").alias("threshold"))
+    return quantiles(reference.filter(F.col(cn) == 0), value, {"threshold": share})
 
 
 def _center(hap: str, region: Column, centers: Mapping[tuple[str, str], float]) -> Column:

@@ -229,7 +229,7 @@ def dom18(r: Roles) -> DataFrame:
 _SKIP = f"('{X}', '{HALF}')"
 _TOTAL = f"SELECT lb.s, cn, lb.g, tpm AS v FROM lb LEFT JOIN rv USING (s, g) UNION ALL SELECT smp.s, 2, k.g, tpm FROM smp CROSS JOIN (SELECT DISTINCT g FROM rv WHERE g NOT IN {_SKIP}) k LEFT JOIN rv ON rv.s = smp.s AND rv.g = k.g WHERE c"
 _HAP = f"SELECT s, 1 AS cn, g, 'A' AS hap, ha AS v FROM rv JOIN smp USING (s) WHERE c UNION ALL SELECT s, 1, g, 'B', hb FROM rv JOIN smp USING (s) WHERE c UNION ALL SELECT s, 2, g, 'A&B', 2 * tpm FROM rv JOIN smp USING (s) WHERE c AND g NOT IN {_SKIP}"
-_ANEU = "SELECT s, cn - 1 AS cn, g, CASE cn WHEN 1 THEN lo WHEN 3 THEN hi ELSE ha END AS an, CASE cn WHEN 1 THEN hi WHEN 3 THEN lo ELSE hb END AS no FROM (SELECT lb.s, lb.g, cn, ha, hb, CASE WHEN ha IS NOT NULL AND hb IS NOT NULL THEN LEAST(ha, hb) END AS lo, CASE WHEN ha IS NOT NULL AND hb IS NOT NULL THEN GREATEST(ha, hb) END AS hi FROM lb LEFT JOIN rv USING (s, g) UNION ALL SELECT s, g, 2, ha, hb, NULL, NULL FROM rv JOIN smp USING (s) WHERE c)"
+_ANEU = f"SELECT s, cn - 1 AS cn, g, CASE cn WHEN 1 THEN lo WHEN 3 THEN hi ELSE ha END AS an, CASE cn WHEN 1 THEN hi WHEN 3 THEN lo ELSE hb END AS no FROM (SELECT lb.s, lb.g, cn, ha, hb, CASE WHEN ha IS NOT NULL AND hb IS NOT NULL THEN LEAST(ha, hb) END AS lo, CASE WHEN ha IS NOT NULL AND hb IS NOT NULL THEN GREATEST(ha, hb) END AS hi FROM lb LEFT JOIN rv USING (s, g) UNION ALL SELECT s, g, 2, ha, hb, NULL, NULL FROM rv JOIN smp USING (s) WHERE c AND g NOT IN {_SKIP})"
 
 
 @query("dom19_reference_total", with_roles(f"SELECT s AS sample_id, CAST(cn AS INT) AS cn, g AS chr, {_R('v')} AS vals FROM q", "rv", "lb", "smp", q=_TOTAL))
@@ -250,12 +250,12 @@ def dom21(r: Roles) -> DataFrame:
 
 @query("dom22_reference_aneuploid", with_roles(f"SELECT s AS sample_id, CAST(cn AS INT) AS cn, g AS chr, {_R('an')} AS aneuploid, {_R('no')} AS normal FROM q", "rv", "lb", "smp", q=_ANEU))
 def dom22(r: Roles) -> DataFrame:
-    return rounded(reference.reference_aneuploid(r.values, r.labelled, r.controls)[0], "aneuploid", "normal")
+    return rounded(reference.reference_aneuploid(r.values, r.labelled, r.controls, SKIP)[0], "aneuploid", "normal")
 
 
 @query("dom22_reference_aneuploid_long", with_roles(f"SELECT s AS sample_id, CAST(cn AS INT) AS cn, g AS chr, 'aneuploid' AS hap, {_R('an')} AS vals FROM q UNION ALL SELECT s, CAST(cn AS INT), g, 'normal', {_R('no')} FROM q", "rv", "lb", "smp", q=_ANEU))
 def dom22_long(r: Roles) -> DataFrame:
-    return rounded(reference.reference_aneuploid(r.values, r.labelled, r.controls)[1], "vals")
+    return rounded(reference.reference_aneuploid(r.values, r.labelled, r.controls, SKIP)[1], "vals")
 
 
 @query("dom23_global_factors", with_roles(f"SELECT s AS sample_id, {_R('pow(2, mu - (SELECT AVG(mu) FROM q JOIN smp USING (s) WHERE c))')} AS factor FROM q", "m", "smp", q="SELECT s, AVG(log2(v)) FILTER (WHERE v > 0) AS mu FROM m GROUP BY s"))
@@ -321,7 +321,7 @@ def dom28(r: Roles) -> DataFrame:
 
 @query("dom29_full_loss_threshold", with_roles(f"SELECT {_R('QUANTILE_CONT(an, 0.95)')} AS threshold FROM q WHERE cn = 0", "rv", "lb", "smp", q=_ANEU))
 def dom29(r: Roles) -> DataFrame:
-    return rounded(states.full_loss_threshold(reference.reference_aneuploid(r.values, r.labelled, r.controls)[0]), "threshold")
+    return rounded(states.full_loss_threshold(reference.reference_aneuploid(r.values, r.labelled, r.controls, SKIP)[0]), "threshold")
 
 
 _ALPHA = 0.2
@@ -341,8 +341,10 @@ def _calls_sql(alpha: float) -> dict[str, str]:
     return {
         "an": _ANEU,
         **_PV,
+        **_SCALED,
         "th": "SELECT QUANTILE_CONT(an, 0.95) AS th FROM an WHERE cn = 0",
-        "c1": f"SELECT *, {_state_sql('a', centers['a'], alpha)}, {_state_sql('b', centers['b'], alpha)} FROM pv, th WHERE p1a IS NOT NULL AND p1b IS NOT NULL",
+        "tv": "SELECT s, g, s2.tpm, s2.ha, s2.hb, p1a, p1b, p2a, p2b FROM pv JOIN s2 USING (s, g)",
+        "c1": f"SELECT *, {_state_sql('a', centers['a'], alpha)}, {_state_sql('b', centers['b'], alpha)} FROM tv, th WHERE p1a IS NOT NULL AND p1b IS NOT NULL",
         "calls": f"SELECT *, {_combined('a')}, {_combined('b')} FROM c1 WHERE one_a IS NOT NULL AND one_b IS NOT NULL",
     }
 
@@ -351,8 +353,9 @@ _CALLS = _calls_sql(_ALPHA)
 
 
 def _calls(r: Roles, alpha: float | None = _ALPHA) -> DataFrame:
-    threshold = states.full_loss_threshold(reference.reference_aneuploid(r.values, r.labelled, r.controls)[0])
-    return states.call_states(_tested(r), threshold, alpha, N_REGIONS, _CENTERS)
+    threshold = states.full_loss_threshold(reference.reference_aneuploid(r.values, r.labelled, r.controls, SKIP)[0])
+    # Tests compare raw values; states, patterns and readouts take rescaled ones.
+    return states.call_states(states.rescale_cn(_tested(r), X, HALF), threshold, alpha, N_REGIONS, _CENTERS)
 
 
 @query("dom30_32_states", with_roles("SELECT s AS sample_id, g AS chr, one_a AS cn1_a, one_b AS cn1_b, two_a AS cn2_a, two_b AS cn2_b, sta AS state_a, stb AS state_b FROM calls", "rv", "lb", "smp", **_CALLS))
@@ -368,12 +371,12 @@ def dom30_default(r: Roles) -> DataFrame:
 
 # ---- families
 
-_KEYS = ("generation", "family", "rupt_time", "chr")
+_KEYS = families.FAMILY
 _SHORT = {"cell": "s", "tpm": "tpm", "var_a": "ha", "var_b": "hb", "state_a": "sta", "state_b": "stb", "p1_a": "p1a", "p1_b": "p1b", "p2_a": "p2a", "p2_b": "p2b"}
 _PROFILE = {
     **_CALLS,
-    "fc": "SELECT generation, family, rupt AS rupt_time, g AS chr, role, calls.* EXCLUDE (g) FROM calls JOIN fam USING (s)",
-    "prof": "SELECT generation, family, rupt_time, chr, " + ", ".join(f'MAX({c}) FILTER (WHERE role = \'{role}\') AS "{role}_{m}"' for role in families.ROLES for m, c in _SHORT.items()) + " FROM fc GROUP BY ALL",
+    "fc": "SELECT generation, family, family_ids, mn AS \"MN_info\", event, rupt AS rupt_time, g AS chr, role, calls.* EXCLUDE (g) FROM calls JOIN fam USING (s)",
+    "prof": "SELECT generation, family, family_ids, \"MN_info\", event, rupt_time, chr, " + ", ".join(f'MAX({c}) FILTER (WHERE role = \'{role}\') AS "{role}_{m}"' for role in families.ROLES for m, c in _SHORT.items()) + " FROM fc GROUP BY ALL",
     "pat": "SELECT *, " + ", ".join(f"concat_ws(' ', {', '.join(f'{chr(34)}{x}_state_{h}{chr(34)}' for x in families.ROLES)}) AS pattern_{h}" for h in "ab")
     + ", concat_ws(' ', " + ", ".join(f'CAST(CAST(round_even("{x}_tpm", 0) AS BIGINT) AS VARCHAR)' for x in families.ROLES) + ") AS cn_pattern FROM prof",
     "odd": "SELECT *, len(list_filter(string_split(pattern_a, ' '), lambda t: t <> '1' AND t <> '')) > 0 AS oa, len(list_filter(string_split(pattern_b, ' '), lambda t: t <> '1' AND t <> '')) > 0 AS ob FROM pat",
@@ -392,7 +395,7 @@ def _affected(r: Roles) -> DataFrame:
     return families.affected_haplotype(families.transcription_pattern(families.cn_pattern(_profile(r))))
 
 
-@query("dom33_family_profile", with_roles("SELECT generation, family, rupt_time, chr, " + ", ".join(f'round("{c}", 6) AS "{c}"' if c in _REAL else f'"{c}"' for c in _P) + " FROM prof", "rv", "lb", "smp", "fam", **_PROFILE))
+@query("dom33_family_profile", with_roles("SELECT generation, family, family_ids, \"MN_info\", event, rupt_time, chr, " + ", ".join(f'round("{c}", 6) AS "{c}"' if c in _REAL else f'"{c}"' for c in _P) + " FROM prof", "rv", "lb", "smp", "fam", **_PROFILE))
 def dom33(r: Roles) -> DataFrame:
     return rounded(_profile(r).select(*_KEYS, *_P), *_REAL)
 
@@ -402,26 +405,35 @@ def dom34(r: Roles) -> DataFrame:
     return _affected(r).select("family", "chr", "cn_pattern", "pattern_a", "pattern_b", "affected")
 
 
+def _rounded_sql(h: str) -> str:
+    return "concat_ws(' ', " + ", ".join(f'CAST(CAST(round_even("{x}_var_{h}", 0) AS BIGINT) AS VARCHAR)' for x in families.ROLES) + ")"
+
+
 def _pick(a: str, b: str) -> str:
     return f"CASE affected WHEN 'A' THEN {a} WHEN 'B' THEN {b} END"
 
 
 @query("dom37_affected_readout", with_roles(
-    "SELECT family, chr, affected, " + _pick("pattern_a", "pattern_b") + " AS affected_pattern, " + _R(_pick('"A_var_a"', '"A_var_b"')) + " AS affected_value, " + _pick('"A_state_a"', '"A_state_b"') + " AS affected_state, "
+    "SELECT family, chr, affected, " + _pick(_rounded_sql("a"), _rounded_sql("b")) + " AS affected_pattern, " + _R(_pick('"A_var_a"', '"A_var_b"')) + " AS affected_value, " + _pick('"A_state_a"', '"A_state_b"') + " AS affected_state, "
     + _R(_pick('"A_p1_a"', '"A_p1_b"')) + " AS affected_p1, " + _R(_pick('"A_p2_a"', '"A_p2_b"')) + " AS affected_p2 FROM aff", "rv", "lb", "smp", "fam", **_PROFILE))
 def dom37(r: Roles) -> DataFrame:
     out = families.affected_readout(_affected(r))
     return rounded(out.select("family", "chr", "affected", "affected_pattern", "affected_value", "affected_state", "affected_p1", "affected_p2"), "affected_value", "affected_p1", "affected_p2")
 
 
-@query("dom38_events", with_roles("SELECT family, chr, affected, cn_pattern FROM aff WHERE affected <> 'normal'", "rv", "lb", "smp", "fam", **_PROFILE))
+_EVENTS = families.event_columns()
+_EVENT_REALS = [c for c in _EVENTS if c.endswith(("_tpm", "_var_a", "_var_b", "_value", "_p1", "_p2"))]
+_READOUT = {f"affected_{n}": _pick(f'"A_{m}_a"', f'"A_{m}_b"') for n, m in (("value", "var"), ("state", "state"), ("p1", "p1"), ("p2", "p2"))}
+
+
+@query("dom38_events", with_roles("SELECT " + ", ".join(_R(f'"{c}"') + f' AS "{c}"' if c in _EVENT_REALS else f'"{c}"' for c in _EVENTS) + " FROM ev", "rv", "lb", "smp", "fam", **_PROFILE, ev="SELECT *, " + ", ".join(f"{q} AS {n}" for n, q in _READOUT.items()) + " FROM aff WHERE affected <> 'normal'"))
 def dom38(r: Roles) -> DataFrame:
-    return families.split_events(_affected(r), ["family", "chr", "affected", "cn_pattern"])[0]
+    return rounded(families.split_events(families.affected_readout(_affected(r)))[0], *_EVENT_REALS)
 
 
 @query("dom38_diploid", with_roles("SELECT family, chr, cn_pattern FROM aff WHERE affected = 'normal'", "rv", "lb", "smp", "fam", **_PROFILE))
 def dom38_normal(r: Roles) -> DataFrame:
-    return families.split_events(_affected(r), ["family", "chr", "cn_pattern"])[1]
+    return families.split_events(families.affected_readout(_affected(r)))[1].select("family", "chr", "cn_pattern")
 
 
 @query("dom39_uniform_families", with_roles("SELECT family, MAX(affected) AS affected FROM aff GROUP BY family HAVING COUNT(DISTINCT affected) = 1", "rv", "lb", "smp", "fam", **_PROFILE))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.functions import columns as C
-from haplolake.operators import intervals, relational as R
+from haplolake.operators import intervals, ordered, relational as R
 from haplolake.operators.allelic import allele_rows, usable_phase
 from haplolake.operators.expression import control_mean_with_zeros, densify, inverse_variance
 from haplolake.plans.registry import query, rounded
@@ -260,7 +260,7 @@ def _other(r: Roles) -> DataFrame:
 
 @query("jn05_interval_overlap", with_roles("SELECT ft.f AS feature_id, ft.g AS chr, o.f AS r_feature_id FROM ft LEFT JOIN o ON ft.g = o.g AND ft.a <= o.b AND o.a <= ft.b", "ft", o=_OTHER))
 def jn05(r: Roles) -> DataFrame:
-    return intervals.interval_join(r.features, _other(r), ["chr"], how="left", block=1500).select("feature_id", "chr", "r_feature_id")
+    return intervals.interval_join(r.features, _other(r), ["chr"], how="left").select("feature_id", "chr", "r_feature_id")
 
 
 @query("jn06_point_in_interval", with_roles("SELECT st.g AS chr, st.pos, o.f AS r_feature_id, COUNT(*) AS n FROM st LEFT JOIN o ON st.g = o.g AND st.pos BETWEEN o.a AND o.b GROUP BY ALL", "st", o=_OTHER))
@@ -275,7 +275,7 @@ def jn06(r: Roles) -> DataFrame:
     "ln", n0="SELECT g, len, GREATEST(1, len // 50000) AS n FROM ln", n1="SELECT g, len, n, COALESCE((SELECT SUM(n) FROM n0 y WHERE y.g < n0.g), 0) AS before FROM n0"))
 def jn07(r: Roles) -> DataFrame:
     bins = intervals.make_bins(r.features, 50_000)
-    return intervals.interval_join(bins, r.features.select("chr", "feature_id", "start", "end"), ["chr"], how="left", block=50_000).groupBy("bin").agg(F.count("r_feature_id").alias("n"))
+    return intervals.interval_join(bins, r.features.select("chr", "feature_id", "start", "end"), ["chr"], how="left").groupBy("bin").agg(F.count("r_feature_id").alias("n"))
 
 
 @query("jn08_arms", with_roles("SELECT ft.f AS feature_id, arms.arm FROM ft LEFT JOIN arms ON ft.g = arms.g AND ft.a <= arms.b AND arms.a <= ft.b", "arms"))
@@ -349,7 +349,7 @@ def ag07(r: Roles) -> DataFrame:
 
 @query("ag09_10_quantiles", with_roles(f"SELECT g AS chr, {_R('QUANTILE_CONT(tpm, 0.05)')} AS lower, {_R('QUANTILE_CONT(tpm, 0.5)')} AS middle, {_R('QUANTILE_CONT(tpm, 0.95)')} AS upper FROM rv GROUP BY g", "rv"))
 def ag09(r: Roles) -> DataFrame:
-    return rounded(R.quantiles(r.values, "tpm", {"lower": 0.05, "middle": 0.5, "upper": 0.95}, ["chr"]), "lower", "middle", "upper")
+    return rounded(ordered.quantiles(r.values, "tpm", {"lower": 0.05, "middle": 0.5, "upper": 0.95}, ["chr"]), "lower", "middle", "upper")
 
 
 @query("ag11_15_reference", with_roles(f"SELECT {_R('AVG(hb)')} AS x_factor, {_R('AVG(tpm)')} AS mean, {_R('STDDEV_SAMP(tpm)')} AS sd, {_R('MAX(GREATEST(ha, hb))')} AS high, {_R('MIN(LEAST(ha, hb))')} AS low, {_R('AVG((ha + hb) / 2)')} AS middle FROM rv WHERE g = '{X}'", "rv"))
@@ -379,7 +379,7 @@ def ag17(r: Roles) -> DataFrame:
 
 @query("ag19_chunk_means", "SELECT chunk, round(AVG(c_acctbal), 6) AS mean, COUNT(*) AS n FROM (SELECT c_acctbal, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) - 1) // 10 + 1 AS chunk FROM customer) GROUP BY chunk")
 def ag19(r: Roles) -> DataFrame:
-    chunks = R.rank_chunks(r.table("customer"), ["c_acctbal", "c_custkey"], 10, ["c_nationkey"])
+    chunks = ordered.rank_chunks(r.table("customer"), ["c_acctbal", "c_custkey"], 10, ["c_nationkey"])
     return rounded(chunks.groupBy("chunk").agg(F.avg("c_acctbal").alias("mean"), F.count(F.lit(1)).alias("n")), "mean")
 
 
@@ -387,7 +387,7 @@ def ag19(r: Roles) -> DataFrame:
     f"SELECT g AS chr, {_R('q1')} AS q1, {_R('median')} AS median, {_R('q3')} AS q3, {_R('MIN(tpm) FILTER (WHERE tpm BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))')} AS low, {_R('MAX(tpm) FILTER (WHERE tpm BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))')} AS high FROM rv JOIN q USING (g) GROUP BY g, q1, median, q3",
     "rv", q="SELECT g, QUANTILE_CONT(tpm, 0.25) AS q1, QUANTILE_CONT(tpm, 0.5) AS median, QUANTILE_CONT(tpm, 0.75) AS q3 FROM rv GROUP BY g"))
 def ag21(r: Roles) -> DataFrame:
-    return rounded(R.five_numbers(r.values, "tpm", ["chr"]), "q1", "median", "q3", "low", "high")
+    return rounded(ordered.five_numbers(r.values, "tpm", ["chr"]), "q1", "median", "q3", "low", "high")
 
 
 # ---- windows
@@ -395,12 +395,12 @@ def ag21(r: Roles) -> DataFrame:
 
 @query("wn01_running_sum", with_roles("SELECT f AS feature_id, s AS sample_id, round(SUM(v) OVER (PARTITION BY s ORDER BY v, f ROWS UNBOUNDED PRECEDING), 6) AS run FROM m", "m"))
 def wn01(r: Roles) -> DataFrame:
-    return rounded(R.running_sum(r.matrix, {"run": "value"}, ["value", "feature_id"], ["sample_id"]).select("feature_id", "sample_id", "run"), "run")
+    return rounded(ordered.running_sum(r.matrix, {"run": "value"}, ["value", "feature_id"], ["sample_id"]).select("feature_id", "sample_id", "run"), "run")
 
 
 @query("wn02_rank_chunks", with_roles("SELECT f AS feature_id, s AS sample_id, (row_number() OVER (PARTITION BY s ORDER BY v, f) - 1) // 10 + 1 AS chunk FROM m", "m"))
 def wn02(r: Roles) -> DataFrame:
-    return R.rank_chunks(r.matrix, ["value", "feature_id"], 10, ["sample_id"]).select("feature_id", "sample_id", "chunk")
+    return ordered.rank_chunks(r.matrix, ["value", "feature_id"], 10, ["sample_id"]).select("feature_id", "sample_id", "chunk")
 
 
 @query("wn03_05_group_stats", with_roles(f"SELECT s AS sample_id, g AS chr, {_R('SUM(tpm) OVER w')} AS total, {_R('AVG(tpm) OVER w')} AS mean, {_R('STDDEV_SAMP(tpm) OVER w')} AS sd, {_R('abs((tpm - AVG(tpm) OVER w) / NULLIF(STDDEV_SAMP(tpm) OVER w, 0))')} AS z FROM rv WINDOW w AS (PARTITION BY g)", "rv"))

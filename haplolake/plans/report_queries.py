@@ -135,7 +135,7 @@ def rp12(r: Roles) -> DataFrame:
 @query("rp13_labelled_distribution", with_roles(
     f"SELECT s AS sample_id, CAST(cn AS INT) AS cn, g AS chr, hap, {_R('v')} AS vals, CASE WHEN cn = 1 OR hap = 'normal' THEN 'normal' WHEN cn = 0 THEN 'loss' WHEN cn = 2 THEN 'gain' END AS label FROM (SELECT s, cn, g, 'aneuploid' AS hap, an AS v FROM q UNION ALL SELECT s, cn, g, 'normal', no FROM q)", "rv", "lb", "smp", q=_ANEU))
 def rp13(r: Roles) -> DataFrame:
-    return rounded(reports.labelled_distribution(reference_aneuploid(r.values, r.labelled, r.controls)[1]), "vals")
+    return rounded(reports.labelled_distribution(reference_aneuploid(r.values, r.labelled, r.controls, SKIP)[1]), "vals")
 
 
 # ---- reports at the end of the whole analysis, from one set of stored tables, at the default significance

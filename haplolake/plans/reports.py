@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from haplolake.functions.columns import chr_number, half_hypotenuse, log2_positive, normal_two_sided, order_rank, rescale, safe_div
 from haplolake.operators.expression import control_mean_with_zeros
+from haplolake.operators.ordered import quantiles, rank_chunks, running_sum
 from haplolake.operators.reference import ztest
-from haplolake.operators.relational import fill_from_group, frequency, global_rank, members_of, quantiles, running_sum, stack_labelled, with_group_total, with_group_zscore, with_scalar
-from haplolake.sources.scratch import stored
+from haplolake.operators.relational import fill_from_group, frequency, members_of, stack_labelled, with_group_total, with_group_zscore, with_scalar
 
 
 def _x_factor(values: DataFrame, controls: DataFrame, x: str, sample: str, region: str, b: str) -> DataFrame:
@@ -37,9 +37,9 @@ def bin_track(bins: DataFrame, centromeres: DataFrame, region: str = "chr", samp
 def ratio_by_expression(matrix: DataFrame, samples: DataFrame, size: int = 10, feature: str = "feature_id", sample: str = "sample_id", value: str = "value") -> DataFrame:
     """sample, chunk, control, ratio, log2_ratio: genes with a control mean, in chunks of its order; absent cells count as 0 (RP3, WN2, AG19)."""
     means = control_mean_with_zeros(matrix, samples, feature, sample, value).filter("control_mean > 0")
-    # Genes of all chromosomes are ranked in one order, which reads the one row a gene twice.
-    ranked = global_rank(stored(means, "control-means"), "control_mean", [feature])
-    chunks = ranked.withColumn("chunk", (F.floor((F.col("rank") - 1) / size) + 1).cast("long")).drop("rank")
+    # Genes of all chromosomes are ranked in one order. Means that differ by rounding alone are one.
+    keyed = means.withColumn("_mean", F.round("control_mean", 9))
+    chunks = rank_chunks(keyed, ["_mean", feature], size).drop("_mean")
     sizes = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("_n"), F.avg("control_mean").alias("control"))
     sums = matrix.join(chunks, feature).groupBy(sample, "chunk").agg(F.sum(safe_div(value, "control_mean")).alias("_s"))
     grid = sizes.crossJoin(samples.select(sample).distinct())

@@ -85,11 +85,11 @@ class Roles:
 
     @property
     def family(self) -> DataFrame:
-        """sample_id, family, relationship, generation, rupt_time: four suppliers are a family."""
+        """sample_id, family, relationship, generation, rupt_time, family_ids, MN_info, event: four suppliers are a family."""
         k = F.col("s_suppkey")
         role = F.element_at(F.array(*map(F.lit, ("A", "B", "c1", "c2"))), (k % 4 + 1).cast("int"))
         family = F.floor(k / 4)
-        return self.table("supplier").select(k.alias("sample_id"), family.alias("family"), role.alias("relationship"), F.when(family % 2 == 0, "Gen1").otherwise("Gen2").alias("generation"), F.when(family % 3 == 0, "intact").otherwise("ruptured").alias("rupt_time"))
+        return self.table("supplier").select(k.alias("sample_id"), family.alias("family"), role.alias("relationship"), F.when(family % 2 == 0, "Gen1").otherwise("Gen2").alias("generation"), F.when(family % 3 == 0, "intact").otherwise("ruptured").alias("rupt_time"), F.concat(F.lit("F"), family.cast("string")).alias("family_ids"), F.when(family % 2 == 0, "A").otherwise("B").alias("MN_info"), F.concat(F.lit("e"), (family % 5).cast("string")).alias("event"))
 
     @property
     def arms(self) -> DataFrame:
@@ -112,7 +112,7 @@ SQL = {
     "rv0": "SELECT l_suppkey AS s, g, SUM(l_extendedprice) AS t, SUM(CASE l_returnflag WHEN 'A' THEN l_quantity ELSE 0 END) AS qa, SUM(CASE l_returnflag WHEN 'R' THEN l_quantity ELSE 0 END) AS qr FROM lineitem JOIN ft ON f = l_partkey GROUP BY ALL",
     "rv": "SELECT s, g, tpm, af, 2 * tpm * af AS ha, 2 * tpm * (1 - af) AS hb FROM (SELECT s, g, t / AVG(t) OVER (PARTITION BY g) AS tpm, qa / NULLIF(qa + qr, 0) AS af FROM rv0)",
     "lb": "SELECT s_suppkey AS s, 'Brand#' || (s_suppkey % 25 + 1) AS g, CAST(s_suppkey % 10 AS INT) AS cn FROM supplier WHERE s_suppkey % 10 IN (1, 3)",
-    "fam": "SELECT s_suppkey AS s, s_suppkey // 4 AS family, ['A', 'B', 'c1', 'c2'][s_suppkey % 4 + 1] AS role, CASE WHEN s_suppkey // 4 % 2 = 0 THEN 'Gen1' ELSE 'Gen2' END AS generation, CASE WHEN s_suppkey // 4 % 3 = 0 THEN 'intact' ELSE 'ruptured' END AS rupt FROM supplier",
+    "fam": "SELECT s_suppkey AS s, s_suppkey // 4 AS family, ['A', 'B', 'c1', 'c2'][s_suppkey % 4 + 1] AS role, CASE WHEN s_suppkey // 4 % 2 = 0 THEN 'Gen1' ELSE 'Gen2' END AS generation, CASE WHEN s_suppkey // 4 % 3 = 0 THEN 'intact' ELSE 'ruptured' END AS rupt, 'F' || (s_suppkey // 4) AS family_ids, CASE WHEN s_suppkey // 4 % 2 = 0 THEN 'A' ELSE 'B' END AS mn, 'e' || (s_suppkey // 4 % 5) AS event FROM supplier",
     "ln": "SELECT g, MAX(b) AS len FROM ft GROUP BY g",
     "arms": "SELECT g, 0 AS a, len // 2 AS b, g || 'p' AS arm FROM ln UNION ALL SELECT g, len // 2, len, g || 'q' FROM ln",
 }

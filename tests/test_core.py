@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haplolake.functions import columns as C
-from haplolake.operators import allelic, annotate, expression, families, intervals, qc, reference, regions, relational, states
+from haplolake.operators import allelic, annotate, expression, families, intervals, ordered, qc, reference, regions, relational, states
 from haplolake.plans import reports
 from haplolake.sources import tables
 
@@ -121,7 +121,7 @@ def test_interval_join_equals_nested_loop(spark, how):
     make = lambda n: [(i, rng.choice("ab"), s := rng.randint(0, 500), s + rng.choice([0, 3, 60, 200])) for i in range(n)]
     left, right = make(80), make(80) + [(99, "a", None, 3), (98, "a", 9, 2)]
     schema = "id long, chr string, start long, end long"
-    got = rows(intervals.interval_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["chr"], how=how, block=50), "id", "r_id")
+    got = rows(intervals.interval_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["chr"], how=how, range_rows=7), "id", "r_id")
     want = [(i, j) for i, c, s, e in left for j, d, x, y in right if c == d and x is not None and x <= y and s <= y and x <= e]
     if how == "left":
         want += [(i, None) for i, *_ in left if i not in {a for a, _ in want}]
@@ -192,15 +192,91 @@ def test_families(spark):
     out = families.affected_readout(families.affected_haplotype(families.transcription_pattern(families.cn_pattern(profile))))
     got = {r.family: r for r in out.collect()}
     assert (got["two"].cn_pattern, got["two"].pattern_a, got["two"].affected, got["two"].affected_state, got["two"].affected_value) == ("2 2", "0 1", "A", "0", 0.1)
-    assert (got["four"].pattern_b, got["four"].affected, got["four"].affected_pattern) == ("1 1 2 1", "B", "1 1 2 1")
+    assert (got["four"].pattern_b, got["four"].affected, got["four"].affected_pattern) == ("1 1 2 1", "B", "0 0 0 0")
     assert got["both"].affected == "NA" and got["both"].affected_state is None and got["calm"].affected == "normal"
     events, normal = families.split_events(out, ["family", "chr"])
+    assert len(families.event_columns()) == 38 and set(families.event_columns(("family", "chr"))) <= set(out.columns)
     assert [r.family for r in events.collect()] == ["both", "four", "two"] and rows(normal, "family") == [("calm",)]
     assert families.uniform_families(out).count() == 4
     with pytest.raises(Exception, match="more than one row"):
         families.family_profile(spark.createDataFrame([row("x", "A", "1", "1")] * 2, schema), ("family", "chr")).collect()
 
 
+def by_hand(cells, controls, labelled):
+    """Calls from the formulas: raw values are tested, rescaled ones are called. cells: {(cell, chr): (tpm, a, b)}."""
+    mean = lambda v: sum(v) / len(v)
+
+    def p(x, group):
+        m = mean(group)
+        sd = math.sqrt(sum((v - m) ** 2 for v in group) / (len(group) - 1))
+        return math.erfc(abs((x - m) / sd) / math.sqrt(2))
+
+    chroms = {c for _, c in cells}
+    lost = sorted(min(cells[k][1:]) for k, cn in labelled.items() if cn == 1)
+    place = (len(lost) - 1) * 0.95
+    threshold = lost[int(place)] + (lost[min(len(lost) - 1, int(place) + 1)] - lost[int(place)]) * (place - int(place))
+    xb = mean([v[2] for (_, c), v in cells.items() if c == "chrX"])
+    scale = lambda v, c: v * 1.5 if c == "chr10b" else v / xb if c == "chrX" else v
+    xt = mean([v[1] / xb for (_, c), v in cells.items() if c == "chrX"]) + 1
+    out, alpha = {}, 0.05 / (2 * len(chroms))
+    for (cell, c), (tpm, *haps) in cells.items():
+        own = [[cells[k, c][i] for k in controls] for i in (1, 2)]
+        double = [2 * cells[k, c][0] for k in controls]
+        marks = []
+        for i, (v, center) in enumerate(zip(haps, (0.23 if c == "chrX" else 1, 2 if c == "chr10b" else 1))):
+            s = scale(v, c)
+            full = c not in ("chrX", "chr10b") and p(v, double) >= alpha
+            if p(v, own[i]) >= alpha:
+                marks.append("1")
+            elif s > center:
+                marks.append("2" if full else "1+")
+            else:
+                marks.append("0" if s < threshold else "1-")
+        total = tpm * (3 if c == "chr10b" else xt if c == "chrX" else 2)
+        out[cell, c] = (round(total, 9), *(round(scale(v, c), 9) for v in haps), *marks)
+    return out
+
+
+def test_calls_are_made_on_rescaled_values(spark):
+    rng = random.Random(8)
+    base = {"chr1": (0.5, 0.5), "chr2": (0.5, 0.5), "chr10b": (0.34, 0.66), "chrX": (0.12, 0.55)}  # of the total
+    controls = [f"c{i}" for i in range(25)]
+    cells = {}
+    for cell in [*controls, *(f"f{f}{r}" for f in range(6) for r in ("A", "B", "c1", "c2"))]:
+        for c, (a, b) in base.items():
+            t = rng.gauss(1, 0.03)
+            v = [2 * t * a + rng.gauss(0, 0.02), 2 * t * b + rng.gauss(0, 0.02)]
+            if cell[0] == "f" and rng.random() < 0.3:
+                v[rng.randint(0, 1)] *= rng.choice([0.02, 0.5, 2.1, 1.4])
+            cells[cell, c] = (sum(v) / 2, *v)
+    labelled = {}
+    for i in range(10):
+        cells[f"l{i}", "chr1"] = (0.5, *rng.sample([rng.uniform(0.01, 0.1), 1.0], 2))
+        labelled[f"l{i}", "chr1"] = 1 if i < 8 else 3
+    values = spark.createDataFrame([(s, c, *v) for (s, c), v in cells.items()], "sample_id string, chr string, tpm double, hap_a double, hap_b double")
+    control_ids = spark.createDataFrame([(c,) for c in controls], "sample_id string")
+    marks = spark.createDataFrame([(*k, cn) for k, cn in labelled.items()], "sample_id string, chr string, cn int")
+    wide, _ = reference.reference_aneuploid(values, marks, control_ids)
+    assert {r.chr for r in wide.filter("cn = 1").collect()} == {"chr1", "chr2"}
+    tested = reference.region_p(values, reference.reference_haplotype(values, control_ids))
+    calls = states.call_states(states.rescale_cn(tested), states.full_loss_threshold(wide), n_regions=4)
+    want = by_hand(cells, controls, labelled)
+    got = {(r.sample_id, r.chr): (round(r.tpm, 9), round(r.hap_a, 9), round(r.hap_b, 9), r.state_a, r.state_b) for r in calls.collect()}
+    assert got == want and {m for v in want.values() for m in v[3:]} == {"0", "1-", "1", "1+", "2"}
+    roles = spark.createDataFrame([(s, s[1], s[2:]) for s in {s for s, _ in cells if s[0] == "f"}], "sample_id string, family string, relationship string")
+    profile = families.family_profile(calls.join(roles, "sample_id").withColumnsRenamed({"sample_id": "cell", "hap_a": "var_a", "hap_b": "var_b"}), ("family", "chr"))
+    out = families.affected_readout(families.affected_haplotype(families.transcription_pattern(families.cn_pattern(profile)))).collect()
+    assert len(out) == 24
+    for r in out:
+        v = [want[f"f{r.family}{x}", r.chr] for x in families.ROLES]
+        a, b = (any(x[i] != "1" for x in v) for i in (3, 4))
+        hap = "NA" if a and b else "A" if a else "B" if b else "normal"
+        assert (r.affected, r.cn_pattern) == (hap, " ".join(str(round(x[0])) for x in v))
+        assert r.affected_pattern == (" ".join(str(round(x[1 if hap == "A" else 2])) for x in v) if hap in ("A", "B") else None)
+        assert r.affected_value == (pytest.approx(v[0][1 if hap == "A" else 2]) if hap in ("A", "B") else None)
+    assert any(r.cn_pattern == "2 2 2 2" for r in out)
+
+
 def test_annotation(spark):
     a = spark.createDataFrame([("k1", "x", None, 1), ("k1", None, "u", 2), ("k2", None, None, 3)], "key string, p string, q string, row long")
     b = spark.createDataFrame([("k1", "y", 1), ("k3_", "z", 2)], "key string, p string, row long")
@@ -216,22 +292,38 @@ def test_annotation(spark):
 
 def test_small_relational_pieces(spark):
     df = spark.createDataFrame([(i, i % 3, float(i * i)) for i in range(9)], "i long, g long, v double")
-    five = {r.g: (r.low, r.q1, r.median, r.q3, r.high) for r in relational.five_numbers(df, "v", ["g"]).collect()}
+    five = {r.g: (r.low, r.q1, r.median, r.q3, r.high) for r in ordered.five_numbers(df, "v", ["g"]).collect()}
     assert five[0] == (0.0, 4.5, 9.0, 22.5, 36.0)
     assert relational.groups_with_one_value(spark.createDataFrame([(1, "a"), (1, None), (2, "b"), (2, "b"), (3, None)], "g long, x string"), ["g"], "x").select("g").distinct().count() == 2
-    assert rows(relational.rank_chunks(df, ["i"], 4), "i", "chunk")[0:5] == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)]
-    approx = relational.quantiles(df, "v", {"m": 0.5}, ["g"], approximate=True)
-    assert approx.count() == 3
-
-
-@pytest.mark.parametrize("ranges", [2, 5, 64])
-def test_global_rank_equals_one_sort(spark, ranges):
-    rng = random.Random(ranges)
-    data = [(i, rng.choice([None, 1.0, 1.0, 2.5, rng.random()])) for i in range(300)]
-    got = relational.global_rank(spark.createDataFrame(data, "i long, v double").repartition(5), "v", ["i"], ranges=ranges)
-    want = sorted(data, key=lambda t: (t[1] is not None, t[1] or 0, t[0]))
-    assert [r.i for r in sorted(got.collect(), key=lambda r: r["rank"])] == [i for i, _ in want]
-    assert relational.global_rank(spark.createDataFrame([], "i long, v double"), "v").count() == 0
+    assert rows(ordered.rank_chunks(df, ["i"], 4), "i", "chunk")[0:5] == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)]
+
+
+@pytest.mark.parametrize("cell_rows", [1, 7, 10**6])
+def test_ranks_and_running_sums_equal_one_sort(spark, cell_rows):
+    rng = random.Random(cell_rows)
+    data = [(i, rng.choice(["p", "p", "p", None, "q"]), rng.choice([None, 1.0, 1.0, 2.5, -3.0, rng.random(), 1e300, 1 + rng.random() / 1e6]), rng.choice([None, 1.0, 2.0])) for i in range(400)]
+    df = spark.createDataFrame(data, "i long, g string, v double, x double").repartition(5)
+    for by in ([], ["g"]):
+        want = {}
+        for g in {d[1] for d in data} if by else {0}:
+            run = None
+            for k, (i, _, _, x) in enumerate(sorted((d for d in data if not by or d[1] == g), key=lambda t: (t[2] is not None, t[2] or 0, t[0]))):
+                run = x if run is None else run if x is None else run + x
+                want[i] = (k + 1, run)
+        got = ordered.ranked(df, ["v", "i"], by, cell_rows=cell_rows).collect()
+        assert {r.i: r["rank"] for r in got} == {i: k for i, (k, _) in want.items()}
+        sums = ordered.running_sum(df, {"s": "x"}, ["v", "i"], by, cell_rows).collect()
+        assert {r.i: r.s for r in sums} == {i: pytest.approx(s) if s is not None else None for i, (_, s) in want.items()}
+    assert ordered.ranked(df.limit(0), ["v"]).count() == 0
+
+
+def test_text_orders(spark):
+    words = ["", "a", "ab", "abcdefgh", "abcdefghi", "b", "é", None, "zz"] * 3
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i long, w string")
+    want = sorted(enumerate(words), key=lambda t: (t[1] is not None, (t[1] or "").encode(), t[0]))
+    for cell_rows in (1, 100):
+        got = sorted(ordered.ranked(df, ["w", "i"], cell_rows=cell_rows).collect(), key=lambda r: r["rank"])
+        assert [(r.i, r.w) for r in got] == want
 
 
 def test_reports_mark_families_and_families_list(spark):
@@ -284,14 +376,49 @@ def test_running_counts_over_arriving_files(spark, tmp_path):
         q.stop()
 
 
-def test_exact_quantile(spark):
+@pytest.mark.parametrize("cell_rows", [1, 5, 10**6])
+def test_quantiles_are_exact(spark, cell_rows):
     import numpy as np
 
-    rng = random.Random(1)
-    for n, accuracy in ((0, 100), (1, 100), (7, 100), (500, 20), (5000, 100)):
-        values = [rng.choice([rng.random(), 0.5, None]) for _ in range(n)]
-        df = spark.createDataFrame([(v,) for v in values], "v double")
-        given = [v for v in values if v is not None]
-        for share in (0.0, 0.05, 0.5, 0.95, 1.0):
-            got = relational.exact_quantile(df, "v", share, accuracy)
-            assert got is None if not given else got == pytest.approx(float(np.quantile(given, share)), abs=1e-12)
+    rng = random.Random(cell_rows)
+    make = {"many": lambda: rng.gauss(0, 5), "ties": lambda: 0.5, "few": lambda: rng.choice([1.0, 2.0, -2.0, None]), "close": lambda: 1 + rng.random() / 1e7, None: lambda: rng.choice([rng.random(), 0.0, -0.0, 1e-300])}
+    data = [(g, f()) for g, f in make.items() for _ in range(301)] + [("one", 3.0), ("nulls", None), ("nulls", None)]
+    shares = {"low": 0.0, "a": 0.05, "mid": 0.5, "b": 0.95, "top": 1.0}
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: r for r in ordered.quantiles(df, "v", shares, ["g"], cell_rows).collect()}
+    for g in {g for g, _ in data}:
+        given = [v for h, v in data if h == g and v is not None]
+        for name, share in shares.items():
+            assert got[g][name] == (pytest.approx(float(np.quantile(given, share)), abs=1e-12) if given else None)
+    whole = ordered.quantiles(df, "v", shares, cell_rows=cell_rows).first()
+    every = [v for _, v in data if v is not None]
+    assert all(whole[n] == pytest.approx(float(np.quantile(every, q)), abs=1e-12) for n, q in shares.items())
+    assert ordered.quantiles(df.limit(0), "v", {"m": 0.5}).first().m is None and ordered.quantiles(df.limit(0), "v", {"m": 0.5}, ["g"]).count() == 0
+
+
+def test_interval_join_with_a_third_of_all_points_in_one_gene(spark):
+    rng = random.Random(4)
+    genes = [(i, "c", 100_000 * i, 100_000 * i + 3000) for i in range(60)] + [(99, "c", 0, 7_000_000), (98, "d", 5, 5)]
+    points = [(i, "c", p := rng.randint(300_000, 303_000) if i % 3 == 0 else rng.randint(0, 7_000_000), p) for i in range(6000)] + [(9000, "d", 5, 5), (9001, "d", 6, 6), (9002, None, 6, 6), (9003, "e", 1, 1)]
+    schema = "id long, chr string, start long, end long"
+    left, right = spark.createDataFrame(points, schema), spark.createDataFrame(genes, schema)
+    cuts = intervals._cuts(left.unionByName(right).select("chr", F.col("start").cast("double").alias("_p"), F.lit(None).cast("double").alias("_right")), ["chr"], 100)
+    assert max(len(r["_cuts"]) for r in cuts.collect()) > 40
+    for how in ("inner", "left"):
+        got = intervals.interval_join(left, right, ["chr"], how=how, range_rows=100).select("id", "r_id").collect()
+        want = [(i, j) for i, c, s, e in points for j, d, x, y in genes if c == d and s <= y and x <= e]
+        if how == "left":
+            want += [(i, None) for i in {p[0] for p in points} - {i for i, _ in want}]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_no_job_runs_before_the_result_is_used(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    samples = spark.createDataFrame([(i, i < 3) for i in range(6)], "sample_id long, is_control boolean")
+    features = spark.createDataFrame([(i, "chr1" if i < 5 else "chrX", 10 * i, 10 * i + 15) for i in range(9)], "feature_id long, chr string, start long, end long")
+    m = features.select("feature_id").crossJoin(samples.select("sample_id")).withColumn("value", 1 + F.col("feature_id") * F.col("sample_id"))
+    built = [regions.agg_by_chr(m, features, samples), regions.agg_by_bin(m, features, samples, 20), expression.adjust_by_invvar(m, samples, 0.95, features), ordered.five_numbers(m, "value", ["feature_id"])]
+    assert not tracker.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(b.count() for b in built)
