@@ -22,7 +22,7 @@ from pyspark.sql.types import StructField, StructType
 
 from haplolake.functions.columns import midpoint
 
-#: Starts in a range, and bound on the number of ranges that replaces it on large tables (each key may add one).
+#: Starts in a range, and bound on a key's ranges, which makes them larger on large tables.
 RANGE_ROWS, MAX_RANGES = 100_000, 10_000
 #: Pairs in an output batch, give or take those of one row.
 BATCH_PAIRS = 100_000
@@ -30,22 +30,23 @@ _SPLITTER = float(2**31 + 1)
 
 
 def _cuts(starts: DataFrame, keys: Sequence[str], range_rows: int) -> DataFrame:
-    """Per key: _cuts, where ranges begin, and _later, the first right start after each range (both arrays, at most MAX_RANGES and a few long)."""
+    """Per key: _cuts, where ranges begin, and _later, the first right start after each range (both arrays, of at most MAX_RANGES and one), and _steps for a search in them."""
     y = F.col("_p") * _SPLITTER
     cells = starts.groupBy(*keys, (y - (y - F.col("_p"))).alias("_c")).agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_p"), F.min("_right").alias("_right"))
-    all_rows = starts.agg(F.greatest(F.lit(range_rows), F.ceil(F.count(F.lit(1)) / MAX_RANGES)).alias("_size"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = cells.withColumn("_before", before).crossJoin(F.broadcast(all_rows)).withColumn("_part", F.floor(F.col("_before") / F.col("_size")))
+    along = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.greatest(F.lit(range_rows), F.ceil(F.sum("_n").over(Window.partitionBy(*keys)) / MAX_RANGES))
+    parts = cells.withColumn("_part", F.floor(F.coalesce(F.sum("_n").over(along), F.lit(0)) / size))
     ranges = parts.groupBy(*keys, "_part").agg(F.min("_p").alias("_p"), F.min("_right").alias("_right"))
     later = F.min("_right").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing))
     listed = ranges.withColumn("_later", later).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "_later"))).alias("_r"))
-    return listed.select(*keys, F.col("_r._p").alias("_cuts"), F.col("_r._later").alias("_later"))
+    bits = F.ceil(F.log2(F.size("_r").cast("double"))).cast("int")
+    steps = F.transform(F.sequence(bits, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return listed.select(*keys, F.col("_r._p").alias("_cuts"), F.col("_r._later").alias("_later"), steps.alias("_steps"))
 
 
 def _range_of(position: str) -> Column:
     """Number of cuts at or before a position, by binary search."""
-    steps = F.array(*(F.lit(1 << k) for k in range(MAX_RANGES.bit_length(), -1, -1)))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= F.col(position), at + step).otherwise(at))
+    return F.aggregate("_steps", F.lit(0), lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= F.col(position), at + step).otherwise(at))
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -108,7 +109,7 @@ def interval_join(
 
     def dealt(df: DataFrame) -> DataFrame:
         known = df.join(cuts, list(keys)).withColumn("_lo", _range_of("_s"))
-        spread = known.withColumn("_range", F.explode(F.sequence("_lo", _range_of("_e"))))
+        spread = known.withColumn("_range", F.explode(F.sequence("_lo", F.when(F.col("_s") == F.col("_e"), F.col("_lo")).otherwise(_range_of("_e")))))
         return spread.withColumn("_more", F.coalesce(F.get("_later", F.col("_lo") - 1) <= F.col("_e"), F.lit(False)))
 
     both = dealt(lefts).unionByName(dealt(rights), allowMissingColumns=True).select(*columns)

@@ -20,8 +20,6 @@ from pyspark.sql.types import NumericType
 #: Rows above which a cell is dealt again.
 CELL_ROWS = 1_000_000
 _DIGITS = ("_d0", "_d1", "_d2")
-#: Splits a double's 53 significant bits so that 16 are left.
-_SPLITTER = float(2**37 + 1)
 
 
 def _same(a: DataFrame, b: DataFrame, names: Mapping[str, str]) -> Column:
@@ -44,12 +42,12 @@ def _text(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("1"), c), F.lit("0"))
 
 
-def coarse(df: DataFrame, column: str) -> Column:
-    """A value that never falls as the column rises and has few distinct values: numbers rounded to 16 bits, prefixes of text. Null comes first."""
+def coarse(df: DataFrame, column: str, bits: int = 16) -> Column:
+    """A value that never falls as the column rises and has few distinct values: numbers rounded to some bits, prefixes of text. Null comes first."""
     if not isinstance(df.schema[column].dataType, NumericType):
         return _text(F.substring(F.col(column).cast("string"), 1, 6))
     x = F.col(column).cast("double")
-    y = x * _SPLITTER
+    y = x * float(2 ** (53 - bits) + 1)
     return F.coalesce(F.when(F.abs(x) < 1e290, y - (y - x)).otherwise(x), F.lit(-math.inf))
 
 
@@ -92,26 +90,24 @@ def rank_chunks(df: DataFrame, order: Sequence[str], size: int, by: Sequence[str
     return ranked(df, order, by, "_rank", cell_rows).withColumn(name, (F.floor((F.col("_rank") - 1) / size) + 1).cast("long")).drop("_rank")
 
 
-def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = (), cell_rows: int = CELL_ROWS) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles per group, one column per name, nulls skipped; a group of nulls gives null (AG9, AG10, RP8).
 
-    Cells' counts tell which cells hold the wanted places; only their values are counted, equal ones once.
-    Without ``by`` there is one row, also for an empty table.
+    Counts of cells of 20 significant bits tell which cells hold the wanted places; only their values are counted,
+    equal ones once, and walked in order. Without ``by`` there is one row, also for an empty table.
     """
     numbers = df.select(*by, F.col(value).cast("double").alias("_v"))
-    placed = _in_cells(numbers.filter("_v IS NOT NULL"), by, ["_v"], cell_rows).drop("_d2")
-    cell = [*by, "_d0", "_d1"]
-    counts = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_d0", "_d1").rowsBetween(Window.unboundedPreceding, -1)
+    placed = numbers.withColumn("_d0", coarse(numbers, "_v", 20))
+    cell = [*by, "_d0"]
+    counts = placed.groupBy(*cell).agg(F.count("_v").alias("_n"))
+    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_d0").rowsBetween(Window.unboundedPreceding, -1)
     cum = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(order), F.lit(0)), "_all": F.sum("_n").over(group)})
     place = {k: (F.col("_all") - 1) * F.lit(float(q)) for k, q in shares.items()}
-    ends = [e for p in place.values() for e in (F.floor(p), F.ceil(p))]
     held = lambda e, at, n: (e >= at) & (e < at + n)
-    wanted = F.lit(False)
-    for e in ends:
-        wanted = wanted | held(e, F.col("_before"), F.col("_n"))
-    near = cum.filter(wanted).drop("_n")
-    values = join_null_safe(placed, near, cell).groupBy(*cell, "_before", "_all", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    wanted = F.col("_all") == 0
+    for p in place.values():
+        wanted = wanted | held(F.floor(p), F.col("_before"), F.col("_n")) | held(F.ceil(p), F.col("_before"), F.col("_n"))
+    values = join_null_safe(placed, cum.filter(wanted).drop("_n"), cell).groupBy(*cell, "_before", "_all", "_v").agg(F.count("_v").alias("_k"))
     inside = Window.partitionBy(*cell).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     values = values.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_k").over(inside), F.lit(0)))
     picked = values.groupBy(*by).agg(
@@ -119,15 +115,12 @@ def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], by: Sequen
         *(F.max(F.when(held(f(p), F.col("_at"), F.col("_k")), F.col("_v"))).alias(f"_{side}_{i}") for i, p in enumerate(place.values()) for side, f in (("low", F.floor), ("high", F.ceil))),
     )
     parts = [F.col(f"_low_{i}") + (F.col(f"_high_{i}") - F.col(f"_low_{i}")) * (p - F.floor(p)) for i, p in enumerate(place.values())]
-    found = picked.select(*by, *(c.alias(k) for k, c in zip(shares, parts, strict=True)))
-    if not by:
-        return found
-    return join_null_safe(numbers.select(*by).distinct(), found, by, "left")
+    return picked.select(*by, *(c.alias(k) for k, c in zip(shares, parts, strict=True)))
 
 
-def five_numbers(df: DataFrame, value: str, by: Sequence[str], cell_rows: int = CELL_ROWS) -> DataFrame:
+def five_numbers(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers (extremes within 1.5 interquartile ranges) per group (AG21)."""
-    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by, cell_rows)
+    q = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.when(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach), F.col(value))
     return join_null_safe(df.select(*by, value), q, by).groupBy(*by, "q1", "median", "q3").agg(F.min(inside).alias("low"), F.max(inside).alias("high"))

@@ -191,7 +191,10 @@ def dom14(r: Roles) -> DataFrame:
     "m", "smp", "ln", r=_RATIO, **_BINS, rg="SELECT r.f, r.s, bins.bin, bins.g, x FROM r JOIN ft USING (f) JOIN bins ON bins.g = ft.g AND ft.a <= bins.b AND bins.a <= ft.b",
     **_weights("rg", "f, bin"), o=f"SELECT bin, s, {_WMEAN} AS x FROM rg JOIN w USING (f, bin) GROUP BY ALL"))
 def dom15(r: Roles) -> DataFrame:
-    return rounded(regions.agg_by_bin(_ratio(r), r.features, r.samples, _SIZE, exclude=(X,)), "value")
+    bins = intervals.make_bins(r.features, _SIZE)
+    placed = stored(regions.place_by_bin(r.features, bins), "bin-features")  # a row for each feature and bin, read by weights and means
+    out = regions.aggregate_levels(_ratio(r), placed, r.samples, exclude=(X,))
+    return rounded(regions.on_all_bins(out, bins, r.samples), "value")
 
 
 @query("dom16_region_ratio", with_roles(f"SELECT g AS chr, s AS sample_id, {_R(_WMEAN)} AS value FROM rg JOIN w USING (f, g) GROUP BY ALL", "m", "smp", "ft", r=_RATIO, rg=_RG, **_weights("rg", "f")))
