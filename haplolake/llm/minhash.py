@@ -13,8 +13,9 @@ full, so a shingle costs about one point, and a weight its logarithm.
 
 Search. Documents with equal multisets are folded into one node first. Nodes that agree in all rows of
 a band share a bucket. Each node is compared with the head of its buckets, the node with most partners.
+A head with many partners is met in several tasks, as many as its buckets' sizes ask for.
 Nodes of buckets in which the others are still in different components are then compared with each
-other, in blocks of bounded size; this is the only step that may grow with the square of a group, and
+other, in blocks of bounded total length; this is the only step that may grow with the square of a group, and
 only of the part of it that is not near its heads. Pairs within a component need no comparison: they
 can't change a class. Comparison is exact, on the multisets. A pair at the threshold shares no bucket with probability
 (1 - threshold^rows)^bands, 3e-5 for the default 20 bands of 4 rows.
@@ -42,8 +43,8 @@ from haplolake.llm.storage import drop, written
 
 SHINGLE_WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 4
 SLICE_BYTES = 2_000_000
-#: Nodes of a block when the undecided ones of a cluster are compared.
-BLOCK_NODES = 4096
+#: Shingles of a block when the undecided nodes of a cluster are compared, and partners of a head in one task, both in the mean.
+BLOCK_SHINGLES, HEAD_PARTNERS = 1_000_000, 2000
 _NULL_ID = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -180,12 +181,11 @@ def _members(words: int):
 
 
 def _near(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), those whose multisets are near. A node's members are sent once as ``a`` and once a pair as ``b``."""
-    pairs = pairs.distinct()
+    """Of the pairs (a, b, salt), those whose multisets are near, with their similarity. A node's members are sent once for each salt as ``a`` and once a pair as ``b``."""
+    heads = pairs.select("a", "salt").distinct().join(members.select(F.col("node").alias("a"), F.col("members").alias("_a")), "a")
     with_b = pairs.join(members.select(F.col("node").alias("b"), F.col("members").alias("_b")), "b")
-    both = with_b.join(members.select(F.col("node").alias("a"), F.col("members").alias("_a")), "a")
-    shared = both.select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("s"), (F.size("_a") + F.size("_b")).alias("n"))
-    return shared.filter(F.col("s") >= threshold * (F.col("n") - F.col("s")) - 1e-9).select("a", "b")
+    shared = with_b.join(heads, ["a", "salt"]).select("a", "b", F.size(F.array_intersect("_a", "_b")).alias("s"), (F.size("_a") + F.size("_b")).alias("n"))
+    return shared.filter(F.col("s") >= threshold * (F.col("n") - F.col("s")) - 1e-9).select("a", "b", (F.col("s") / (F.col("n") - F.col("s"))).alias("similarity"))
 
 
 def _overlapping(threshold: float):
@@ -203,17 +203,19 @@ def _overlapping(threshold: float):
         order = np.argsort(member, kind="stable")
         known, first = np.unique(member[order], return_index=True)
         owner, ends = owner[order], np.append(first, len(member))
-        a, b = [], []
+        a, b, near = [], [], []
         for i in left:
             wanted = flat[at[i] : at[i + 1]]
             k = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
             k = k[known[k] == wanted]
             shared = np.bincount(owner[ragged_index(ends[k], ends[k + 1] - ends[k])], minlength=len(right))
-            hit = np.flatnonzero((shared >= threshold * (size[i] + size[right] - shared) - 1e-9) & (c[right] != c[i]))
+            every = size[i] + size[right] - shared
+            hit = np.flatnonzero((shared >= threshold * every - 1e-9) & (c[right] != c[i]))
             a.append(np.full(len(hit), node[i]))
             b.append(node[right[hit]])
+            near.append(shared[hit] / every[hit])
         a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": np.concatenate(near)})
 
     return run
 
@@ -221,26 +223,30 @@ def _overlapping(threshold: float):
 def _compare_undecided(undecided: DataFrame, members: DataFrame, threshold: float, block: int) -> DataFrame:
     """Links (a, b) across components among the nodes of buckets that are still torn.
 
-    undecided: bucket, node, c. Nodes that hang together by such buckets are a cluster; a cluster is dealt
-    into blocks of bounded size, and every two blocks are compared in a task of their own. No pair becomes
+    undecided: bucket, node, n, c. Nodes that hang together by such buckets are a cluster; a cluster is dealt
+    into blocks of about ``block`` shingles, and every two blocks are compared in a task of their own. No pair becomes
     a row unless it is near.
     """
-    nodes = undecided.select("node", "c").distinct()
+    nodes = undecided.select("node", "n", "c").distinct()
     heads = undecided.groupBy("bucket").agg(F.min("node").alias("first"))
     together = components(undecided.join(heads, "bucket").select(F.col("node").alias("a"), F.col("first").alias("b")))
     placed = nodes.join(together.select("node", F.col("component").alias("cluster")), "node")
-    blocks = placed.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    blocks = placed.groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     dealt = placed.join(blocks, "cluster").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A node goes to the pairs (its block, j) for all j, as the smaller or the larger of the two.
     other = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = other.select("cluster", F.least("part", "j").alias("lo"), F.greatest("part", "j").alias("hi"), "part", "node", "c")
-    return pairs.join(members, "node").groupBy("cluster", "lo", "hi").applyInArrow(_overlapping(threshold), "a long, b long")
+    return pairs.join(members, "node").groupBy("cluster", "lo", "hi").applyInArrow(_overlapping(threshold), "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = SHINGLE_WORDS, block: int = BLOCK_NODES) -> DataFrame:
-    """id, class_id (least id of its class of near-duplicates), component (names the class alone) and text_hash of every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, words: int = SHINGLE_WORDS, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """For every row: id, class_id (least id of its class of near-duplicates), component (names the class alone), text_hash,
+    links, partner_id, partner_hash and similarity.
 
-    Classes are closed under nearness. A wordless row has no component; it is a class of its own.
+    Classes are closed under nearness. links counts the verified near texts of other multisets that the row was compared
+    with, and they hold each class together; partner is the nearest of them, by id and text hash, or the first row with
+    the same multiset (similarity 1) if the row isn't that one itself. A wordless row has no component; it is a class of
+    its own. A row without links or copies has no partner.
     """
     text = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed = written(text.withColumn("h", _text_hash("text")).mapInArrow(_sign(bands, rows, words), "k long, h long, n long, d1 long, d2 long, bands array<long>"), "signatures")
@@ -274,12 +280,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.least(a, b) >= threshold * F.greatest(a, b) - F.lit(1e-9)
 
     sizes = nodes.select(F.col("node").alias("head"), F.col("n").alias("head_n"))
-    first = crowded.filter("node <> head").select("head", "node", "n").distinct().join(sizes, "head").filter(fits("n", "head_n"))
-    links = written(_near(first.select(F.col("head").alias("a"), F.col("node").alias("b")), members, threshold), "near")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / HEAD_PARTNERS)).cast("int")
+    first = crowded.filter("node <> head").groupBy("head", "node", "n").agg(F.max("size").alias("size")).join(sizes, "head").filter(fits("n", "head_n"))
+    links = written(_near(first.select(F.col("head").alias("a"), F.col("node").alias("b"), salt.alias("salt")), members, threshold), "near")
 
     # Buckets whose other nodes are still in different components: what the first comparisons can't tell.
     found = components(links)
-    open_ = crowded.filter("node <> head AND size > 2").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    open_ = crowded.filter("node <> head AND size > 2").join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
     torn = open_.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
     undecided = written(open_.join(torn.select("bucket"), "bucket"), "undecided")
     drop(shared, crowded)
@@ -288,12 +295,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = written(links.unionByName(more), "near")
         found = components(links)
     drop(undecided, members)
-    named = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    # Two heads may have been compared from both sides, and a pair in several blocks' clusters: each counts once.
+    met = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "similarity"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "similarity"))).alias("e")).select("e.*").dropDuplicates(["node", "other"])
+    nearest = met.groupBy("node").agg(F.count(F.lit(1)).alias("links"), F.max(F.struct("similarity", (-F.col("other")).alias("other"))).alias("best")).select("node", "links", (-F.col("best.other")).alias("_other"), "best.similarity")
+    who = nodes.select(F.col("node").alias("_other"), F.col("first").alias("partner"), F.col("h").alias("partner_h"))
+    named = nodes.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).join(nearest.join(who, "_other"), "node", "left")
     least = named.groupBy("c").agg(F.min("first").alias("class"))
-    classes = named.join(least, "c").select("d1", "d2", "n", "class", "c")
-    out = signed.join(classes, ["d1", "d2", "n"], "left").select("k", F.coalesce("class", "k").alias("class"), "c", "h")
+    classes = named.join(least, "c").select("d1", "d2", "n", "class", "c", F.coalesce("links", F.lit(0)).alias("links"), "partner", "partner_h", "similarity", "first", F.col("h").alias("first_h"))
+    copy = (F.col("k") != F.col("first")) | (F.col("h") != F.col("first_h"))
+    own = lambda c, same: F.when(copy, same).otherwise(F.col(c)).alias(c)
+    out = signed.join(classes, ["d1", "d2", "n"], "left").select("k", F.coalesce("class", "k").alias("class"), "c", "h", F.coalesce("links", F.lit(0)).alias("links"), own("partner", F.col("first")), own("partner_h", F.col("first_h")), own("similarity", F.lit(1.0)))
     given = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    return out.select(given("k").alias(id_col), given("class").alias("class_id"), F.col("c").alias("component"), F.col("h").alias("text_hash"))
+    return out.select(given("k").alias(id_col), given("class").alias("class_id"), F.col("c").alias("component"), F.col("h").alias("text_hash"), "links", given("partner").alias("partner_id"), F.col("partner_h").alias("partner_hash"), "similarity")
 
 
 def _text_hash(text_col: str) -> F.Column:

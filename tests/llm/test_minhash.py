@@ -55,7 +55,7 @@ def test_against_brute_force(spark):
     assert Counter((r.doc_id, r.class_id) for r in got) == brute([(i, t) for i, t, _ in rows])
 
 
-@pytest.mark.parametrize("block", [16, 4096])
+@pytest.mark.parametrize("block", [2000, 500_000])
 def test_many_far_copies_of_one_text(spark, block):
     """Copies at all distances from an original: most aren't near it, but some near each other."""
     rng = random.Random(9)
@@ -73,6 +73,65 @@ def test_many_far_copies_of_one_text(spark, block):
     assert 5 < len({c for _, c in want}) < 140
 
 
+def check_links(rows, got):
+    """Every partner is near, as near as is said, and the links join each class's texts."""
+    by_hash = {}
+    for r in got:
+        by_hash.setdefault((r.doc_id, r.text_hash), r)
+    texts = {(r.doc_id, r.text_hash): t for r, t in zip(sorted(got, key=lambda r: r.doc_id), [t for _, t in sorted(rows)])}
+    near = lambda a, b: similarity(bag(a), bag(b))
+    for r in got:
+        mine = texts[r.doc_id, r.text_hash]
+        others = [bag(t) for _, t in rows if bag(t) != bag(mine) and near(t, mine) >= 0.8 - 1e-9]
+        different = {frozenset(o.items()) for o in others}
+        assert r.links <= len(different) and (r.links > 0) == bool(different)
+        if r.partner_id is None:
+            assert not different and r.similarity is None
+        else:
+            assert r.similarity == pytest.approx(near(mine, texts[r.partner_id, r.partner_hash])) and r.similarity >= 0.8 - 1e-9
+            assert by_hash[r.partner_id, r.partner_hash].component == r.component
+
+
+def test_verified_partners_and_links(spark):
+    rng = random.Random(5)
+    rows, vocab = [], [f"w{i}" for i in range(400)]
+    for i in range(120):
+        words = [rng.choice(vocab) for _ in range(100)] if i % 10 == 0 else list(rows[i - i % 10][1].split())
+        for _ in range(rng.randint(0, 4) if i % 10 else 0):
+            words[rng.randrange(100)] = rng.choice(vocab)
+        rows.append((i, " ".join(words)))
+    rows += [(500 + i, rows[i][1]) for i in range(0, 120, 7)] + [(900, "")]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    check_links(rows, got)
+    assert any(r.links > 1 for r in got) and any(r.similarity == 1.0 for r in got) and any(r.partner_id is None for r in got)
+
+
+def test_links_of_one_large_cluster(spark, monkeypatch):
+    """Thousands of near copies of one text, a head that is split over tasks: links count every copy that was verified."""
+    monkeypatch.setattr(M, "HEAD_PARTNERS", 50)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2000):
+        words = list(base)
+        words[rng.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {r.class_id for r in got.values()} == {0} and all(r.links >= 1 for r in got.values())
+    assert max(r.links for r in got.values()) > 1900
+    for r in rng.sample(list(got.values()), 200):
+        assert r.similarity == pytest.approx(similarity(bag(rows[r.doc_id][1]), bag(rows[r.partner_id][1]))) and r.similarity >= 0.8
+
+
+def test_registered_query_against_brute_force(spark, tmp_path):
+    from haplolake.llm import queries
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.op8_minhash(spark, "/root/testdata/sf0.001").collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == brute(rows)
+    check_links(rows, got)
+
+
 def test_empty_table(spark):
     assert M.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
