@@ -136,9 +136,9 @@ def with_roles(body: str, *names: str, **own: str) -> str:
 
 
 def tail_sql(z: str) -> str:
-    """SQL of functions.columns.normal_two_sided."""
-    x, poly = f"(abs({z}) / sqrt(2.0))", "0.17087277"
-    t = f"(1 / (1 + {x} / 2))"
-    for c in ("-0.82215223", "1.48851587", "-1.13520398", "0.27886807", "-0.18628806", "0.09678418", "0.37409196", "1.00002368", "-1.26551223"):
-        poly = f"({c} + {t} * {poly})"
-    return f"CASE WHEN ({z}) IS NOT NULL THEN least(1.0, {t} * exp(-{x} * {x} + {poly})) END"
+    """SQL of the two-sided normal tail by other means: the error function's series below 2.8, a continued fraction beyond."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    series = f"list_reduce(range(60, 0, -1), lambda t, n: 1 + t * 2 * {x} * {x} / (2 * n + 1), 1.0::DOUBLE)"
+    fraction = f"list_reduce(range(120, 0, -1), lambda t, n: {x} + n / 2.0 / t, {x})"
+    near, far = f"1 - 2 / sqrt(pi()) * {x} * exp(-{x} * {x}) * {series}", f"exp(-{x} * {x}) / sqrt(pi()) / {fraction}"
+    return f"CASE WHEN ({z}) IS NULL THEN NULL WHEN {x} < 2 THEN {near} ELSE {far} END"
