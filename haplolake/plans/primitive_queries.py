@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.functions import columns as C
-from haplolake.operators import intervals, ordered, relational as R
+from haplolake.operators import intervals, moments, ordered, relational as R
 from haplolake.operators.allelic import allele_rows, usable_phase
 from haplolake.operators.expression import control_mean_with_zeros, densify, inverse_variance
 from haplolake.plans.registry import query, rounded
-from haplolake.plans.roles import HALF, Roles, X, tail_sql, with_roles
-from haplolake.sources import tables as S
-from haplolake.sources.scratch import new_path
+from haplolake.plans.roles import HALF, N_REGIONS, Roles, X, tail_sql, with_roles
+from haplolake.sources import stages, tables as S
+from haplolake.sources.scratch import new_path, stored
 
 _R = "round({}, 6)".format
 
@@ -148,14 +148,62 @@ def src15(r: Roles) -> DataFrame:
     return rounded(S.checkpoint(r.matrix, new_path(r.spark, "stage")), "value")
 
 
-@query("src16_wide_csv", "SELECT CAST(l_suppkey AS VARCHAR) AS sample_id, CAST(COUNT(*) FILTER (WHERE l_returnflag = 'A') AS VARCHAR) AS \"A\", CAST(COUNT(*) FILTER (WHERE l_returnflag = 'N') AS VARCHAR) AS \"N\", CAST(COUNT(*) FILTER (WHERE l_returnflag = 'R') AS VARCHAR) AS \"R\" FROM lineitem GROUP BY ALL")
+@query("src16_wide_csv", with_roles(f"SELECT CAST(f AS VARCHAR) AS feature_id, 's' || s AS sample, dense_rank() OVER (ORDER BY 's' || s) AS place, {_R('v')} AS value FROM m", "m"))
 def src16(r: Roles) -> DataFrame:
+    """The whole matrix as a wide file, a field for each sample, read back with the place of its column."""
     path = new_path(r.spark, "wide")
-    flags = R.append(*(r.table("supplier").select(F.col("s_suppkey").alias("sample_id"), F.lit(x).alias("flag"), F.lit(0).alias("k")) for x in "ANR"))
-    rows = r.table("lineitem").select(F.col("l_suppkey").alias("sample_id"), F.col("l_returnflag").alias("flag"), F.lit(1).alias("k"))
-    long = flags.join(rows.select("sample_id").distinct(), "sample_id", "left_semi").unionByName(rows).groupBy("sample_id", "flag").agg(F.sum("k").alias("n"))
-    S.write_csv(long, path, ("flag", "n", ["R", "N", "A"]))
-    return r.spark.read.csv(path, header=True)
+    S.write_wide_csv(r.matrix.withColumn("sample", F.concat(F.lit("s"), F.col("sample_id").cast("string"))), path, ["feature_id"], "sample", "value")
+    wide = r.spark.read.csv(path, header=True)
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("sample"), F.lit(i).cast("long").alias("place"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(wide.columns) if i)))
+    return rounded(wide.select("feature_id", cells.alias("c")).select("feature_id", "c.*").filter("value IS NOT NULL"), "value")
+
+
+_DAMAGED = "CASE WHEN k % 97 = 0 THEN 'unreadable' WHEN k % 89 = 0 THEN 'no contig' WHEN k % 83 = 0 THEN 'out of range' END"
+
+
+def _damaged(r: Roles) -> DataFrame:
+    """A folder of allele counts in which some rows have a word for a number, no chromosome, or a negative count."""
+    k = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    l = r.table("lineitem")
+    ref = F.when(k % 97 == 0, "many").when((k % 83 == 0) & (k % 89 != 0), "-1").otherwise(F.col("l_quantity").cast("long").cast("string"))
+    contig = F.when((k % 89 == 0) & (k % 97 != 0), F.lit(None)).otherwise(F.lit("chr1"))
+    path = new_path(r.spark, "damaged")
+    rows = l.select(F.col("l_suppkey").alias("sample_id"), contig.alias("contig"), F.col("l_partkey").alias("position"), ref.alias("refCount"), F.col("l_linenumber").alias("altCount"))
+    rows.repartition("sample_id").write.partitionBy("sample_id").csv(path, sep="\t", header=True)
+    return S.check_allele_counts(r.spark, [path], "part-*", "contig string, position long, refCount long, altCount long")
+
+
+@query("src05_malformed_rows", f"WITH q AS (SELECT l_suppkey AS s, {_DAMAGED} AS reason FROM (SELECT *, l_orderkey * 7 + l_linenumber AS k FROM lineitem)) SELECT CAST(s AS VARCHAR) AS sample_id, COALESCE(reason, 'good') AS reason, COUNT(*) AS n FROM q GROUP BY ALL")
+def src05_malformed(r: Roles) -> DataFrame:
+    """Rows of every sample by what is wrong with them; good and quarantined ones are one reading."""
+    checked = _damaged(r)
+    good = checked.good.select("path", F.lit("good").alias("reason"))
+    return good.unionByName(checked.quarantined.select("path", "reason")).groupBy(_sample_of_path(), "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src05_error_budget", f"WITH q AS (SELECT l_suppkey AS s, l_quantity AS v, {_DAMAGED} AS reason FROM (SELECT *, l_orderkey * 7 + l_linenumber AS k FROM lineitem)) SELECT CAST(s AS VARCHAR) AS sample_id, COUNT(*) FILTER (WHERE reason IS NULL) AS n, CAST(COALESCE(SUM(CAST(v AS BIGINT)) FILTER (WHERE reason IS NULL), 0) AS BIGINT) AS total FROM q GROUP BY s HAVING COUNT(reason) <= 0.035 * COUNT(*) AND COUNT(*) > COUNT(reason)")
+def src05_budget(r: Roles) -> DataFrame:
+    """Counts of the files (one a sample) of which at most 3.5 percent of the rows are malformed."""
+    return _damaged(r).within_budget(0.035).good.groupBy(_sample_of_path()).agg(F.count(F.lit(1)).alias("n"), F.sum("refCount").alias("total"))
+
+
+@query("src15_incremental_stage", "SELECT CAST(l_suppkey AS VARCHAR) AS sample_id, COUNT(*) AS n, CAST(SUM(l_partkey) AS BIGINT) AS total FROM lineitem WHERE l_suppkey % 7 <> 0 OR l_linestatus = 'F' GROUP BY ALL")
+def src15_incremental(r: Roles) -> DataFrame:
+    """A stage over per-sample files, run again after files came, changed and went; the second run reads those alone."""
+    path, stage = new_path(r.spark, "arriving"), new_path(r.spark, "stage")
+    l = r.table("lineitem").select(F.col("l_suppkey").alias("sample_id"), "l_partkey", "l_linestatus")
+    write = lambda rows: rows.repartition("sample_id").sortWithinPartitions("l_partkey").write.partitionBy("sample_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").csv(path, sep="\t")
+    unit = F.regexp_extract("path", "sample_id=([^/]+)/", 1)
+
+    def compute(paths: list[str]) -> DataFrame:
+        rows = r.spark.read.schema("l_partkey long, l_linestatus string").csv(paths, sep="\t")
+        return rows.select(F.regexp_extract("_metadata.file_path", "sample_id=([^/]+)/", 1).alias("sample_id"), "l_partkey")
+
+    write(l.filter("sample_id % 7 = 0 OR sample_id % 3 = 0"))
+    stages.run_stage(r.spark, stage, stages.list_with_sizes(r.spark, [path], "part-*", unit), compute)
+    write(l.filter("sample_id % 7 = 0 AND l_linestatus = 'F' OR sample_id % 7 <> 0 AND sample_id % 3 <> 0"))
+    out = stages.run_stage(r.spark, stage, stages.list_with_sizes(r.spark, [path], "part-*", unit), compute)
+    return out.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("total"))
 
 
 @query("src18_missing_outputs", "SELECT 'e' || s_nationkey AS experiment, s_name AS sample_id, k AS kind FROM supplier CROSS JOIN (VALUES ('metrics'), ('table')) t(k) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber = 7 AND (l_returnflag = 'A') = (k = 'table'))")
@@ -307,16 +355,15 @@ def jn13(r: Roles) -> DataFrame:
     return R.full_join_on_common(x, y)
 
 
-@query("jn15_27_key_joins", with_roles("SELECT family, g AS chr, COUNT(*) AS n, round(SUM(tpm), 6) AS tpm FROM rv JOIN fam USING (s) WHERE generation = 'Gen1' GROUP BY ALL", "rv", "fam"))
+@query("jn15_27_key_joins", with_roles("SELECT family, g AS chr, COUNT(*) AS n, round(SUM(tpm), 6) AS tpm FROM rv JOIN fam USING (s) GROUP BY ALL", "rv", "fam"))
 def jn15(r: Roles) -> DataFrame:
-    joined = R.lookup(r.values, r.family, ["sample_id"], "inner").filter("generation = 'Gen1'")
+    joined = R.lookup(r.values, r.family, ["sample_id"], "inner")
     return rounded(joined.groupBy("family", "chr").agg(F.count(F.lit(1)).alias("n"), F.sum("tpm").alias("tpm")), "tpm")
 
 
-@query("jn20_family_fill", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, c AS cell FROM (SELECT *, first_value(x IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS c FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN l_partkey END AS x FROM lineitem WHERE l_returnflag IN ('A', 'R'))) WHERE c IS NOT NULL")
+@query("jn20_family_fill", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, c AS cell FROM (SELECT *, first_value(x IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS c FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN l_partkey END AS x FROM lineitem)) WHERE c IS NOT NULL")
 def jn20(r: Roles) -> DataFrame:
-    flags = r.table("lineitem").filter(F.col("l_returnflag").isin("A", "R"))
-    rows = flags.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.when(F.col("l_returnflag") == "A", F.col("l_partkey")).alias("cell")).distinct()
+    rows = r.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.when(F.col("l_returnflag") == "A", F.col("l_partkey")).alias("cell")).distinct()
     return R.fill_from_group(rows, ["l_orderkey"], "cell", ["l_partkey", "l_suppkey", "l_linenumber"])
 
 
@@ -341,6 +388,22 @@ def ag04(r: Roles) -> DataFrame:
     return rounded(rounded(own.join(zeros, "feature_id"), "variance"), "mean", "zero_mean", digits=9)  # enough digits that no mean of cents is a tie
 
 
+@query("ag06_merged_moments", with_roles(
+    f"SELECT f AS feature_id, c AS is_control, COUNT(v) AS n, COUNT(*) FILTER (WHERE v = 0) AS zeros, {_R('AVG(v)')} AS mean, {_R('VAR_SAMP(v)')} AS variance, {_R('SUM(v) / n_all')} AS mean_with_zeros,"
+    f" {_R('(SUM(v * v) - SUM(v) * SUM(v) / n_all) / NULLIF(n_all - 1, 0)')} AS variance_with_zeros, {_R('COALESCE(AVG(v) * AVG(v) / NULLIF(VAR_SAMP(v), 0), 0)')} AS weight FROM m JOIN smp USING (s) JOIN (SELECT c, COUNT(*) AS n_all FROM smp GROUP BY c) k USING (c) GROUP BY f, c, n_all", "m", "smp"))
+def ag06_moments(r: Roles) -> DataFrame:
+    """Moments by feature and group: nine tenths of the samples are summarised and stored, the rest is merged in."""
+    by = ["feature_id", "is_control"]
+    rows = r.matrix.join(r.samples, "sample_id")
+    old = stored(moments.summarise(rows.filter("sample_id % 10 <> 3"), by), "moments")
+    merged = moments.merge(old, moments.summarise(rows.filter("sample_id % 10 = 3"), by), by=by)
+    size = r.samples.groupBy("is_control").agg(F.count(F.lit(1)).alias("n_all"))
+    both = merged.join(size, "is_control")
+    filled = moments.with_absent_as_zero(both, F.col("n_all")).select(*by, F.col("mean").alias("mean_with_zeros"), moments.variance().alias("variance_with_zeros"))
+    own = both.select(*by, "n", "zeros", "mean", moments.variance().alias("variance"), moments.ratio_weight().alias("weight"))
+    return rounded(own.join(filled, by), "mean", "variance", "mean_with_zeros", "variance_with_zeros", "weight")
+
+
 @query("ag07_08_weighted_mean", with_roles(f"SELECT g AS chr, {_R('SUM(tc * af) / NULLIF(SUM(tc) FILTER (WHERE af IS NOT NULL), 0)')} AS weighted, {_R('AVG(af)')} AS plain FROM al JOIN ft USING (f) GROUP BY g", "al"))
 def ag07(r: Roles) -> DataFrame:
     rows = r.alleles.join(r.features, "feature_id")
@@ -459,10 +522,13 @@ def st07(r: Roles) -> DataFrame:
     return rounded(R.with_all_regions(high, r.features, r.samples, "chr", "sample_id"), "tpm")
 
 
-@query("rs01_02_widen", with_roles("SELECT s AS sample_id, " + ", ".join(f"round(MAX({c}) FILTER (WHERE g = '{g}'), 6) AS \"{g}_{n}\"" for g in (X, HALF) for c, n in (("tpm", "tpm"), ("af", "af"))) + " FROM rv GROUP BY s", "rv"))
+_REGIONS = [f"Brand#{i + 1}" for i in range(N_REGIONS)]
+
+
+@query("rs01_02_widen", with_roles("SELECT s AS sample_id, " + ", ".join(f"round(MAX({c}) FILTER (WHERE g = '{g}'), 6) AS \"{g}_{c}\"" for g in _REGIONS for c in ("tpm", "af")) + " FROM rv GROUP BY s", "rv"))
 def rs01(r: Roles) -> DataFrame:
-    wide = R.widen(r.values.filter(F.col("chr").isin(X, HALF)), ["sample_id"], "chr", [X, HALF], ["tpm", "af"])
-    return wide.select("sample_id", *(F.round(F.col(f"`{g}_{c}`"), 6).alias(f"{g}_{c}") for g in (X, HALF) for c in ("tpm", "af")))
+    wide = R.widen(r.values, ["sample_id"], "chr", _REGIONS, ["tpm", "af"])
+    return wide.select("sample_id", *(F.round(F.col(f"`{g}_{c}`"), 6).alias(f"{g}_{c}") for g in _REGIONS for c in ("tpm", "af")))
 
 
 @query("rs03_melt", with_roles("SELECT s AS sample_id, g AS chr, k AS variable, round(CASE k WHEN 'hap_a' THEN ha WHEN 'hap_b' THEN hb ELSE tpm END, 6) AS value FROM rv CROSS JOIN (VALUES ('hap_a'), ('hap_b'), ('tpm')) t(k)", "rv"))

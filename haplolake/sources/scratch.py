@@ -4,14 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    """The file system of a path and the path itself, as Hadoop's API names them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir. Where that is unset, under a temporary folder on a local master; else an error."""
+    """A path in a new folder under spark.checkpoint.dir; the folder goes when the driver ends, or with removed() before.
+
+    Where spark.checkpoint.dir is unset, a temporary folder takes its place on a local master; else that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -19,14 +30,26 @@ def new_path(spark: SparkSession, name: str) -> str:
         if not _own:
             _own.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
         base = _own[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    files, p = _files(spark, folder)
+    files.mkdirs(p)
+    files.deleteOnExit(p)
+    return f"{folder}/rows"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once and read from Parquet by all that is built on them; removed when the driver ends (SRC15)."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    """The same rows, written once and read from Parquet by all that is built on them (SRC15)."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Remove what stored() wrote for these tables, once all that is built on them is written too."""
+    for t in tables:
+        path = _paths.pop(t, None)
+        if path:
+            files, p = _files(t.sparkSession, path)
+            files.delete(p.getParent(), True)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haplolake.functions.columns import recode
+from haplolake.operators.ordered import ranked
+from haplolake.sources.quarantine import Checked, read_checked
 
 GENE_COUNTS = "feature_id string, count long, _s1 long, _s2 long"
 SUFFIXES = {"gene_counts": "*.ReadsPerGene.out.tab", "alleles": "*.table", "expression": "*.genes.results"}  # fixed file name endings
@@ -87,6 +89,21 @@ def read_gene_counts(spark: SparkSession, roots: Sequence[str], pattern: str = S
     return read_per_sample(spark, roots, pattern, GENE_COUNTS, sep="\t").select("feature_id", "count", "path", "file")
 
 
+def check_allele_counts(spark: SparkSession, roots: Sequence[str], pattern: str = SUFFIXES["alleles"], schema: str = "contig string, position long, variantID string, refAllele string, altAllele string, refCount long, altCount long") -> Checked:
+    """As read_allele_counts, with malformed rows apart: places and counts must be given, and counts not be negative."""
+    return read_checked(spark, roots, pattern, schema, ("contig", "position", "refCount", "altCount"), (F.col("refCount") >= 0) & (F.col("altCount") >= 0), sep="\t", header=True, enforceSchema=False)
+
+
+def check_tpm(spark: SparkSession, roots: Sequence[str], pattern: str = SUFFIXES["expression"], schema: str = "gene_id string, `transcript_id(s)` string, length double, effective_length double, expected_count double, TPM double, FPKM double") -> Checked:
+    """As read_tpm, with malformed rows apart."""
+    return read_checked(spark, roots, pattern, schema, ("gene_id", "TPM"), F.col("TPM") >= 0, sep="\t", header=True, enforceSchema=False)
+
+
+def check_gene_counts(spark: SparkSession, roots: Sequence[str], pattern: str = SUFFIXES["gene_counts"]) -> Checked:
+    """As read_gene_counts, with malformed rows apart."""
+    return read_checked(spark, roots, pattern, GENE_COUNTS, ("feature_id", "count"), F.col("count") >= 0, sep="\t")
+
+
 def read_gtf(spark: SparkSession, path: str, types: Sequence[str] = ("gene", "exon", "UTR")) -> DataFrame:
     """chr, start, end, width, strand, type, gene_id, gene_type (SRC8)."""
     schema = "chr string, source string, type string, start long, end long, score string, strand string, frame string, attributes string"
@@ -148,14 +165,42 @@ def checkpoint(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, wide: tuple[str, str, Sequence[str]] | None = None) -> None:
-    """CSV with header; wide=(column, value, ordered names) lays a long matrix out for the file only (SRC16, SO2)."""
-    if wide is not None:
-        column, value, names = wide
-        df = df.groupBy(*(c for c in df.columns if c not in (column, value))).pivot(column, sorted(names)).agg(F.first(value))
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with header (SRC16)."""
     df.write.mode("overwrite").csv(path, header=True, emptyValue="", nullValue="")
 
 
+def _cell(c: Column) -> Column:
+    """A CSV field: quoted if it holds a comma, a quote or a line end; null is empty."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def write_wide_csv(df: DataFrame, path: str, ids: Sequence[str], column: str, value: str, names: DataFrame | None = None, parts: int | None = None) -> None:
+    """A long matrix as CSV with one line for each id and a field for every name of ``column``, in order of name (SRC16, SO2, RS1).
+
+    Names get ordinal numbers (from ``names``, or from all that occur), a line is put together from the sorted
+    entries of its id, and gaps are filled with as many commas; there is no pivot, so the number of names has no
+    bound but the length of a line. Every part begins with the header. Two values for one field are an error.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = (df if names is None else names).select(F.col(column).cast("string").alias("_name")).distinct()
+    numbered = ranked(listed, ["_name"], name="_no")
+    head = numbered.agg(F.sort_array(F.collect_list(F.struct("_no", _cell(F.col("_name")).alias("n")))).alias("h"), F.count(F.lit(1)).alias("_all"))
+    entries = df.select(*ids, F.col(column).cast("string").alias("_name"), _cell(F.col(value)).alias("_v")).join(numbered, "_name")
+    lines = entries.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("_no", "_v"))).alias("_e")).crossJoin(F.broadcast(head.select("_all")))
+    before = lambda i: F.when(i > 0, F.get(F.col("_e"), i - 1)["_no"]).otherwise(F.lit(1))
+    gap = lambda x, i: F.when((i > 0) & (x["_no"] == before(i)), F.raise_error(F.lit("two values for one field")).cast("string")).otherwise(F.lit(""))
+    piece = lambda x, i: F.concat(gap(x, i), F.repeat(F.lit(","), (x["_no"] - before(i)).cast("int")), x["_v"])
+    tail = F.repeat(F.lit(","), (F.col("_all") - F.element_at("_e", -1)["_no"]).cast("int"))
+    line = F.concat(F.array_join(F.transform("_e", piece), ""), tail)
+    body = lines.select(F.concat_ws(",", *(_cell(F.col(c)) for c in ids), line).alias("value"), F.pmod(F.xxhash64(*ids), F.lit(parts)).cast("int").alias("_part"), F.lit(1).alias("_k"))
+    title = head.select(F.concat_ws(",", *(_cell(F.lit(c)) for c in ids), F.array_join(F.col("h.n"), ",")).alias("value"))
+    titles = title.crossJoin(spark.range(parts).select(F.col("id").cast("int").alias("_part"))).withColumn("_k", F.lit(0))  # a row for each part
+    titles.unionByName(body).repartitionById(parts, F.col("_part")).sortWithinPartitions("_k", "value").select("value").write.mode("overwrite").text(path)
+
+
 def missing_outputs(manifest: DataFrame, files: DataFrame, kinds: Mapping[str, Column]) -> DataFrame:
     """experiment, sample_id, kind of every expected file that is not there (SRC18).
 
