@@ -208,23 +208,73 @@ def dom16_af(r: Roles) -> DataFrame:
     return rounded(regions.agg_by_chr(af, r.features, r.samples, (X,), exclude=(X,)), "value")
 
 
-_ARM = "SELECT r.f, r.s, arms.arm, ft.g, x FROM r JOIN ft USING (f) JOIN arms ON arms.g = ft.g AND ft.a <= arms.b AND arms.a <= ft.b"
+_X_ARMS = (f"{X}p", f"{X}q")
+_ARM_PLACES = "SELECT 'arm' AS level, arm AS place, ft.g, f FROM ft JOIN arms ON arms.g = ft.g AND ft.a <= arms.b AND arms.a <= ft.b"
 
 
-@query("dom17_agg_by_arm", with_roles(f"SELECT arm, s AS sample_id, {_R(_WMEAN)} AS value FROM rg JOIN w USING (f, arm) GROUP BY ALL", "m", "smp", "arms", r=_RATIO, rg=_ARM, **_weights("rg", "f, arm")))
-def dom17(r: Roles) -> DataFrame:
+def _places_sql(features: str = "ft") -> str:
+    bins = f"SELECT 'bin', CAST(bin AS VARCHAR), bins.g, f FROM {features} q JOIN bins ON bins.g = q.g AND q.a <= bins.b AND bins.a <= q.b"
+    return f"{_ARM_PLACES} UNION ALL SELECT 'chr', g, g, f FROM {features} UNION ALL {bins}"
+
+
+def _levels_sql(places: str) -> dict[str, str]:
+    """CTEs from mx (f, s, tpm, af) to lh: values of all levels' places and samples."""
+    raw = "CASE WHEN {0} IS NULL THEN 0 WHEN {0} > 0 THEN 1 / {0} END".format
+    mean = "SUM({1} * {0}) / NULLIF(SUM({1}) FILTER (WHERE {0} IS NOT NULL), 0)".format
+    return {
+        "pl": places,
+        "vr": "SELECT f, VAR_SAMP(tpm) FILTER (WHERE c) AS vt, VAR_SAMP(af) FILTER (WHERE c) AS va FROM mx JOIN smp USING (s) GROUP BY f",
+        "pw": f"SELECT level, place, g, f, {raw('vt')} AS wt, {raw('va')} AS wa FROM pl JOIN vr USING (f)",
+        "pc": f"SELECT level, QUANTILE_CONT(wt, 0.95) AS ct, QUANTILE_CONT(wa, 0.95) AS ca FROM pw WHERE g <> '{X}' GROUP BY level",
+        "lw": "SELECT level, place, f, COALESCE(LEAST(wt, ct), 1) AS wt, COALESCE(LEAST(wa, ca), 1) AS wa FROM pw LEFT JOIN pc USING (level)",
+        "lv": f"SELECT level, place, s, {mean('tpm', 'wt')} AS tpm, CASE WHEN place IN ('{X}', '{X}p', '{X}q') THEN AVG(af) ELSE {mean('af', 'wa')} END AS af FROM mx JOIN lw USING (f) GROUP BY level, place, s",
+        "lh": "SELECT *, 2 * tpm * af AS ha, 2 * tpm * (1 - af) AS hb FROM lv WHERE level <> 'arm' OR place IN (SELECT place FROM lv WHERE level = 'arm' GROUP BY place HAVING COUNT(tpm) > 0 AND COUNT(af) > 0)",
+    }
+
+
+_MX = "SELECT COALESCE(r.f, al.f) AS f, COALESCE(r.s, al.s) AS s, x AS tpm, af FROM r FULL JOIN al ON r.f = al.f AND r.s = al.s"
+
+
+def _side_by_side(tpm: DataFrame, alleles: DataFrame) -> DataFrame:
+    """feature_id, sample_id, tpm, af: expression ratios and allele fractions of all features and samples that have one."""
+    return tpm.select("feature_id", "sample_id", F.col("value").alias("tpm")).join(alleles.select("feature_id", "sample_id", "af"), ["feature_id", "sample_id"], "full")
+
+
+def _levels(r: Roles, matrix: DataFrame, placed: DataFrame) -> DataFrame:
+    return regions.haplotype_levels(matrix, placed, r.samples, {"af": (X, *_X_ARMS)}, exclude=(X,))
+
+
+def _arm_places(r: Roles) -> DataFrame:
     # The region that other operators split is split here first, and joined again by the operator.
     cut = r.features.withColumn("chr", split_label("chr", "size", HALF, 25, f"{HALF}a", f"{HALF}b"))
-    out = regions.agg_by_arm(_ratio(r), cut, r.arms, r.samples, split=(f"{HALF}a", f"{HALF}b"), whole=HALF, exclude=(X,))
-    kept, _ = regions.in_both(out, out, "arm")
-    return rounded(kept, "value")
+    return regions.place_by_arm(cut, r.arms, (f"{HALF}a", f"{HALF}b"), HALF)
 
 
-@query("dom18_haplotype_expression", with_roles(f"SELECT s AS sample_id, g AS chr, {_R('tpm')} AS tpm, {_R('af')} AS af, {_R('ha')} AS hap_a, {_R('hb')} AS hap_b FROM rv", "rv"))
+def _arms(r: Roles) -> DataFrame:
+    """Arm values of expression and allele fractions, for references and tests."""
+    return _levels(r, _side_by_side(_ratio(r), r.alleles), _arm_places(r)).withColumnRenamed("place", "arm")
+
+
+def _role_levels(r: Roles) -> DataFrame:
+    bins = intervals.make_bins(r.features, _SIZE)
+    placed = _arm_places(r).unionByName(regions.place_by_region(r.features)).unionByName(regions.place_by_bin(r.features, bins))
+    return _levels(r, _side_by_side(_ratio(r), r.alleles), stored(placed, "places"))
+
+
+_ARM_SQL = dict(r=_RATIO, mx=_MX, **_levels_sql(_ARM_PLACES))
+_LEVEL_SQL = dict(r=_RATIO, mx=_MX, **_BINS, **_levels_sql(_places_sql()))
+
+
+@query("dom17_agg_by_arm", with_roles(f"SELECT place AS arm, s AS sample_id, {_R('tpm')} AS tpm, {_R('af')} AS af FROM lh", "m", "smp", "arms", "al", **_ARM_SQL))
+def dom17(r: Roles) -> DataFrame:
+    """Both values by arm, plain means of fractions on X, arms that both have."""
+    return rounded(_arms(r).select("arm", "sample_id", "tpm", "af"), "tpm", "af")
+
+
+@query("dom18_haplotype_expression", with_roles(f"SELECT level, place, s AS sample_id, {_R('tpm')} AS tpm, {_R('af')} AS af, {_R('ha')} AS hap_a, {_R('hb')} AS hap_b FROM lh", "m", "smp", "arms", "al", **_LEVEL_SQL))
 def dom18(r: Roles) -> DataFrame:
-    v = r.values
-    out = regions.haplotype_expression(v.select("sample_id", "chr", F.col("tpm").alias("value")), v.select("sample_id", "chr", F.col("af").alias("value")), ["sample_id", "chr"])
-    return rounded(out, "tpm", "af", "hap_a", "hap_b")
+    """Haplotype expression by bin, chromosome and arm, from one aggregation of the matrix."""
+    return rounded(_role_levels(r), "tpm", "af", "hap_a", "hap_b")
 
 
 # ---- references and tests
@@ -246,9 +296,9 @@ def dom20(r: Roles) -> DataFrame:
     return rounded(reference.reference_haplotype(r.values, r.controls, drop, SKIP), "vals")
 
 
-@query("dom21_reference_arm", with_roles(f"SELECT s AS sample_id, CAST(1 AS INT) AS cn, g AS arm, {_R('(ha + hb) / 2')} AS vals FROM rv JOIN smp USING (s) WHERE c", "rv", "smp"))
+@query("dom21_reference_arm", with_roles(f"SELECT s AS sample_id, CAST(1 AS INT) AS cn, place AS arm, {_R('(ha + hb) / 2')} AS vals FROM lh JOIN smp USING (s) WHERE c", "m", "smp", "arms", "al", **_ARM_SQL))
 def dom21(r: Roles) -> DataFrame:
-    return rounded(reference.reference_arm(r.values.withColumnRenamed("chr", "arm"), r.controls), "vals")
+    return rounded(reference.reference_arm(_arms(r), r.controls), "vals")
 
 
 @query("dom22_reference_aneuploid", with_roles(f"SELECT s AS sample_id, CAST(cn AS INT) AS cn, g AS chr, {_R('an')} AS aneuploid, {_R('no')} AS normal FROM q", "rv", "lb", "smp", q=_ANEU))
@@ -294,7 +344,7 @@ _PV["pv"] = f"SELECT s, g, tpm, ha, hb, {_p('a', 'a')} AS p1a, {_p('b', 'b')} AS
 
 
 def _tested(r: Roles) -> DataFrame:
-    return reference.region_p(r.values, reference.reference_haplotype(r.values, r.controls, None, SKIP), SKIP)
+    return reference.region_p(r.values, reference.reference_haplotype(r.values, r.controls, None, r.skip), r.skip)
 
 
 @query("dom26_region_p", with_roles(f"SELECT s AS sample_id, g AS chr, {_R('p1a')} AS p1_a, {_R('p1b')} AS p1_b, {_R('p2a')} AS p2_a, {_R('p2b')} AS p2_b FROM pv", "rv", "smp", **_PV))
@@ -302,10 +352,13 @@ def dom26(r: Roles) -> DataFrame:
     return rounded(_tested(r).select("sample_id", "chr", "p1_a", "p1_b", "p2_a", "p2_b"), "p1_a", "p1_b", "p2_a", "p2_b")
 
 
-@query("dom27_arm_p", with_roles(f"SELECT s AS sample_id, g AS arm, {_R('p1a')} AS p_a, {_R('p1b')} AS p_b FROM pv", "rv", "smp", **_PV))
+def _arm_p(h: str) -> str:
+    return f"SELECT place, CASE WHEN COUNT(h{h}) = COUNT(*) THEN AVG(h{h}) END AS mu_{h}, CASE WHEN COUNT(h{h}) = COUNT(*) THEN STDDEV_SAMP(h{h}) END AS sd_{h} FROM lh JOIN smp USING (s) WHERE c AND level = 'arm' GROUP BY place"
+
+
+@query("dom27_arm_p", with_roles(f"SELECT s AS sample_id, place AS arm, {_R(_p('a', 'a'))} AS p_a, {_R(_p('b', 'b'))} AS p_b FROM lh LEFT JOIN ka USING (place) LEFT JOIN kb USING (place)", "m", "smp", "arms", "al", **_ARM_SQL, ka=_arm_p("a"), kb=_arm_p("b")))
 def dom27(r: Roles) -> DataFrame:
-    out = reference.arm_p(r.values.withColumnRenamed("chr", "arm"), r.controls)
-    return rounded(out.select("sample_id", "arm", "p_a", "p_b"), "p_a", "p_b")
+    return rounded(reference.arm_p(_arms(r), r.controls).select("sample_id", "arm", "p_a", "p_b"), "p_a", "p_b")
 
 
 # ---- states
@@ -328,7 +381,6 @@ def dom29(r: Roles) -> DataFrame:
 
 
 _ALPHA = 0.2
-_CENTERS = {("a", X): 0.23, ("b", HALF): 2.0}
 
 
 def _state_sql(h: str, center: str, alpha: float) -> str:
@@ -356,9 +408,9 @@ _CALLS = _calls_sql(_ALPHA)
 
 
 def _calls(r: Roles, alpha: float | None = _ALPHA) -> DataFrame:
-    threshold = states.full_loss_threshold(reference.reference_aneuploid(r.values, r.labelled, r.controls, SKIP)[0])
+    threshold = states.full_loss_threshold(reference.reference_aneuploid(r.values, r.labelled, r.controls, r.skip)[0])
     # Tests compare raw values; states, patterns and readouts take rescaled ones.
-    return states.call_states(states.rescale_cn(_tested(r), X, HALF), threshold, alpha, N_REGIONS, _CENTERS)
+    return states.call_states(states.rescale_cn(_tested(r), X, r.half), threshold, alpha, N_REGIONS, {("a", X): 0.23, ("b", r.half): 2.0})
 
 
 @query("dom30_32_states", with_roles("SELECT s AS sample_id, g AS chr, one_a AS cn1_a, one_b AS cn1_b, two_a AS cn2_a, two_b AS cn2_b, sta AS state_a, stb AS state_b FROM calls", "rv", "lb", "smp", **_CALLS))
@@ -503,50 +555,128 @@ def dom42(r: Roles) -> DataFrame:
 
 
 class Analysis(Roles):
-    """Roles whose controls and region values come out of the stages before: quality, control selection, ratio,
-    adjustment, regions. Each stage's result is stored (SRC15); references, tests, states and families build on it."""
+    """The whole analysis, stage by stage: quality and controls; phased sites, lanes, genes' alleles; expression by lane; mono-allelic
+    and weakly expressed genes out; zero filling; ratio, adjustment; the split region; bins, regions and arms in one
+    aggregation. What several stages read is stored (SRC15). References, tests, states and families build on it."""
+
+    half = f"{HALF}b"
+    skip = (X, half)
+    bands, default_band, least = {half: (0.15, 0.85)}, (0.2, 0.8), 1.0
 
     @cached_property
-    def samples(self) -> DataFrame:
+    def _all_samples(self) -> DataFrame:
         counts = self.table("lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("feature_id")).agg(F.sum("l_linenumber").alias("count"))
         cells = self.table("supplier").select(F.col("s_suppkey").alias("sample_id"), F.concat(F.lit("c"), (F.col("s_suppkey") % 6 + 1).cast("string")).alias("key_pairs"))
         chosen = qc.select_controls(cells, qc.qc_profile(counts, cells, counters=()), measure="th5", above=3)
         return stored(cells.join(chosen.withColumn("_c", F.lit(True)), "sample_id", "left").select("sample_id", F.coalesce("_c", F.lit(False)).alias("is_control")), "samples")
 
+    @cached_property
+    def _gene_alleles(self) -> DataFrame:
+        """Sites, phased and lanes merged, summed over genes."""
+        whole = Roles(self.spark, self.folder)  # the region isn't split yet
+        sums = allelic.rollup_to_gene(allelic.merge_lanes(_assigned(whole), ["chr", "pos"], ["a", "b"]), _exons(whole))
+        return stored(allelic.allele_fraction(sums.withColumnRenamed("gene_id", "feature_id")), "gene-alleles")
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        """Samples that have allele data (DOM8)."""
+        return stored(members_of(self._all_samples, self._gene_alleles, ["sample_id"]), "samples")
+
+    @property
+    def features(self) -> DataFrame:
+        return super().features.withColumn("chr", split_label("chr", "size", HALF, 25, f"{HALF}a", self.half))
+
+    @cached_property
+    def _mono(self) -> DataFrame:
+        return stored(allelic.monoallelic_genes(self._gene_alleles, self._all_samples, self.features, self.bands, self.default_band, (X,)), "mono-allelic")
+
+    @property
+    def alleles(self) -> DataFrame:
+        return allelic.drop_genes(self._gene_alleles, self._mono)
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        """Filtered, zero-filled expression."""
+        by_lane = self.table("lineitem").groupBy(F.col("l_partkey").alias("feature_id"), F.col("l_suppkey").alias("sample_id"), F.col("l_linestatus").alias("lane")).agg((F.sum("l_extendedprice") / 1000).alias("value"))
+        kept = allelic.drop_genes(allelic.merge_lanes(by_lane, ["feature_id"], ["value"]), self._mono, samples=self._gene_alleles)
+        strong = expression.min_expression(kept, self.samples, self.least)
+        return stored(expression.densify(strong, strong, self.samples), "expression")
+
+    @cached_property
+    def bins(self) -> DataFrame:
+        return stored(intervals.make_bins(self.features, _SIZE), "bins")
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        """level, place, sample_id, tpm, af, hap_a, hap_b of bins, regions and arms."""
+        adjusted = expression.adjust_by_invvar(stored(expression.ratio_to_controls(self.matrix, self.samples), "ratios"), self.samples)
+        arms = regions.place_by_arm(self.features, self.arms, (f"{HALF}a", self.half), HALF)
+        placed = arms.unionByName(regions.place_by_region(self.features)).unionByName(regions.place_by_bin(self.features, self.bins))
+        return stored(_levels(self, stored(_side_by_side(adjusted, self.alleles), "matrix"), stored(placed, "places")), "levels")
+
+    @property
+    def arms(self) -> DataFrame:
+        return Roles(self.spark, self.folder).arms  # of whole regions
+
     @cached_property
     def values(self) -> DataFrame:
-        adjusted = expression.adjust_by_invvar(expression.ratio_to_controls(self.matrix, self.samples), self.samples)
-        tpm = regions.agg_by_chr(adjusted, self.features, self.samples, exclude=(X,))
-        fractions = self.alleles.select("feature_id", "sample_id", F.col("af").alias("value"))
-        af = regions.agg_by_chr(fractions, self.features, self.samples, (X,), exclude=(X,))
-        return stored(regions.haplotype_expression(tpm, af, ["sample_id", "chr"]), "region-values")
+        return self.levels.filter("level = 'chr'").select("sample_id", F.col("place").alias("chr"), "tpm", "af", "hap_a", "hap_b")
 
 
 _CHAIN = {
     "hc": "SELECT l_suppkey AS s, l_partkey AS f, SUM(l_linenumber) AS n FROM lineitem GROUP BY ALL",
-    "smp": "SELECT s_suppkey AS s, COALESCE(th5, 0) > 3 AND s_suppkey % 6 < 3 AS c FROM supplier LEFT JOIN (SELECT s, COUNT(*) FILTER (WHERE n >= 5) AS th5 FROM hc GROUP BY s) t ON s = s_suppkey",
-    "r": _RATIO,
-    "v0": _IVW,
+    "smp0": "SELECT s_suppkey AS s, COALESCE(th5, 0) > 3 AND s_suppkey % 6 < 3 AS c FROM supplier LEFT JOIN (SELECT s, COUNT(*) FILTER (WHERE n >= 5) AS th5 FROM hc GROUP BY s) t ON s = s_suppkey",
+    "ft2": f"SELECT f, CASE WHEN g <> '{HALF}' THEN g WHEN z < 25 THEN '{HALF}a' ELSE '{HALF}b' END AS g, a, b, z FROM ft",
+    "x": _ASSIGNED,
+    "y": _LANES,
+    "e": _EXONS,
+    "al2": "SELECT f, s, SUM(y.a) AS a, SUM(y.b) AS b, SUM(y.a) / NULLIF(SUM(y.a) + SUM(y.b), 0) AS af FROM y JOIN e ON y.g = e.g AND y.pos BETWEEN e.a AND e.b GROUP BY f, s",
+    "mono": f"SELECT f FROM (SELECT f, AVG(af) FILTER (WHERE c) AS maf FROM al2 JOIN smp0 USING (s) GROUP BY f) JOIN ft2 USING (f) WHERE g <> '{X}' AND NOT COALESCE(CASE WHEN g = '{HALF}b' THEN maf BETWEEN 0.15 AND 0.85 ELSE maf BETWEEN 0.2 AND 0.8 END, FALSE)",
+    "al": "SELECT * FROM al2 WHERE f NOT IN (SELECT f FROM mono)",
+    "smp": "SELECT * FROM smp0 WHERE s IN (SELECT s FROM al2)",
+    "tl": "SELECT f, s, SUM(v) / lanes AS v FROM (SELECT l_partkey AS f, l_suppkey AS s, l_linestatus AS lane, SUM(l_extendedprice) / 1000 AS v FROM lineitem GROUP BY ALL) JOIN (SELECT l_suppkey AS s, COUNT(DISTINCT l_linestatus) AS lanes FROM lineitem GROUP BY 1) USING (s) GROUP BY f, s, lanes",
+    "t1": "SELECT * FROM tl WHERE f NOT IN (SELECT f FROM mono) AND s IN (SELECT s FROM al2)",
+    "me": "SELECT f FROM t1 JOIN smp USING (s) GROUP BY f HAVING COALESCE(SUM(v) FILTER (WHERE c), 0) / (SELECT COUNT(*) FROM smp WHERE c) >= 1",
+    "m": "SELECT me.f, smp.s, COALESCE(v, 0) AS v FROM me CROSS JOIN smp LEFT JOIN t1 ON t1.f = me.f AND t1.s = smp.s",
+    "r0": _RATIO,
+    "v0": _IVW.replace("FROM r ", "FROM r0 "),
     "iw": "SELECT f, COALESCE(1 / NULLIF(vv, 0), 0) AS w FROM v0",
-    "k": f"SELECT s, {_WMEAN} AS k FROM r JOIN iw USING (f) GROUP BY s",
-    "rg": "SELECT r.f, r.s, g, x / NULLIF(k, 0) AS x FROM r LEFT JOIN k USING (s) JOIN ft ON ft.f = r.f",
-    **_weights("rg", "f"),
-    "rt": f"SELECT g, s, {_WMEAN} AS tpm FROM rg JOIN w USING (f, g) GROUP BY ALL",
-    "ag": "SELECT f, s, g, af AS x FROM al JOIN ft USING (f)",
-    **_weights("ag", "f", "aw"),
-    "rf": f"SELECT g, s, CASE WHEN g = '{X}' THEN AVG(x) ELSE {_WMEAN} END AS af FROM ag JOIN aw USING (f, g) GROUP BY g, s",
-    "rv": "SELECT rt.s, rt.g, tpm, af, 2 * tpm * af AS ha, 2 * tpm * (1 - af) AS hb FROM rt JOIN rf ON rt.s = rf.s AND rt.g = rf.g",
+    "k": f"SELECT s, {_WMEAN} AS k FROM r0 JOIN iw USING (f) GROUP BY s",
+    "r": "SELECT f, r0.s, x / NULLIF(k, 0) AS x FROM r0 LEFT JOIN k USING (s)",
+    "mx": _MX,
+    "ln2": "SELECT g, MAX(b) AS len FROM ft2 GROUP BY g",
+    **{k: q.replace("FROM ln", "FROM ln2") for k, q in _BINS.items()},
+    **_levels_sql(_places_sql("ft2")),
+    "rv": "SELECT s, place AS g, tpm, af, ha, hb FROM lh WHERE level = 'chr'",
 }
 
 
-@query("analysis_values", with_roles(f"SELECT s AS sample_id, g AS chr, {_R('tpm')} AS tpm, {_R('af')} AS af, {_R('ha')} AS hap_a, {_R('hb')} AS hap_b, c AS is_control FROM rv JOIN smp USING (s)", "m", "ft", "al", **_CHAIN))
+def _halved(ctes: dict[str, str]) -> dict[str, str]:
+    """The same with the split region's second half in the place of the whole."""
+    return {k: q.replace(f"'{HALF}'", f"'{HALF}b'") for k, q in ctes.items()}
+
+
+@query("analysis_levels", with_roles(f"SELECT level, place, s AS sample_id, {_R('tpm')} AS tpm, {_R('af')} AS af, {_R('ha')} AS hap_a, {_R('hb')} AS hap_b FROM lh", "ph", "arms", **_CHAIN))
+def analysis_levels(r: Roles) -> DataFrame:
+    """Values of all bins, regions and arms, from sites, counts and expression on."""
+    return rounded(Analysis(r.spark, r.folder).levels, "tpm", "af", "hap_a", "hap_b")
+
+
+@query("analysis_arm_p", with_roles(f"SELECT s AS sample_id, place AS arm, {_R(_p('a', 'a'))} AS p_a, {_R(_p('b', 'b'))} AS p_b FROM lh LEFT JOIN ka USING (place) LEFT JOIN kb USING (place) WHERE level = 'arm'", "ph", "arms", **_CHAIN, ka=_arm_p("a"), kb=_arm_p("b")))
+def analysis_arm_p(r: Roles) -> DataFrame:
+    """Arms against the controls' arms, at the end of the whole analysis."""
+    a = Analysis(r.spark, r.folder)
+    return rounded(reference.arm_p(a.levels.filter("level = 'arm'").withColumnRenamed("place", "arm"), a.controls).select("sample_id", "arm", "p_a", "p_b"), "p_a", "p_b")
+
+
+@query("analysis_values", with_roles(f"SELECT s AS sample_id, g AS chr, {_R('tpm')} AS tpm, {_R('af')} AS af, {_R('ha')} AS hap_a, {_R('hb')} AS hap_b, c AS is_control FROM rv JOIN smp USING (s)", "ph", "arms", **_CHAIN))
 def analysis_values(r: Roles) -> DataFrame:
-    """Region values of all samples, from counts on, with the controls that quality control chose."""
+    """Region values of all samples, from sites and counts on, with the controls that quality control chose."""
     a = Analysis(r.spark, r.folder)
     return rounded(a.values.join(a.samples, "sample_id").select("sample_id", "chr", "tpm", "af", "hap_a", "hap_b", "is_control"), "tpm", "af", "hap_a", "hap_b")
 
 
-@query("analysis_families", with_roles("SELECT family, chr, cn_pattern, pattern_a, pattern_b, affected FROM aff", "m", "ft", "al", "lb", "fam", **_CHAIN, **_PROFILE))
+@query("analysis_families", with_roles("SELECT family, chr, cn_pattern, pattern_a, pattern_b, affected FROM aff", "ph", "arms", "lb", "fam", **_CHAIN, **_halved(_PROFILE)))
 def analysis_families(r: Roles) -> DataFrame:
     """Patterns and affected haplotype of every family and region, from counts on, through all stages."""
     return _affected(Analysis(r.spark, r.folder)).select("family", "chr", "cn_pattern", "pattern_a", "pattern_b", "affected")

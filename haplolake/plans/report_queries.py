@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haplolake.operators import intervals, regions
 from haplolake.operators.reference import reference_aneuploid, reference_haplotype
 from haplolake.operators.relational import stack_labelled
 from haplolake.plans import reports
-from haplolake.plans.domain_queries import _ANEU, _CHAIN, _HAP, _PROFILE, Analysis, _affected
+from haplolake.plans.domain_queries import _ANEU, _CHAIN, _HAP, _LEVEL_SQL, _PROFILE, _SIZE, Analysis, _affected, _halved, _role_levels
 from haplolake.plans.registry import query, rounded
 from haplolake.plans.roles import HALF, SKIP, Roles, X, tail_sql, with_roles
 from haplolake.sources.scratch import stored
@@ -26,12 +27,15 @@ def rp01(r: Roles) -> DataFrame:
 
 
 @query("rp02_bin_track", with_roles(
-    f"SELECT s AS sample_id, q.g AS chr, mid, track, {_R('CASE track WHEN ' + chr(39) + 'total' + chr(39) + ' THEN 2 * tpm WHEN ' + chr(39) + 'A' + chr(39) + ' THEN tpm * 0.75 ELSE tpm * 1.25 END')} AS value, CAST(len // 2 AS BIGINT) AS centromere FROM q JOIN ln ON ln.g = q.g CROSS JOIN (VALUES ('total'), ('A'), ('B')) t(track)",
-    "rv", "ln", q="SELECT s, g, CAST(l AS DOUBLE) AS mid, tpm FROM (SELECT s, g, tpm, UNNEST([1000.0, 2000.0]) AS l FROM rv)"))
+    f"SELECT smp.s AS sample_id, bins.g AS chr, (bins.a + bins.b) / 2 AS mid, track, {_R('CASE track WHEN ' + chr(39) + 'total' + chr(39) + ' THEN 2 * tpm WHEN ' + chr(39) + 'A' + chr(39) + ' THEN ha ELSE hb END')} AS value, CAST(len // 2 AS BIGINT) AS centromere"
+    " FROM bins CROSS JOIN smp LEFT JOIN lh ON level = 'bin' AND place = CAST(bin AS VARCHAR) AND lh.s = smp.s JOIN ln ON ln.g = bins.g CROSS JOIN (VALUES ('total'), ('A'), ('B')) t(track)",
+    "m", "smp", "ln", "arms", "al", **_LEVEL_SQL))
 def rp02(r: Roles) -> DataFrame:
-    bins = r.values.select("sample_id", "chr", "tpm", (F.col("tpm") * 0.75).alias("hap_a"), (F.col("tpm") * 1.25).alias("hap_b"), F.explode(F.array(F.lit(1000.0), F.lit(2000.0))).alias("mid"))
+    """Tracks of all bins, empty ones too."""
+    bins = intervals.make_bins(r.features, _SIZE)
+    rows = regions.on_all_bins(_role_levels(r), bins, r.samples)
     centromeres = r.features.groupBy("chr").agg(F.floor(F.max("end") / 2).alias("centromere"))
-    return rounded(reports.bin_track(bins, centromeres), "value")
+    return rounded(reports.bin_track(rows, centromeres), "value")
 
 
 _CM = "SELECT f, COALESCE(SUM(v) FILTER (WHERE c), 0) / (SELECT COUNT(*) FROM smp WHERE c) AS mu FROM m JOIN smp USING (s) GROUP BY f"
@@ -92,7 +96,7 @@ def _pairs(r: Roles) -> DataFrame:
 
 
 def _controls(r: Roles) -> DataFrame:
-    return reference_haplotype(r.values, r.controls, None, SKIP)
+    return reference_haplotype(r.values, r.controls, None, r.skip)
 
 
 @query("rp07_cohort_zscores", with_roles(
@@ -162,17 +166,17 @@ def _interest(a: Analysis) -> DataFrame:
 
 @query("analysis_cells", with_roles(
     f"SELECT s AS sample_id, role, q.g AS chr, q.hap, {_R('v')} AS value, {_R('total')} AS total, {_R(tail_sql('(v - mu) / NULLIF(sd, 0)'))} AS p, {tail_sql('(v - mu) / NULLIF(sd, 0)')} < {_DEFAULT} AS flag FROM (SELECT *, SUM(v) OVER (PARTITION BY s, g) AS total FROM q) q JOIN fam USING (s) LEFT JOIN (SELECT g, hap, AVG(v) AS mu, STDDEV_SAMP(v) AS sd FROM h GROUP BY ALL HAVING COUNT(v) = COUNT(*)) k ON k.g = q.g AND k.hap = q.hap",
-    "m", "ft", "al", "fam", **_CHAIN, q=_LONG, h=_HAP))
+    "ph", "arms", "fam", **_CHAIN, q=_LONG, **_halved({"h": _HAP})))
 def analysis_cells(r: Roles) -> DataFrame:
     """Every cell, region and haplotype: the bars' totals and the p of its region, from counts on."""
     a = Analysis(r.spark, r.folder)
-    bars = reports.haplotype_bars(a.values, a.controls, r.family.select("sample_id", F.col("relationship").alias("role")), x=X, half=HALF)
+    bars = reports.haplotype_bars(a.values, a.controls, r.family.select("sample_id", F.col("relationship").alias("role")), x=X, half=a.half)
     tested = reports.cells_with_p(_pairs(a), _controls(a))
     out = bars.drop("value").join(tested, ["sample_id", "chr", "hap"])
     return rounded(out.select("sample_id", "role", "chr", "hap", "value", "total", "p", "flag"), "value", "total", "p")
 
 
-@query("analysis_interest", with_roles(f"SELECT family, chr, cell, interpretation, hap, {_R('v')} AS value, base_cn FROM coi", "m", "ft", "al", "lb", "fam", **_CHAIN, **_PROFILE, q=_LONG, **_INTEREST))
+@query("analysis_interest", with_roles(f"SELECT family, chr, cell, interpretation, hap, {_R('v')} AS value, base_cn FROM coi", "ph", "arms", "lb", "fam", **_CHAIN, **_halved(_PROFILE), q=_LONG, **_INTEREST))
 def analysis_interest(r: Roles) -> DataFrame:
     """Cells of interest, from counts on: the families' events take the place of the review."""
     out = _interest(Analysis(r.spark, r.folder))
@@ -181,7 +185,7 @@ def analysis_interest(r: Roles) -> DataFrame:
 
 @query("analysis_cohort", with_roles(
     f"SELECT s AS cell, z.g AS chr, z.hap, {_R('z.v')} AS value, {_R('z')} AS z, {_R(tail_sql('z'))} AS p, {tail_sql('z')} < {_DEFAULT} AS flag, {_R('lower')} AS lower, {_R('middle')} AS middle, {_R('upper')} AS upper, interpretation FROM (SELECT *, abs((v - AVG(v) OVER (PARTITION BY g, hap)) / NULLIF(STDDEV_SAMP(v) OVER (PARTITION BY g, hap), 0)) AS z FROM q WHERE s IN (SELECT cell FROM coi)) z JOIN kb ON kb.g = z.g AND kb.hap = z.hap LEFT JOIN coi ON coi.cell = z.s AND coi.chr = z.g AND coi.hap = z.hap",
-    "m", "ft", "al", "lb", "fam", **_CHAIN, **_PROFILE, q=_LONG, **_INTEREST, kb=_BOUNDS))
+    "ph", "arms", "lb", "fam", **_CHAIN, **_halved(_PROFILE), q=_LONG, **_INTEREST, kb=_BOUNDS))
 def analysis_cohort(r: Roles) -> DataFrame:
     """The cells of interest among themselves and against the controls' bounds, from counts on."""
     a = Analysis(r.spark, r.folder)

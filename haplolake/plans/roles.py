@@ -20,6 +20,9 @@ N_REGIONS = 25
 class Roles:
     """Role frames over the tables of one folder."""
 
+    #: Labels of the region that is halved and of those without a test at copy number 2.
+    half, skip = HALF, SKIP
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
