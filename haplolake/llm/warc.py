@@ -5,9 +5,9 @@ length and SHA-1. ``records`` holds, per record, the exact header bytes of its W
 digest it refers to. A payload's first holder (the one with the largest id) is a response record; the
 others are revisit records that name it. Records smaller than ``min_revisit_bytes`` are all responses.
 Reading verifies every stored payload against its digest again, and reconstruct() joins header and
-payload into the bytes of the original record. catalogue() reads those bytes: type, reference and digest
-from the header, the length and the digest of the body that follows it; nothing else about a record is
-taken from the tables.
+payload into the bytes of the original record. A revisit names its payload's SHA-256 in its header too, since one SHA-1 may
+have several payloads. catalogue() reads those bytes: type, reference and digests from the header, the length
+and the digest of the body that follows it; nothing else about a record is taken from the tables.
 
 Only digests, sizes and ids are shuffled to find the holders; payloads move once, to be written, and
 only the holders' do. Digests, base32 included, are column expressions.
@@ -43,7 +43,7 @@ def sha1_base32(payload: Column) -> Column:
     return base32_of_hex(F.sha1(payload))
 
 
-def _headers(page: Column, url: Column, kind: Column, digest: Column, refers: Column, length: Column, date: str) -> Column:
+def _headers(page: Column, url: Column, kind: Column, digest: Column, strong: Column, refers: Column, length: Column, date: str) -> Column:
     uri = F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     lines = [
@@ -54,6 +54,7 @@ def _headers(page: Column, url: Column, kind: Column, digest: Column, refers: Co
         F.concat(F.lit("WARC-Target-URI: "), uri),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest),
         F.when(kind == "revisit", F.concat(F.lit("WARC-Refers-To: "), name(refers))),
+        F.when(kind == "revisit", F.concat(F.lit("X-Payload-SHA256: "), strong)),
         F.when(kind == "revisit", F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("Content-Length: "), F.when(kind == "revisit", F.lit(0)).otherwise(length).cast("string")),
@@ -75,7 +76,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     again = F.row_number().over(Window.partitionBy("page_id", "sha256").orderBy("url"))
     typed = joined.withColumn("_nth", again).withColumn("record_type", F.when(F.col("_s").isNull() | (F.col("page_id").eqNullSafe(F.col("holder")) & (F.col("_nth") == 1)), "response").otherwise("revisit"))
     refers = F.when(F.col("record_type") == "revisit", F.col("holder"))
-    typed = typed.withColumn("header", _headers(F.col("page_id"), F.col("url"), F.col("record_type"), F.col("payload_digest"), refers, F.col("payload_bytes"), date))
+    typed = typed.withColumn("header", _headers(F.col("page_id"), F.col("url"), F.col("record_type"), F.col("payload_digest"), F.col("sha256"), refers, F.col("payload_bytes"), date))
     typed.select("page_id", "header", "sha256").write.option("compression", "zstd").parquet(f"{path}/records")
 
     spark = pages.sparkSession
@@ -109,7 +110,7 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_records(records: DataFrame, record: str = "record") -> DataFrame:
-    """page_id, record_type, refers_to, target_uri, date, header_digest, body of WARC records, from their bytes alone.
+    """page_id, record_type, refers_to, target_uri, date, header_digest, header_sha256, body of WARC records, from their bytes alone.
 
     A record whose length is not that of its header, its body and two line ends is an error.
     """
@@ -122,7 +123,7 @@ def parse_records(records: DataFrame, record: str = "record") -> DataFrame:
     body = F.when(whole, F.substring(F.col(record), F.col("size") + 1, length)).otherwise(F.raise_error(F.concat(F.lit("broken record: "), F.col("head"))).cast("binary"))
     return named.select(
         page("WARC-Record-ID").alias("page_id"), field("WARC-Type").alias("record_type"), page("WARC-Refers-To").alias("refers_to"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("date"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("header_digest"), body.alias("body"),
+        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("header_digest"), F.nullif(field("X-Payload-SHA256"), F.lit("")).alias("header_sha256"), body.alias("body"),
     )
 
 
@@ -130,16 +131,20 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, parsed from reconstructed records.
 
     Of a response, length and digest are those of its body; a header that names another digest is an error.
-    A revisit has no body: it has the length of the response with the digest that its header names.
+    A revisit has no body: it has the length of the body with the SHA-256 that its header names, if that body also has the
+    SHA-1 it names.
     """
     parsed = parse_records(reconstruct(spark, path))
-    measured = parsed.filter("record_type = 'response'").select("page_id", F.octet_length("body").cast("long").alias("payload_bytes"), sha1_base32(F.col("body")).alias("digest"), "header_digest", "record_type", "refers_to")
+    measured = parsed.filter("record_type = 'response'").select("page_id", F.octet_length("body").cast("long").alias("payload_bytes"), sha1_base32(F.col("body")).alias("digest"), F.sha2("body", 256).alias("sha256"), "header_digest", "record_type", "refers_to")
     digest = F.when(F.col("header_digest") == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("header and body differ in record "), F.col("page_id").cast("string"))).cast("string"))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    responses = written(measured.withColumn("payload_digest", digest).select(columns), "responses")
-    lengths = responses.groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisits = parsed.filter("record_type = 'revisit'").select("page_id", F.col("header_digest").alias("payload_digest"), "record_type", "refers_to").join(lengths, "payload_digest", "left")
-    return responses.unionByName(revisits.select(columns))
+    responses = written(measured.withColumn("payload_digest", digest).select(*columns, "sha256"), "responses")
+    again = parsed.filter("record_type = 'revisit'").select("page_id", F.col("header_digest").alias("payload_digest"), F.col("header_sha256").alias("sha256"), "record_type", "refers_to")
+    # Bodies are measured once a digest; only those that some revisit names are joined, and Spark may send so few to all tasks.
+    named = again.select("sha256").distinct()
+    lengths = responses.join(named, "sha256", "left_semi").groupBy("sha256", "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    revisits = again.join(lengths, ["sha256", "payload_digest"], "left")
+    return responses.select(columns).unionByName(revisits.select(columns))
 
 
 def new_archive_path(spark: SparkSession) -> str:
