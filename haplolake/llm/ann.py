@@ -12,8 +12,8 @@ A batch is no larger than the graph so far, and its nodes see each other too, so
 that another order of insertion would show it. A node is numbered by its insertion, so a level's nodes
 are the first ones, and a graph is flat arrays: vectors, and a padded list of neighbours for each level.
 
-All shards are searched for all queries, in blocks of queries. A block and a shard are what one task
-holds. Results of the shards are merged, scored again in double precision, and opened up to the folded
+All shards are searched for all queries. A task holds one shard at a time: its graph comes first, and the
+queries stream past it in batches, so a graph moves once, however many queries there are. Results of the shards are merged, scored again in double precision, and opened up to the folded
 ids.
 
 The whole table is indexed, no sample is taken. Vectors of different lengths have no inner product: each
@@ -26,6 +26,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,11 +36,13 @@ from pyspark.sql import functions as F
 from haplolake.llm.minhash import mixed
 from haplolake.llm.storage import written
 
-SHARD_ROWS, QUERY_BLOCK = 16_384, 8_192
+#: Bounds of a shard: nodes, and bytes of their vectors.
+SHARD_ROWS, SHARD_BYTES = 16_384, 64_000_000
 #: Links that a node chooses on a level; nearest ones that it accepts back, on the lowest level and above.
 LINKS, BACK, BACK_ABOVE = 24, 48, 24
 BATCH, BUILD_BEAM, BEAM, STEP = 512, 48, 112, 6
-SALTS, MOST_TASKS = 16, 100_000
+#: Rows of one vector that are folded in one task, in the mean; bound on the number of tasks.
+SALT_ROWS, MOST_TASKS = 4096, 100_000
 
 
 class Graph:
@@ -216,56 +220,70 @@ def _build(table: pa.Table) -> pa.Table:
     )
 
 
+def _loaded(row: dict) -> tuple[Graph, np.ndarray, np.ndarray]:
+    """Graph, ids and vectors of an index row."""
+    ids = np.frombuffer(row["ids"], dtype=np.int64)
+    exact = np.frombuffer(row["vectors"], dtype=np.float64).reshape(len(ids), -1)
+    flat, at, links = np.frombuffer(row["links"], dtype=np.int32), 0, []
+    for size, width in zip(row["sizes"], row["widths"], strict=True):
+        links.append(flat[at : at + size * width].reshape(size, width))
+        at += size * width
+    return Graph(exact.astype(np.float32), row["largest"], links), ids, exact
+
+
 def _searcher(k: int, beam: int):
-    def look(graphs: pa.Table, wanted: pa.Table) -> pa.Table:
-        empty = pa.table({"query": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not len(graphs) or not len(wanted):
-            return empty
-        get = lambda c: graphs.column(c)[0].as_py()
-        ids = np.frombuffer(get("ids"), dtype=np.int64)
-        exact = np.frombuffer(get("vectors"), dtype=np.float64).reshape(len(ids), -1)
-        flat, at, links = np.frombuffer(get("links"), dtype=np.int32), 0, []
-        for size, width in zip(get("sizes"), get("widths"), strict=True):
-            links.append(flat[at : at + size * width].reshape(size, width))
-            at += size * width
-        graph, out = Graph(exact.astype(np.float32), get("largest"), links), []
-        query, q = wanted.column("query").to_numpy(), _matrix(wanted.column("v"), np.float64)
-        for at in range(0, len(query), BATCH):
-            part = q[at : at + BATCH]
-            found = graph.search(part, 2 * (k + 1), beam)
-            score = np.where(found >= 0, np.einsum("qd,qkd->qk", part, exact[found]), -np.inf)
-            node = np.where(found >= 0, ids[found], np.iinfo(np.int64).max)
-            best = np.lexsort((node, -score), axis=1)[:, : k + 1]
-            score, node = np.take_along_axis(score, best, 1), np.take_along_axis(node, best, 1)
-            on = score > -np.inf
-            out.append(pa.table({"query": np.repeat(query[at : at + BATCH], on.sum(1)), "node": node[on], "score": score[on]}))
-        return pa.concat_tables(out)
-
-    return look
+    """Rows sorted by shard, a shard's graph before its queries: the nearest nodes of each query in each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = None, None
+        for batch in batches:
+            n, shard, is_query = (batch.column(c).to_numpy() for c in ("n", "shard", "is_query"))
+            cuts = np.flatnonzero((np.diff(n) != 0) | (np.diff(shard) != 0) | (np.diff(is_query) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)]):
+                if a == b:
+                    continue
+                if not is_query[a]:
+                    held, of = _loaded({c: batch.column(c)[a].as_py() for c in ("largest", "ids", "vectors", "sizes", "widths", "links")}), (n[a], shard[a])
+                elif of == (n[a], shard[a]):  # a shard that got no node has no graph
+                    graph, ids, exact = held
+                    part = batch.slice(a, b - a)
+                    query, q = part.column("query").to_numpy(), part.column("v").flatten().to_numpy().reshape(b - a, -1)
+                    for at in range(0, len(query), BATCH):
+                        some = q[at : at + BATCH]
+                        found = graph.search(some, 2 * (k + 1), beam)
+                        score = np.where(found >= 0, np.einsum("qd,qkd->qk", some, exact[found]), -np.inf)
+                        node = np.where(found >= 0, ids[found], np.iinfo(np.int64).max)
+                        best = np.lexsort((node, -score), axis=1)[:, : k + 1]
+                        score, node = np.take_along_axis(score, best, 1), np.take_along_axis(node, best, 1)
+                        on = score > -np.inf
+                        yield pa.RecordBatch.from_pydict({"query": np.repeat(query[at : at + BATCH], on.sum(1)), "node": node[on], "score": score[on]})
+
+    return run
 
 
 def _folded(rows: DataFrame, most: int) -> DataFrame:
     """node (its least id), v, ids (its ``most`` least ids) of every different vector of rows (id, v, h: a hash of v).
 
-    Vectors whose hash occurs once need no folding; the others are folded in two steps, so that no task
-    gets all rows of one vector.
+    Vectors whose hash occurs once need no folding; the others are folded in two steps, in as many parts as their
+    number asks for, so that no task gets all rows of one vector.
     """
-    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select(F.col("h").alias("_h"))
+    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select(F.col("h").alias("_h"), "uses")
     single = rows.join(repeated, F.col("h") == F.col("_h"), "left_anti").select(F.col("id").alias("node"), "v", F.array("id").alias("ids"))
-    salted = rows.join(repeated, F.col("h") == F.col("_h"), "left_semi").withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    salted = rows.join(repeated, F.col("h") == F.col("_h")).withColumn("s", F.pmod(F.xxhash64("id"), F.ceil(F.col("uses") / SALT_ROWS))).drop("_h", "uses")
     few = salted.withColumn("r", F.dense_rank().over(Window.partitionBy("v", "s").orderBy("id"))).filter(F.col("r") <= most)
     folded = few.groupBy("v").agg(F.slice(F.sort_array(F.collect_set("id")), 1, most).alias("ids"))
     return single.unionByName(folded.select(F.col("ids")[0].alias("node"), "v", "ids"))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, beam: int = BEAM) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found to every row whose id is divisible by ``every``."""
     v, i = F.col(vector_col).cast("array<double>"), F.col(id_col).cast("long")
     plus_zero = F.transform(v, lambda x: x + F.lit(0.0))  # -0.0 is 0.0, for the hash too
     rows = written(vectors.filter(usable(F.col(vector_col), i)).select(i.alias("id"), plus_zero.alias("v")).withColumn("h", F.xxhash64("v")), "vectors")
     nodes = written(_folded(rows, k + 1).withColumn("n", F.size("v")), "nodes")
     norm = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    lengths = nodes.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), norm.alias("largest"))
+    count = F.count(F.lit(1))
+    lengths = nodes.groupBy("n").agg(F.ceil(F.greatest(count / shard_rows, count * F.col("n") * 8 / shard_bytes)).cast("int").alias("shards"), norm.alias("largest"))
     # A shard is much work from few bytes: a number of tasks is given, so that Spark does not join small ones.
     tasks = min(MOST_TASKS, 2 * (lengths.agg(F.sum("shards")).first()[0] or 1))
     dealt = nodes.join(lengths, "n").select("n", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int").alias("shard"), "largest", "node", "v")
@@ -273,12 +291,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, id_col:
 
     asked = rows.filter(F.col("id") % every == 0)
     questions = written(asked.groupBy("v").agg(F.min("id").alias("query")).withColumn("n", F.size("v")), "queries")
-    blocks = questions.groupBy("n").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("blocks"))
-    in_blocks = questions.join(blocks, "n").join(lengths.select("n", "shards"), "n").withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int"))
-    to_shards = in_blocks.select("n", "block", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "query", "v")
-    to_blocks = index.join(blocks, "n").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["n", "shard", "block"]
-    hits = to_blocks.groupBy(*keys).cogroup(to_shards.groupBy(*keys)).applyInArrow(_searcher(k, beam), "query long, node long, score double")
+    to_shards = questions.join(lengths.select("n", "shards"), "n").select("n", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "query", "v")
+    both = index.withColumn("is_query", F.lit(0)).unionByName(to_shards.withColumn("is_query", F.lit(1)), allowMissingColumns=True)
+    hits = both.repartition(tasks, "n", "shard").sortWithinPartitions("n", "shard", "is_query").mapInArrow(_searcher(k, beam), "query long, node long, score double")
 
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     best = hits.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)

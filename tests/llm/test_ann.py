@@ -33,7 +33,7 @@ def test_recall_over_shards_and_copies(spark):
     data = rows(rng, 3000)
     data += [(3000 + i, data[7][1]) for i in range(900)]  # one vector in a quarter of all rows
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(4)
-    got = found(ann.nearest_neighbours(df, shard_rows=1000, query_block=100))
+    got = found(ann.nearest_neighbours(df, shard_rows=1000))
     want = brute(data, 20, 20)
     assert got.keys() == want.keys() and all(len(x) == 20 for x in got.values())
     recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
@@ -46,6 +46,24 @@ def test_recall_over_shards_and_copies(spark):
     assert [i for i, _ in got[3000]] == [i for i, _ in want[3000]]
 
 
+def test_shards_are_bounded_in_bytes_and_the_registered_query_is_exact_on_few(spark, monkeypatch, tmp_path):
+    from haplolake.llm import queries
+
+    rng = np.random.default_rng(5)
+    data = rows(rng, 400, 8)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    built = []
+    monkeypatch.setattr(ann, "written", lambda t, name, real=ann.written: built.append((name, real(t, name))) or built[-1][1])
+    got = found(ann.nearest_neighbours(df, shard_bytes=100 * 8 * 8))
+    shards = [len(r.vectors) for r in dict(built)["index"].collect()]
+    assert len(shards) == 4 and max(shards) < 160 * 8 * 8
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = brute(data, 20, 20)
+    for result in (got, found(queries.op10_nearest(spark, str(tmp_path)))):
+        recall = np.mean([len({i for i, _ in result[q]} & {i for i, _ in want[q]}) / 20 for q in want])
+        assert result.keys() == want.keys() and recall >= 0.98
+
+
 def test_rows_that_take_no_part(spark):
     rng = np.random.default_rng(1)
     data = rows(rng, 30, 4)
