@@ -12,6 +12,7 @@ from haplolake.operators import allelic, annotate, expression, families, interva
 from haplolake.operators.relational import members_of
 from haplolake.plans.registry import query, rounded
 from haplolake.plans.roles import HALF, N_REGIONS, SKIP, Roles, X, tail_sql, with_roles
+from haplolake.sources.by_feature import store_by_feature
 from haplolake.sources.scratch import stored
 
 _R = "round({}, 6)".format
@@ -171,6 +172,14 @@ def dom13(r: Roles) -> DataFrame:
     return rounded(regions.invvar_weights(rows, r.samples, ["feature_id"], exclude=(X,)), "weight")
 
 
+@query("dom13_stored_by_feature", with_roles(f"SELECT f AS feature_id, g AS chr, {_R('w')} AS weight FROM w", "m", "smp", "ft", r=_RATIO, rg=_RG, **_weights("rg", "f")))
+def dom13_stored(r: Roles) -> DataFrame:
+    """The same weights from a matrix that is stored by feature: ratio, variance and weight without an exchange of the matrix."""
+    matrix = store_by_feature(r.matrix)
+    rows = expression.ratio_to_controls(matrix, r.samples).join(r.features.select("feature_id", "chr"), "feature_id")
+    return rounded(regions.invvar_weights(rows, r.samples, ["feature_id"], exclude=(X,)), "weight")
+
+
 # ---- regions
 
 _SIZE = 100_000

@@ -119,6 +119,27 @@ def test_moments_merge_to_a_full_recompute(spark):
         assert (r.n, r.zeros) == (70, v.count(0.0)) and r.mean == pytest.approx(statistics.fmean(v)) and r["var"] == pytest.approx(statistics.variance(v), rel=1e-9)
 
 
+def test_a_matrix_stored_by_feature_is_not_exchanged_by_feature(spark):
+    from haplolake.operators import expression, regions
+    from haplolake.sources.by_feature import store_by_feature
+
+    rng = random.Random(3)
+    samples = spark.createDataFrame([(s, s < 4) for s in range(10)], "sample_id long, is_control boolean")
+    features = spark.createDataFrame([(f, "chr1") for f in range(50)], "feature_id long, chr string")
+    m = spark.createDataFrame([(f, s, rng.random()) for f in range(50) for s in range(10)], "feature_id long, sample_id long, value double")
+    table = store_by_feature(m, buckets=3)
+
+    def weights(matrix):
+        rows = expression.ratio_to_controls(matrix, F.broadcast(samples)).join(F.broadcast(features), "feature_id")
+        return regions.invvar_weights(rows, F.broadcast(samples), ["feature_id"])
+
+    plan = weights(table)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(feature_id" in weights(m)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(feature_id" not in plan and "SelectedBucketsCount: 3 out of 3" in plan
+    got, want = ({r.feature_id: pytest.approx(r.weight) for r in weights(x).collect()} for x in (table, m))
+    assert got == want and len(got) == 50
+
+
 def test_stored_tables_can_be_removed(spark):
     from pathlib import Path
 
