@@ -63,31 +63,6 @@ def rp05(r: Roles) -> DataFrame:
     return rounded(reports.control_distribution(r.values, r.controls, families, x=X, half=HALF).select("sample_id", "chr", "hap", "value", "kind", "family"), "value")
 
 
-_REVIEW = "SELECT family, g AS chr, generation, rupt AS rupture, CASE (family + len(g)) % 3 WHEN 0 THEN 'defect' WHEN 1 THEN 'partial defect' ELSE 'no defect' END AS interpretation, CASE WHEN family % 2 = 0 THEN 'A' ELSE 'B' END AS mn_hap, concat_ws(' ', '2', CAST(family % 3 AS VARCHAR)) AS pattern FROM (SELECT DISTINCT family, generation, rupt FROM fam) CROSS JOIN (SELECT DISTINCT g FROM ft)"
-
-
-def _review(r: Roles) -> DataFrame:
-    fam = r.family.select("family", "generation", F.col("rupt_time").alias("rupture")).distinct()
-    rows = fam.crossJoin(r.features.select("chr").distinct())
-    kind = F.element_at(F.array(F.lit("defect"), F.lit("partial defect"), F.lit("no defect")), ((F.col("family") + F.length("chr")) % 3 + 1).cast("int"))
-    return rows.withColumns({"interpretation": kind, "mn_hap": F.when(F.col("family") % 2 == 0, "A").otherwise("B"), "pattern": F.concat_ws(" ", F.lit("2"), (F.col("family") % 3).cast("string"))})
-
-
-@query("rp06_cells_of_interest", with_roles(
-    f"SELECT e.family, e.chr, cell, e.interpretation, hap, {_R('v')} AS value, role, base_cn FROM (SELECT rev.*, (SELECT MIN(s) FROM fam WHERE fam.family = rev.family AND role = 'A') AS cell FROM rev) e JOIN q ON q.s = cell AND q.g = e.chr LEFT JOIN fam ON fam.s = cell AND fam.family = e.family LEFT JOIN (VALUES ('2 0', 1), ('2 1', 2)) t(pattern, base_cn) ON t.pattern = e.pattern WHERE hap = e.mn_hap",
-    "rv", "fam", rev=_REVIEW, q=_LONG))
-def rp06(r: Roles) -> DataFrame:
-    review = _review(r)
-    firsts = r.family.filter("relationship = 'A'")
-    cells = firsts.select("family", F.lit("Brand#11").alias("chr"), F.col("sample_id").alias("cell"))
-    values = stack_labelled(r.values, ["sample_id", "chr"], {"A": "hap_a", "B": "hap_b"}, "hap", "value").withColumnRenamed("sample_id", "cell")
-    info = firsts.select(F.col("sample_id").alias("cell"), "family", F.col("relationship").alias("role")).crossJoin(review.select("chr").distinct())
-    haplotypes = review.select("family", "chr", "generation", "interpretation", "mn_hap")
-    base = r.spark.createDataFrame([("2 0", 1), ("2 1", 2)], "pattern string, base_cn int")
-    out = reports.cells_of_interest(review.drop("mn_hap"), cells, values, info, haplotypes, base)
-    return rounded(out.select("family", "chr", "cell", "interpretation", "hap", "value", "role", "base_cn"), "value")
-
-
 _BOUNDS = "SELECT g, hap, QUANTILE_CONT(v, 0.05) AS lower, QUANTILE_CONT(v, 0.5) AS middle, QUANTILE_CONT(v, 0.95) AS upper FROM h GROUP BY ALL"
 
 
@@ -112,17 +87,6 @@ def rp08(r: Roles) -> DataFrame:
     return rounded(reports.confidence_bands(_controls(r), ["chr", "hap"]), "lower", "middle", "upper")
 
 
-@query("rp09_generation_subset", with_roles("SELECT family, chr, rupture FROM rev WHERE generation = 'Gen1' AND rupture = 'ruptured' AND family % 3 IN (1, 2)", "fam", "ft", rev=_REVIEW))
-def rp09(r: Roles) -> DataFrame:
-    rows = _review(r).withColumn("base_cn", (F.col("family") % 3).cast("int"))
-    return reports.generation_subset(rows, "Gen1", (1, 2), "ruptured").select("family", "chr", "rupture")
-
-
-@query("rp10_interpretation_counts", with_roles("SELECT 'chr' AS \"table\", chr AS level, interpretation, COUNT(*) AS n FROM rev GROUP BY ALL UNION ALL SELECT 'rupture', rupture, interpretation, COUNT(*) FROM rev GROUP BY ALL UNION ALL SELECT 'all', 'all', interpretation, COUNT(*) FROM rev GROUP BY ALL", "fam", "ft", rev=_REVIEW))
-def rp10(r: Roles) -> DataFrame:
-    return reports.interpretation_counts(_review(r))
-
-
 @query("rp11_cells_with_p", with_roles(
     f"SELECT s AS sample_id, g AS chr, hap, {_R('v')} AS value, {_R(tail_sql('(v - mu) / NULLIF(sd, 0)'))} AS p, {tail_sql('(v - mu) / NULLIF(sd, 0)')} < 0.05 AS flag FROM q LEFT JOIN (SELECT g, hap, AVG(v) AS mu, STDDEV_SAMP(v) AS sd FROM h GROUP BY ALL HAVING COUNT(v) = COUNT(*)) k USING (g, hap)",
     "rv", "smp", q=_LONG, h=_HAP))
@@ -151,7 +115,7 @@ _INTEREST = {
 }
 
 
-def _interest(a: Analysis) -> DataFrame:
+def _interest(a: Roles) -> DataFrame:
     """Affected haplotypes of the families' first cells; profile and region values are stored tables."""
     profile = stored(_affected(a).select("family", "chr", "generation", "affected", "cn_pattern", F.col("A_cell").alias("cell"), "A_state_a", "A_state_b"), "profile")
     reviewed = profile.filter(F.col("affected").isin("A", "B")).select("family", "chr", "generation", F.col("affected").alias("interpretation"), F.col("cn_pattern").alias("pattern"))
@@ -164,6 +128,30 @@ def _interest(a: Analysis) -> DataFrame:
     return reports.cells_of_interest(reviewed, cells, values, info, haplotypes, base)
 
 
+_EVENTS = "SELECT family, chr, generation, rupt_time AS rupture, affected AS interpretation, TRY_CAST(split_part(cn_pattern, ' ', 1) AS INT) AS base_cn FROM aff WHERE affected <> 'normal'"
+
+
+def _events(r: Roles) -> DataFrame:
+    """The families' events in the place of a manual review of them."""
+    base = F.split("cn_pattern", " ")[0].try_cast("int").alias("base_cn")
+    return _affected(r).filter("affected <> 'normal'").select("family", "chr", "generation", F.col("rupt_time").alias("rupture"), F.col("affected").alias("interpretation"), base)
+
+
+@query("rp06_cells_of_interest", with_roles(f"SELECT family, chr, cell, interpretation, hap, {_R('v')} AS value, base_cn FROM coi", "rv", "lb", "smp", "fam", **_PROFILE, q=_LONG, **_INTEREST))
+def rp06(r: Roles) -> DataFrame:
+    return rounded(_interest(r).select("family", "chr", "cell", "interpretation", "hap", "value", "base_cn"), "value")
+
+
+@query("rp09_generation_subset", with_roles("SELECT family, chr, rupture FROM ev WHERE generation = 'Gen1' AND rupture = 'ruptured' AND base_cn IN (1, 2)", "rv", "lb", "smp", "fam", **_PROFILE, ev=_EVENTS))
+def rp09(r: Roles) -> DataFrame:
+    return reports.generation_subset(_events(r), "Gen1", (1, 2), "ruptured").select("family", "chr", "rupture")
+
+
+@query("rp10_interpretation_counts", with_roles("SELECT 'chr' AS \"table\", chr AS level, interpretation, COUNT(*) AS n FROM ev GROUP BY ALL UNION ALL SELECT 'rupture', rupture, interpretation, COUNT(*) FROM ev GROUP BY ALL UNION ALL SELECT 'all', 'all', interpretation, COUNT(*) FROM ev GROUP BY ALL", "rv", "lb", "smp", "fam", **_PROFILE, ev=_EVENTS))
+def rp10(r: Roles) -> DataFrame:
+    return reports.interpretation_counts(stored(_events(r), "events"))
+
+
 @query("analysis_cells", with_roles(
     f"SELECT s AS sample_id, role, q.g AS chr, q.hap, {_R('v')} AS value, {_R('total')} AS total, {_R(tail_sql('(v - mu) / NULLIF(sd, 0)'))} AS p, {tail_sql('(v - mu) / NULLIF(sd, 0)')} < {_DEFAULT} AS flag FROM (SELECT *, SUM(v) OVER (PARTITION BY s, g) AS total FROM q) q JOIN fam USING (s) LEFT JOIN (SELECT g, hap, AVG(v) AS mu, STDDEV_SAMP(v) AS sd FROM h GROUP BY ALL HAVING COUNT(v) = COUNT(*)) k ON k.g = q.g AND k.hap = q.hap",
     "ph", "arms", "fam", **_CHAIN, q=_LONG, **_halved({"h": _HAP})))
