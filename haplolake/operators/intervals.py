@@ -2,8 +2,9 @@
 
 A plain overlap condition with few equal keys gives hash joins with huge buckets. Here each key's axis is cut
 into ranges of about equally many starts, found from the data: starts are counted in cells of 22 significant
-bits, and the counts are summed along the axis. An interval goes to every range that it touches, both
-sides in one exchange, sorted by start. Within a range, a sweep in start order meets each pair once: where the
+bits, and the counts are summed along the axis. Only keys with more starts than a range holds have cuts, so there
+are at most 2 MAX_RANGES of them in all, and they are broadcast. An interval goes to every range that it touches,
+each side in one exchange, sorted by start. Within a range, a sweep in start order meets each pair once: where the
 right one starts inside the left one, or the left one inside the right one. A pair comes out in the first
 range that both touch. A left row is alone if it met nothing in its first range and no right one starts between
 that range's end and its own, which the cuts tell; so outer rows come out of the same pass.
@@ -21,32 +22,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from haplolake.functions.columns import midpoint
+from haplolake.operators.relational import with_scalar
 
-#: Starts in a range, and bound on a key's ranges, which makes them larger on large tables.
-RANGE_ROWS, MAX_RANGES = 100_000, 10_000
+#: Starts in a range, and a bound on all keys' ranges (16 bytes each), which makes them larger on very large tables.
+RANGE_ROWS, MAX_RANGES = 100_000, 200_000
 #: Pairs in an output batch, give or take those of one row.
 BATCH_PAIRS = 100_000
 _SPLITTER = float(2**31 + 1)
 
 
 def _cuts(starts: DataFrame, keys: Sequence[str], range_rows: int) -> DataFrame:
-    """Per key: _cuts, where ranges begin, and _later, the first right start after each range (both arrays, of at most MAX_RANGES and one), and _steps for a search in them."""
+    """Per key with more than one range: _cuts, where ranges begin, and _later, the first right start after each range (both arrays, of 2 MAX_RANGES over all keys at most), and _steps for a search in them."""
     y = F.col("_p") * _SPLITTER
     cells = starts.groupBy(*keys, (y - (y - F.col("_p"))).alias("_c")).agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_p"), F.min("_right").alias("_right"))
+    # Every cell has a position; asking for all columns lets Spark take the total from the cells' own exchange.
+    total = cells.agg(F.sum(F.when(F.col("_p").isNotNull() | F.col("_right").isNotNull(), F.col("_n"))).alias("_total"))
     along = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.greatest(F.lit(range_rows), F.ceil(F.sum("_n").over(Window.partitionBy(*keys)) / MAX_RANGES))
-    parts = cells.withColumn("_part", F.floor(F.coalesce(F.sum("_n").over(along), F.lit(0)) / size))
+    size = F.greatest(F.lit(range_rows), F.ceil(F.col("_total") / MAX_RANGES))
+    parts = with_scalar(cells, total).withColumn("_part", F.floor(F.coalesce(F.sum("_n").over(along), F.lit(0)) / size))
     ranges = parts.groupBy(*keys, "_part").agg(F.min("_p").alias("_p"), F.min("_right").alias("_right"))
     later = F.min("_right").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(1, Window.unboundedFollowing))
-    listed = ranges.withColumn("_later", later).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "_later"))).alias("_r"))
+    listed = ranges.withColumn("_later", later).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "_later"))).alias("_r")).filter(F.size("_r") > 1)
     bits = F.ceil(F.log2(F.size("_r").cast("double"))).cast("int")
     steps = F.transform(F.sequence(bits, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
     return listed.select(*keys, F.col("_r._p").alias("_cuts"), F.col("_r._later").alias("_later"), steps.alias("_steps"))
 
 
 def _range_of(position: str) -> Column:
-    """Number of cuts at or before a position, by binary search."""
-    return F.aggregate("_steps", F.lit(0), lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= F.col(position), at + step).otherwise(at))
+    """Number of cuts at or before a position, by binary search; 0 for a key without cuts."""
+    found = F.aggregate("_steps", F.lit(0), lambda at, step: F.when(F.get(F.col("_cuts"), at + step - 1) <= F.col(position), at + step).otherwise(at))
+    return F.coalesce(found, F.lit(0))
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,7 +105,7 @@ def interval_join(
     """
     r = right.withColumnsRenamed({c: f"{prefix}{c}" for c in right.columns if c not in keys})
     spans = (left_span, tuple(f"{prefix}{c}" for c in right_span))
-    lefts, rights = (df.filter(_usable(df, keys, span)).withColumns({"_s": F.col(span[0]).cast("double"), "_e": F.col(span[1]).cast("double"), "_side": F.lit(n)}) for n, (df, span) in enumerate(zip((left, r), spans, strict=True)))
+    lefts, rights = (_given(df, keys).filter(_usable(df, keys, span)).withColumns({"_s": F.col(span[0]).cast("double"), "_e": F.col(span[1]).cast("double"), "_side": F.lit(n)}) for n, (df, span) in enumerate(zip((left, r), spans, strict=True)))
     starts = lefts.select(*keys, F.col("_s").alias("_p"), F.lit(None).cast("double").alias("_right"))
     starts = starts.unionByName(rights.select(*keys, F.col("_s").alias("_p"), F.col("_s").alias("_right")))
     cuts = _cuts(starts, keys, range_rows)
@@ -108,7 +113,7 @@ def interval_join(
     columns = ["_side", *keys, "_s", "_e", "_lo", "_range", "_more", *(c for c in left.columns if c not in keys), *own]
 
     def dealt(df: DataFrame) -> DataFrame:
-        known = df.join(cuts, list(keys)).withColumn("_lo", _range_of("_s"))
+        known = df.join(F.broadcast(cuts), list(keys), "left").withColumn("_lo", _range_of("_s"))
         spread = known.withColumn("_range", F.explode(F.sequence("_lo", F.when(F.col("_s") == F.col("_e"), F.col("_lo")).otherwise(_range_of("_e")))))
         return spread.withColumn("_more", F.coalesce(F.get("_later", F.col("_lo") - 1) <= F.col("_e"), F.lit(False)))
 
@@ -148,6 +153,13 @@ def interval_join(
     return pairs.unionByName(left.filter(~_usable(left, keys, left_span)), allowMissingColumns=True)
 
 
+def _given(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with all keys. Said as a filter of its own, joins on the keys add none, so that equal parts of the plan stay equal and are run once."""
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return df
+
+
 def _usable(df: DataFrame, keys: Sequence[str], span: tuple[str, str]) -> Column:
     """Whether a row's keys are given and its span isn't empty."""
     ok = F.col(span[0]).cast("double") <= F.col(span[1]).cast("double")

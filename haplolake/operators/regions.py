@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplolake.functions.columns import merge_labels, safe_div
@@ -76,10 +76,10 @@ def aggregate_levels(matrix: DataFrame, placed: DataFrame, samples: DataFrame, v
     variances = matrix.join(samples.select(sample, control), sample).groupBy(feature).agg(*(variance_where(v, control).alias(n) for v, n in zip(values, names, strict=True)))
     raw = placed.join(variances, feature).select("level", "place", region, feature, *(_raw(F.col(n)).alias(n) for n in names))
     counted = raw.filter(~F.col(region).isin(*exclude))
-    weights = raw
-    for i, n in enumerate(names):
-        weights = join_null_safe(weights, quantiles(counted, n, {f"_cap{i}": q}, ["level"]), ["level"], "left")
-    weights = weights.select("level", "place", feature, *(_capped(n, f"_cap{i}").alias(f"_w{i}") for i, n in enumerate(names)))
+    # The caps of all values in one pass, each value and level a group.
+    stacked = counted.select("level", F.posexplode(F.array(*names)).alias("_i", "_w"))
+    caps = quantiles(stacked, "_w", {"_cap": q}, ["level", "_i"]).groupBy("level").agg(*(F.max(F.when(F.col("_i") == i, F.col("_cap"))).alias(f"_cap{i}") for i in range(len(values))))
+    weights = join_null_safe(raw, caps, ["level"], "left").select("level", "place", feature, *(_capped(n, f"_cap{i}").alias(f"_w{i}") for i, n in enumerate(names)))
     rows = matrix.select(feature, sample, *values).join(weights, feature)
     means = rows.groupBy("level", "place", sample).agg(*(m for i, v in enumerate(values) for m in (weighted_mean(v, f"_w{i}").alias(v), F.avg(v).alias(f"_plain{i}"))))
     chosen = (F.when(F.col("place").isin(*simple[v]), F.col(f"_plain{i}")).otherwise(F.col(v)).alias(v) if simple.get(v) else F.col(v) for i, v in enumerate(values))
@@ -92,8 +92,10 @@ def haplotype_levels(matrix: DataFrame, placed: DataFrame, samples: DataFrame, s
     In the strict levels, places stay only if both values occur in some sample (ST4).
     """
     out = aggregate_levels(matrix, placed, samples, (tpm, af), simple, sample=sample, **names)
-    found = out.filter(F.col("level").isin(*strict)).groupBy("level", "place").agg((F.count(tpm) * F.count(af) == 0).alias("_gone")).filter("_gone").drop("_gone")
-    kept = out.join(found, ["level", "place"], "left_anti")
+    # A place's rows are one for each sample: a window over them, and the aggregation isn't computed a second time.
+    place = Window.partitionBy("level", "place")
+    found = (F.count(tpm).over(place) > 0) & (F.count(af).over(place) > 0)
+    kept = out.withColumn("_both", found).filter(F.col("_both") | ~F.col("level").isin(*strict)).drop("_both")
     return kept.withColumns({"hap_a": 2 * F.col(tpm) * F.col(af), "hap_b": 2 * F.col(tpm) * (1 - F.col(af))})
 
 

@@ -427,6 +427,46 @@ def test_interval_join_with_a_third_of_all_points_in_one_gene(spark):
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_cuts_are_bounded_over_all_keys(spark, monkeypatch):
+    rng = random.Random(6)
+    schema = "id long, chr string, start long, end long"
+    points = [(i, "hot" if i % 3 == 0 else f"k{i % 200}", p := rng.randint(0, 9000), p + rng.choice([0, 0, 40])) for i in range(3000)]
+    genes = [(i, rng.choice(["hot", "k7", "k8", "none"]), 150 * i, 150 * i + 300) for i in range(60)]
+    left, right = spark.createDataFrame(points, schema), spark.createDataFrame(genes, schema)
+    starts = left.unionByName(right).select("chr", F.col("start").cast("double").alias("_p"), F.lit(None).cast("double").alias("_right"))
+    want = sorted(((i, j) for i, c, s, e in points for j, d, x, y in genes if c == d and s <= y and x <= e), key=str)
+    for most in (5, 300):
+        monkeypatch.setattr(intervals, "MAX_RANGES", most)
+        cuts = intervals._cuts(starts, ["chr"], 1).collect()
+        assert min(len(r["_cuts"]) for r in cuts) > 1 and sum(len(r["_cuts"]) for r in cuts) <= 2 * most
+        joined = intervals.interval_join(left, right, ["chr"], range_rows=1).select("id", "r_id")
+        assert sorted(map(tuple, joined.collect()), key=str) == want
+    assert not intervals._cuts(starts, ["chr"], 100_000).collect()
+
+
+def test_interval_join_moves_each_side_once(spark):
+    schema = "id long, chr string, start long, end long"
+    left = spark.createDataFrame([(i, f"c{i % 3}", i, i + 2) for i in range(300)], schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = intervals.interval_join(left, left.withColumnRenamed("id", "j"), ["chr"], range_rows=10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert plan.count("REPARTITION_BY_COL") == 1
+
+
+def test_strict_levels_ask_for_both_values(spark):
+    samples = spark.createDataFrame([(i, i < 3) for i in range(4)], "sample_id long, is_control boolean")
+    placed = spark.createDataFrame([("arm", "1p", "chr1", 1), ("arm", "1q", "chr1", 2), ("chr", "chr1", "chr1", 1), ("chr", "chr2", "chr2", 3)], "level string, place string, chr string, feature_id long")
+    # Feature 2 has expression only, feature 3 fractions only; both values are linear in the sample, with variances 1 and 4 over the controls.
+    cells = [(f, s, None if f == 3 else float(s), None if f == 2 else 2.0 * s) for f in (1, 2, 3) for s in range(4)]
+    out = regions.haplotype_levels(spark.createDataFrame(cells, "feature_id long, sample_id long, tpm double, af double"), placed, samples)
+    got = rows(out.withColumns({c: F.round(c, 9) for c in ("tpm", "af", "hap_a")}), "level", "place", "sample_id", "tpm", "af", "hap_a")
+    want = [(lv, pl, s, float(s), 2.0 * s, 4.0 * s * s) for lv, pl in (("arm", "1p"), ("chr", "chr1")) for s in range(4)] + [("chr", "chr2", s, None, 2.0 * s, None) for s in range(4)]
+    assert got == want
+
+
 def test_no_job_runs_before_the_result_is_used(spark):
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("lazy", "lazy")
