@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +36,9 @@ from haplolake.llm.storage import drop, written
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 NO_LANGUAGE = "und"
 #: Text bytes that a task counts at once, and rows in a batch that it sends.
-SLICE_BYTES, BATCH_ROWS = 4_000_000, 100_000
-#: Binary logarithm of a filter's bits: 8 MiB, whatever the table's size.
-FILTER_BITS = 26
+SLICE_BYTES, BATCH_ROWS = 2_000_000, 50_000
+#: Binary logarithm of a filter's bits: 4 MiB, whatever the table's size.
+FILTER_BITS = 25
 #: Pairs of each language above the first threshold, in multiples of the wanted phrases, and by how much each wave has more.
 FIRST, MORE = 2, 4
 
@@ -72,18 +73,23 @@ def _together(first: np.ndarray, *rest: np.ndarray) -> np.ndarray:
 class Sieve:
     """Bloom filter over (language, words...). Without bits it lets everything through."""
 
-    def __init__(self, bits: np.ndarray | None = None) -> None:
-        self.bits = bits
+    def __init__(self, bits: np.ndarray | Broadcast | None = None) -> None:
+        self._bits = bits
+
+    @property
+    def bits(self) -> np.ndarray | None:
+        return self._bits.value if isinstance(self._bits, Broadcast) else self._bits
 
     @staticmethod
     def _spots(h: np.ndarray) -> np.ndarray:
         return np.concatenate([h >> np.uint64(64 - FILTER_BITS), (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - FILTER_BITS)]).astype(np.int64)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        if self.bits is None:
+        bits = self.bits
+        if bits is None:
             return np.ones(len(h), dtype=bool)
         spots = self._spots(h)
-        hit = (self.bits[spots >> 6] >> (spots & 63).astype(np.uint64)) & np.uint64(1) == 1
+        hit = (bits[spots >> 6] >> (spots & 63).astype(np.uint64)) & np.uint64(1) == 1
         return hit[: len(h)] & hit[len(h) :]
 
     @classmethod
@@ -102,7 +108,8 @@ class Sieve:
         marked = keys.select("lang", *words).mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
         out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
         out[marked.column("slot").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
-        return cls(out)
+        # Shared, so that a worker holds one copy for all of its tasks.
+        return cls(keys.sparkSession.sparkContext.broadcast(out))
 
 
 class _Slice:
@@ -118,10 +125,12 @@ class _Slice:
         begin[inner] = word[inner]
         starts = np.flatnonzero(begin)
         doc = np.searchsorted(offs, starts, side="right") - 1
-        self.piece = np.cumsum(kind == 2, dtype=np.int64)[starts] + doc
-        letters = np.append(0, np.cumsum(word, dtype=np.int64))
-        cuts = np.append(letters[starts], letters[-1])
+        # Four bytes are enough: an Arrow string array has less than 2^31 of them.
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[starts] + doc
+        lengths = np.add.reduceat(word, starts, dtype=np.int64) if len(starts) else starts
+        cuts = np.append(0, np.cumsum(lengths))
         raw = _LOWER[data[word]]
+        del kind, word, begin
         strings = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts.tobytes()), pa.py_buffer(raw.tobytes())).dictionary_encode()
         lang = pc.fill_null(batch.column("lang"), NO_LANGUAGE).cast(pa.large_string()).dictionary_encode()
         n = max(1, len(strings.dictionary))
