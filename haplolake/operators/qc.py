@@ -28,8 +28,9 @@ def qc_profile(counts: DataFrame, annotated: DataFrame | None = None, sample: st
         *(F.count_if(gene & (F.col(count) >= t)).alias(f"th{t}") for t in thresholds),
     )
     parts = [*counters, "geneCounts"]
+    # 100 is multiplied first: that product is exact, so a percentage that ends in a half is one, and is rounded to even.
     total = sum((F.col(f"_{p}") for p in parts[1:]), F.col(f"_{parts[0]}"))
-    return sums.select(sample, *(rounded_even(100 * safe_div(f"_{p}", total)).alias(p) for p in parts), *(f"th{t}" for t in thresholds), total.alias("totalReads"))
+    return sums.select(sample, *(rounded_even(safe_div(100 * F.col(f"_{p}"), total)).alias(p) for p in parts), *(f"th{t}" for t in thresholds), total.alias("totalReads"))
 
 
 def select_controls(annotation: DataFrame, qc: DataFrame, sample: str = "sample_id", group: str = "key_pairs", groups: Sequence[str] = ("c1", "c2", "c3"), measure: str = "th5", above: float = 6000) -> DataFrame:

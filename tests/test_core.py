@@ -64,6 +64,14 @@ def test_qc_rounds_half_to_even_and_counts_thresholds(spark):
     assert rows(qc.select_controls(anno, spark.createDataFrame([("s", 4), ("t", 3)], "sample_id string, th5 long"), above=3)) == [("s",)]
 
 
+def test_qc_percentages_that_end_in_a_half_are_rounded_to_even(spark):
+    # 23 of 40 is 57.5 %, but 100 * (23 / 40) is 57.49999999999999 in doubles; 109 of 200 is 54.5 %, not 54.50000000000001.
+    counts = [("s", "N_unmapped", 23), ("s", "g", 17), ("t", "N_unmapped", 91), ("t", "g", 109)]
+    got = {r.sample_id: r for r in qc.qc_profile(spark.createDataFrame(counts, "sample_id string, feature_id string, count long")).collect()}
+    assert (got["s"].N_unmapped, got["s"].geneCounts) == (58, 42)
+    assert (got["t"].N_unmapped, got["t"].geneCounts) == (46, 54)
+
+
 def test_alleles_phase_lanes_and_rollup(spark):
     counts = spark.createDataFrame([("s", "1", "chr1", 10, 5, 2), ("s", "1", "chr1", 20, 5, 2), ("s", "1", "chr1", 30, 1, 1), ("s", "1", "chr1", 40, 9, 9), ("t", "1", "chr1", 10, 3, 1), ("t", "2", "chr1", 20, 6, 4)], "sample_id string, lane string, chr string, pos long, ref long, alt long")
     phase = spark.createDataFrame([("chr1", 10, 1), ("chr1", 20, -1), ("chr1", 30, 0)], "chr string, pos long, Haplotype int")
