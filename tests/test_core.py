@@ -1,5 +1,6 @@
 """Hand-worked cases and invariants of the core operators."""
 
+import itertools
 import math
 import random
 
@@ -99,6 +100,17 @@ def test_monoallelic_bands(spark):
     assert {r.feature_id for r in got.collect()} == {"none", "out", "left", "test_only"}
 
 
+def test_a_mean_on_a_bands_edge_does_not_depend_on_the_order_of_rows(spark):
+    # In doubles (4/5 + 5/6) + 11/12 is 2.5500000000000003 and 4/5 + (5/6 + 11/12) is 2.55, of which a third is the edge.
+    parts = [4 / 5, 5 / 6, 11 / 12]
+    orders = [[*p] for p in itertools.permutations(parts)]
+    alleles = spark.createDataFrame([(f, s, v) for f, p in enumerate(orders) for s, v in enumerate(p)] + [(9, 0, 0.8), (9, 1, 0.9), (8, 0, 0.1), (8, 1, None)], "feature_id long, sample_id long, af double").coalesce(1)
+    samples = spark.createDataFrame([(s, True) for s in range(3)], "sample_id long, is_control boolean")
+    features = spark.createDataFrame([(f, "chr1") for f in range(10)], "feature_id long, chr string")
+    got = {r.feature_id: r.control_af for r in allelic.monoallelic_genes(alleles, samples, features, {}, (0.5, 0.85)).collect()}
+    assert got == {9: (0.8 + 0.9) / 2, 8: 0.1}  # two values have one sum only
+
+
 def test_expression_filters_and_ratios(spark):
     samples = spark.createDataFrame([("a", True), ("b", True), ("t", False)], "sample_id string, is_control boolean")
     m = spark.createDataFrame([("g", "a", 50.0), ("g", "t", 100.0), ("h", "a", 49.0), ("z", "a", 0.0), ("z", "t", 5.0), ("n", "t", 5.0)], "feature_id string, sample_id string, value double")
