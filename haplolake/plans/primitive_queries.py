@@ -152,10 +152,8 @@ def src15(r: Roles) -> DataFrame:
 def src16(r: Roles) -> DataFrame:
     """The whole matrix as a wide file, a field for each sample, read back with the place of its column."""
     path = new_path(r.spark, "wide")
-    S.write_wide_csv(r.matrix.withColumn("sample", F.concat(F.lit("s"), F.col("sample_id").cast("string"))), path, ["feature_id"], "sample", "value")
-    wide = r.spark.read.csv(path, header=True)
-    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("sample"), F.lit(i).cast("long").alias("place"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(wide.columns) if i)))
-    return rounded(wide.select("feature_id", cells.alias("c")).select("feature_id", "c.*").filter("value IS NOT NULL"), "value")
+    S.write_wide_csv(r.matrix.withColumn("sample", F.concat(F.lit("s"), F.col("sample_id").cast("string"))), path, ["feature_id"], "sample", "value", compression="gzip")
+    return rounded(S.read_wide_csv(r.spark, path).select("feature_id", F.col("column").alias("sample"), "place", F.col("value").cast("double").alias("value")), "value")
 
 
 _DAMAGED = "CASE WHEN k % 97 = 0 THEN 'unreadable' WHEN k % 89 = 0 THEN 'no contig' WHEN k % 83 = 0 THEN 'out of range' END"

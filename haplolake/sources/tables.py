@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import csv
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,12 +179,14 @@ def _cell(c: Column) -> Column:
     return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def write_wide_csv(df: DataFrame, path: str, ids: Sequence[str], column: str, value: str, names: DataFrame | None = None, parts: int | None = None) -> None:
+def write_wide_csv(df: DataFrame, path: str, ids: Sequence[str], column: str, value: str, names: DataFrame | None = None, parts: int | None = None, compression: str = "none") -> None:
     """A long matrix as CSV with one line for each id and a field for every name of ``column``, in order of name (SRC16, SO2, RS1).
 
     Names get ordinal numbers (from ``names``, or from all that occur), a line is put together from the sorted
     entries of its id, and gaps are filled with as many commas; there is no pivot, so the number of names has no
     bound but the length of a line. Every part begins with the header. Two values for one field are an error.
+    Lines of a sparse matrix are mostly commas: compression (gzip) takes those away from the disk. Entries are sent and
+    sorted, and lines are put together from them only as they are written.
     """
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -195,10 +200,50 @@ def write_wide_csv(df: DataFrame, path: str, ids: Sequence[str], column: str, va
     piece = lambda x, i: F.concat(gap(x, i), F.repeat(F.lit(","), (x["_no"] - before(i)).cast("int")), x["_v"])
     tail = F.repeat(F.lit(","), (F.col("_all") - F.element_at("_e", -1)["_no"]).cast("int"))
     line = F.concat(F.array_join(F.transform("_e", piece), ""), tail)
-    body = lines.select(F.concat_ws(",", *(_cell(F.col(c)) for c in ids), line).alias("value"), F.pmod(F.xxhash64(*ids), F.lit(parts)).cast("int").alias("_part"), F.lit(1).alias("_k"))
+    key = F.concat_ws(",", *(_cell(F.col(c)) for c in ids))
+    body = lines.select(key.alias("value"), "_e", "_all", F.pmod(F.xxhash64(*ids), F.lit(parts)).cast("int").alias("_part"), F.lit(1).alias("_k"))
     title = head.select(F.concat_ws(",", *(_cell(F.lit(c)) for c in ids), F.array_join(F.col("h.n"), ",")).alias("value"))
     titles = title.crossJoin(spark.range(parts).select(F.col("id").cast("int").alias("_part"))).withColumn("_k", F.lit(0))  # a row for each part
-    titles.unionByName(body).repartitionById(parts, F.col("_part")).sortWithinPartitions("_k", "value").select("value").write.mode("overwrite").text(path)
+    dealt = titles.unionByName(body, allowMissingColumns=True).repartitionById(parts, F.col("_part")).sortWithinPartitions("_k", "value")
+    dealt.select(F.when(F.col("_k") == 0, F.col("value")).otherwise(F.concat_ws(",", "value", line)).alias("value")).write.mode("overwrite").text(path, compression=compression)
+
+
+def read_wide_csv(spark: SparkSession, path: str, n_ids: int = 1) -> DataFrame:
+    """What write_wide_csv wrote, long again: the id columns, column (the field's name), place (from 1), value (text), without empty fields.
+
+    A line is searched for its filled fields, so that it doesn't become as many columns as there are names. A row
+    for each line needs no line end inside a field. The header goes through the driver.
+    """
+    head = spark.read.text(path).first().value
+    names = next(csv.reader([head]))
+    ids, fields = names[:n_ids], names[n_ids:]
+    schema = ", ".join(f"`{c}` string" for c in ids) + ", column string, place long, value string"
+    kinds = pa.schema([*((c, pa.string()) for c in ids), ("column", pa.string()), ("place", pa.int64()), ("value", pa.string())])
+
+    def filled(line: str) -> Iterator[tuple[int, str]]:
+        if '"' in line:
+            yield from ((i, v) for i, v in enumerate(next(csv.reader([line]))) if v)
+            return
+        at = place = 0
+        for m in re.finditer("[^,]+", line):
+            place += line.count(",", at, m.start())
+            at = m.start()
+            yield place, m.group()
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                line = text.as_py()
+                if line == head:
+                    continue
+                found = list(filled(line))
+                own = dict(found[:n_ids])
+                held = [(i - n_ids, v) for i, v in found if i >= n_ids]
+                columns = [pa.array([own.get(i)] * len(held), pa.string()) for i in range(n_ids)]
+                columns += [pa.array([fields[i] for i, _ in held], pa.string()), pa.array([i + 1 for i, _ in held], pa.int64()), pa.array([v for _, v in held], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+    return spark.read.text(path).mapInArrow(cells, schema)
 
 
 def missing_outputs(manifest: DataFrame, files: DataFrame, kinds: Mapping[str, Column]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Malformed rows, incremental stages, wide files and merged moments on hand-made data."""
 
 import csv
+import os
 import random
 import statistics
 from glob import glob
@@ -102,6 +103,18 @@ def test_wide_file_of_any_number_of_names(spark, tmp_path, parts):
         tables.write_wide_csv(twice, str(tmp_path / "x"), ["gene"], "name", "v")
 
 
+def test_a_sparse_wide_file_is_compressed_and_read_back(spark, tmp_path):
+    names = [f"s{i:04}" for i in range(3000)] + ['a "b"', "c,d"]
+    cells = {(f"g{f},x" if f % 2 else f"g{f}", names[(f * 37 + k * 611) % len(names)]): f + k / 8 for f in range(50) for k in range(3)} | {("first", n): 1.0 for n in names}
+    df = spark.createDataFrame([(f, n, v) for (f, n), v in cells.items()], "gene string, name string, v double")
+    tables.write_wide_csv(df, str(tmp_path / "w"), ["gene"], "name", "v", parts=3, compression="gzip")
+    files = glob(str(tmp_path / "w" / "part-*"))
+    assert len(files) == 3 and sum(os.path.getsize(f) for f in files) < 51 * len(names)  # commas alone would be more
+    place = {n: i for i, n in enumerate(sorted(names), 1)}
+    got = sorted((r.gene, r["column"], r.place, float(r.value)) for r in tables.read_wide_csv(spark, str(tmp_path / "w")).collect())
+    assert got == sorted((f, n, place[n], v) for (f, n), v in cells.items())
+
+
 def test_moments_merge_to_a_full_recompute(spark):
     rng = random.Random(2)
     data = [(f, s, rng.choice([None, 0.0, 1e9 + rng.random(), rng.random()]) if f < 3 else 1e9 + rng.random()) for f in range(5) for s in range(60)] + [(9, 1, None)]
