@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haplolake.sources.many_files import listed_by_few
+
 _RAW = "_malformed"
 
 
@@ -56,7 +58,8 @@ def read_checked(spark: SparkSession, roots: Sequence[str], pattern: str, schema
     required: columns that must be given. valid: a further condition on good rows.
     """
     made = {"pathGlobFilter": pattern, "recursiveFileLookup": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW, **options}
-    rows = spark.read.schema(f"{schema}, {_RAW} string").options(**made).csv(list(roots))
+    with listed_by_few(spark):
+        rows = spark.read.schema(f"{schema}, {_RAW} string").options(**made).csv(list(roots))
     names = [c for c in rows.columns if c != _RAW]
     reason = F.when(F.col(_RAW).isNotNull(), "unreadable")
     for c in required:

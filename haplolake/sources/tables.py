@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from haplolake.functions.columns import recode
 from haplolake.operators.ordered import ranked
+from haplolake.sources.many_files import listed_by_few
 from haplolake.sources.quarantine import Checked, read_checked
 
 GENE_COUNTS = "feature_id string, count long, _s1 long, _s2 long"
@@ -36,13 +37,15 @@ def all_samples(manifest: DataFrame) -> DataFrame:
 
 def list_files(spark: SparkSession, roots: Sequence[str], pattern: str) -> DataFrame:
     """path, file of the files under the roots whose name fits the pattern (SRC3). Contents aren't read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(list(roots))
+    with listed_by_few(spark):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(list(roots))
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
 
 
 def read_per_sample(spark: SparkSession, roots: Sequence[str], pattern: str, schema: str, **options: object) -> DataFrame:
     """Rows of all files that fit the pattern, with the file's path and name (SRC3); empty files add none."""
-    rows = spark.read.schema(schema).options(**{"pathGlobFilter": pattern, "recursiveFileLookup": True, **options}).csv(list(roots))
+    with listed_by_few(spark):
+        rows = spark.read.schema(schema).options(**{"pathGlobFilter": pattern, "recursiveFileLookup": True, **options}).csv(list(roots))
     return rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
 
 

@@ -4,13 +4,14 @@ import csv
 import os
 import random
 import statistics
+import uuid
 from glob import glob
 
 import pytest
 from pyspark.sql import functions as F
 
 from haplolake.operators import moments
-from haplolake.sources import scratch, stages, tables
+from haplolake.sources import many_files, scratch, stages, tables
 
 
 def test_malformed_rows_are_kept_apart(spark, tmp_path):
@@ -161,3 +162,27 @@ def test_stored_tables_can_be_removed(spark):
     assert folder.exists() and t.count() == 3
     scratch.removed(t)
     assert not folder.exists()
+
+
+def test_folders_are_listed_by_a_few_tasks(spark, tmp_path):
+    for i in range(80):
+        (tmp_path / f"sample_id={i}").mkdir()
+        (tmp_path / f"sample_id={i}" / "part-0").write_text(f"{i}\t1\n")
+    conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, tracker = spark.conf.get(conf), spark.sparkContext.statusTracker()
+
+    def tasks(work):
+        spark.sparkContext.setJobGroup(group := uuid.uuid4().hex, group)
+        work()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+
+    few = many_files.PER_CORE * spark.sparkContext.defaultParallelism
+    for work in (
+        lambda: tables.read_per_sample(spark, [str(tmp_path)], "part-*", "feature string, count long", sep="\t"), lambda: tables.list_files(spark, [str(tmp_path)], "part-*"),
+        lambda: stages.list_with_sizes(spark, [str(tmp_path)], "part-*", F.col("path")), lambda: tables.check_gene_counts(spark, [str(tmp_path)], "part-*"),
+    ):
+        listing = tasks(work)
+        assert listing and max(listing) <= few
+    assert spark.conf.get(conf) == before
+    assert tables.read_per_sample(spark, [str(tmp_path)], "part-*", "feature string, count long", sep="\t").count() == 80
