@@ -164,6 +164,34 @@ def test_stored_tables_can_be_removed(spark):
     assert not folder.exists()
 
 
+def test_a_stage_of_many_units_is_a_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "MAX_GENERATIONS", 2)
+    root, out = tmp_path / "in", tmp_path / "stage"
+    root.mkdir()
+    held = {f"{i:03}": i for i in range(60)}  # a unit's name stays text, with its zeros
+    asked = []
+
+    def compute(paths):
+        asked.append(len(paths))
+        rows = spark.read.schema("v long").csv(paths)
+        return rows.select(F.regexp_extract("_metadata.file_name", "^([^.]*)", 1).alias("sample_id"), "v")
+
+    for step in range(5):
+        changed = {k: 1000 * step + v for k, v in held.items() if not step or int(k) % 7 == step}
+        held |= changed
+        for k, v in changed.items():
+            (root / f"{k}.tsv").write_text(f"{v}\n")
+        got = stages.run_stage(spark, str(out), stages.list_with_sizes(spark, [str(root)], "*.tsv", F.regexp_extract("file", "^([^.]*)", 1)), compute)
+        assert {r.sample_id: r.v for r in got.collect()} == held and got.count() == 60 and asked[-1] == len(changed)
+        live = {r.generation for r in stages.manifest(spark, str(out)).collect()}
+        assert max(live) == step + 1 and len(live) <= 3
+        assert len(glob(f"{out}/generations/stage_run={step + 1}/part-*")) <= 4
+    for f in root.iterdir():
+        f.unlink()
+    gone = stages.run_stage(spark, str(out), stages.list_with_sizes(spark, [str(root)], "*.tsv", F.regexp_extract("file", "^([^.]*)", 1)), compute)
+    assert gone.columns == ["sample_id", "v"] and gone.isEmpty()
+
+
 def test_folders_are_listed_by_a_few_tasks(spark, tmp_path):
     for i in range(80):
         (tmp_path / f"sample_id={i}").mkdir()
