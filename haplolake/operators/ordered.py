@@ -69,8 +69,22 @@ def _added(before: str, own: Column) -> Column:
 def running_sum(df: DataFrame, columns: Mapping[str, str], order: Sequence[str], by: Sequence[str] = (), cell_rows: int = CELL_ROWS) -> DataFrame:
     """Running sums of columns in a given order, per group (WN1). Nulls count as nothing, and come first in the order.
 
-    The order should tell all rows of a group apart; where it doesn't, any order of the rest may be taken.
+    The order should tell all rows of a group apart; where it doesn't, any order of the rest may be taken. Groups of at most
+    cell_rows rows are one cell each and are sorted as they are, after one exchange.
     """
+    if not by:
+        return _summed_in_cells(df, columns, order, by, cell_rows)
+    # At most one row for each cell_rows of the table.
+    large = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cell_rows).select(*by)
+    own = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    listed = F.broadcast(large.withColumnsRenamed({k: f"_r_{k}" for k in by}))
+    same = _same(df, listed, {k: f"_r_{k}" for k in by})
+    small = df.join(listed, same, "left_anti").select(*df.columns, *(F.sum(c).over(own).alias(name) for name, c in columns.items()))
+    return small.unionByName(_summed_in_cells(df.join(listed, same, "left_semi"), columns, order, by, cell_rows))
+
+
+def _summed_in_cells(df: DataFrame, columns: Mapping[str, str], order: Sequence[str], by: Sequence[str], cell_rows: int) -> DataFrame:
+    """Running sums in groups of any size, by cells."""
     placed = _in_cells(df, by, order, cell_rows)
     totals = placed.groupBy(*by, *_DIGITS).agg(*(F.sum(c).alias(f"_t_{name}") for name, c in columns.items()))
     earlier = Window.partitionBy(*by).orderBy(*_DIGITS).rowsBetween(Window.unboundedPreceding, -1)
