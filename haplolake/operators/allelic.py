@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplolake.functions.columns import safe_div
@@ -20,12 +20,29 @@ def usable_phase(phase: DataFrame, min_maf: float = 0.348, min_samples: int = 10
 
 def assign_haplotype(counts: DataFrame, phase: DataFrame, site: Sequence[str] = ("chr", "pos"), sample: str = "sample_id", ref: str = "ref", alt: str = "alt", haplotype: str = "Haplotype") -> DataFrame:
     """sample, site, a, b: at phase 1 the reference allele is A, at -1 it is B; unphased sites go (DOM3, JN1, RS4 in wide form)."""
-    phased = counts.join(phase.select(*site, haplotype).filter(F.col(haplotype).isin(1, -1)), list(site))
+    phased = counts.join(phase.select(*site, haplotype).filter(F.col(haplotype).isin(1, -1)), list(reversed(site)))
     plus = F.col(haplotype) == 1
     rest = [c for c in counts.columns if c not in {*site, sample, ref, alt}]
     return phased.select(sample, *site, *rest, F.when(plus, F.col(ref)).otherwise(F.col(alt)).cast("double").alias("a"), F.when(plus, F.col(alt)).otherwise(F.col(ref)).cast("double").alias("b"))
 
 
+def assign_own_phase(counts: DataFrame, min_maf: float = 0.348, min_samples: int = 10, site: Sequence[str] = ("chr", "pos"), sample: str = "sample_id", ref: str = "ref", alt: str = "alt", haplotype: str = "haplotype", maf: str = "maf") -> DataFrame:
+    """assign_haplotype with the usable phase that the rows themselves tell: a site's greatest haplotype and frequency, and its number of rows.
+
+    A site's rows meet once and bring their phase along, where a phase table would be summed from a second exchange of all rows and joined.
+    """
+    rows = counts
+    for c in site:
+        rows = rows.filter(F.col(c).isNotNull())
+    # Positions tell most rows apart, so they are compared first.
+    own = Window.partitionBy(*reversed(site))
+    phased = rows.withColumns({"_h": F.max(haplotype).over(own), "_maf": F.max(maf).over(own), "_n": F.count(F.lit(1)).over(own)})
+    usable = usable_phase(phased, min_maf, min_samples, "_h", "_maf", "_n").filter(F.col("_h").isin(1, -1))
+    plus = F.col("_h") == 1
+    rest = [c for c in counts.columns if c not in {*site, sample, ref, alt, haplotype, maf}]
+    return usable.select(sample, *site, *rest, F.when(plus, F.col(ref)).otherwise(F.col(alt)).cast("double").alias("a"), F.when(plus, F.col(alt)).otherwise(F.col(ref)).cast("double").alias("b"))
+
+
 def allele_rows(assigned: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Two rows a site, one per allele, with label and count (RS4)."""
     both = F.explode(F.array(*(F.struct(F.lit(n).alias("allele"), F.col(c).alias("counts")) for n, c in (("A", "a"), ("B", "b"))))).alias("_x")
@@ -38,11 +55,22 @@ def merge_lanes(df: DataFrame, key: Sequence[str], values: Sequence[str], sample
     n_lanes (sample, lanes) says how many lanes a sample has; else they are counted in df.
     """
     df = stored(df, "lanes") if n_lanes is None else df
-    lanes = n_lanes if n_lanes is not None else df.groupBy(sample).agg(F.count_distinct(lane).alias("lanes"))
+    lanes = n_lanes if n_lanes is not None else lane_counts(df, sample, lane)
     sums = df.groupBy(*key, sample).agg(*(F.sum(v).alias(v) for v in values))
     return sums.join(lanes.select(sample, "lanes"), sample).select(*key, sample, *(safe_div(v, "lanes").alias(v) for v in values))
 
 
+def lane_counts(df: DataFrame, sample: str = "sample_id", lane: str = "lane") -> DataFrame:
+    """sample, lanes: how many lanes a sample has."""
+    return df.groupBy(sample).agg(F.count_distinct(lane).alias("lanes"))
+
+
+def lane_shares(df: DataFrame, lanes: DataFrame, values: Sequence[str], sample: str = "sample_id") -> DataFrame:
+    """Each row's values over its sample's number of lanes: what rows of a key and sample add up to is merge_lanes of them (DOM4)."""
+    rest = [c for c in df.columns if c not in values]
+    return df.join(lanes.select(sample, "lanes"), sample).select(*rest, *(safe_div(v, "lanes").alias(v) for v in values))
+
+
 def rollup_to_gene(sites: DataFrame, exons: DataFrame, chrom: str = "chr", pos: str = "pos", sample: str = "sample_id", gene: str = "gene_id", values: Sequence[str] = ("a", "b"), multiplicity: str = "row") -> DataFrame:
     """gene, sample and summed counts of the sites inside a gene's exons (DOM5, JN6, AG1).
 
@@ -54,9 +82,9 @@ def rollup_to_gene(sites: DataFrame, exons: DataFrame, chrom: str = "chr", pos:
     sites = stored(sites, "sites")
     places = sites.select(chrom, pos).distinct().withColumn("_end", F.col(pos))
     hits = interval_join(places, exons.select(chrom, "start", "end", gene), [chrom], (pos, "_end")).select(chrom, pos, F.col(f"r_{gene}").alias(gene))
-    found = hits.groupBy(chrom, pos, gene).agg(F.count(F.lit(1)).alias("_times")) if multiplicity == "row" else hits.distinct().withColumn("_times", F.lit(1))
-    joined = sites.join(found, [chrom, pos])
-    return joined.groupBy(gene, sample).agg(*(F.sum(F.col(v) * F.col("_times")).alias(v) for v in values))
+    # Positions first: keys are compared in this order, and a region has many.
+    joined = sites.join(hits if multiplicity == "row" else hits.distinct(), [pos, chrom])
+    return joined.groupBy(gene, sample).agg(*(F.sum(v).alias(v) for v in values))
 
 
 def allele_fraction(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -30,9 +30,14 @@ def control_mean_with_zeros(matrix: DataFrame, samples: DataFrame, feature: str
     return with_scalar(sums, n).select(feature, safe_div("_sum", "_n").alias("control_mean"))
 
 
+def strong_features(matrix: DataFrame, samples: DataFrame, least: float = 25, feature: str = "feature_id", **names: str) -> DataFrame:
+    """feature: those whose control mean, zeros counted, is at least ``least`` (DOM9); a cell's value may be spread over several rows."""
+    return control_mean_with_zeros(matrix, samples, feature, **names).filter(F.col("control_mean") >= least).select(feature)
+
+
 def min_expression(matrix: DataFrame, samples: DataFrame, least: float = 25, feature: str = "feature_id", **names: str) -> DataFrame:
     """Rows of features whose control mean, zeros counted, is at least ``least`` (DOM9)."""
-    return members_of(matrix, control_mean_with_zeros(matrix, samples, feature, **names).filter(F.col("control_mean") >= least), [feature])
+    return members_of(matrix, strong_features(matrix, samples, least, feature, **names), [feature])
 
 
 def ratio_to_controls(matrix: DataFrame, samples: DataFrame, feature: str = "feature_id", sample: str = "sample_id", value: str = "value", control: str = "is_control") -> DataFrame:
