@@ -19,6 +19,7 @@ from haplolake.operators.grid import on_grid
 from haplolake.operators.intervals import interval_join, label_overlaps, make_bins
 from haplolake.operators.ordered import join_null_safe, quantiles
 from haplolake.operators.relational import members_of, variance_where, weighted_mean, with_scalar
+from haplolake.sources.scratch import spread
 
 CAP = 0.95
 
@@ -81,7 +82,8 @@ def aggregate_levels(matrix: DataFrame, placed: DataFrame, samples: DataFrame, v
     stacked = counted.select("level", F.posexplode(F.array(*names)).alias("_i", "_w"))
     caps = quantiles(stacked, "_w", {"_cap": q}, ["level", "_i"]).groupBy("level").agg(*(F.max(F.when(F.col("_i") == i, F.col("_cap"))).alias(f"_cap{i}") for i in range(len(values))))
     weights = join_null_safe(raw, caps, ["level"], "left").select("level", "place", feature, *(_capped(n, f"_cap{i}").alias(f"_w{i}") for i, n in enumerate(names)))
-    rows = matrix.select(feature, sample, *values).join(weights, feature)
+    # A matrix row makes a group or more here, which are held in a task's memory.
+    rows = spread(matrix.select(feature, sample, *values), feature).join(weights, feature)
     means = rows.groupBy("level", "place", sample).agg(*(m for i, v in enumerate(values) for m in (weighted_mean(v, f"_w{i}").alias(v), F.avg(v).alias(f"_plain{i}"))))
     chosen = (F.when(F.col("place").isin(*simple[v]), F.col(f"_plain{i}")).otherwise(F.col(v)).alias(v) if simple.get(v) else F.col(v) for i, v in enumerate(values))
     return means.select("level", "place", sample, *chosen)

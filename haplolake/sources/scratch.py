@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of files to a partition of spread().
+PART_BYTES = 8 << 20
 _own: list[str] = []
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -48,6 +51,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str, size: int = PART_BYTES) -> DataFrame:
+    """Rows by key in as many partitions as the files below hold ``size`` bytes, at least one a core; smaller tables are left to Spark.
+
+    Else the number of partitions is the session's, whatever the input, and small ones are merged by compressed bytes, so that what
+    a task holds in a join or an aggregation grows with the input. A join with such a side is dealt in the same way on the other.
+    """
+    # Files are named as URIs, in which a blank is %20.
+    found = (_files(df.sparkSession, df.sparkSession._jvm.java.net.URI(f)) for f in df.inputFiles())
+    parts = math.ceil(sum(files.getFileStatus(p).getLen() for files, p in found) / size)
+    return df if parts <= 1 else df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def removed(*tables: DataFrame) -> None:
     """Remove what stored() wrote for these tables, once all that is built on them is written too."""
     for t in tables:
