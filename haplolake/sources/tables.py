@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -218,28 +218,30 @@ def read_wide_csv(spark: SparkSession, path: str, n_ids: int = 1) -> DataFrame:
     for each line needs no line end inside a field. The header goes through the driver.
     """
     head = spark.read.text(path).first().value
-    names = next(csv.reader([head]))
+    names, first = next(csv.reader([head])), head.encode()
     ids, fields = names[:n_ids], names[n_ids:]
     schema = ", ".join(f"`{c}` string" for c in ids) + ", column string, place long, value string"
     kinds = pa.schema([*((c, pa.string()) for c in ids), ("column", pa.string()), ("place", pa.int64()), ("value", pa.string())])
 
-    def filled(line: str) -> Iterator[tuple[int, str]]:
-        if '"' in line:
-            yield from ((i, v) for i, v in enumerate(next(csv.reader([line]))) if v)
-            return
-        at = place = 0
-        for m in re.finditer("[^,]+", line):
-            place += line.count(",", at, m.start())
-            at = m.start()
-            yield place, m.group()
+    def filled(line: bytes) -> list[tuple[int, str]]:
+        at = np.flatnonzero(np.frombuffer(line, np.uint8) != ord(","))
+        if not len(at):
+            return []
+        starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        ends = np.append(starts[1:], len(at)) - 1
+        # Before the i-th byte that is no comma come i such bytes, the rest are commas.
+        found = [(int(at[i]) - int(i), line[at[i] : at[j] + 1].decode()) for i, j in zip(starts, ends, strict=True)]
+        if any('"' in v for _, v in found):
+            return [(i, v) for i, v in enumerate(next(csv.reader([line.decode()]))) if v]
+        return found
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0):
-                line = text.as_py()
-                if line == head:
+                line = text.as_buffer().to_pybytes()
+                if line == first:
                     continue
-                found = list(filled(line))
+                found = filled(line)
                 own = dict(found[:n_ids])
                 held = [(i - n_ids, v) for i, v in found if i >= n_ids]
                 columns = [pa.array([own.get(i)] * len(held), pa.string()) for i in range(n_ids)]
